@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.plans import retrieval_oracle, retrieval_queries
+from quillsift.plans import retrieval_oracle, retrieval_queries, text_queries, text_queries_oracle
 
-QUERIES = {**retrieval_queries.QUERIES}
-ORACLES = {**retrieval_oracle.ORACLES}
+QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**retrieval_oracle.ORACLES, **text_queries_oracle.ORACLES}

@@ -62,3 +62,33 @@ def utf8_cut_sql(text: str, limit: int) -> str:
         f"substring(s, 1, (len(list_filter(range(1, {limit} + 1), lambda n: "
         f"octet_length(encode(substring(s, 1, n))) <= {limit})))::INT) END), 1)"
     )
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def pick_sql(values, by: str) -> str:
+    return f"list_extract([{', '.join(literal(v) for v in values)}], ({by} % {len(values)} + 1)::BIGINT)"
+
+
+def heading_sql(text: str) -> str:
+    inner = rx(trim_sql("p"), "^#+")
+    return (
+        f"array_to_string(list_filter(list_transform(string_split({text}, '>'), "
+        f"lambda p: {trim_sql(inner)}), lambda p: p <> ''), ' > ')"
+    )
+
+
+def strip_markup_sql(text: str) -> str:
+    flags = {0: "gs", 2: "gi", 3: "gs"}
+    from quillsift.functions.text import MARKUP_PATTERNS
+
+    for i, pattern in enumerate(MARKUP_PATTERNS):
+        pattern = pattern.removeprefix("(?s)").removeprefix("(?i)")
+        text = rx(text, pattern, flags=flags.get(i, "g"))
+    return text
+
+
+def prefix_sql(path: str) -> str:
+    return f"CASE WHEN {path} = '' THEN '' ELSE '## ' || {path} || chr(10) || chr(10) END"
