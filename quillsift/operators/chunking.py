@@ -25,7 +25,7 @@ from quillsift.functions.text import (
     word_count,
 )
 from quillsift.params import ChunkBudget
-from quillsift.session import checkpointed
+from quillsift.session import checkpointed, spread
 
 INDENT = r"[^\S\n]*+"
 LINE = r"(?:[^\n]*\n|[^\n]+\z)"
@@ -219,7 +219,7 @@ def code_groups(inner: Column, budget: Column) -> Column:
 
 def blocks_of(documents: DataFrame, key: str = "doc_key") -> DataFrame:
     """Rows ``(key, block_no, path, kind, body)`` of ``(key, markdown)``."""
-    return documents.select(key, F.posexplode(segment(F.col("markdown"))).alias("block_no", "b")).select(
+    return spread(documents, key).select(key, F.posexplode(segment(F.col("markdown"))).alias("block_no", "b")).select(
         key, "block_no", "b.path", "b.kind", "b.body"
     )
 
@@ -232,128 +232,111 @@ def chunk_markdown(
     ``part_no`` counts from 0 within its block. A code block over the budget is
     re-wrapped in its own fence per part and its heading says which part.
     """
-    blocks = (
-        blocks_of(documents, key)
-        .withColumn("prefix", heading_prefix(F.col("path")))
-        .withColumn("overhead", tokens_for_words(word_count(F.col("prefix"))))
-        .withColumn("n_words", word_count(F.col("prefix")) + word_count(F.col("body")))
+    room_for_all = F.lit(budget.max_tokens) - F.col("overhead")
+    prose = prose_pieces(
+        F.col("body"),
+        F.least(
+            F.greatest(F.lit(budget.target_tokens) - F.col("overhead"), F.lit(0)),
+            F.greatest(room_for_all, F.lit(1)),
+        ),
+        F.greatest(room_for_all, F.lit(1)),
     )
-    prose = (
-        blocks.where(F.col("kind") == "Info")
-        .withColumn("eff_max", F.greatest(F.lit(budget.max_tokens) - F.col("overhead"), F.lit(1)))
-        .withColumn(
-            "eff_target",
-            F.least(
-                F.greatest(F.lit(budget.target_tokens) - F.col("overhead"), F.lit(0)),
-                F.col("eff_max"),
-            ),
-        )
-        .select(
-            key,
-            "block_no",
-            "path",
-            "kind",
-            "prefix",
-            F.posexplode(
-                prose_pieces(F.col("body"), F.col("eff_target"), F.col("eff_max"))
-            ).alias("part_no", "piece"),
-        )
-        .select(
-            key,
-            "block_no",
-            "part_no",
-            normalize_heading_path(F.col("path")).alias("heading_path"),
-            F.col("kind").alias("chunk_type"),
-            F.concat("prefix", "piece").alias("text"),
-        )
-    )
-    code = blocks.where(F.col("kind") == "Code").withColumn(
-        "fits", tokens_for_words(F.col("n_words")) <= budget.max_tokens
-    )
-    whole = code.where("fits").select(
-        key,
-        "block_no",
-        F.lit(0).alias("part_no"),
-        normalize_heading_path(F.col("path")).alias("heading_path"),
-        F.col("kind").alias("chunk_type"),
-        F.concat("prefix", "body").alias("text"),
-    )
-    lines = F.transform(
+    split = (F.col("kind") == "Code") & (tokens_for_words(F.col("n_words")) > budget.max_tokens)
+    body_lines = F.transform(
         F.split(F.regexp_replace("body", r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")
     )
     closed = (F.size("lines") >= 2) & F.element_at("lines", -1).rlike(rf"(?U)^{FENCE}")
+    inner = F.slice("lines", 2, F.size("lines") - F.when(closed, 2).otherwise(1))
     ticks = F.regexp_extract(F.regexp_replace("open_line", r"(?U)^\s+", ""), r"^(?:(.)\1*)", 0)
-    split = (
-        code.where(~F.col("fits"))
-        .withColumn("lines", lines)
+    room = F.greatest(
+        room_for_all
+        - 8
+        - tokens_for_words(word_count(F.col("open_line")))
+        - tokens_for_words(word_count(F.col("fence"))),
+        F.lit(1),
+    )
+    prepared = (
+        blocks_of(documents, key)
+        .withColumn("prefix", heading_prefix(F.col("path")))
+        .withColumn("overhead", tokens_for_words(word_count(F.col("prefix"))))
+        .withColumn("n_words", word_count(F.col("prefix")) + word_count(F.col("body")))
+        .withColumn("split", split)
+        .withColumn("lines", F.when(F.col("split"), body_lines))
         .withColumn("open_line", F.element_at("lines", 1))
         .withColumn("fence", F.when(ticks == "", "```").otherwise(ticks))
-        .withColumn(
-            "inner",
-            F.array_join(
-                F.slice("lines", 2, F.size("lines") - F.when(closed, 2).otherwise(1)), "\n"
-            ),
-        )
-        .withColumn(
-            "room",
-            F.greatest(
-                F.lit(budget.max_tokens - 8)
-                - F.col("overhead")
-                - tokens_for_words(word_count(F.col("open_line")))
-                - tokens_for_words(word_count(F.col("fence"))),
-                F.lit(1),
-            ),
-        )
-        .select(
-            key,
-            "block_no",
-            "path",
-            "kind",
-            "open_line",
-            "fence",
-            F.posexplode(code_groups(F.col("inner"), F.col("room"))).alias("part_no", "piece"),
-        )
-        .withColumn(
-            "part_path",
-            F.concat("path", F.lit(" (part "), (F.col("part_no") + 1).cast("string"), F.lit(")")),
+    )
+    pieces = (
+        F.when(F.col("kind") == "Info", prose)
+        .when(F.col("split"), code_groups(F.array_join(inner, "\n"), room))
+        .otherwise(F.array("body"))
+    )
+    part_path = F.concat(
+        "path", F.lit(" (part "), (F.col("part_no") + 1).cast("string"), F.lit(")")
+    )
+    return (
+        prepared.select(
+            key, "block_no", "path", "kind", "prefix", "split", "open_line", "fence",
+            F.posexplode(pieces).alias("part_no", "piece"),
         )
+        .withColumn("own_path", F.when(F.col("split"), part_path).otherwise(F.col("path")))
         .select(
             key,
             "block_no",
             "part_no",
-            normalize_heading_path(F.col("part_path")).alias("heading_path"),
+            normalize_heading_path(F.col("own_path")).alias("heading_path"),
             F.col("kind").alias("chunk_type"),
-            F.concat(
-                heading_prefix(F.col("part_path")),
-                F.concat_ws("\n", "open_line", "piece", "fence"),
-                F.lit("\n"),
-            ).alias("text"),
+            F.when(
+                F.col("split"),
+                F.concat(
+                    heading_prefix(F.col("own_path")),
+                    F.concat_ws("\n", "open_line", "piece", "fence"),
+                    F.lit("\n"),
+                ),
+            )
+            .otherwise(F.concat("prefix", "piece"))
+            .alias("text"),
         )
     )
-    return prose.unionByName(whole).unionByName(split)
 
 
-def with_global_index(rows: DataFrame, order: list[str], name: str = "chunk_idx") -> DataFrame:
-    """Dense 0-based position of every row in the total order of ``order``.
+def running_offsets(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Rows with ``offset``, the sum of ``n`` over all smaller keys.
 
-    Rows are range-partitioned and the partitioned rows are fixed by a
-    checkpoint; the offset of a partition is the sum of the counts before it, so
-    no task ever sees more than its own range. The offsets are one row per
-    partition.
+    The table is range-partitioned and fixed by a checkpoint; one row per
+    partition then carries the sum of the partitions before it, so no task sums
+    more than its own range.
     """
     placed = checkpointed(
-        rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+        counts.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    )
+    totals = placed.groupBy("_part").agg(F.sum(n).alias("_total"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start")
     )
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    before = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn("offset", F.col("_start") + F.coalesce(F.sum(n).over(before), F.lit(0)))
+        .drop("_part", "_start")
     )
-    local = Window.partitionBy("_part").orderBy(*order)
+
+
+def with_global_index(
+    rows: DataFrame, key: str, local_order: list[str], name: str = "chunk_idx"
+) -> DataFrame:
+    """Dense 0-based position of every row, documents by ``key``, rows by ``local_order``.
+
+    The rows are fixed once by a checkpoint; the order between documents comes
+    from the far smaller table of rows per document.
+    """
+    fixed = checkpointed(rows)
+    counts = fixed.groupBy(key).agg(F.count("*").alias("n"))
+    local = Window.partitionBy(key).orderBy(*local_order)
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.row_number().over(local) - 1)
-        .drop("_part", "_offset")
+        fixed.join(running_offsets(counts, key).select(key, "offset"), key)
+        .withColumn(name, F.col("offset") + F.row_number().over(local) - 1)
+        .drop("offset")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillsift.operators.batch import QueryBatch
 from quillsift.operators.topk import TaskTopK, rank_scores
+from quillsift.session import spread
 
 # Largest score block (chunks x queries) a task holds at once.
 BLOCK_CELLS = 4_000_000
@@ -55,8 +56,11 @@ def dense_topk(batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2"
     every vector, as exact search demands, but only k rows per query and task
     leave a task.
     """
-    stored = vectors.select(F.col("chunk_idx").cast("long"), "embedding").where(
-        F.col("embedding").isNotNull()
+    stored = spread(
+        vectors.select(F.col("chunk_idx").cast("long"), "embedding").where(
+            F.col("embedding").isNotNull()
+        ),
+        "chunk_idx",
     )
     scored = _scan(batch, stored, k, metric) if batch.small else _grid(batch, stored, k, metric)
     return rank_scores(scored, k, "dense_rank")

@@ -16,6 +16,7 @@ from quillsift.functions.text import terms
 from quillsift.operators.batch import QueryBatch
 from quillsift.operators.topk import TaskTopK, rank_scores
 from quillsift.params import SearchParams
+from quillsift.session import spread
 
 # Most (chunk, term, query) incidences a task expands at once.
 BLOCK_INCIDENCES = 4_000_000
@@ -58,7 +59,7 @@ def bm25_topk(
     A chunk is a candidate only when it shares a term with the query; each
     distinct query term counts once.
     """
-    stored = chunks.select(F.col("chunk_idx").cast("long"), "text")
+    stored = spread(chunks.select(F.col("chunk_idx").cast("long"), "text"), "chunk_idx")
     scored = _scan(batch, stored, k, p) if batch.small else _join(batch, stored, p)
     return rank_scores(scored, k, "lexical_rank")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillsift.functions import license_rules as rules
 from quillsift.functions.text import strip_edges
+from quillsift.session import spread
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -17,47 +18,53 @@ def scan_files(files: DataFrame) -> DataFrame:
     The first finding of a license file is tagged ``license_file``; a license
     file without any gets a bare one at line 1 with its first non-blank line.
     """
-    lines = files.select(
-        "repo",
-        "file",
-        F.posexplode(rules.lines_of(F.col("text"))).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no") + 1)
-    found = (
-        lines.where(F.col("line").rlike(rules.HINT))
-        .select(
-            "repo",
-            "file",
-            "line_no",
-            rules.snippet(F.col("line")).alias("snippet"),
-            F.posexplode(rules.line_findings(F.col("line"))).alias("seq", "f"),
+    in_license = rules.is_license_file(F.col("file"))
+    lines = rules.lines_of(F.col("text"))
+    numbered = F.filter(
+        F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"))),
+        lambda x: x["line"].rlike(rules.HINT),
+    )
+    found = F.flatten(
+        F.transform(
+            numbered,
+            lambda x: F.transform(
+                rules.line_findings(x["line"]),
+                lambda f, seq: F.struct(
+                    x["line_no"].alias("line_no"),
+                    seq.alias("seq"),
+                    f["kind"].alias("kind"),
+                    f["spdx"].alias("spdx"),
+                    f["raw"].alias("raw"),
+                    rules.snippet(x["line"]).alias("snippet"),
+                ),
+            ),
         )
-        .select("repo", "file", "line_no", "seq", "f.kind", "f.spdx", "f.raw", "snippet")
     )
-    in_license = rules.is_license_file(F.col("file"))
-    # Only the few license files need their first finding looked up.
-    first = Window.partitionBy("repo", "file").orderBy("line_no", "seq")
-    tagged = (
-        found.where(in_license)
-        .withColumn("_nth", F.row_number().over(first))
-        .withColumn("kind", F.when(F.col("_nth") == 1, "license_file").otherwise(F.col("kind")))
-        .drop("_nth")
+    anchor = F.lit("license_file")
+    tagged = F.transform(
+        "found",
+        lambda f, i: F.when((i == 0) & F.col("in_license"), f.withField("kind", anchor)).otherwise(f),
+    )
+    first_line = F.try_element_at(F.filter(lines, lambda x: strip_edges(x) != ""), F.lit(1))
+    bare = F.struct(
+        F.lit(1).alias("line_no"),
+        F.lit(0).alias("seq"),
+        anchor.alias("kind"),
+        F.lit("").alias("spdx"),
+        F.lit("").alias("raw"),
+        F.coalesce(rules.snippet(first_line), F.lit("")).alias("snippet"),
     )
-    bare_text = F.filter(rules.lines_of(F.col("text")), lambda x: strip_edges(x) != "")
-    bare = (
-        files.where(in_license)
-        .join(tagged.select("repo", "file").distinct(), ["repo", "file"], "left_anti")
+    return (
+        spread(files, "file")
+        .select("repo", "file", "text", in_license.alias("in_license"), found.alias("found"))
         .select(
             "repo",
             "file",
-            F.lit(1).alias("line_no"),
-            F.lit(0).alias("seq"),
-            F.lit("license_file").alias("kind"),
-            F.lit("").alias("spdx"),
-            F.lit("").alias("raw"),
-            F.coalesce(rules.snippet(F.try_element_at(bare_text, F.lit(1))), F.lit("")).alias("snippet"),
+            F.inline(
+                F.when(F.col("in_license") & (F.size("found") == 0), F.array(bare)).otherwise(tagged)
+            ),
         )
     )
-    return found.where(~in_license).unionByName(tagged).unionByName(bare)
 
 
 def identifiers_seen(findings: DataFrame) -> DataFrame:

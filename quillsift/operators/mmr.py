@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -48,22 +49,23 @@ def mmr_select(pool: DataFrame, p: SearchParams = SearchParams(), keys: tuple[st
         norm = np.linalg.norm(rows, axis=-1, keepdims=True)
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position", ignore_index=True)
-        has_vector = frame["embedding"].notna().to_numpy()
-        with_vector = frame[has_vector].reset_index(drop=True)
-        rest = frame[~has_vector]
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
+        known = pc.is_valid(table["embedding"]).to_numpy()
+        inner = table.filter(pa.array(known))
+        rest = table.filter(pa.array(~known))
         if not ordinal:
-            rest = rest.sort_values("rrf", ascending=False, kind="stable")
-        top_k = int(frame["top_k"].iloc[0])
-        weight = float(frame["mmr_lambda"].iloc[0]) if own_lambda else p.mmr_lambda
+            rest = rest.sort_by([("rrf", "descending"), ("position", "ascending")])
+        top_k = table["top_k"][0].as_py()
+        weight = table["mmr_lambda"][0].as_py() if own_lambda else p.mmr_lambda
         chosen: list[int] = []
         cosines = np.empty(0)
-        if len(with_vector):
-            units = unit(np.stack(with_vector["embedding"].to_numpy()).astype(np.float64))
-            cosines = units @ unit(np.asarray(frame["qvec"].iloc[0], dtype=np.float64))
-            relevance = with_vector["relevance"].to_numpy() if ordinal else cosines
-            urls = with_vector["source_url"].to_numpy()
+        if len(inner):
+            lanes = inner["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            units = unit(lanes.astype(np.float64).reshape(len(inner), -1))
+            cosines = units @ unit(np.array(table["qvec"][0].as_py(), dtype=np.float64))
+            relevance = inner["relevance"].to_numpy() if ordinal else cosines
+            urls = inner["source_url"].to_numpy()
             nearest = np.zeros(len(units))
             same_url = np.zeros(len(units))
             free = np.ones(len(units), dtype=bool)
@@ -75,19 +77,25 @@ def mmr_select(pool: DataFrame, p: SearchParams = SearchParams(), keys: tuple[st
                 free[best] = False
                 nearest = np.maximum(nearest, units @ units[best])
                 same_url += urls == urls[best]
-        picked = with_vector.iloc[chosen].assign(cosine=cosines[chosen])
-        filler = rest.head(top_k - len(picked)).assign(cosine=np.nan)
-        out = pd.concat([f for f in (picked, filler) if len(f)]) if len(picked) + len(filler) else picked
-        out = out.assign(mmr_rank=np.arange(1, len(out) + 1, dtype=np.int32))
-        for rank in ("dense_rank", "lexical_rank"):
-            out[rank] = out[rank].astype("Int32")
-        out["cosine"] = out["cosine"].astype("Float64").where(out["embedding"].notna(), pd.NA)
-        return out[[f.name for f in schema.fields]]
+        filler = rest.slice(0, top_k - len(chosen))
+        out = pa.concat_tables([inner.take(pa.array(chosen, pa.int64())), filler])
+        made = {
+            "mmr_rank": pa.array(range(1, len(out) + 1), pa.int32()),
+            "cosine": pa.array([*cosines[chosen], *[None] * len(filler)], pa.float64()),
+        }
+        names = [f.name for f in schema.fields]
+        return pa.table([made[n] if n in made else out[n] for n in names], names=names)
 
     needed = [
         *group, "qvec", "top_k", "position", "chunk_idx", "source_url", "rrf",
         "dense_rank", "lexical_rank", "embedding",
         *(c for c, used in (("relevance", ordinal), ("mmr_lambda", own_lambda)) if used and c not in group),
     ]
-    typed = pool.withColumn("rrf", F.col("rrf").cast("double")).select(*needed)
-    return typed.groupBy(*group).applyInPandas(pick, schema)
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        pool.withColumn("rrf", F.col("rrf").cast("double"))
+        .select(*needed)
+        .repartition(tasks, *group)
+        .groupBy(*group)
+        .applyInArrow(pick, schema)
+    )

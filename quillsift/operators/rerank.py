@@ -16,33 +16,39 @@ from quillsift.functions.text import sanitize_chunk, terms, truncate_utf8
 Reranker = Callable[[DataFrame], DataFrame]
 
 
+def clean_parts(chunks: DataFrame) -> DataFrame:
+    """Sanitized heading and text of chunks, each within the byte limit."""
+    limit = params.RERANK_MAX_BYTES
+    return chunks.select(
+        "chunk_idx",
+        truncate_utf8(sanitize_chunk(F.col("heading_path")), limit).alias("heading_part"),
+        truncate_utf8(sanitize_chunk(F.col("text")), limit).alias("text_part"),
+    )
+
+
 def rerank_documents(pool: DataFrame) -> DataFrame:
     """Document text to rerank, for the queries whose whole pool qualifies.
 
-    A pool of more than 40 candidates, with a repeated chunk, or with a candidate
-    that sanitizes to nothing yields no documents at all.
+    ``pool`` rows carry the ``clean_parts`` of their chunk. A pool of more than
+    40 candidates, with a repeated chunk, or with a candidate that sanitizes to
+    nothing yields no documents at all.
     """
-    limit = params.RERANK_MAX_BYTES
-    heading = truncate_utf8(sanitize_chunk(F.col("heading_path")), limit)
-    text = truncate_utf8(sanitize_chunk(F.col("text")), limit)
-    built = pool.withColumn("_h", heading).withColumn("_t", text)
+    heading, text = F.col("heading_part"), F.col("text_part")
     per_query = Window.partitionBy("qid")
     return (
-        built.withColumn("_n", F.count("*").over(per_query))
+        pool.withColumn("_n", F.count("*").over(per_query))
         .withColumn("_distinct", F.size(F.collect_set("chunk_idx").over(per_query)))
-        .withColumn(
-            "_empty",
-            F.max(((F.col("_h") == "") & (F.col("_t") == "")).cast("int")).over(per_query),
-        )
+        .withColumn("_empty", F.max(((heading == "") & (text == "")).cast("int")).over(per_query))
         .where(
             (F.col("_n") <= params.RERANK_MAX_DOCUMENTS)
             & (F.col("_n") == F.col("_distinct"))
             & (F.col("_empty") == 0)
         )
         .withColumn(
-            "document", truncate_utf8(F.concat(F.col("_h"), F.lit("\n\n"), F.col("_t")), limit)
+            "document",
+            truncate_utf8(F.concat(heading, F.lit("\n\n"), text), params.RERANK_MAX_BYTES),
         )
-        .drop("_h", "_t", "_n", "_distinct", "_empty")
+        .drop("_n", "_distinct", "_empty", "heading_part", "text_part")
     )
 
 

@@ -16,7 +16,7 @@ from quillsift.operators.batch import QueryBatch
 from quillsift.operators.dense import dense_topk
 from quillsift.operators.lexical import bm25_topk
 from quillsift.params import SearchParams
-from quillsift.session import checkpointed
+from quillsift.session import checkpointed, spread
 
 
 def pool_size(top_k: Column | int, p: SearchParams) -> Column:
@@ -99,11 +99,12 @@ def with_rerank(
 
 def documents_of(batch: QueryBatch, pool: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rerank documents of a pool: ``(qid, query, chunk_idx, position, document)``."""
-    texts = chunks.select("chunk_idx", "heading_path", "text").join(
-        batch.sized(pool.select("qid", "chunk_idx", F.col("fused_rank").alias("position"))),
-        "chunk_idx",
+    placed = pool.select("qid", "chunk_idx", F.col("fused_rank").alias("position"))
+    wanted = chunks.select("chunk_idx", "heading_path", "text").join(
+        batch.sized(placed.select("chunk_idx").distinct()), "chunk_idx", "left_semi"
     )
-    return rerank.rerank_documents(texts).join(
+    parts = rerank.clean_parts(spread(wanted, "chunk_idx"))
+    return rerank.rerank_documents(parts.join(batch.sized(placed), "chunk_idx")).join(
         batch.sized(batch.df.select("qid", "query")), "qid"
     ).select("qid", "query", "chunk_idx", "position", "document")
 

@@ -56,11 +56,13 @@ def tokens_sql(text: str) -> str:
 
 
 def utf8_cut_sql(text: str, limit: int) -> str:
-    """Longest prefix within ``limit`` bytes: the largest character count that fits."""
+    """Longest prefix within ``limit`` bytes, a cut character dropped by its bytes."""
+    head = f"substring(x, 1, {2 * limit})"
+    inside = f"regexp_matches(substring(x, {2 * limit + 1}, 1), '[89AB]')"
+    cut = f"decode(unhex(CASE WHEN {inside} THEN regexp_replace({head}, '[C-F][0-9A-F](?:[89AB][0-9A-F])*$', '') ELSE {head} END))"
     return (
-        f"list_extract(list_transform([{text}], lambda s: CASE WHEN octet_length(encode(s)) <= {limit} THEN s ELSE "
-        f"substring(s, 1, (len(list_filter(range(1, {limit} + 1), lambda n: "
-        f"octet_length(encode(substring(s, 1, n))) <= {limit})))::INT) END), 1)"
+        f"list_extract(list_transform([hex(encode({text}))], lambda x: "
+        f"CASE WHEN length(x) <= {2 * limit} THEN decode(unhex(x)) ELSE {cut} END), 1)"
     )
 
 

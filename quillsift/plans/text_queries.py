@@ -11,6 +11,7 @@ from quillsift.operators import chunking, license_audit
 from quillsift.plans import bindings as b
 from quillsift.plans import search as s
 from quillsift.params import TOP_K_DEFAULT
+from quillsift.session import spread
 
 # What the provided pages and documents lack, added to every row by its id.
 INJECTIONS = (
@@ -147,7 +148,7 @@ def prep_docs(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" use `{x}` and {y}\n```js\nimport {a} from 'b'\n"), "text",
         F.lit("\n```ts\n{kept}\n```\n<script setup>\nconst {z} = '```'\n</script>\nend {w} <b>bold</b>\n"),
     )
-    return b.table(spark, folder, "documents").select(
+    return spread(b.table(spark, folder, "documents"), "doc_id").select(
         "doc_id", t.strip_markup_keeping_code(raw).alias("text")
     )
 
@@ -292,9 +293,8 @@ def chunk_code(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    order = ["doc_key", "block_no", "part_no"]
     chunks = chunking.chunk_markdown(mixed_markdown(spark, folder))
-    return _chunks_out(chunking.with_global_index(chunks, order))
+    return _chunks_out(chunking.with_global_index(chunks, "doc_key", ["block_no", "part_no"]))
 
 
 QUERIES = {

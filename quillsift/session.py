@@ -28,6 +28,19 @@ def build_session(app: str = "quillsift", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on a table that is stored in fewer splits than there are cores.
+
+    A large table has more splits than cores and is returned as it is, without
+    an exchange; a small one is hashed by ``keys`` so that costly expressions on
+    its rows do not run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster."""
     spark = df.sparkSession

@@ -86,7 +86,7 @@ def test_global_index_is_dense_and_ordered(spark):
     rows = spark.range(0, 1000).select(
         F.format_string("p%03d", F.col("id") % 37).alias("path"), (F.col("id") * 7919 % 1000).alias("at")
     )
-    got = chunking.with_global_index(rows, ["path", "at"]).collect()
+    got = chunking.with_global_index(rows, "path", ["at"]).collect()
     expected = sorted((r.path, r["at"]) for r in got)
     assert [expected[r.chunk_idx] for r in got] == [(r.path, r["at"]) for r in got]
     assert sorted(r.chunk_idx for r in got) == list(range(1000))
