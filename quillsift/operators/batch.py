@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillsift.functions.text import terms
-from quillsift.functions.validate import resolve_max_tokens, resolve_top_k
+from quillsift.functions.validate import query_ok, resolve_max_tokens, resolve_top_k
 
 # A batch over either bound takes the shuffle paths instead of broadcasts.
 MAX_BROADCAST_QUERIES = 4096
@@ -37,33 +37,29 @@ class QueryBatch:
         max_queries: int = MAX_BROADCAST_QUERIES,
         max_bytes: int = MAX_BROADCAST_BYTES,
     ) -> QueryBatch:
+        """Check the queries and fetch them only when they are few and short.
+
+        Invalid queries (empty or over the length limit) are left out, so one
+        more row than the bound is itself of bounded size.
+        """
         have = set(queries.columns)
         top_k = F.col("top_k") if "top_k" in have else F.lit(None).cast("int")
         budget = F.col("max_tokens") if "max_tokens" in have else F.lit(None).cast("int")
-        df = queries.select(
+        df = queries.where(query_ok(F.col("query"))).select(
             "qid",
             "query",
             F.col("qvec").cast("array<double>").alias("qvec"),
             resolve_top_k(top_k).cast("int").alias("top_k"),
             resolve_max_tokens(budget).cast("int").alias("max_tokens"),
         )
-        size = (
-            df.limit(max_queries + 1)
-            .agg(
-                F.count("*").alias("n"),
-                F.coalesce(
-                    F.sum(F.octet_length("query") + 8 * F.size("qvec")), F.lit(0)
-                ).alias("bytes"),
-            )
-            .first()
-        )
-        small = size["n"] <= max_queries and size["bytes"] <= max_bytes
-        rows = (
-            tuple(df.withColumn("terms", F.array_distinct(terms(F.col("query")))).collect())
-            if small
-            else None
+        fetched = (
+            df.withColumn("terms", F.array_distinct(terms(F.col("query"))))
+            .limit(max_queries + 1)
+            .collect()
         )
-        return cls(df, rows)
+        size = sum(len(r["query"].encode()) + 8 * len(r["qvec"]) for r in fetched)
+        small = len(fetched) <= max_queries and size <= max_bytes
+        return cls(df, tuple(fetched) if small else None)
 
     @property
     def small(self) -> bool:

@@ -12,6 +12,7 @@ from quillsift import params
 from quillsift.operators import metrics
 from quillsift.plans import bindings as b
 from quillsift.plans import search as s
+from quillsift.session import checkpointed
 
 FORMS = ("short", "natural_language", "verbose", "keyword_heavy")
 
@@ -65,18 +66,18 @@ class Evaluation:
     hits: DataFrame
     metrics: DataFrame
     result: s.SearchResult
-    cosines: DataFrame
 
 
 def evaluate(spark: SparkSession, folder: str) -> Evaluation:
     """All five stages of every query as one table of hits.
 
-    The two channels are recovered from the pool's ranks wherever a channel hit
-    made the pool; hits beyond it come from the channels themselves.
+    The channels feed both the search and their own stages, and the hits feed
+    several joins; each is a fixed number of rows per query and cut from its
+    lineage once.
     """
     batch, chunks, vectors = b.batch(spark, folder), b.chunks(spark, folder), b.vectors(spark, folder)
-    result = s.search(batch, chunks, vectors)
-    dense, lexical = s.channels(batch, chunks, vectors)
+    dense, lexical = (checkpointed(c) for c in s.channels(batch, chunks, vectors))
+    result = s.search(batch, chunks, vectors, ranked=(dense, lexical))
     stages = {
         "dense_at_40": dense.select("qid", "chunk_idx", F.col("dense_rank").alias("rank")),
         "fts_at_40": lexical.select("qid", "chunk_idx", F.col("lexical_rank").alias("rank")),
@@ -91,14 +92,15 @@ def evaluate(spark: SparkSession, folder: str) -> Evaluation:
             for name, frame in stages.items()
         ],
     )
-    hits = chunks.select("chunk_idx", "source_url", "heading_path").join(
-        batch.sized(ranked), "chunk_idx"
+    hits = checkpointed(
+        chunks.select("chunk_idx", "source_url", "heading_path").join(
+            batch.sized(ranked), "chunk_idx"
+        )
     )
     wanted = targets(spark, folder)
     labelled = labelled_queries(spark, folder)
     scores = metrics.ranking_metrics(labelled, hits, wanted)
-    ready = s.attach(batch, result.pool, chunks, vectors)
-    return Evaluation(labelled, wanted, hits, scores, result, s.pool_cosines(ready))
+    return Evaluation(labelled, wanted, hits, scores, result)
 
 
 def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:

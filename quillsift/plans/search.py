@@ -51,10 +51,17 @@ def channels(
 
 
 def hybrid_pool(
-    batch: QueryBatch, chunks: DataFrame, vectors: DataFrame, p: SearchParams = SearchParams()
+    batch: QueryBatch,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    p: SearchParams = SearchParams(),
+    ranked: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Fused candidates: ``(qid, chunk_idx, dense_rank, lexical_rank, rrf, fused_rank)``."""
-    dense, lexical = channels(batch, chunks, vectors, p)
+    """Fused candidates: ``(qid, chunk_idx, dense_rank, lexical_rank, rrf, fused_rank)``.
+
+    ``ranked`` passes channels that were computed before.
+    """
+    dense, lexical = ranked or channels(batch, chunks, vectors, p)
     ranked = fusion.rank_fused(fusion.fuse(dense, lexical, p.rrf_k))
     limits = batch.df.select("qid", pool_size(F.col("top_k"), p).alias("_depth"))
     return (
@@ -100,10 +107,9 @@ def with_rerank(
 def documents_of(batch: QueryBatch, pool: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rerank documents of a pool: ``(qid, query, chunk_idx, position, document)``."""
     placed = pool.select("qid", "chunk_idx", F.col("fused_rank").alias("position"))
-    wanted = chunks.select("chunk_idx", "heading_path", "text").join(
-        batch.sized(placed.select("chunk_idx").distinct()), "chunk_idx", "left_semi"
-    )
-    parts = rerank.clean_parts(spread(wanted, "chunk_idx"))
+    stored = spread(chunks.select("chunk_idx", "heading_path", "text"), "chunk_idx")
+    wanted = stored.join(batch.sized(placed.select("chunk_idx")), "chunk_idx", "left_semi")
+    parts = rerank.clean_parts(wanted)
     return rerank.rerank_documents(parts.join(batch.sized(placed), "chunk_idx")).join(
         batch.sized(batch.df.select("qid", "query")), "qid"
     ).select("qid", "query", "chunk_idx", "position", "document")
@@ -126,6 +132,7 @@ def search(
     p: SearchParams = SearchParams(),
     reranker: rerank.Reranker | None = None,
     count_tokens: Callable[[Column], Column] = estimate_tokens,
+    ranked: tuple[DataFrame, DataFrame] | None = None,
 ) -> SearchResult:
     """Answer every query of the batch.
 
@@ -134,7 +141,7 @@ def search(
     small (a fixed number of rows per query) and each feeds several joins, so
     both cut their lineage.
     """
-    pool = checkpointed(hybrid_pool(batch, chunks, vectors, p))
+    pool = checkpointed(hybrid_pool(batch, chunks, vectors, p, ranked))
     ready = attach(batch, pool, chunks, vectors)
     picked = (
         with_rerank(batch, pool, ready, chunks, reranker, p)

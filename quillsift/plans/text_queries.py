@@ -93,7 +93,7 @@ def content_sha256(spark: SparkSession, folder: str) -> DataFrame:
 
 def sanitize_chunk(spark: SparkSession, folder: str) -> DataFrame:
     dirty = F.concat("html", F.lit(" "), pick(INJECTIONS, F.col("page_id")))
-    return b.table(spark, folder, "pages").select(
+    return spread(b.table(spark, folder, "pages"), "page_id").select(
         "page_id", t.sanitize_chunk(dirty).alias("text")
     )
 
@@ -109,14 +109,14 @@ def sanitize_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 def heading_normalize(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.concat(F.lit(" # "), "source", F.lit(" > > ## "), "lang", F.lit(">### "), "text")
-    return b.table(spark, folder, "documents").select(
+    return spread(b.table(spark, folder, "documents"), "doc_id").select(
         "doc_id", t.normalize_heading_path(raw).alias("heading_path")
     )
 
 
 def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(
-        b.table(spark, folder, "documents").select(
+        spread(b.table(spark, folder, "documents"), "doc_id").select(
             "doc_id",
             t.word_count(F.col("text")).alias("words"),
             t.estimate_tokens(F.col("text")).alias("tokens"),
@@ -125,7 +125,7 @@ def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strip_markup(spark: SparkSession, folder: str) -> DataFrame:
-    return b.table(spark, folder, "pages").select(
+    return spread(b.table(spark, folder, "pages"), "page_id").select(
         "page_id", t.strip_markup(F.concat("html", F.lit(MARKUP_TAIL))).alias("text")
     )
 
@@ -134,7 +134,7 @@ def prep_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that keep three lines once markup is gone, blank runs collapsed."""
     raw = F.concat("text", F.lit("\n\n\n\n{aside}\n<Card/>\n \nend"))
     return (
-        b.table(spark, folder, "documents")
+        spread(b.table(spark, folder, "documents"), "doc_id")
         .select("doc_id", t.strip_markup(raw).alias("text"))
         .where(t.has_enough_lines(F.col("text")))
         .select("doc_id", t.collapse_blank_lines(F.col("text")).alias("text"))

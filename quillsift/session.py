@@ -29,14 +29,17 @@ def build_session(app: str = "quillsift", master: str | None = None, **extra: st
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on a table that is stored in fewer splits than there are cores.
+    """Use every core on a table too small to give each core a full scan split.
 
-    A large table has more splits than cores and is returned as it is, without
-    an exchange; a small one is hashed by ``keys`` so that costly expressions on
-    its rows do not run in one task.
+    A larger table is returned as it is, without an exchange; a small one is
+    hashed by ``keys`` so that costly expressions on its rows do not all run in
+    one task. The size is the optimizer's estimate, so nothing is executed here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * split:
         return df
     return df.repartition(cores, *keys)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillsift import params
 from quillsift.functions.text import sanitize_chunk, sanitize_metadata, strip_edges
 from quillsift.functions.validate import is_newer, package_url_ok, sha256_ok
+from quillsift.session import spread
 
 MANIFEST_SCHEMA = (
     "docset string, doc_version string, schema_version bigint, "
@@ -207,12 +208,12 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
     count, so no docset has to be walked in order.
     """
     expected = manifests.select("docset", "chunk_count")
-    spread = (
+    indexed = (
         chunks.groupBy("docset", "chunk_idx").agg(F.count("*").alias("n"))
         .join(expected, "docset")
     )
-    repeated = spread.where("n > 1").select("docset", F.lit("repeated_idx").alias("violation"), "chunk_idx")
-    outside = spread.where((F.col("chunk_idx") < 0) | (F.col("chunk_idx") >= F.col("chunk_count"))).select(
+    repeated = indexed.where("n > 1").select("docset", F.lit("repeated_idx").alias("violation"), "chunk_idx")
+    outside = indexed.where((F.col("chunk_idx") < 0) | (F.col("chunk_idx") >= F.col("chunk_count"))).select(
         "docset", F.lit("idx_out_of_range").alias("violation"), "chunk_idx"
     )
     rows = F.posexplode(
@@ -223,7 +224,7 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
             }
         )
     )
-    content = chunks.select("docset", "chunk_idx", rows.alias("_n", "violation")).select(
+    content = spread(chunks, "chunk_idx").select("docset", "chunk_idx", rows.alias("_n", "violation")).select(
         "docset", "violation", "chunk_idx"
     )
     counted = (
