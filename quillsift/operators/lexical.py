@@ -53,17 +53,39 @@ def bm25_topk(
     chunks: DataFrame,
     k: int,
     p: SearchParams = SearchParams(),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The k best chunks of every query: ``(qid, chunk_idx, score, lexical_rank)``.
 
     A chunk is a candidate only when it shares a term with the query; each
-    distinct query term counts once.
+    distinct query term counts once. Without an ``index`` a small batch scans the
+    text and a large one builds postings; a stored ``index`` (see ``postings``)
+    is read instead of the text.
     """
-    stored = spread(chunks.select(F.col("chunk_idx").cast("long"), "text"), "chunk_idx")
-    scored = _scan(batch, stored, k, p) if batch.small else _join(batch, stored, p)
+    if index is not None:
+        scored = _join(batch, index, _index_totals(chunks, index), p)
+    else:
+        stored = spread(chunks.select(F.col("chunk_idx").cast("long"), "text"), "chunk_idx")
+        if batch.small:
+            scored = _scan(batch, stored, k, p)
+        else:
+            scored = _join(batch, postings(stored), _text_totals(stored), p)
     return rank_scores(scored, k, "lexical_rank")
 
 
+def _text_totals(chunks: DataFrame) -> tuple[int, int]:
+    row = chunks.agg(
+        F.count("*").alias("n"), F.sum(F.size(terms(F.col("text")))).alias("total")
+    ).first()
+    return row["n"], row["total"] or 0
+
+
+def _index_totals(chunks: DataFrame, index: DataFrame) -> tuple[int, int]:
+    """Chunk count from the table, total length from the postings; no text is read."""
+    total = index.agg(F.sum("tf").alias("total")).first()["total"]
+    return chunks.count(), total or 0
+
+
 def _score_schema(batch: QueryBatch) -> StructType:
     return StructType(
         [
@@ -160,20 +182,18 @@ def _scan(batch: QueryBatch, chunks: DataFrame, k: int, p: SearchParams) -> Data
     return tokens.mapInArrow(score, _score_schema(batch))
 
 
-def _join(batch: QueryBatch, chunks: DataFrame, p: SearchParams) -> DataFrame:
+def _join(
+    batch: QueryBatch, index: DataFrame, totals: tuple[int, int], p: SearchParams
+) -> DataFrame:
     """Postings joined with query terms on (term, salt).
 
     A common term is in a large share of all chunks; its postings spread over
     the salts while the far smaller query side repeats once per salt. Scores
     combine before the shuffle by (qid, chunk).
     """
-    size = chunks.agg(
-        F.count("*").alias("n"), F.sum(F.size(terms(F.col("text")))).alias("total")
-    ).first()
-    n_chunks = size["n"]
-    mean_length = (size["total"] or 0) / n_chunks if n_chunks else 1.0
+    n_chunks, total = totals
+    mean_length = total / n_chunks if n_chunks else 1.0
     salts = min(MAX_SALTS, max(1, math.ceil(n_chunks / CHUNKS_PER_SALT)))
-    index = postings(chunks)
     asked = batch.df.select(
         "qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")
     )

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillsift import params
 from quillsift.functions.text import normalize_heading_path
+from quillsift.session import broadcast_if_small, checkpointed
 
 MEASURES = ("recall", "mrr", "ndcg", "precision")
 NEGATIVE_CLASSES = ("near_domain_negative", "cross_domain_negative")
@@ -333,13 +334,14 @@ def latency_summary(samples: DataFrame, group: str, value: str, buckets: int = 4
     samples of a group.
     """
     data = samples.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null")
-    spread = data.groupBy("g").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    spread = checkpointed(
+        data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     slot = F.coalesce(
         F.floor(F.try_divide((F.col("v") - F.col("lo")) * buckets, F.col("hi") - F.col("lo"))), F.lit(0)
     )
-    placed = data.join(spread.select("g", "lo", "hi"), "g").select("g", "v", slot.alias("slot"))
+    bounds = broadcast_if_small(spread.select("g", "lo", "hi"))
+    placed = data.join(bounds, "g").select("g", "v", slot.alias("slot"))
     filled = placed.groupBy("g", "slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     filled = filled.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -354,11 +356,12 @@ def latency_summary(samples: DataFrame, group: str, value: str, buckets: int = 4
             )
         ).alias("w"),
     ).select("g", "w.what", "w.r")
-    located = wanted.join(filled, "g").where(
+    located = checkpointed(wanted.join(filled, "g").where(
         (F.col("r") > F.col("before")) & (F.col("r") <= F.col("before") + F.col("n"))
-    ).select("g", "slot", "what", (F.col("r") - F.col("before")).alias("r"))
+    ).select("g", "slot", "what", (F.col("r") - F.col("before")).alias("r")))
+    slots = broadcast_if_small(located.select("g", "slot"))
     values = (
-        placed.join(located.select("g", "slot").distinct(), ["g", "slot"], "left_semi")
+        placed.join(slots, ["g", "slot"], "left_semi")
         .groupBy("g", "slot", "v")
         .agg(F.count("*").alias("m"))
     )

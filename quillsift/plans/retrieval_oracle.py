@@ -225,10 +225,11 @@ ORACLES = {
     ),
     "neighbor_window": f"WITH {SELECTED}, {window_ctes('sel', 'win')} SELECT qid, pos, chunk_idx, round(score, 6) AS score FROM win",
     "token_budget": f"""
-WITH t AS (SELECT conv_id AS qid, turn AS pos, {tokens_sql('text')} AS tokens, 100 + conv_id % 7 * 50 AS max_tokens FROM conversations),
+WITH {SELECTED}, {window_ctes('sel', 'win')},
+t AS (SELECT qid, pos, chunk_idx, {tokens_sql('text')} AS tokens, 500 + qid % 7 * 300 AS max_tokens FROM win JOIN chunks USING (chunk_idx)),
 r AS (SELECT *, (sum(tokens) OVER (PARTITION BY qid ORDER BY pos))::BIGINT AS cum_tokens, sum(tokens) OVER (PARTITION BY qid) AS total,
       row_number() OVER (PARTITION BY qid ORDER BY pos) AS rn FROM t)
-SELECT qid, pos, tokens, max_tokens, cum_tokens, total > max_tokens AS truncated FROM r WHERE rn = 1 OR cum_tokens <= max_tokens""",
+SELECT qid, pos, chunk_idx, tokens, max_tokens, cum_tokens, total > max_tokens AS truncated FROM r WHERE rn = 1 OR cum_tokens <= max_tokens""",
     "search": f"WITH {SEARCH} SELECT qid, pos, chunk_idx, round(score, 6) AS score, answer_state, tokens, cum::BIGINT AS cum_tokens, total > 4000 AS truncated FROM result",
     "search_response": (
         f"WITH {SEARCH} SELECT qid, pos, chunk_idx, {sanitize_metadata_sql('heading_path')} AS heading_path, "

@@ -126,14 +126,17 @@ def neighbor_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Budget packing of every conversation: turns in order, budget from its id."""
-    turns = b.table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("qid"),
-        F.col("turn").alias("pos"),
+    """Budget packing of every query's neighbor window, under small budgets."""
+    batch, chunks, _, ready = _ready(spark, folder)
+    window = answer.neighbor_window(mmr.mmr_select(ready), chunks.count())
+    fetched = chunks.join(batch.sized(window), "chunk_idx").select(
+        "qid",
+        "pos",
+        "chunk_idx",
         estimate_tokens(F.col("text")).alias("tokens"),
-        (F.lit(100) + F.col("conv_id") % 7 * 50).alias("max_tokens"),
+        (F.lit(500) + F.col("qid") % 7 * 300).alias("max_tokens"),
     )
-    return b.as_output(answer.pack_to_budget(turns))
+    return b.as_output(answer.pack_to_budget(fetched))
 
 
 def search(spark: SparkSession, folder: str) -> DataFrame:

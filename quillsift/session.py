@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,6 +45,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark a table for broadcast after counting that it is small.
+
+    Meant for narrow lookup tables of one row per group. A larger one is returned
+    unmarked and joins through a shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster."""
     spark = df.sparkSession

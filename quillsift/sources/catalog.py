@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillsift import params
 from quillsift.functions.text import sanitize_chunk, sanitize_metadata, strip_edges
 from quillsift.functions.validate import is_newer, package_url_ok, sha256_ok
-from quillsift.session import spread
+from quillsift.session import broadcast_if_small, spread
 
 MANIFEST_SCHEMA = (
     "docset string, doc_version string, schema_version bigint, "
@@ -207,7 +207,7 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
     and their number is the manifest's ``chunk_count``; each of these is a grouped
     count, so no docset has to be walked in order.
     """
-    expected = manifests.select("docset", "chunk_count")
+    expected = broadcast_if_small(manifests.select("docset", "chunk_count"))
     indexed = (
         chunks.groupBy("docset", "chunk_idx").agg(F.count("*").alias("n"))
         .join(expected, "docset")

@@ -27,11 +27,16 @@ AUDIT_EXCLUDED_DIRS = (
 )
 
 
-def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Files under a folder: ``(path, rel, length, content)``, ``rel`` below it."""
+def list_files(
+    spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True
+) -> DataFrame:
+    """Files under a folder: ``(path, rel, length, content)``, ``rel`` below it.
+
+    Content is read only for queries that use it.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
+        .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", glob)
         .load(folder)
     )
@@ -77,8 +82,7 @@ def license_text(spark: SparkSession, folder: str) -> DataFrame:
     """The license text in the folder's root, ``license`` before ``copying``; at most one row."""
     stem = F.regexp_replace(F.regexp_replace(F.lower("rel"), r"(\.md)+$", ""), r"(\.txt)+$", "")
     return (
-        list_files(spark, folder)
-        .where(~F.col("rel").contains("/"))
+        list_files(spark, folder, "[LlCc][IiOo]*", recursive=False)
         .withColumn("rank", F.when(stem == "license", 1).when(stem == "copying", 2))
         .where("rank is not null")
         .select("rank", "rel", F.col("content").cast("string").alias("text"))

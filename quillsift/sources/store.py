@@ -21,6 +21,7 @@ from quillsift.functions.text import normalize_heading_path, replace_heading_lin
 from quillsift.functions.validate import canonical_source_url
 from quillsift.functions.vectors import Embedder
 from quillsift.operators.chunking import chunk_markdown, with_global_index
+from quillsift.operators.lexical import postings
 from quillsift.params import ChunkBudget
 from quillsift.sources.catalog import (
     chunk_contract_violations,
@@ -162,17 +163,13 @@ class DocsetStore:
         return self.chunks(docset).where(F.col("chunk_idx").isin(*ids)).orderBy("chunk_idx")
 
     def row_counts(self) -> DataFrame:
-        """``(docset, n_rows)`` of every live docset, from one scan of the footers."""
-        frames = [
-            self.chunks(d).select(F.lit(d).alias("docset")).groupBy("docset").agg(F.count("*").alias("n_rows"))
-            for d in self.docsets()
-        ]
-        if not frames:
+        """``(docset, n_rows)`` of every live docset, from one scan of all tables."""
+        folders = [f"{self._version(d)}/chunks" for d in self.docsets()]
+        if not folders:
             return self.spark.createDataFrame([], "docset string, n_rows bigint")
-        out = frames[0]
-        for more in frames[1:]:
-            out = out.unionByName(more)
-        return out
+        docset = F.regexp_extract("_metadata.file_path", r"([^/]+)/v[0-9]+/chunks/[^/]+$", 1)
+        tables = self.spark.read.schema(schemas.CHUNKS).parquet(*folders)
+        return tables.groupBy(docset.alias("docset")).agg(F.count("*").alias("n_rows"))
 
     def manifests(self) -> DataFrame:
         rows = [
@@ -222,6 +219,24 @@ class DocsetStore:
         self._files.write(f"{folder}/CURRENT", version)
         return target
 
+    def write_index(self, docset: str, files: int = 64) -> None:
+        """Store the live version's postings, clustered by term.
+
+        Common terms are spread over several files; within a file rows are sorted
+        by term, so a lookup of few terms skips most row groups.
+        """
+        spots = F.pmod(F.xxhash64("chunk_idx"), F.lit(8))
+        (
+            postings(self.chunks(docset).select("chunk_idx", "text"))
+            .repartition(files, "term", spots)
+            .sortWithinPartitions("term", "chunk_idx")
+            .write.mode("overwrite")
+            .parquet(f"{self._version(docset)}/postings")
+        )
+
+    def index(self, docset: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._version(docset)}/postings")
+
     def append(self, docset: str, chunks: DataFrame) -> None:
         """Add rows to the live table; wrong dimensions fail the write."""
         dim = self.manifest(docset)["embedder"]["vector_dim"]

@@ -94,6 +94,8 @@ def test_bm25_paths_agree_with_brute_force(spark, corpus):
             )
             for n in (100, 3)
         ]
+        stored = lexical.bm25_topk(QueryBatch.measure(queries), chunks, 15, index=lexical.postings(chunks))
+        results.append(by_query(stored.orderBy("qid", "lexical_rank").collect(), "chunk_idx", "score"))
     finally:
         lexical.CHUNKS_PER_SALT = keep
     docs = [words(t) for t in texts]
