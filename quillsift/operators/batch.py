@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from quillsift.functions.text import terms
 from quillsift.functions.validate import query_ok, resolve_max_tokens, resolve_top_k
@@ -24,7 +24,8 @@ class QueryBatch:
     """Queries ``(qid, query, qvec[, top_k, max_tokens])`` plus their measured size.
 
     ``rows`` holds the queries on the driver only when their number and bytes are
-    within the bounds; it is None for a batch that must stay distributed.
+    within the bounds, and ``df`` then reads from them; it is None for a batch that
+    must stay distributed.
     """
 
     df: DataFrame
@@ -59,7 +60,12 @@ class QueryBatch:
         )
         size = sum(len(r["query"].encode()) + 8 * len(r["qvec"]) for r in fetched)
         small = len(fetched) <= max_queries and size <= max_bytes
-        return cls(df, tuple(fetched) if small else None)
+        if not small:
+            return cls(df, None)
+        arrow = to_arrow_schema(df.schema)
+        columns = [pa.array([r[f.name] for r in fetched], f.type) for f in arrow]
+        local = df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+        return cls(local, tuple(fetched))
 
     @property
     def small(self) -> bool:

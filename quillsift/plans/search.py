@@ -16,6 +16,7 @@ from quillsift.operators.batch import QueryBatch
 from quillsift.operators.dense import dense_topk
 from quillsift.operators.lexical import bm25_topk
 from quillsift.params import SearchParams
+from quillsift.schemas import span_of
 from quillsift.session import checkpointed, spread
 
 
@@ -71,15 +72,30 @@ def hybrid_pool(
     )
 
 
+def near(batch: QueryBatch, table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Only the partitions of a stored table that the wanted chunks lie in.
+
+    A stored table is partitioned by spans of the chunk index. A small batch
+    wants a bounded number of chunks, so their spans become a partition filter
+    and the rest of the corpus is not read.
+    """
+    if "span" not in table.columns or not batch.small:
+        return table
+    spans = wanted.select(span_of(F.col("chunk_idx")).alias("span")).distinct().collect()
+    return table.where(F.col("span").isin([r["span"] for r in spans]))
+
+
 def attach(batch: QueryBatch, pool: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add page, vector and query columns to the pool, ready for selection.
 
     The pool has a bounded number of rows per query, so for a small batch it is
     the broadcast side and the chunk tables are only scanned.
     """
-    pages = chunks.select("chunk_idx", "source_url").join(batch.sized(pool), "chunk_idx")
+    pages = near(batch, chunks, pool).select("chunk_idx", "source_url").join(
+        batch.sized(pool), "chunk_idx"
+    )
     keys = batch.sized(pool.select("qid", "chunk_idx"))
-    stored = vectors.select("chunk_idx", "embedding").join(keys, "chunk_idx")
+    stored = near(batch, vectors, pool).select("chunk_idx", "embedding").join(keys, "chunk_idx")
     asked = batch.df.select("qid", "qvec", "top_k")
     return (
         pages.join(stored, ["qid", "chunk_idx"], "left")
@@ -107,7 +123,9 @@ def with_rerank(
 def documents_of(batch: QueryBatch, pool: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rerank documents of a pool: ``(qid, query, chunk_idx, position, document)``."""
     placed = pool.select("qid", "chunk_idx", F.col("fused_rank").alias("position"))
-    stored = spread(chunks.select("chunk_idx", "heading_path", "text"), "chunk_idx")
+    stored = spread(
+        near(batch, chunks, pool).select("chunk_idx", "heading_path", "text"), "chunk_idx"
+    )
     wanted = stored.join(batch.sized(placed.select("chunk_idx")), "chunk_idx", "left_semi")
     parts = rerank.clean_parts(wanted)
     return rerank.rerank_documents(parts.join(batch.sized(placed), "chunk_idx")).join(
@@ -158,7 +176,9 @@ def search(
         batch.df.select("qid", "max_tokens"), "qid"
     )
     fetched = (
-        chunks.join(batch.sized(window), "chunk_idx")
+        near(batch, chunks, window)
+        .drop("span")
+        .join(batch.sized(window), "chunk_idx")
         .withColumn("tokens", count_tokens(F.col("text")))
         .join(batch.sized(labels), "qid")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -25,6 +25,14 @@ CHUNKS = StructType(
         StructField("embedding", ArrayType(FloatType()), False),
     ]
 )
+# Chunks per partition of a stored table.
+SPAN = 1_000_000
+
+
+def span_of(chunk_idx: Column) -> Column:
+    return F.floor(chunk_idx / SPAN)
+
+
 # Rows of a shared bundle: no vectors.
 BUNDLE = "idx bigint, heading_path string, source_url string, api_version string, chunk_type string, text string"
 INDEX = (

@@ -234,3 +234,35 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
         .select("docset", F.lit("chunk_count").alias("violation"), F.lit(None).cast("long").alias("chunk_idx"))
     )
     return repeated.unionByName(outside).unionByName(content).unionByName(counted)
+
+
+def worst_severity(checks: DataFrame) -> DataFrame:
+    """Overall status of a table of check results: fail over warn over ok."""
+    order = F.when(F.col("severity") == "fail", 2).when(F.col("severity") == "warn", 1).otherwise(0)
+    worst = F.coalesce(F.max(order), F.lit(0))
+    return checks.agg(
+        F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("ok").alias("status")
+    )
+
+
+def corpus_identity(manifests: DataFrame, parameters: dict[str, float | int | str], commit: str) -> DataFrame:
+    """What an evaluation ran on: one row per docset, with code, parameters and digests.
+
+    A docset whose manifest cannot be read or names no version is an error.
+    """
+    m = F.col("m")
+    version = F.when(strip_edges(m["doc_version"]) != "", m["doc_version"])
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in sorted(parameters.items())])
+    return parse_manifests(manifests).select(
+        "docset",
+        F.lit(commit).alias("code_commit"),
+        settings.alias("parameters"),
+        F.sha2("manifest", 256).alias("manifest_sha256"),
+        F.when(version.isNotNull(), version)
+        .otherwise(F.raise_error(F.concat(F.lit("no readable version in the manifest of "), "docset")))
+        .alias("doc_version"),
+        m["source"]["chunk_count"].alias("chunk_count"),
+        m["embedder"]["model_id"].alias("model_id"),
+        m["embedder"]["model_revision"].alias("model_revision"),
+        m["embedder"]["model_sha256"].alias("model_sha256"),
+    )

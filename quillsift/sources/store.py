@@ -15,6 +15,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillsift import params, schemas
 from quillsift.functions.text import normalize_heading_path, replace_heading_line
@@ -155,20 +156,27 @@ class DocsetStore:
         return json.loads(self._files.read(f"{self._version(docset)}/manifest.json"))
 
     def chunks(self, docset: str) -> DataFrame:
-        """The live chunk table; scans read only the columns a query uses."""
-        return schemas.ensure_schema(self.spark.read.parquet(f"{self._version(docset)}/chunks"))
+        """The live chunk table, with its partition column ``span`` last."""
+        table = self.spark.read.parquet(f"{self._version(docset)}/chunks")
+        wanted = StructType([*schemas.CHUNKS.fields, StructField("span", LongType())])
+        return schemas.ensure_schema(table.withColumn("span", F.col("span").cast("long")), wanted)
 
     def fetch(self, docset: str, ids: list[int]) -> DataFrame:
         """Chunks by index, ascending; absent ids are simply missing."""
-        return self.chunks(docset).where(F.col("chunk_idx").isin(*ids)).orderBy("chunk_idx")
+        spans = {i // schemas.SPAN for i in ids}
+        return (
+            self.chunks(docset)
+            .where(F.col("span").isin(*spans) & F.col("chunk_idx").isin(*ids))
+            .orderBy("chunk_idx")
+        )
 
     def row_counts(self) -> DataFrame:
         """``(docset, n_rows)`` of every live docset, from one scan of all tables."""
         folders = [f"{self._version(d)}/chunks" for d in self.docsets()]
         if not folders:
             return self.spark.createDataFrame([], "docset string, n_rows bigint")
-        docset = F.regexp_extract("_metadata.file_path", r"([^/]+)/v[0-9]+/chunks/[^/]+$", 1)
-        tables = self.spark.read.schema(schemas.CHUNKS).parquet(*folders)
+        docset = F.regexp_extract("_metadata.file_path", r"([^/]+)/v[0-9]+/chunks/", 1)
+        tables = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*folders)
         return tables.groupBy(docset.alias("docset")).agg(F.count("*").alias("n_rows"))
 
     def manifests(self) -> DataFrame:
@@ -205,7 +213,14 @@ class DocsetStore:
                 F.raise_error(F.lit(f"vector dimension is not {dim}"))
             ),
         )
-        checked.write.mode("errorifexists").parquet(f"{target}/chunks")
+        (
+            checked.withColumn("span", schemas.span_of(F.col("chunk_idx")))
+            .repartition("span", F.floor(F.col("chunk_idx") / (schemas.SPAN // 8)))
+            .sortWithinPartitions("chunk_idx")
+            .write.partitionBy("span")
+            .mode("errorifexists")
+            .parquet(f"{target}/chunks")
+        )
         n = self.spark.read.parquet(f"{target}/chunks").count()
         manifest = {**manifest, "source": {**manifest["source"], "chunk_count": n}}
         try:
@@ -245,7 +260,9 @@ class DocsetStore:
             F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(
                 F.raise_error(F.lit(f"vector dimension is not {dim}"))
             ),
-        ).write.mode("append").parquet(f"{self._version(docset)}/chunks")
+        ).withColumn("span", schemas.span_of(F.col("chunk_idx"))).write.partitionBy("span").mode(
+            "append"
+        ).parquet(f"{self._version(docset)}/chunks")
 
     def ingest(
         self, docset: str, folder: str, embed: Embedder, base_url: str | None = None,
@@ -273,7 +290,7 @@ class DocsetStore:
     def rebuild(self, docset: str, embed: Embedder) -> str:
         """Embed the live chunks again as a new version; URLs and version stay."""
         old = self.manifest(docset)
-        rows = self.chunks(docset).withColumn("embedding", embed(F.col("text")))
+        rows = self.chunks(docset).drop("span").withColumn("embedding", embed(F.col("text")))
         kept = {
             **{k: old["source"][k] for k in ("entry_url", "source_url")},
             **{k: old["legal"][k] for k in ("license", "copyright_holder", "attribution")},

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from brute_chunks import chunk
 from quillsift import params, schemas
 from quillsift.functions.vectors import byte_embedder
+from quillsift.operators.batch import QueryBatch
 from quillsift.operators.license_audit import scan_files
+from quillsift.plans.search import search
 from quillsift.sources import archive, catalog, files
 from quillsift.sources.store import DocsetNotInstalled, DocsetStore, StoreError
 
@@ -72,6 +74,14 @@ def test_store_life_cycle(spark, tree, tmp_path):
         store.write("docs", store.chunks("docs").withColumn("embedding", F.slice("embedding", 1, 3)), store.manifest("docs"))
     assert store.chunks("docs").count() == len(rows)
 
+    live = store.chunks("docs")
+    queries = live.where("chunk_idx in (0, 2)").select(
+        F.col("chunk_idx").alias("qid"), F.col("text").alias("query"), F.col("embedding").alias("qvec")
+    )
+    found = search(QueryBatch.measure(queries), live, live.select("chunk_idx", "embedding", "span"))
+    assert {r.qid: r.chunk_idx for r in found.rows.where("pos = 1").collect()} == {0: 0, 2: 2}
+    assert "span" in found.rows._jdf.queryExecution().executedPlan().toString()
+
     second = store.rebuild("docs", embed)
     assert second != first and store.manifest("docs")["source"]["source_url"] == meta["source_url"]
     bundle = store.share("docs", str(tmp_path / "out"))
@@ -146,3 +156,24 @@ def test_catalog_files(spark, tmp_path):
     assert [(r.target_no, r.source_url, r.heading_prefix, r.grade) for r in targets] == [(0, "a", None, 2), (1, "b", "H", 1)]
     listing = spark.createDataFrame([("d-12-34", 0), ("x-y-1-2", 0), ("d-1-new", 0), ("d-1-2", 95)], "name string, modified bigint")
     assert {r.name for r in files.stale_staging(listing, 50, F.lit(100)).collect()} == {"d-12-34", "x-y-1-2"}
+
+
+def test_identity_and_status(spark):
+    from dataclasses import asdict
+
+    from quillsift.params import SearchParams
+    from quillsift.sources.store import build_manifest
+
+    good = json.dumps(build_manifest("d", 3, license="MIT"))
+    row = catalog.corpus_identity(
+        spark.createDataFrame([("d", good)], "docset string, manifest string"), asdict(SearchParams()), "abc"
+    ).first()
+    assert (row.doc_version, row.chunk_count, row.parameters.rrf_k, row.code_commit) == ("1.0.0", 3, 60, "abc")
+    blank = json.dumps(build_manifest("d", 3, license="MIT", doc_version=" "))
+    with pytest.raises(Exception, match="no readable version"):
+        catalog.corpus_identity(
+            spark.createDataFrame([("d", blank)], "docset string, manifest string"), {"k": 1}, "abc"
+        ).collect()
+    checks = spark.createDataFrame([("ok",), ("warn",), ("ok",)], "severity string")
+    assert catalog.worst_severity(checks).first().status == "warn"
+    assert catalog.worst_severity(checks.where("severity = 'x'")).first().status == "ok"
