@@ -137,14 +137,40 @@ def eval_report(queries: DataFrame, metrics: DataFrame, decisions: DataFrame) ->
     means run over queries with targets only; borderline answers are neither
     false accepts nor decisive.
     """
-    stages = list(params.STAGE_CUTOFFS)
-    wide = (
-        metrics.groupBy("qid")
-        .pivot("stage", stages)
-        .agg(*[F.first(m).alias(m) for m in MEASURES], F.first("n_targets").alias("n"))
+    strata = ("docset", "form", "class")
+
+    def by_strata(rows: DataFrame, *always: str):
+        sets = [list(always), *[[*always, s] for s in strata]]
+        return rows.groupingSets(sets, *always, *strata)
+
+    def labelled(report: DataFrame, entries: list[Column]) -> DataFrame:
+        """Name the stratum of a grouping-set row and put its measures on rows."""
+        present = [F.when(F.col(f"_{s}") == 0, s) for s in strata]
+        value = [F.when(F.col(f"_{s}") == 0, F.col(s)) for s in strata]
+        return report.select(
+            F.coalesce(*present, F.lit("overall")).alias("stratum_kind"),
+            F.coalesce(*value, F.lit("")).alias("stratum_value"),
+            F.inline(F.array(*entries)),
+        )
+
+    def entry(measure: Column | str, value: Column) -> Column:
+        name = F.lit(measure) if isinstance(measure, str) else measure
+        return F.struct(name.alias("measure"), value.cast("double").alias("value"))
+
+    absent = [F.grouping(s).alias(f"_{s}") for s in strata]
+    has_targets = F.col("n_targets") > 0
+    means = by_strata(queries.join(metrics, "qid"), "stage").agg(
+        *absent,
+        *[
+            F.coalesce(F.avg(F.when(has_targets, F.col(m))), F.lit(0.0)).alias(m)
+            for m in MEASURES
+        ],
+    )
+    stage_rows = labelled(
+        means,
+        entries=[entry(F.concat("stage", F.lit(f".{m}")), F.col(m)) for m in MEASURES],
     )
-    rows = queries.join(decisions.select("qid", "answer_state"), "qid").join(wide, "qid")
-    has_targets = F.col(f"{stages[0]}_n") > 0
+
     positive = F.col("class") == "positive"
     negative = F.col("class").isin(*NEGATIVE_CLASSES)
     state = F.col("answer_state")
@@ -152,15 +178,8 @@ def eval_report(queries: DataFrame, metrics: DataFrame, decisions: DataFrame) ->
     def tally(condition: Column) -> Column:
         return F.sum(condition.cast("long"))
 
-    report = rows.groupingSets(
-        [[], ["docset"], ["form"], ["class"]], "docset", "form", "class"
-    ).agg(
-        F.grouping_id().alias("level"),
-        *[
-            F.coalesce(F.avg(F.when(has_targets, F.col(f"{s}_{m}"))), F.lit(0.0)).alias(f"{s}.{m}")
-            for s in stages
-            for m in MEASURES
-        ],
+    states = by_strata(queries.join(decisions.select("qid", "answer_state"), "qid")).agg(
+        *absent,
         F.count("*").alias("total"),
         tally(positive).alias("positives"),
         tally(negative).alias("negatives"),
@@ -173,27 +192,12 @@ def eval_report(queries: DataFrame, metrics: DataFrame, decisions: DataFrame) ->
     base = dict(
         zip(RATES, ("positives", "negatives", "positives", "negatives", "total"), strict=True)
     )
-    entries = [
-        F.struct(F.lit(f"{s}.{m}").alias("measure"), F.col(f"`{s}.{m}`").alias("value"))
-        for s in stages
-        for m in MEASURES
-    ]
+    entries = []
     for rate in RATES:
         count, total = F.col(rate), F.col(base[rate])
-        parts = {"count": count.cast("double"), "total": total.cast("double"), **wilson(count, total)}
-        entries += [
-            F.struct(F.lit(f"{rate}.{name}").alias("measure"), value.alias("value"))
-            for name, value in parts.items()
-        ]
-    level = F.col("level")
-    kind = (
-        F.when(level == 7, "overall").when(level == 3, "docset").when(level == 5, "form").otherwise("class")
-    )
-    return report.select(
-        kind.alias("stratum_kind"),
-        F.coalesce("docset", "form", "class", F.lit("")).alias("stratum_value"),
-        F.inline(F.array(*entries)),
-    )
+        parts = {"count": count, "total": total, **wilson(count, total)}
+        entries += [entry(f"{rate}.{name}", value) for name, value in parts.items()]
+    return stage_rows.unionByName(labelled(states, entries=entries))
 
 
 def stage_ranks(queries: DataFrame, metrics: DataFrame, hits: DataFrame, targets: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ md AS (SELECT doc_id AS doc_key, '# ' || source || {_N} || {_N} || replace(text,
 """
 
 _LEVELS = range(1, 7)
-SEGMENTS = MIXED + f""",
+SEGMENT_CTES = f"""
 arr AS (SELECT doc_key, string_split(regexp_replace(markdown, '\\n$', ''), {_N}) AS l FROM md),
 ln AS (SELECT doc_key, i, l[i] AS line, l[i] || {_N} AS body
   FROM arr, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
@@ -112,6 +112,122 @@ segments AS (SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY bl
   FROM gr WHERE kind = 'Code' OR (kind = 'Info' AND {trim_sql('body')} <> ''))
 """
 
+SEGMENTS = MIXED + "," + SEGMENT_CTES
+
+PROSE_MD = f"""
+md AS (SELECT doc_id AS doc_key, '# ' || source || {_N} || {_N} || '## ' || lang || {_N} || {_N} || replace(text, {_N}, {_N} || {_N}) AS markdown FROM documents)
+"""
+CODE_MD = f"""
+md AS (SELECT doc_id AS doc_key, '# ' || source || {_N} || '```' || lang || {_N} || replace(text, '. ', '.' || {_N} || 'fn ') || {_N} || '```' || {_N} AS markdown FROM documents)
+"""
+
+
+def _tokens(text: str) -> str:
+    return tokens_sql(f"({text})")
+
+
+def _fold(items: str, step: str, last: str) -> str:
+    """Fold a list of strings with a (buf, out) state; ``step`` names it ``a`` and the item ``x.t``."""
+    state = "{{'buf': '', 'out': []::VARCHAR[], 't': {0}}}"
+    folded = (
+        f"list_reduce(list_concat([{state.format(chr(39) * 2)}], list_transform({items}, lambda t: {state.format('t')})), "
+        f"lambda a, x: {step})"
+    )
+    return f"list_extract(list_transform([{folded}], lambda a: {last}), 1)"
+
+
+_FLUSHED = "(CASE WHEN a.buf = '' THEN a.out ELSE list_append(a.out, a.buf) END)"
+
+
+def _state(buf: str, out: str) -> str:
+    return f"{{'buf': {buf}, 'out': {out}, 't': ''}}"
+
+
+_PER = "((3 * eff_max + 3) // 4)"
+_WORDS = f"list_filter(string_split_regex(x.t, '{WS}+'), lambda w: w <> '')"
+_GROUPS = (
+    f"list_transform(range(0, (len({_WORDS}) + {_PER} - 1) // {_PER}), "
+    f"lambda i: array_to_string(list_slice({_WORDS}, i * {_PER} + 1, (i + 1) * {_PER}), ' '))"
+)
+_SENTENCES = (
+    "list_filter(regexp_extract_all(para, '[^.!?]*[.!?][ \\t\\n]*|[^.!?]+'), lambda s: "
+    + trim_sql("s") + " <> '')"
+)
+_LONG = _fold(
+    _SENTENCES,
+    f"CASE WHEN {_tokens('x.t')} > eff_max THEN {_state(chr(39) * 2, f'list_concat({_FLUSHED}, {_GROUPS})')} "
+    f"WHEN a.buf <> '' AND {_tokens('a.buf')} + {_tokens('x.t')} > eff_max THEN {_state('x.t', _FLUSHED)} "
+    f"ELSE {_state('a.buf || x.t', 'a.out')} END",
+    _FLUSHED,
+)
+_CUT = "regexp_extract_all(x.t, '(?s)\\s*(?:\\S+\\s+){' || ((3 * room + 3) // 4 - 1) || '}\\S|.+')"
+
+
+def _joined(items: str, cut: bool) -> str:
+    grown = f"CASE WHEN a.buf = '' THEN x.t ELSE a.buf || {_N} || x.t END"
+    over = (
+        f"WHEN {_tokens('x.t')} > room THEN {_state(chr(39) * 2, f'list_concat({_FLUSHED}, {_CUT})')} " if cut else ""
+    )
+    return _fold(
+        items,
+        f"CASE {over}WHEN a.buf <> '' AND {_tokens(f'a.buf || {_N} || x.t')} > room THEN {_state('x.t', _FLUSHED)} "
+        f"ELSE {_state(grown, 'a.out')} END",
+        _FLUSHED,
+    )
+
+
+_PREFIX = f"CASE WHEN heading_path = '' THEN '' ELSE '## ' || heading_path || {_N} || {_N} END"
+_INNER = f"string_split(regexp_replace(body, '\\n$', ''), {_N})"
+_STARTS = f"regexp_matches(line, '^{WS}*(?:fn |def |function |class )')"
+
+# Every block's pieces: prose by paragraphs, code whole or by definitions.
+CHUNKS = SEGMENT_CTES + f""",
+blk AS MATERIALIZED (
+  SELECT *, {_PREFIX} AS prefix, {_tokens(_PREFIX)} AS overhead,
+         greatest(512 - {_tokens(_PREFIX)}, 1) AS eff_max,
+         least(greatest(384 - {_tokens(_PREFIX)}, 0), greatest(512 - {_tokens(_PREFIX)}, 1)) AS eff_target,
+         kind = 'Code' AND {_tokens(f'{_PREFIX} || body')} > 512 AS is_split FROM segments),
+pr AS (
+  SELECT doc_key, block_no, eff_max, eff_target, prefix, heading_path, i, {trim_sql('ps[i]')} AS para FROM (
+    SELECT *, string_split(body, {_N} || {_N}) AS ps FROM blk WHERE kind = 'Info'), LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
+pl AS (SELECT *, {_tokens('para')} AS n, CASE WHEN {_tokens('para')} > eff_max THEN {_LONG} END AS long FROM pr WHERE para <> ''),
+pa AS (
+  SELECT doc_key, block_no, any_value(eff_target) AS eff_target, any_value(prefix) AS prefix, any_value(heading_path) AS heading_path,
+         list({{'buf': '', 'out': []::VARCHAR[], 't': para, 'n': n, 'long': long}} ORDER BY i) AS items FROM pl GROUP BY ALL),
+pf AS (
+  SELECT doc_key, block_no, prefix, heading_path, list_reduce(
+    list_concat([{{'buf': '', 'out': []::VARCHAR[], 't': '', 'n': 0::BIGINT, 'long': NULL::VARCHAR[]}}], items), lambda a, x:
+      CASE WHEN x.long IS NOT NULL THEN {{'buf': '', 'out': list_concat({_FLUSHED}, x.long), 't': '', 'n': 0::BIGINT, 'long': NULL::VARCHAR[]}}
+           WHEN a.buf = '' OR {_tokens('a.buf')} + x.n > eff_target THEN {{'buf': x.t, 'out': {_FLUSHED}, 't': '', 'n': 0::BIGINT, 'long': NULL::VARCHAR[]}}
+           ELSE {{'buf': a.buf || {_N} || {_N} || x.t, 'out': a.out, 't': '', 'n': 0::BIGINT, 'long': NULL::VARCHAR[]}} END) AS a
+  FROM pa),
+pp AS (SELECT doc_key, block_no, heading_path, 'Info' AS kind, prefix, NULL AS open_line, NULL AS fence, {_FLUSHED} AS pieces FROM pf),
+cs AS (SELECT *, {_INNER} AS ls FROM blk WHERE is_split),
+co AS (SELECT *, ls[1] AS open_line, regexp_extract({trim_sql('ls[1]')}, '^(`+|~+)') AS fence,
+  list_slice(ls, 2, CASE WHEN len(ls) >= 2 AND regexp_matches(ls[-1], '^{WS}*(```|~~~)') THEN len(ls) - 1 ELSE len(ls) END) AS inner_lines FROM cs),
+cr AS MATERIALIZED (SELECT doc_key, block_no, heading_path, open_line, fence, inner_lines,
+  greatest(512 - 8 - overhead - {_tokens('open_line')} - {_tokens('fence')}, 1) AS room FROM co),
+cl AS (SELECT doc_key, block_no, room, i, inner_lines[i] AS line FROM cr, LATERAL (SELECT unnest(range(1, len(inner_lines) + 1)) AS i)),
+cb AS (SELECT *, sum({_STARTS}::INT) OVER (PARTITION BY doc_key, block_no ORDER BY i) AS seg FROM cl),
+cg AS (SELECT doc_key, block_no, room, seg, list(line ORDER BY i) AS lines FROM cb GROUP BY ALL),
+ci AS (SELECT doc_key, block_no, room, seg, CASE WHEN {_tokens(f'array_to_string(lines, {_N})')} <= room THEN [array_to_string(lines, {_N})]
+         ELSE {_joined('lines', True)} END AS pieces FROM cg),
+cj AS (SELECT doc_key, block_no, room, flatten(list(pieces ORDER BY seg)) AS pieces FROM ci GROUP BY ALL),
+cp AS (SELECT doc_key, block_no, {_joined('pieces', False)} AS pieces FROM cj),
+piece AS (
+  SELECT * FROM pp
+  UNION ALL SELECT doc_key, block_no, heading_path, 'Code', prefix, NULL, NULL, [body] FROM blk WHERE kind = 'Code' AND NOT is_split
+  UNION ALL SELECT doc_key, block_no, heading_path, 'Code', NULL, open_line, fence, cp.pieces FROM cp JOIN cr USING (doc_key, block_no)),
+part AS (SELECT *, pieces[i] AS piece, i - 1 AS part_no FROM piece, LATERAL (SELECT unnest(range(1, len(pieces) + 1)) AS i)),
+chunked AS (
+  SELECT doc_key, block_no, part_no, kind AS chunk_type,
+    CASE WHEN open_line IS NULL THEN heading_path ELSE trim(heading_path || ' (part ' || i || ')') END AS heading_path,
+    CASE WHEN open_line IS NULL THEN prefix || piece ELSE '## ' || trim(heading_path || ' (part ' || i || ')') || {_N} || {_N}
+         || open_line || {_N} || piece || {_N} || fence || {_N} END AS text FROM part),
+counted AS MATERIALIZED (SELECT *, {tokens_sql('text')} AS tokens FROM chunked)
+"""
+_CHUNK_COLUMNS = "doc_key, block_no, part_no, heading_path, chunk_type, text, tokens"
+
 _KIND = "doc_id % 3"
 _RAW = f"CASE {_KIND} WHEN 0 THEN '## old name' || {_N} || text WHEN 1 THEN '## only ' || source ELSE text END"
 _SPAN = "chr(1) || 'S' || chr(1)"
@@ -171,5 +287,8 @@ SELECT doc_id, lane, round((v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FL
         f"SELECT qid, pos AS rank, round(coalesce(score, 0), 6) AS score, chunk_idx, CASE WHEN octet_length(encode(p)) <= 120 THEN p "
         f"ELSE {utf8_cut_sql('p', 120)} || '...' END AS preview FROM t"
     ),
+    "chunk_prose": f"WITH {PROSE_MD},{CHUNKS} SELECT {_CHUNK_COLUMNS} FROM counted",
+    "chunk_code": f"WITH {CODE_MD},{CHUNKS} SELECT {_CHUNK_COLUMNS} FROM counted",
+    "chunk_markdown": f"WITH {MIXED},{CHUNKS} SELECT {_CHUNK_COLUMNS}, row_number() OVER (ORDER BY doc_key, block_no, part_no) - 1 AS chunk_idx FROM counted",
     "chunk_segments": f"WITH {SEGMENTS} SELECT doc_key, block_no, heading_path, kind, body FROM segments",
 }
