@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift import params
 from quillsift.operators import metrics
 from quillsift.plans import bindings as b
+from quillsift.plans import evaluation
 from quillsift.plans import search as s
-from quillsift.session import checkpointed
 
 FORMS = ("short", "natural_language", "verbose", "keyword_heavy")
 
@@ -59,48 +56,14 @@ def targets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Evaluation:
-    queries: DataFrame
-    targets: DataFrame
-    hits: DataFrame
-    metrics: DataFrame
-    result: s.SearchResult
-
-
-def evaluate(spark: SparkSession, folder: str) -> Evaluation:
-    """All five stages of every query as one table of hits.
-
-    The channels feed both the search and their own stages, and the hits feed
-    several joins; each is a fixed number of rows per query and cut from its
-    lineage once.
-    """
-    batch, chunks, vectors = b.batch(spark, folder), b.chunks(spark, folder), b.vectors(spark, folder)
-    dense, lexical = (checkpointed(c) for c in s.channels(batch, chunks, vectors))
-    result = s.search(batch, chunks, vectors, ranked=(dense, lexical))
-    stages = {
-        "dense_at_40": dense.select("qid", "chunk_idx", F.col("dense_rank").alias("rank")),
-        "fts_at_40": lexical.select("qid", "chunk_idx", F.col("lexical_rank").alias("rank")),
-        "fused_at_40": result.pool.select("qid", "chunk_idx", F.col("fused_rank").alias("rank")),
-        "mmr_at_5": result.selected.select("qid", "chunk_idx", F.col("mmr_rank").alias("rank")),
-        "output_at_5": result.rows.select("qid", "chunk_idx", F.col("pos").alias("rank")),
-    }
-    ranked = reduce(
-        DataFrame.unionByName,
-        [
-            frame.where(F.col("rank") <= params.STAGE_CUTOFFS[name]).withColumn("stage", F.lit(name))
-            for name, frame in stages.items()
-        ],
-    )
-    hits = checkpointed(
-        chunks.select("chunk_idx", "source_url", "heading_path").join(
-            batch.sized(ranked), "chunk_idx"
-        )
+def evaluate(spark: SparkSession, folder: str) -> evaluation.Evaluation:
+    return evaluation.evaluate(
+        labelled_queries(spark, folder),
+        targets(spark, folder),
+        b.batch(spark, folder),
+        b.chunks(spark, folder),
+        b.vectors(spark, folder),
     )
-    wanted = targets(spark, folder)
-    labelled = labelled_queries(spark, folder)
-    scores = metrics.ranking_metrics(labelled, hits, wanted)
-    return Evaluation(labelled, wanted, hits, scores, result)
 
 
 def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,13 +71,11 @@ def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
-    run = evaluate(spark, folder)
-    return b.as_output(metrics.eval_report(run.queries, run.metrics, run.result.decisions))
+    return b.as_output(evaluate(spark, folder).report())
 
 
 def stage_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    run = evaluate(spark, folder)
-    return b.as_output(metrics.stage_ranks(run.queries, run.metrics, run.hits, run.targets))
+    return b.as_output(evaluate(spark, folder).stage_ranks())
 
 
 def decision_evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,10 +180,10 @@ def _suite(spark: SparkSession, folder: str) -> DataFrame:
 
 def suite_violations(spark: SparkSession, folder: str) -> DataFrame:
     suite = _suite(spark, folder)
-    labels = suite.where(
-        ((F.col("class") == "positive") & (F.col("doc_id") % 31 != 2))
-        | ((F.col("class") != "positive") & (F.col("doc_id") % 37 == 4))
-    ).select("id", (F.lit(1) + (F.col("doc_id") % 61 == 0).cast("int") * 2).alias("grade"))
+    d, positive = F.col("doc_id"), F.col("class") == "positive"
+    n_labels = F.when(positive, (d % 31 != 2).cast("int")).otherwise((d % 37 == 4).cast("int"))
+    grade = F.when(d % 61 == 0, 3).otherwise(1)
+    labels = suite.select("id", F.explode(F.array_repeat(grade, n_labels)).alias("grade"))
     return metrics.suite_violations(suite, labels)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillsift import params
 from quillsift.functions.text import estimate_tokens
+from quillsift.functions.vectors import cosine
 from quillsift.operators import answer, fusion, mmr, rerank
 from quillsift.operators.batch import QueryBatch
 from quillsift.operators.dense import dense_topk
@@ -185,10 +187,35 @@ def search(
     return SearchResult(answer.pack_to_budget(fetched), decisions, selected, pool)
 
 
+def search_docsets(
+    queries: DataFrame, store, p: SearchParams = SearchParams(), reranker: rerank.Reranker | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Answer queries ``(qid, docset, query, qvec)``, each in its own docset of a store.
+
+    Returns the rows and the decisions, both with their ``docset``. The docsets
+    are the store's catalog, one search per docset; a query for one that is not
+    installed is an error.
+    """
+    installed = store.docsets()
+    unknown = queries.where(~F.col("docset").isin(*installed)).limit(1).collect()
+    if unknown:
+        raise ValueError(f"docset not installed: {unknown[0]['docset']}")
+    rows, decisions = [], []
+    for docset in installed:
+        batch = QueryBatch.measure(queries.where(F.col("docset") == docset))
+        if batch.rows == ():
+            continue
+        table = store.chunks(docset)
+        found = search(batch, table, table.select("chunk_idx", "embedding", "span"), p, reranker)
+        rows.append(found.rows.withColumn("docset", F.lit(docset)))
+        decisions.append(found.decisions.withColumn("docset", F.lit(docset)))
+    if not rows:
+        raise ValueError("no valid query")
+    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, decisions)
+
+
 def pool_cosines(ready: DataFrame) -> DataFrame:
     """Finite query cosines over the whole pool, best first: ``(qid, pos, cosine)``."""
-    from quillsift.functions.vectors import cosine
-
     scored = ready.where(F.col("embedding").isNotNull()).select(
         "qid", "chunk_idx", cosine(F.col("qvec"), F.col("embedding")).alias("cosine")
     )

@@ -13,7 +13,8 @@ from quillsift import params, schemas
 from quillsift.functions.vectors import byte_embedder
 from quillsift.operators.batch import QueryBatch
 from quillsift.operators.license_audit import scan_files
-from quillsift.plans.search import search
+from quillsift.plans.evaluation import evaluate_suite
+from quillsift.plans.search import search, search_docsets
 from quillsift.sources import archive, catalog, files
 from quillsift.sources.store import DocsetNotInstalled, DocsetStore, StoreError
 
@@ -177,3 +178,39 @@ def test_identity_and_status(spark):
     checks = spark.createDataFrame([("ok",), ("warn",), ("ok",)], "severity string")
     assert catalog.worst_severity(checks).first().status == "warn"
     assert catalog.worst_severity(checks.where("severity = 'x'")).first().status == "ok"
+
+
+def test_suite_over_a_store(spark, tree, tmp_path):
+    root, _ = tree
+    embed = byte_embedder()
+    store = DocsetStore(spark, str(tmp_path / "store"))
+    for name in ("one", "two"):
+        store.ingest(name, str(root), embed, license="MIT")
+    row = store.chunks("one").where("heading_path = 'A'").first()
+
+    def entry(name, docset, split="test", kind="positive", query=row.text):
+        targets = [{"source_url": "a.md", "heading_path_prefix": "A", "grade": 2}] if kind == "positive" else []
+        return {"id": name, "docset": docset, "query": query, "intent_family": f"f-{name}", "split": split,
+                "query_form": "short", "query_class": kind, "targets": targets}
+
+    suite = [entry("q1", "one"), entry("q2", "two"), entry("q3", "one", "development"),
+             entry("q4", "two", kind="near_domain_negative", query="zzz")]
+    (tmp_path / "suite.json").write_text(json.dumps(suite))
+    loaded = files.read_suite(spark, str(tmp_path / "suite.json"))
+    run = evaluate_suite(store, loaded, embed)
+    report = {(r.stratum_kind, r.stratum_value, r.measure): r.value for r in run.report().collect()}
+    assert report[("overall", "", "dense_at_40.mrr")] == 1
+    assert report[("overall", "", "decisive_coverage.total")] == 3
+    assert report[("docset", "one", "output_at_5.recall")] == 1
+    assert {r.qid: r.output_at_5 for r in run.stage_ranks().collect()} == {"q1": 1, "q2": 1, "q4": None}
+    with pytest.raises(ValueError, match="contract"):
+        evaluate_suite(store, loaded.unionByName(loaded), embed)
+
+    asked = loaded.where("split = 'test'").select(
+        F.col("id").alias("qid"), "docset", "query", embed(F.col("query")).alias("qvec")
+    )
+    rows, decisions = search_docsets(asked, store)
+    assert {(r.qid, r.docset) for r in decisions.collect()} == {("q1", "one"), ("q2", "two"), ("q4", "two")}
+    assert rows.where("pos = 1 and qid = 'q2'").first().text == row.text
+    with pytest.raises(ValueError, match="not installed"):
+        search_docsets(asked.withColumn("docset", F.lit("none")), store)
