@@ -115,12 +115,9 @@ def _grid(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFra
                 part = chunks.iloc[start : start + step]
                 lanes = np.stack(part["embedding"].to_numpy()).astype(np.float64)
                 best.offer(part["chunk_idx"].to_numpy(), similarity(lanes, matrix, metric))
+        query, chunk, score = best.best()
         return pd.DataFrame(
-            {
-                "qid": queries["qid"].to_numpy()[best.query],
-                "chunk_idx": best.chunk,
-                "score": best.score,
-            }
+            {"qid": queries["qid"].to_numpy()[query], "chunk_idx": chunk, "score": score}
         )
 
     return (

@@ -103,7 +103,7 @@ def _vocabulary_stats(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[st
     empty term that carries its length. Counts combine before the shuffle.
     """
     spark = chunks.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in [*vocabulary, ""]], "term string")
+    wanted = spark.createDataFrame(pa.table({"term": [*vocabulary, ""]}))
     tokens = chunks.select(terms(F.col("text")).alias("terms"))
     rows = tokens.select(
         F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"),

@@ -18,34 +18,44 @@ class TaskTopK:
     def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
         self.n_queries = n_queries
-        self.query = np.empty(0, np.int64)
-        self.chunk = np.empty(0, np.int64)
-        self.score = np.empty(0, np.float64)
+        # Key of the k-th best per query; anything below can no longer matter.
+        self._cut = np.full(n_queries, -np.inf)
+        self._held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._n_held = 0
+        self._room = 2 * n_queries * k + 100_000
 
     def offer(self, chunk_ids: np.ndarray, scores: np.ndarray) -> None:
         """Offer an (n chunks x n queries) score block; NaN means no match."""
         key = np.where(np.isnan(scores), -np.inf, np.round(scores, SCORE_DIGITS))
+        floor = self._cut
         if key.shape[0] > self.k:
-            floor = np.partition(key, -self.k, axis=0)[-self.k]
-        else:
-            floor = np.full(key.shape[1], -np.inf)
+            floor = np.maximum(floor, np.partition(key, -self.k, axis=0)[-self.k])
         row, query = np.nonzero((key >= floor) & (key > -np.inf))
-        self.query = np.concatenate([self.query, query])
-        self.chunk = np.concatenate([self.chunk, chunk_ids[row]])
-        self.score = np.concatenate([self.score, scores[row, query]])
-        self._prune()
+        self._held.append((query, chunk_ids[row], scores[row, query]))
+        self._n_held += query.size
+        if self._n_held > self._room:
+            self.best()
 
-    def _prune(self) -> None:
-        key = np.round(self.score, SCORE_DIGITS)
-        order = np.lexsort((self.chunk, -key, self.query))
-        query = self.query[order]
-        first = np.searchsorted(query, np.arange(self.n_queries))
-        keep = order[np.arange(query.size) - first[query] < self.k]
-        self.query, self.chunk, self.score = self.query[keep], self.chunk[keep], self.score[keep]
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Drop what fell out; (query position, chunk, score), best first per query."""
+        if not self._held:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, chunk, score = (np.concatenate(part) for part in zip(*self._held))
+        key = np.round(score, SCORE_DIGITS)
+        order = np.lexsort((chunk, -key, query))
+        first = np.searchsorted(query[order], np.arange(self.n_queries))
+        place = np.arange(order.size) - first[query[order]]
+        order, place = order[place < self.k], place[place < self.k]
+        last = order[place == self.k - 1]
+        self._cut[query[last]] = key[last]
+        self._held = [(query[order], chunk[order], score[order])]
+        self._n_held = order.size
+        return self._held[0]
 
     def to_batch(self, qids: pa.Array) -> pa.RecordBatch:
+        query, chunk, score = self.best()
         return pa.RecordBatch.from_arrays(
-            [qids.take(pa.array(self.query)), pa.array(self.chunk), pa.array(self.score)],
+            [qids.take(pa.array(query)), pa.array(chunk), pa.array(score)],
             names=["qid", "chunk_idx", "score"],
         )
 
