@@ -197,6 +197,9 @@ def _join(
     asked = batch.df.select(
         "qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")
     )
+    if batch.small:
+        # Few terms are asked for: leave the other postings where they are.
+        index = index.join(batch.sized(asked.select("term")), "term", "left_semi")
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(frequency, "term").select(
         "qid",

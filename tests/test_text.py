@@ -157,3 +157,12 @@ def test_vectors(spark):
     lanes = [97, 98, 195, 169]
     assert embedded == pytest.approx([x / sum(y * y for y in lanes) ** 0.5 for x in lanes], rel=1e-6)
     assert rows.select(quantize_half(F.array(F.lit(0.1).cast("float"))).alias("h")).first().h[0] == pytest.approx(0.09997559)
+
+
+def test_long_texts_do_not_overflow_the_matcher(spark):
+    prose = "<b>word</b> and {x} more `{y}`\n" * 40_000
+    text = f"{prose}```js\n{'let a = {1}' + chr(10)}" + "code {k}\n" * 40_000 + "```\n<script>" + "s" * 200_000 + "</script>\n"
+    stripped, clean = apply(spark, [text], t.strip_markup_keeping_code)[0], apply(spark, [text], t.sanitize_chunk)[0]
+    assert stripped.count("word and  more `{y}`\n") == 40_000
+    assert stripped.count("code {k}\n") == 40_000 and stripped.endswith("s</script>\n")
+    assert clean.count("word") == 40_000
