@@ -6,6 +6,7 @@ so it stays in the JVM and can be pushed into any projection.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,3 +202,19 @@ def terms(col: Column) -> Column:
     return F.filter(
         F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda t: t != ""
     )
+
+
+def singular(term: Column) -> Column:
+    """Fold English plural endings: ``-ies`` to ``-y``, then ``-es`` and ``-s`` off their stems."""
+    return (
+        F.when(term.rlike("(?<![ae])ies$"), F.regexp_replace(term, "ies$", "y"))
+        .when(term.rlike("(?<![aeo])es$"), F.regexp_replace(term, "s$", ""))
+        .when(term.rlike("[^us]s$"), F.regexp_replace(term, "s$", ""))
+        .otherwise(term)
+    )
+
+
+def english_terms(col: Column) -> Column:
+    """``terms`` without English stop words, plurals folded."""
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    return F.transform(F.filter(terms(col), lambda t: ~t.isin(*stop)), singular)

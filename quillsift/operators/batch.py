@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from quillsift.functions.text import terms
 from quillsift.functions.validate import query_ok, resolve_max_tokens, resolve_top_k
 
+Analyzer = Callable[[Column], Column]
+
 # A batch over either bound takes the shuffle paths instead of broadcasts.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -25,11 +28,13 @@ class QueryBatch:
 
     ``rows`` holds the queries on the driver only when their number and bytes are
     within the bounds, and ``df`` then reads from them; it is None for a batch that
-    must stay distributed.
+    must stay distributed. ``analyzer`` turns text into terms, for the queries and
+    for the chunks they are matched with.
     """
 
     df: DataFrame
     rows: tuple[Row, ...] | None
+    analyzer: Analyzer = terms
 
     @classmethod
     def measure(
@@ -37,6 +42,7 @@ class QueryBatch:
         queries: DataFrame,
         max_queries: int = MAX_BROADCAST_QUERIES,
         max_bytes: int = MAX_BROADCAST_BYTES,
+        analyzer: Analyzer = terms,
     ) -> QueryBatch:
         """Check the queries and fetch them only when they are few and short.
 
@@ -54,18 +60,18 @@ class QueryBatch:
             resolve_max_tokens(budget).cast("int").alias("max_tokens"),
         )
         fetched = (
-            df.withColumn("terms", F.array_distinct(terms(F.col("query"))))
+            df.withColumn("terms", F.array_distinct(analyzer(F.col("query"))))
             .limit(max_queries + 1)
             .collect()
         )
         size = sum(len(r["query"].encode()) + 8 * len(r["qvec"]) for r in fetched)
         small = len(fetched) <= max_queries and size <= max_bytes
         if not small:
-            return cls(df, None)
+            return cls(df, None, analyzer)
         arrow = to_arrow_schema(df.schema)
         columns = [pa.array([r[f.name] for r in fetched], f.type) for f in arrow]
         local = df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
-        return cls(local, tuple(fetched))
+        return cls(local, tuple(fetched), analyzer)
 
     @property
     def small(self) -> bool:

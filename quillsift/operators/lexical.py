@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillsift.functions.text import terms
-from quillsift.operators.batch import QueryBatch
+from quillsift.operators.batch import Analyzer, QueryBatch
 from quillsift.operators.topk import TaskTopK, rank_scores
 from quillsift.params import SearchParams
 from quillsift.session import spread
@@ -35,9 +35,9 @@ def term_weight(tf, length, mean_length: float, p: SearchParams):
     return tf * (p.bm25_k1 + 1) / (tf + p.bm25_k1 * norm)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, analyzer: Analyzer = terms) -> DataFrame:
     """Inverted index rows ``(term, chunk_idx, tf, length)`` of ``(chunk_idx, text)``."""
-    tokens = chunks.select("chunk_idx", terms(F.col("text")).alias("terms"))
+    tokens = chunks.select("chunk_idx", analyzer(F.col("text")).alias("terms"))
     return (
         tokens.select(
             "chunk_idx", F.size("terms").alias("length"), F.explode("terms").alias("term")
@@ -60,7 +60,7 @@ def bm25_topk(
     A chunk is a candidate only when it shares a term with the query; each
     distinct query term counts once. Without an ``index`` a small batch scans the
     text and a large one builds postings; a stored ``index`` (see ``postings``)
-    is read instead of the text.
+    is read instead of the text; it must come from the batch's analyzer.
     """
     if index is not None:
         scored = _join(batch, index, _index_totals(chunks, index), p)
@@ -69,13 +69,13 @@ def bm25_topk(
         if batch.small:
             scored = _scan(batch, stored, k, p)
         else:
-            scored = _join(batch, postings(stored), _text_totals(stored), p)
+            scored = _join(batch, postings(stored, batch.analyzer), _text_totals(batch, stored), p)
     return rank_scores(scored, k, "lexical_rank")
 
 
-def _text_totals(chunks: DataFrame) -> tuple[int, int]:
+def _text_totals(batch: QueryBatch, chunks: DataFrame) -> tuple[int, int]:
     row = chunks.agg(
-        F.count("*").alias("n"), F.sum(F.size(terms(F.col("text")))).alias("total")
+        F.count("*").alias("n"), F.sum(F.size(batch.analyzer(F.col("text")))).alias("total")
     ).first()
     return row["n"], row["total"] or 0
 
@@ -96,7 +96,9 @@ def _score_schema(batch: QueryBatch) -> StructType:
     )
 
 
-def _vocabulary_stats(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int, int]:
+def _vocabulary_stats(
+    batch: QueryBatch, chunks: DataFrame, vocabulary: list[str]
+) -> tuple[dict[str, int], int, int]:
     """Document frequency of each query term, chunk count and total length.
 
     One scan: every chunk contributes its distinct terms and one row under the
@@ -104,7 +106,7 @@ def _vocabulary_stats(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[st
     """
     spark = chunks.sparkSession
     wanted = spark.createDataFrame(pa.table({"term": [*vocabulary, ""]}))
-    tokens = chunks.select(terms(F.col("text")).alias("terms"))
+    tokens = chunks.select(batch.analyzer(F.col("text")).alias("terms"))
     rows = tokens.select(
         F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"),
         F.size("terms").cast("long").alias("length"),
@@ -125,7 +127,7 @@ def _scan(batch: QueryBatch, chunks: DataFrame, k: int, p: SearchParams) -> Data
     """Text stays where it is read; the measured query vocabulary travels."""
     spark = chunks.sparkSession
     vocabulary = sorted({t for r in batch.rows for t in r["terms"]})
-    frequency, n_chunks, total = _vocabulary_stats(chunks, vocabulary)
+    frequency, n_chunks, total = _vocabulary_stats(batch, chunks, vocabulary)
     vocabulary = [t for t in vocabulary if t in frequency]
     if not vocabulary:
         return spark.createDataFrame([], _score_schema(batch))
@@ -178,7 +180,7 @@ def _scan(batch: QueryBatch, chunks: DataFrame, k: int, p: SearchParams) -> Data
                 )
         yield best.to_batch(qids)
 
-    tokens = chunks.select("chunk_idx", terms(F.col("text")).alias("terms"))
+    tokens = chunks.select("chunk_idx", batch.analyzer(F.col("text")).alias("terms"))
     return tokens.mapInArrow(score, _score_schema(batch))
 
 
@@ -195,7 +197,7 @@ def _join(
     mean_length = total / n_chunks if n_chunks else 1.0
     salts = min(MAX_SALTS, max(1, math.ceil(n_chunks / CHUNKS_PER_SALT)))
     asked = batch.df.select(
-        "qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")
+        "qid", F.explode(F.array_distinct(batch.analyzer(F.col("query")))).alias("term")
     )
     if batch.small:
         # Few terms are asked for: leave the other postings where they are.

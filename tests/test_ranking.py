@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift.functions.text import english_terms
 from quillsift.operators import answer, dense, fusion, lexical, mmr, rerank
 from quillsift.operators.batch import QueryBatch
 from quillsift.params import SearchParams
@@ -115,6 +116,20 @@ def test_bm25_paths_agree_with_brute_force(spark, corpus):
             assert [s for _, s in got[row.qid]] == pytest.approx([scores[i] for i in best])
 
 
+def test_english_analysis(spark):
+    values = ["The queries, and Classes of a bus!", "glass flies", "ponies does ties"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x string")
+    got = [r.t for r in rows.select("i", english_terms(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == [["query", "classe", "bus"], ["glass", "fly"], ["pony", "ty"]]
+    chunks = spark.createDataFrame([(0, "the the query"), (1, "the cat")], "chunk_idx bigint, text string")
+    asked = spark.createDataFrame([(1, "the queries", [0.0])], "qid int, query string, qvec array<double>")
+    for limit in (10, 0):
+        batch = QueryBatch.measure(asked, max_queries=limit, analyzer=english_terms)
+        assert [r.chunk_idx for r in lexical.bm25_topk(batch, chunks, 5).collect()] == [0]
+        plain = QueryBatch.measure(asked, max_queries=limit)
+        assert {r.chunk_idx for r in lexical.bm25_topk(plain, chunks, 5).collect()} == {0, 1}
+
+
 def test_invalid_queries_are_left_out(spark, corpus):
     queries = corpus[4].withColumn(
         "query", F.when(F.col("qid") == 0, "").when(F.col("qid") == 1, F.repeat(F.lit("x"), 4097)).otherwise(F.col("query"))
