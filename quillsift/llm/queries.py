@@ -13,6 +13,7 @@ from quillsift.llm import (
     html_extract,
     language_id,
     neighbours,
+    ngram_join,
     packing,
     quality,
 )
@@ -61,6 +62,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.turn_events(turns.unionByName(own)))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_html_extract": op5_html_extract,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
 }
