@@ -106,3 +106,32 @@ def dedup_groups(
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         "digest",
     )
+
+
+def row_key(id_column: Column, digest: Column) -> Column:
+    """Id and digest of a row in one value, so that null ids can be joined on."""
+    return F.concat(digest, F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay; see ``dedup_groups``."""
+    groups = dedup_groups(docs, id_col, text_col)
+    keys = (
+        groups.groupBy(row_key(F.col("id"), F.col("digest")).alias("key"))
+        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+        .where("not kept or rows > 1")
+    )
+    keys = checkpointed(keys)
+    own = normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    keyed = docs.select(F.struct("*").alias("row"), row_key(docs[id_col].cast("long"), sha256_of(own)).alias("key"))
+    kept = keyed.join(broadcast_within(keys.select("key")), "key", "left_anti")
+    repeated = keys.where("kept")
+    if not repeated.isEmpty():
+        again = keyed.join(broadcast_within(repeated.select("key")), "key", "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["key"]))
+    return kept.select("row.*")
+
+
+def broadcast_within(keys: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Keys of some fifty bytes marked for broadcast if counted to be few; else they shuffle."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys

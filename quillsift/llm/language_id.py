@@ -17,10 +17,12 @@ their own row; rows with a null id are not learned from.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from quillsift.llm.arrow_text import id_and_text, remainder, slices
 DIMENSIONS = 1024
 SEED = 20177
 UNKNOWN = "und"
+LEAST_SCORE = 0.02
 MAX_LANGUAGES = 1000
 TABLE_ROWS = 16384
 _SHIFT = 21
@@ -154,8 +157,26 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by name and their unit vectors, from rows of (lang, text)."""
+@dataclass
+class Profiles:
+    """Languages by name and the unit vectors of their prototypes."""
+
+    langs: list[str]
+    prototypes: np.ndarray
+
+    def name(self, text: str, vectors: GramVectors) -> tuple[str, float]:
+        """The language of a text and the cosine with its prototype."""
+        codes, counts = trigrams(text)
+        if not len(codes) or not self.langs:
+            return UNKNOWN, 0.0
+        own = vectors.bundle(codes, counts)
+        cosines = self.prototypes @ own / max(np.linalg.norm(own), 1e-300)
+        best = int(np.argmax(cosines))
+        return self.langs[best], float(min(1.0, max(0.0, cosines[best])))
+
+
+def learn_prototypes(labelled: DataFrame) -> Profiles:
+    """The profiles of all languages, from rows of (lang, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, sums = GramVectors(), {}
@@ -191,7 +212,17 @@ def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     for r in rows:
         matrix[place[r["lang"]], r["dimension"]] = r["value"]
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return langs, matrix / np.where(lengths > 0, lengths, 1)
+    return Profiles(langs, matrix / np.where(lengths > 0, lengths, 1))
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Profiles:
+    """Profiles from the learnable rows: a language, a text, and an id not held out."""
+    learnable = docs.where(
+        (remainder(docs[id_col], 4) != HELD_OUT) & docs[lang_col].isNotNull() & docs[text_col].isNotNull()
+    )
+    return learn_prototypes(
+        learnable.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
+    )
 
 
 def predict(
@@ -199,35 +230,44 @@ def predict(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    model: tuple[list[str], np.ndarray] | None = None,
+    profiles: Profiles | None = None,
 ) -> DataFrame:
     """(id, held_out, lang_pred, score), one row per document."""
-    rest = remainder(docs[id_col], 4)
-    if model is None:
-        learnable = docs.where((rest != HELD_OUT) & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-        model = learn_prototypes(
-            learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-        )
-    langs, prototypes = model
+    known = learn(docs, id_col, text_col, lang_col) if profiles is None else profiles
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = GramVectors()
         for part in slices(batches):
-            names, scores = [], []
-            for text in part.column("text").to_pylist():
-                codes, counts = trigrams(text)
-                name, score = UNKNOWN, 0.0
-                if len(codes) and langs:
-                    own = vectors.bundle(codes, counts)
-                    cosines = prototypes @ own / max(np.linalg.norm(own), 1e-300)
-                    best = int(np.argmax(cosines))
-                    name, score = langs[best], float(min(1.0, max(0.0, cosines[best])))
-                names.append(name)
-                scores.append(score)
+            names, scores = zip(*(known.name(t, vectors) for t in part.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["id", "held_out", "lang_pred", "score"],
             )
 
-    held_out = F.coalesce(rest == HELD_OUT, F.lit(False)).alias("held_out")
+    held_out = F.coalesce(remainder(docs[id_col], 4) == HELD_OUT, F.lit(False)).alias("held_out")
     return id_and_text(docs, id_col, text_col, held_out).mapInArrow(run, PREDICTED)
+
+
+def accepted(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    least_score: float = LEAST_SCORE,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a known language.
+
+    Texts that are ``und``, or farther from every profile than ``least_score``, go.
+    """
+    known = learn(docs, id_col, text_col, lang_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = GramVectors()
+        for batch in batches:
+            kept = []
+            for text in pc.fill_null(batch.column(text_col), "").to_pylist():
+                name, score = known.name(text, vectors)
+                kept.append(name != UNKNOWN and score >= least_score)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

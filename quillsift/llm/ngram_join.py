@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.components import components
+from quillsift.llm.exact_dedup import broadcast_within
 from quillsift.llm.rtree import folded, joined, least_overlap, overlap_bound
 from quillsift.llm.shingles import group_counts, groups_for, set_digest, shingle_sets
 from quillsift.session import checkpointed
@@ -356,3 +357,15 @@ def similar_groups(
     linked = documents.where("n > 0").join(by_node, "node").select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = documents.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which each group of linked documents has one.
+
+    The smallest id stays. Rows that repeat an id share their fate: they stay if one of them is its
+    group's smallest. Rows with a null id stay.
+    """
+    groups = similar_groups(docs, id_col, text_col)
+    gone = groups.groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("stays"))
+    gone = checkpointed(gone.where("id is not null and not stays").select("id"))
+    return docs.join(broadcast_within(gone), docs[id_col].cast("long") == gone["id"], "left_anti")

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,13 @@ def training_rows(
     return id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("rank", "text", "label")
 
 
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int
+) -> tuple[np.ndarray, float]:
+    """Weights and bias from the labelled rows that are not held out."""
+    return train(training_rows(docs, labels, id_col, text_col, label_col, train_rows))
+
+
 def score_documents(
     docs: DataFrame,
     labels: DataFrame,
@@ -199,17 +207,9 @@ def score_documents(
     text_col: str = "text",
     label_col: str = "quality",
     train_rows: int = TRAIN_ROWS,
-    model: tuple[np.ndarray, float] | None = None,
-    train_docs: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, held_out, score, predicted), one row per document.
-
-    ``train_docs`` are the texts that the labels belong to, ``docs`` unless given.
-    """
-    if model is None:
-        source = docs if train_docs is None else train_docs
-        model = train(training_rows(source, labels, id_col, text_col, label_col, train_rows))
-    weights, bias = model
+    """(id, held_out, score, predicted), one row per document."""
+    weights, bias = learn(docs, labels, id_col, text_col, label_col, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,3 +227,24 @@ def score_documents(
 
     held_out = F.coalesce(remainder(docs[id_col], 4) == HELD_OUT, F.lit(False)).alias("held_out")
     return id_and_text(docs, id_col, text_col, held_out).mapInArrow(run, SCORED)
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    train_rows: int = TRAIN_ROWS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    weights, bias = learn(docs, labels, id_col, text_col, label_col, train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            texts = pc.fill_null(part.column(text_col), "")
+            yield part.filter(pa.array(sigmoid(dot(words_of(texts), shared.value, bias)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from quillsift.llm import (
     exact_dedup,
     html_extract,
     language_id,
+    lm_score,
     neighbours,
     ngram_join,
     packing,
@@ -71,6 +72,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score_documents(docs, labels).withColumnRenamed("id", "doc_id")
@@ -85,6 +91,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
 }
 

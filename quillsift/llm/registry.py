@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillsift.llm import queries
 
-QUERIES = dict(queries.QUERIES)
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES = dict(queries.ORACLES)
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
