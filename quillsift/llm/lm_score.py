@@ -270,7 +270,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v")).first()
-    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas().sort_values("word")
+    frequent = frequent_words(words).toPandas().sort_values("word")
     lm = Model(vocabulary, shares, weights, frequent["word"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), totals["n"])
     scored = checkpointed(_scored(rows, path, context.broadcast(lm)))
     share = F.col("c") * F.lit(MIX / max(1, totals["n"])) + F.lit(1 - MIX) * F.pow(F.lit(10.0), F.col("rare.log"))
@@ -297,6 +297,22 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     )
 
 
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The words above the lowest count that no more than ``most`` words reach.
+
+    The bound comes from a histogram of the counts' logarithms, of a few hundred rows.
+    """
+    step = F.floor(F.log2("c") * 32).cast("int")
+    histogram = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    total, lowest = 0, None
+    for row in sorted(histogram, key=lambda r: -r["step"]):
+        total += row["words"]
+        if total > most:
+            break
+        lowest = row["step"]
+    return words.where(step >= F.lit(lowest)) if lowest is not None else words.limit(0)
+
+
 @dataclass
 class Shares:
     """log10 share of ids in their class, behind a context. Tables of fixed size."""
