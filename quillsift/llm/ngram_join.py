@@ -61,49 +61,59 @@ def prefix(hashes: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray
 
 
 def sets_and_counters(rows: DataFrame, size: int) -> DataFrame:
-    """Per document (id, n, node), and rows of packed counters of all shingles (block, counters)."""
+    """Per document (id, n, node, counts), and packed counters of all shingles as (block, counts)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for part in slices(batches):
             sets = list(shingle_sets(part.column("text"), size))
             total += np.bincount(counter_places(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
-            yield _sets_batch(part.column("id"), [len(s) for s in sets], [set_digest(s) for s in sets])
+            yield _sets_batch(part.column("id"), sets)
         if total.any():
             blocks = [zlib.compress(b.tobytes(), 1) for b in np.split(total, COUNTER_BLOCKS)]
             yield _counter_batch(blocks)
 
-    return rows.mapInArrow(run, "id long, n long, node long, block int, counters binary")
+    return rows.mapInArrow(run, "id long, n int, node long, counts binary, block int")
 
 
-def _sets_batch(ids: pa.Array, sizes: list[int], nodes: list[int]) -> pa.RecordBatch:
-    count = len(ids)
-    columns = [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "block", "counters"])
+_COLUMNS = ["id", "n", "node", "counts", "block"]
+
+
+def _sets_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    points = [group_counts(s, groups_for(len(s))).astype(np.uint16).tobytes() for s in sets]
+    columns = [
+        ids,
+        pa.array([len(s) for s in sets], pa.int32()),
+        pa.array([set_digest(s) for s in sets], pa.int64()),
+        pa.array(points, pa.binary()),
+        pa.nulls(len(sets), pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
 
 def _counter_batch(blocks: list[bytes]) -> pa.RecordBatch:
-    none = pa.nulls(len(blocks), pa.int64())
-    columns = [none, none, none, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "block", "counters"])
+    count = len(blocks)
+    none = pa.nulls(count, pa.int64())
+    columns = [none, pa.nulls(count, pa.int32()), none, pa.array(blocks, pa.binary()), pa.array(range(count), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
 
 def _summed(rows: DataFrame, combine: np.ufunc, kind: type) -> DataFrame:
-    """Packed arrays (block, counters) combined by block, in two steps."""
+    """Packed arrays (block, counts) combined by block, in two steps."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counters").to_pylist(), strict=True):
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 values = np.frombuffer(zlib.decompress(packed), dtype=kind)
                 held[block] = combine(held[block], values) if block in held else values
         if held:
             packed = [zlib.compress(v.tobytes(), 1) for v in held.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held, pa.int32()), pa.array(packed, pa.binary())], ["block", "counters"]
+                [pa.array(held, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"]
             )
 
-    schema = "block int, counters binary"
+    schema = "block int, counts binary"
     return rows.repartition(32).mapInArrow(run, schema).repartition("block").mapInArrow(run, schema)
 
 
@@ -113,7 +123,7 @@ def _gathered(rows: DataFrame, combine: np.ufunc, kind: type, length: int) -> np
     step = length // COUNTER_BLOCKS
     for row in _summed(rows, combine, kind).collect():
         begin = row["block"] * step
-        out[begin : begin + step] = np.frombuffer(zlib.decompress(row["counters"]), dtype=kind)
+        out[begin : begin + step] = np.frombuffer(zlib.decompress(row["counts"]), dtype=kind)
     return out
 
 
@@ -177,15 +187,15 @@ def bloom_of(nodes: DataFrame) -> np.ndarray:
         if not empty:
             packed = [zlib.compress(b.tobytes(), 1) for b in np.split(np.packbits(bits), COUNTER_BLOCKS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "counters"]
+                [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"]
             )
 
-    rows = nodes.select("node").mapInArrow(run, "block int, counters binary")
+    rows = nodes.select("node").mapInArrow(run, "block int, counts binary")
     return _gathered(rows, np.bitwise_or, np.uint8, BLOOM_BITS // 8)
 
 
 def node_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, n, counts, hashes) of the nodes asked for, and of some that were not."""
+    """(node, hashes) of the nodes asked for, and of some that were not."""
     shared = rows.sparkSession.sparkContext.broadcast(bloom_of(nodes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,16 +206,14 @@ def node_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 node = set_digest(hashes)
                 places = [int(p[0]) for p in bloom_places(np.array([node]))]
                 if len(hashes) and all(bits[p >> 3] >> (7 - (p & 7)) & 1 for p in places) and seen.first(node):
-                    counts = group_counts(hashes, groups_for(len(hashes))).astype(np.uint16)
-                    out.append((node, len(hashes), counts.tobytes(), hashes.tobytes()))
+                    out.append((node, hashes.tobytes()))
             if out:
-                n, s, c, h = zip(*out, strict=True)
+                keys, packed = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(n, pa.int64()), pa.array(s, pa.int32()), pa.array(c, pa.binary()), pa.array(h, pa.binary())],
-                    ["node", "n", "counts", "hashes"],
+                    [pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["node", "hashes"]
                 )
 
-    return rows.mapInArrow(run, "node long, n int, counts binary, hashes binary")
+    return rows.mapInArrow(run, "node long, hashes binary")
 
 
 def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -224,8 +232,11 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
     return _with_both(pairs, points, ("n", "counts")).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, compared on their whole sets."""
+def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, compared on their whole sets, read from ``rows`` again."""
+    pairs = checkpointed(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = checkpointed(node_sets(rows, asked, size).dropDuplicates(["node"]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +327,7 @@ def similar_groups(
     """(id, n_shingles, component_id), one row per document."""
     rows = id_and_text(docs, id_col, text_col)
     first = checkpointed(sets_and_counters(rows, size))
-    documents = first.where("block is null").select("id", "n", "node")
+    documents = first.where("block is null").select("id", F.col("n").cast("long").alias("n"), "node")
     counters = _gathered(first.where("block is not null"), np.add, np.uint32, COUNTERS)
 
     block = Window.partitionBy("shingle")
@@ -334,10 +345,9 @@ def similar_groups(
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    asked = blocks.select("node").distinct()
-    sets = checkpointed(node_sets(rows, asked, size).dropDuplicates(["node"]))
-    points = sets.select("node", "n", "counts")
-    links = checkpointed(verified(within_bound(stars, points, percent), sets, percent))
+    points = first.where("block is null and n > 0").select("node", "n", "counts")
+    points = checkpointed(points.join(blocks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    links = checkpointed(verified(within_bound(stars, points, percent), rows, size, percent))
     labels = components(links)
 
     members = blocks.select("shingle", "node").join(labels, "node", "left").select(
@@ -345,10 +355,9 @@ def similar_groups(
     )
     open_blocks = members.withColumn("low", F.min("label").over(block)).withColumn("high", F.max("label").over(block))
     open_blocks = open_blocks.where("low <> high").select("shingle", "node", "label").join(points, "node")
-    crossing = verified(block_pairs(open_blocks, percent, cell_nodes), sets, percent)
-    crossing = checkpointed(crossing)
+    crossing = checkpointed(block_pairs(open_blocks, percent, cell_nodes))
     if not crossing.isEmpty():
-        labels = components(links.unionByName(crossing))
+        labels = components(links.unionByName(verified(crossing, rows, size, percent)))
 
     per_node = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = per_node.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
