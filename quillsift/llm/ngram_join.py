@@ -8,7 +8,8 @@ Two documents link when their sets of ``size``-word shingles have a Jaccard simi
    common order. The order used puts rare shingles first, by counters over all documents
    (2**20 of them, whatever the input), so what many documents share hardly ever routes.
 3. Nodes that share such a shingle form a block. Each node is first compared with its block's
-   smallest node only; links found this way join most copies at once.
+   most common node only (the one with the most frequent shingles, which altered copies lie
+   around); links found this way join most copies at once.
 4. In blocks that still hold several components, count vectors (shingles per hash group) are
    the points of an R-tree; the sum of coordinate minima bounds the overlap. Pairs of different
    components that survive the bound are compared on their sets. Large blocks are cut into
@@ -52,12 +53,16 @@ def counter_places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-def prefix(hashes: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set by which every similar set can be found."""
+def prefix(hashes: np.ndarray, counters: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set by which every similar set can be found, and how common they are.
+
+    Of a text and its altered copies the text itself has the most common shingles.
+    """
     count = len(hashes)
     length = count - (percent * count + 99) // 100 + 1
-    order = np.lexsort((hashes, counters[counter_places(hashes)]))
-    return hashes[order[:length]]
+    common = counters[counter_places(hashes)]
+    order = np.lexsort((hashes, common))[:length]
+    return hashes[order], int(1000 * np.log2(1.0 + common[order]).mean())
 
 
 def sets_and_counters(rows: DataFrame, size: int) -> DataFrame:
@@ -140,17 +145,18 @@ class Recent(dict):
 
 
 def routing_shingles(rows: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(shingle, node, n): the prefix of every node's set."""
+    """(shingle, node, n, common): the prefix of every node's set."""
     shared = rows.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Recent()
         for part in slices(batches):
-            found, nodes, sizes, lengths = [], [], [], []
+            found, nodes, sizes, lengths, ranks = [], [], [], [], []
             for hashes in shingle_sets(part.column("text"), size):
                 node = set_digest(hashes)
                 if len(hashes) and seen.first(node):
-                    first = prefix(hashes, shared.value, percent)
+                    first, common = prefix(hashes, shared.value, percent)
+                    ranks.append(common)
                     found.append(first)
                     nodes.append(node)
                     sizes.append(len(hashes))
@@ -161,11 +167,12 @@ def routing_shingles(rows: DataFrame, counters: np.ndarray, size: int, percent:
                         pa.array(np.concatenate(found).view(np.int64)),
                         pa.array(np.repeat(np.array(nodes, dtype=np.int64), lengths)),
                         pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths)),
+                        pa.array(np.repeat(np.array(ranks, dtype=np.int32), lengths)),
                     ],
-                    ["shingle", "node", "n"],
+                    ["shingle", "node", "n", "common"],
                 )
 
-    return rows.mapInArrow(run, "shingle long, node long, n int")
+    return rows.mapInArrow(run, "shingle long, node long, n int, common int")
 
 
 def bloom_places(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,9 +340,10 @@ def similar_groups(
     block = Window.partitionBy("shingle")
     blocks = (
         routing_shingles(rows, counters, size, percent)
-        .withColumn("lead", F.min(F.struct("node", "n")).over(block))
-        .withColumn("last", F.max("node").over(block))
-        .where("lead.node <> last")
+        .withColumn("lead", F.max(F.struct("common", "node", "n")).over(block))
+        .withColumn("low", F.min("node").over(block))
+        .withColumn("high", F.max("node").over(block))
+        .where("low <> high")
         .select("shingle", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
     )
     blocks = checkpointed(blocks.dropDuplicates(["shingle", "node"]))
