@@ -38,7 +38,7 @@ from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.components import components
 from quillsift.llm.exact_dedup import broadcast_within
 from quillsift.llm.rtree import folded, joined, least_overlap, overlap_bound
-from quillsift.llm.shingles import group_counts, groups_for, set_digest, shingle_sets
+from quillsift.llm.shingles import group_counts, groups_for, pack_counts, set_digest, shingle_sets, unpack_counts
 from quillsift.session import checkpointed
 
 SIZE, PERCENT = 4, 85
@@ -85,7 +85,7 @@ _COLUMNS = ["id", "n", "node", "counts", "block"]
 
 
 def _sets_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    points = [group_counts(s, groups_for(len(s))).astype(np.uint16).tobytes() for s in sets]
+    points = [pack_counts(group_counts(s, groups_for(len(s)))) for s in sets]
     columns = [
         ids,
         pa.array([len(s) for s in sets], pa.int32()),
@@ -230,7 +230,7 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             kept = []
             for size_a, size_b, packed_a, packed_b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "counts_a", "counts_b")), strict=True):
-                first, second = (np.frombuffer(p, dtype=np.uint16).astype(np.int32) for p in (packed_a, packed_b))
+                first, second = unpack_counts(packed_a), unpack_counts(packed_b)
                 groups = min(len(first), len(second))
                 bound = overlap_bound(folded(first, groups), folded(second, groups))
                 kept.append(bool(bound >= least_overlap(size_a, size_b, percent)))
@@ -279,7 +279,7 @@ def block_pairs(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES)
             if (labels == labels[0]).all():
                 continue
             sizes = np.array([r[2] for r in rows])
-            points = [np.frombuffer(r[3], dtype=np.uint16) for r in rows]
+            points = [unpack_counts(r[3]) for r in rows]
             pairs = [
                 tuple(sorted((rows[i][0], rows[j][0])))
                 for i, j in joined(sizes, points, percent)
@@ -358,8 +358,15 @@ def similar_groups(
     links = checkpointed(verified(within_bound(stars, points, percent), rows, size, percent))
     labels = components(links)
 
-    members = blocks.select("shingle", "node").join(labels, "node", "left").select(
-        "shingle", "node", F.coalesce("label", "node").alias("label")
+    members = blocks.select("shingle", "node", "n").join(labels, "node", "left").select(
+        "shingle", "node", "n", F.coalesce("label", "node").alias("label")
+    )
+    # A node has a partner of fitting size only if the next smaller or larger one fits.
+    by_size = block.orderBy("n", "node")
+    members = (
+        members.withColumn("below", F.lag("n").over(by_size))
+        .withColumn("above", F.lead("n").over(by_size))
+        .where(f"100 * below >= {percent} * n or 100 * n >= {percent} * above")
     )
     open_blocks = members.withColumn("low", F.min("label").over(block)).withColumn("high", F.max("label").over(block))
     open_blocks = open_blocks.where("low <> high").select("shingle", "node", "label").join(points, "node")

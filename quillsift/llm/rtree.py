@@ -76,6 +76,12 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
 def joined(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs (i, j), i < j, whose bound reaches the similarity; points may differ in length."""
     lengths = np.array([len(p) for p in points])
+    if len(points) == 2:  # the smallest tree is its one pair
+        groups = int(lengths.min())
+        fits = 100 * sizes.min() >= percent * sizes.max()
+        if fits and overlap_bound(folded(points[0], groups), folded(points[1], groups)) >= least_overlap(*sizes, percent):
+            yield 0, 1
+        return
     for groups in sorted(set(lengths.tolist())):
         own = np.flatnonzero(lengths == groups)
         # Similar sets differ in size by less than two, so in groups by at most one step.

@@ -44,6 +44,16 @@ def group_counts(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
-def groups_for(size: int, least: int = 32, most: int = 4096) -> int:
-    """Number of groups of a set of ``size``: about eight to sixteen shingles in each."""
-    return max(least, min(most, 1 << max(0, (size // 8).bit_length() - 1)))
+def groups_for(size: int, least: int = 32, most: int = 8192) -> int:
+    """Number of groups of a set of ``size``: about two to four shingles in each."""
+    return max(least, min(most, 1 << max(0, (size // 2).bit_length() - 1)))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts with the bytes of each in front: one, or two if any needs them."""
+    kind = "<u1" if counts.max(initial=0) < 256 else "<u2"
+    return bytes([int(kind[-1])]) + counts.astype(kind).tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1).astype(np.int32)
