@@ -72,18 +72,18 @@ def line_findings(line: Column) -> Column:
         return F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
 
     markers = F.zip_with(
-        all_of(MARKER, 1), all_of(MARKER, 0), lambda s, raw: _found("spdx_marker", s, raw)
+        all_of("(?U)" + MARKER, 1), all_of("(?U)" + MARKER, 0), lambda s, raw: _found("spdx_marker", s, raw)
     )
     bare = F.transform(all_of(ids, 1), lambda s: _found("spdx", s, s))
     prose = F.filter(
         F.array(
             *[
                 F.when(
-                    line.rlike("(?i)" + rx),
+                    line.rlike("(?iU)" + rx),
                     _found(
                         "prose",
-                        F.concat(F.lit(prefix), F.regexp_extract(line, "(?i)" + rx, 1)),
-                        F.regexp_extract(line, "(?i)" + rx, 0),
+                        F.concat(F.lit(prefix), F.regexp_extract(line, "(?iU)" + rx, 1)),
+                        F.regexp_extract(line, "(?iU)" + rx, 0),
                     ),
                 )
                 for rx, prefix in CC_PROSE
@@ -92,7 +92,7 @@ def line_findings(line: Column) -> Column:
         lambda x: x.isNotNull(),
     )
     phrases = F.transform(
-        all_of("(?i)" + LICENSED_UNDER, 1),
+        all_of("(?iU)" + LICENSED_UNDER, 1),
         lambda p: F.regexp_replace(strip_edges(p), "[,;:]+$", ""),
     )
     under = F.transform(

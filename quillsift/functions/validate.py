@@ -103,12 +103,16 @@ def version_key(version: Column) -> Column:
             i.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(i, 20, "0"))
         ).otherwise(F.concat(F.lit("1"), i)),
     )
+    numbers = [F.regexp_extract(version, SEMVER, g).try_cast("decimal(20,0)") for g in (1, 2, 3)]
     key = F.struct(
-        *[F.regexp_extract(version, SEMVER, g).cast("decimal(20,0)").alias(f"n{g}") for g in (1, 2, 3)],
+        *[n.alias(f"n{g}") for g, n in enumerate(numbers, 1)],
         (pre == "").cast("int").alias("release"),
         ids.alias("pre"),
     )
-    return F.when(version.rlike(SEMVER), key)
+    readable = version.rlike(SEMVER)
+    for n in numbers:
+        readable = readable & n.isNotNull()
+    return F.when(readable, key)
 
 
 def is_newer(candidate: Column, current: Column) -> Column:
@@ -131,7 +135,7 @@ def duration_seconds(text: Column) -> Column:
         F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86_400).otherwise(1)
     )
     return F.when(
-        value.rlike(shape), F.regexp_extract(value, shape, 1).cast("long") * scale
+        value.rlike(shape), F.try_multiply(F.regexp_extract(value, shape, 1).try_cast("long"), scale.cast("long"))
     )
 
 

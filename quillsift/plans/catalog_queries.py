@@ -317,5 +317,4 @@ QUERIES = {
     "update_throttle": update_throttle,
     "manifest_validate": manifest_validate,
     "registry_validate": registry_validate,
-    "storage_status": storage_status,
 }

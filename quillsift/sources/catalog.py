@@ -219,7 +219,7 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
     rows = F.posexplode(
         _listed(
             {
-                "empty_text": sanitize_chunk(F.col("text")) == "",
+                "empty_text": F.coalesce(sanitize_chunk(F.col("text")), F.lit("")) == "",
                 "chunk_type": ~F.coalesce(F.col("chunk_type").isin("Code", "Info"), F.lit(True)),
             }
         )
@@ -228,9 +228,8 @@ def chunk_contract_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
         "docset", "violation", "chunk_idx"
     )
     counted = (
-        chunks.groupBy("docset").agg(F.count("*").alias("n"))
-        .join(expected, "docset")
-        .where(F.col("n") != F.col("chunk_count"))
+        expected.join(chunks.groupBy("docset").agg(F.count("*").alias("n")), "docset", "left")
+        .where(F.coalesce("n", F.lit(0)) != F.col("chunk_count"))
         .select("docset", F.lit("chunk_count").alias("violation"), F.lit(None).cast("long").alias("chunk_idx"))
     )
     return repeated.unionByName(outside).unionByName(content).unionByName(counted)

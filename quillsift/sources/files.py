@@ -40,9 +40,13 @@ def list_files(
         .option("pathGlobFilter", glob)
         .load(folder)
     )
+    return files.select("path", relative_to(folder).alias("rel"), "length", "content")
+
+
+def relative_to(folder: str) -> Column:
+    """The column ``path`` without the folder, whatever scheme either is written with."""
     base = folder.rstrip("/").split(":/")[-1].lstrip("/")
-    rel = F.regexp_replace("path", rf"^[A-Za-z]*:?/*\Q{base}\E/+", "")
-    return files.select("path", rel.alias("rel"), "length", "content")
+    return F.regexp_replace("path", rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*\Q{base}\E/+", "")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
