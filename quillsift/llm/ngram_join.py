@@ -11,9 +11,11 @@ Two documents link when their sets of ``size``-word shingles have a Jaccard simi
    most common node only (the one with the most frequent shingles, which altered copies lie
    around); links found this way join most copies at once.
 4. In blocks that still hold several components, count vectors (shingles per hash group) are
-   the points of an R-tree; the sum of coordinate minima bounds the overlap. Pairs of different
-   components that survive the bound are compared on their sets. Large blocks are cut into
-   cells, every pair of parts in a cell, so no task holds more than ``CELL_NODES`` of each part.
+   the points of an R-tree; the sum of coordinate minima bounds the overlap. Nodes in a pair of
+   different components that survives the bound come together again with their sets; such pairs
+   are compared until the block's components are joined. Large blocks are cut into cells, every
+   pair of parts in a cell, so no task holds more than about ``CELL_NODES`` count vectors or sets
+   of ``CELL_SHINGLES`` shingles (or one larger set) of each part.
 5. Components of all links give the result.
 
 Pairs inside a component already linked are not compared: no link between components is lost,
@@ -31,13 +33,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.components import components
 from quillsift.llm.exact_dedup import broadcast_within
-from quillsift.llm.rtree import folded, joined, least_overlap, overlap_bound
+from quillsift.llm.rtree import folded, least_overlap, overlap_bound, partners
 from quillsift.llm.shingles import group_counts, groups_for, pack_counts, set_digest, shingle_sets, unpack_counts
 from quillsift.session import checkpointed
 
@@ -46,7 +48,9 @@ COUNTERS = 1 << 20
 COUNTER_BLOCKS = 16
 BLOOM_BITS = 1 << 26
 CELL_NODES = 2048
+CELL_SHINGLES = 1 << 20
 SEEN = 100_000
+_CELL = ("shingle", "low", "high")
 
 
 def counter_places(hashes: np.ndarray) -> np.ndarray:
@@ -266,61 +270,116 @@ def _with_both(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) ->
     return pairs
 
 
-def block_pairs(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES) -> DataFrame:
-    """(a, b): nodes of one block, in different components, whose count vectors allow a link.
+def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """The members of each block dealt into parts of about ``limit`` weight; two parts meet in a cell."""
+    block = Window.partitionBy("shingle")
+    parted = members.withColumn("parts", F.ceil(F.sum(weight).over(block) / limit).cast("int"))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return others.withColumn("low", low).withColumn("high", high).drop("parts", "part", "other")
+
 
-    ``members`` has (shingle, node, n, label, counts). A block of more than ``cell_nodes`` is
-    dealt into parts, and every two parts meet in one cell.
+def open_nodes(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES) -> DataFrame:
+    """(shingle, node, n, label) of the nodes with a partner in their block, of another component,
+    that their count vectors allow.
+
+    ``members`` has (shingle, node, n, label, counts). A node comes out once a cell at most,
+    however many partners it may have.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
+        for shingle, rows in _groups(batches, "counts"):
             labels = np.array([r[1] for r in rows])
             if (labels == labels[0]).all():
                 continue
             sizes = np.array([r[2] for r in rows])
-            points = [unpack_counts(r[3]) for r in rows]
-            pairs = [
-                tuple(sorted((rows[i][0], rows[j][0])))
-                for i, j in joined(sizes, points, percent)
-                if labels[i] != labels[j]
-            ]
-            if pairs:
-                a, b = zip(*pairs, strict=True)
+            wanted = np.zeros(len(rows), dtype=bool)
+            for i, found in partners(sizes, [unpack_counts(r[3]) for r in rows], percent):
+                found = found[labels[found] != labels[i]]
+                if len(found):
+                    wanted[i] = wanted[found] = True
+            nodes = np.array([r[0] for r in rows])[wanted]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(nodes), shingle)),
+                    pa.array(nodes),
+                    pa.array(sizes[wanted].astype(np.int32)),
+                    pa.array(labels[wanted]),
+                ],
+                ["shingle", "node", "n", "label"],
+            )
+
+    dealt = cells(members, F.lit(1), cell_nodes).repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    return dealt.mapInArrow(run, "shingle long, node long, n int, label long").dropDuplicates(["shingle", "node"])
+
+
+def block_links(
+    wanted: DataFrame, rows: DataFrame, size: int, percent: int, cell_shingles: int = CELL_SHINGLES
+) -> DataFrame:
+    """Links (a, b) that join the components of each block as all its links would.
+
+    ``wanted`` is the table of ``open_nodes``. Whole sets are compared; pairs that links found
+    before in the cell have joined are passed over, so a cell makes fewer links than it has nodes.
+    """
+    wanted = checkpointed(wanted)
+    sets = node_sets(rows, wanted.select("node").distinct(), size).dropDuplicates(["node"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in _groups(batches, "hashes"):
+            links = _links_of(members, percent)
+            if links:
+                a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    block = Window.partitionBy("shingle")
-    parted = members.withColumn("parts", F.ceil(F.count(F.lit(1)).over(block) / cell_nodes).cast("int"))
-    parted = parted.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cells = parted.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    ).select(
-        "shingle",
-        F.least("part", "other").alias("low"),
-        F.greatest("part", "other").alias("high"),
-        "node",
-        "label",
-        "n",
-        "counts",
-    )
-    keys = ("shingle", "low", "high")
-    dealt = cells.repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = cells(wanted, F.col("n"), cell_shingles).join(sets, "node")
+    dealt = dealt.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (node, label, n, counts) of one cell after the other."""
+def _links_of(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between rows (node, label, n, hashes) that join as many labels as can be."""
+    sets = [np.frombuffer(row[3], dtype=np.uint64) for row in members]
+    sizes = np.array([len(s) for s in sets])
+    points = [group_counts(s, groups_for(len(s))) for s in sets]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes = np.split(codes, np.cumsum(sizes)[:-1])
+    marked = np.zeros(int(sizes.sum()), dtype=bool)
+    above: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        while label in above:
+            above[label] = label = above.get(above[label], above[label])
+        return label
+
+    links = []
+    for i, found in partners(sizes, points, percent):
+        marked[codes[i]] = True
+        for j in found.tolist():
+            first, second = top(members[i][1]), top(members[j][1])
+            if first == second:
+                continue
+            common = int(np.count_nonzero(marked[codes[j]]))
+            if 100 * common >= percent * (int(sizes[i]) + int(sizes[j]) - common):
+                above[first] = second
+                links.append((members[i][0], members[j][0]))
+        marked[codes[i]] = False
+    return links
+
+
+def _groups(batches: Iterable[pa.RecordBatch], value: str) -> Iterator[tuple[int, list[tuple]]]:
+    """The shingle and the rows (node, label, n, value) of one cell of two or more after the other."""
     key, rows = None, []
     for batch in batches:
-        names = ("shingle", "low", "high", "node", "label", "n", "counts")
+        names = (*_CELL, "node", "label", "n", value)
         for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if row[:3] != key:
                 if len(rows) > 1:
-                    yield rows
+                    yield key[0], rows
                 key, rows = row[:3], []
             rows.append(row[3:])
     if len(rows) > 1:
-        yield rows
+        yield key[0], rows
 
 
 def similar_groups(
@@ -330,6 +389,7 @@ def similar_groups(
     size: int = SIZE,
     percent: int = PERCENT,
     cell_nodes: int = CELL_NODES,
+    cell_shingles: int = CELL_SHINGLES,
 ) -> DataFrame:
     """(id, n_shingles, component_id), one row per document."""
     rows = id_and_text(docs, id_col, text_col)
@@ -370,9 +430,9 @@ def similar_groups(
     )
     open_blocks = members.withColumn("low", F.min("label").over(block)).withColumn("high", F.max("label").over(block))
     open_blocks = open_blocks.where("low <> high").select("shingle", "node", "label").join(points, "node")
-    crossing = checkpointed(block_pairs(open_blocks, percent, cell_nodes))
+    crossing = checkpointed(block_links(open_nodes(open_blocks, percent, cell_nodes), rows, size, percent, cell_shingles))
     if not crossing.isEmpty():
-        labels = components(links.unionByName(verified(crossing, rows, size, percent)))
+        labels = components(links.unionByName(crossing))
 
     per_node = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = per_node.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))

@@ -73,14 +73,14 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0)
 
 
-def joined(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j), i < j, whose bound reaches the similarity; points may differ in length."""
+def partners(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) whose bound reaches the similarity, each pair once; points may differ in length."""
     lengths = np.array([len(p) for p in points])
     if len(points) == 2:  # the smallest tree is its one pair
         groups = int(lengths.min())
         fits = 100 * sizes.min() >= percent * sizes.max()
         if fits and overlap_bound(folded(points[0], groups), folded(points[1], groups)) >= least_overlap(*sizes, percent):
-            yield 0, 1
+            yield 0, np.array([1])
         return
     for groups in sorted(set(lengths.tolist())):
         own = np.flatnonzero(lengths == groups)
@@ -88,9 +88,15 @@ def joined(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> Iterato
         near = np.flatnonzero((lengths == groups) | (lengths == 2 * groups))
         table = np.stack([folded(points[n], groups) for n in near]).astype(np.int32)
         tree = CountTree(sizes[near], table)
-        place = {int(n): at for at, n in enumerate(near)}
-        for i in own.tolist():
-            for at in tree.search(int(sizes[i]), table[place[i]], percent).tolist():
-                j = int(near[at])
-                if lengths[j] > groups or i < j:
-                    yield (i, j) if i < j else (j, i)
+        for i, at in zip(own.tolist(), np.searchsorted(near, own).tolist(), strict=True):
+            found = near[tree.search(int(sizes[i]), table[at], percent)]
+            found = found[(lengths[found] > groups) | (found > i)]
+            if len(found):
+                yield i, found
+
+
+def joined(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """The pairs (i, j), i < j, of ``partners``."""
+    for i, found in partners(sizes, points, percent):
+        for j in found.tolist():
+            yield (i, j) if i < j else (j, i)

@@ -50,7 +50,7 @@ def near_copies(seed, bases=6, copies=12):
 def test_ngram_join_is_brute_force(spark, seed, cell):
     rows = near_copies(seed)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int")
-    found = ngram_join.similar_groups(docs, cell_nodes=cell).collect()
+    found = ngram_join.similar_groups(docs, cell_nodes=cell, cell_shingles=40 * cell).collect()
     assert sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in found) == brute_components(rows)
 
 
