@@ -11,11 +11,11 @@ Two documents link when their sets of ``size``-word shingles have a Jaccard simi
    most common node only (the one with the most frequent shingles, which altered copies lie
    around); links found this way join most copies at once.
 4. In blocks that still hold several components, count vectors (shingles per hash group) are
-   the points of an R-tree; the sum of coordinate minima bounds the overlap. Nodes in a pair of
-   different components that survives the bound come together again with their sets; such pairs
-   are compared until the block's components are joined. Large blocks are cut into cells, every
-   pair of parts in a cell, so no task holds more than about ``CELL_NODES`` count vectors or sets
-   of ``CELL_SHINGLES`` shingles (or one larger set) of each part.
+   the points of an R-tree; the sum of coordinate minima bounds the overlap. Nodes tied by pairs
+   of different components that survive the bound come together again with their sets, once for
+   all blocks that tie the same nodes, and are compared until they are joined. Large blocks are
+   cut into cells, every pair of parts in a cell, so no task holds more than about ``CELL_NODES``
+   count vectors or sets of ``CELL_SHINGLES`` shingles (or one larger set) of each part.
 5. Components of all links give the result.
 
 Pairs inside a component already linked are not compared: no link between components is lost,
@@ -50,7 +50,8 @@ BLOOM_BITS = 1 << 26
 CELL_NODES = 2048
 CELL_SHINGLES = 1 << 20
 SEEN = 100_000
-_CELL = ("shingle", "low", "high")
+OUT_ROWS = 10_000
+_CELL = ("block", "low", "high")
 
 
 def counter_places(hashes: np.ndarray) -> np.ndarray:
@@ -272,7 +273,7 @@ def _with_both(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) ->
 
 def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """The members of each block dealt into parts of about ``limit`` weight; two parts meet in a cell."""
-    block = Window.partitionBy("shingle")
+    block = Window.partitionBy("block")
     parted = members.withColumn("parts", F.ceil(F.sum(weight).over(block) / limit).cast("int"))
     parted = parted.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -280,38 +281,69 @@ def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     return others.withColumn("low", low).withColumn("high", high).drop("parts", "part", "other")
 
 
-def open_nodes(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES) -> DataFrame:
-    """(shingle, node, n, label) of the nodes with a partner in their block, of another component,
-    that their count vectors allow.
+class Tops:
+    """Disjoint sets of values that fall to one top each."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, value: int) -> int:
+        while value in self.above:
+            parent = self.above[value]
+            if parent in self.above:  # halve the way
+                self.above[value] = self.above[parent]
+            value = parent
+        return value
+
+    def join(self, first: int, second: int) -> bool:
+        first, second = self.top(first), self.top(second)
+        if first != second:
+            self.above[first] = second
+        return first != second
+
 
-    ``members`` has (shingle, node, n, label, counts). A node comes out once a cell at most,
-    however many partners it may have.
+def open_groups(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES) -> DataFrame:
+    """(block, node, n, label) of groups of nodes that the pairs of different components tie
+    together which their count vectors allow.
+
+    ``members`` has (block, node, n, label, counts). The groups of a cell are disjoint, so it gives
+    no more rows than it has nodes. A group's name is the digest of its nodes: what many
+    blocks find again (copies share many shingles) is one group.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, rows in _groups(batches, "counts"):
-            labels = np.array([r[1] for r in rows])
-            if (labels == labels[0]).all():
+        out: list[tuple] = []
+        for rows in _groups(batches, "counts"):
+            labels = [row[1] for row in rows]
+            if labels.count(labels[0]) == len(labels):
                 continue
-            sizes = np.array([r[2] for r in rows])
-            wanted = np.zeros(len(rows), dtype=bool)
-            for i, found in partners(sizes, [unpack_counts(r[3]) for r in rows], percent):
-                found = found[labels[found] != labels[i]]
-                if len(found):
-                    wanted[i] = wanted[found] = True
-            nodes = np.array([r[0] for r in rows])[wanted]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(nodes), shingle)),
-                    pa.array(nodes),
-                    pa.array(sizes[wanted].astype(np.int32)),
-                    pa.array(labels[wanted]),
-                ],
-                ["shingle", "node", "n", "label"],
-            )
+            ties = Tops()
+            tied = set()
+            sizes = np.array([row[2] for row in rows])
+            for i, found in partners(sizes, [unpack_counts(row[3]) for row in rows], percent):
+                for j in found.tolist():
+                    if labels[i] != labels[j]:
+                        ties.join(i, j)
+                        tied.update((i, j))
+            groups: dict[int, list[int]] = {}
+            for i in tied:
+                groups.setdefault(ties.top(i), []).append(i)
+            for group in groups.values():
+                name = set_digest(np.array([rows[i][0] for i in group], dtype=np.int64).view(np.uint64))
+                out.extend((name, rows[i][0], rows[i][2], labels[i]) for i in group)
+            if len(out) >= OUT_ROWS:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "node", "n", "label"])
 
     dealt = cells(members, F.lit(1), cell_nodes).repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
-    return dealt.mapInArrow(run, "shingle long, node long, n int, label long").dropDuplicates(["shingle", "node"])
+    return dealt.mapInArrow(run, "block long, node long, n int, label long").dropDuplicates(["block", "node"])
 
 
 def block_links(
@@ -319,14 +351,14 @@ def block_links(
 ) -> DataFrame:
     """Links (a, b) that join the components of each block as all its links would.
 
-    ``wanted`` is the table of ``open_nodes``. Whole sets are compared; pairs that links found
+    ``wanted`` is the table of ``open_groups``. Whole sets are compared; pairs that links found
     before in the cell have joined are passed over, so a cell makes fewer links than it has nodes.
     """
     wanted = checkpointed(wanted)
     sets = node_sets(rows, wanted.select("node").distinct(), size).dropDuplicates(["node"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _groups(batches, "hashes"):
+        for members in _groups(batches, "hashes"):
             links = _links_of(members, percent)
             if links:
                 a, b = zip(*links, strict=True)
@@ -345,41 +377,35 @@ def _links_of(members: list[tuple], percent: int) -> list[tuple[int, int]]:
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     codes = np.split(codes, np.cumsum(sizes)[:-1])
     marked = np.zeros(int(sizes.sum()), dtype=bool)
-    above: dict[int, int] = {}
-
-    def top(label: int) -> int:
-        while label in above:
-            above[label] = label = above.get(above[label], above[label])
-        return label
-
+    labels = Tops()
     links = []
     for i, found in partners(sizes, points, percent):
         marked[codes[i]] = True
         for j in found.tolist():
-            first, second = top(members[i][1]), top(members[j][1])
-            if first == second:
+            first, second = members[i][1], members[j][1]
+            if labels.top(first) == labels.top(second):
                 continue
             common = int(np.count_nonzero(marked[codes[j]]))
             if 100 * common >= percent * (int(sizes[i]) + int(sizes[j]) - common):
-                above[first] = second
+                labels.join(first, second)
                 links.append((members[i][0], members[j][0]))
         marked[codes[i]] = False
     return links
 
 
-def _groups(batches: Iterable[pa.RecordBatch], value: str) -> Iterator[tuple[int, list[tuple]]]:
-    """The shingle and the rows (node, label, n, value) of one cell of two or more after the other."""
+def _groups(batches: Iterable[pa.RecordBatch], value: str) -> Iterator[list[tuple]]:
+    """Rows (node, label, n, value) of one cell of two or more after the other."""
     key, rows = None, []
     for batch in batches:
         names = (*_CELL, "node", "label", "n", value)
         for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if row[:3] != key:
                 if len(rows) > 1:
-                    yield key[0], rows
+                    yield rows
                 key, rows = row[:3], []
             rows.append(row[3:])
     if len(rows) > 1:
-        yield key[0], rows
+        yield rows
 
 
 def similar_groups(
@@ -429,8 +455,9 @@ def similar_groups(
         .where(f"100 * below >= {percent} * n or 100 * n >= {percent} * above")
     )
     open_blocks = members.withColumn("low", F.min("label").over(block)).withColumn("high", F.max("label").over(block))
-    open_blocks = open_blocks.where("low <> high").select("shingle", "node", "label").join(points, "node")
-    crossing = checkpointed(block_links(open_nodes(open_blocks, percent, cell_nodes), rows, size, percent, cell_shingles))
+    open_blocks = open_blocks.where("low <> high").select(F.col("shingle").alias("block"), "node", "label")
+    open_blocks = open_blocks.join(points, "node")
+    crossing = checkpointed(block_links(open_groups(open_blocks, percent, cell_nodes), rows, size, percent, cell_shingles))
     if not crossing.isEmpty():
         labels = components(links.unionByName(crossing))
 
