@@ -115,10 +115,6 @@ class Pass:
         self.exp, self.total = logits, total
         self.log_probability = (wanted - np.log(total)).reshape(self.y.shape)
 
-    def log_begin(self, begins: int) -> np.ndarray:
-        """Log of the share that the first ``begins`` classes have of each place's probability."""
-        return np.log(self.exp[:, :begins].sum(axis=1) / self.total).reshape(self.y.shape)
-
     def gradients(self, model: Weights) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the scored places."""
         d_logits = self.exp / self.total[:, None]
@@ -147,21 +143,62 @@ def _by_context(contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return chosen.T @ rows.reshape(-1, WIDTH)
 
 
+class Scorer:
+    """The forward pass of ``Pass`` for scoring alone, from tables made once for a model.
+
+    Attention of two contexts is a table; a window place that does not exist has a context of its own,
+    ``CONTEXTS``, with nothing to attend to. The last column of ``value`` is 1, so its weighted sum is
+    what the weights are divided by.
+    """
+
+    def __init__(self, model: Weights, begins: int) -> None:
+        attention = np.exp(model.query @ model.key.T * np.float32(WIDTH**-0.5))
+        self.attention = np.ones((CONTEXTS, CONTEXTS + 1), np.float32)
+        self.attention[:, :CONTEXTS] = attention
+        self.distance = np.where(_SEEN, np.exp(model.distance[_DISTANCE]), np.float32(0))
+        self.value = np.zeros((CONTEXTS + 1, WIDTH + 1), np.float32)
+        self.value[:CONTEXTS, :WIDTH] = model.value
+        self.value[:CONTEXTS, WIDTH] = 1
+        self.out = model.out
+        self.bigram = model.bigram + model.bias
+        #: Sums of all classes, and of those that begin a word.
+        self.sums = np.stack([np.ones(CLASSES), np.arange(CLASSES) < begins], axis=1).astype(np.float32)
+
+    def __call__(
+        self, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places scored, and there the logs of the target's probability and the beginning classes'."""
+        places = first[:, None] + np.arange(-_BACK, SCORED)
+        inside = (places >= begin[:, None]) & (places < end[:, None])
+        x = np.where(inside, inputs[np.clip(places, 0, len(inputs) - 1)].astype(np.int32), np.int32(CONTEXTS))
+        last = np.minimum(x[:, _BACK:], CONTEXTS - 1)
+        weights = self.attention.ravel().take((last * (CONTEXTS + 1))[:, :, None] + x[:, None, :])
+        weights *= self.distance
+        summed = (weights @ self.value[x])[inside[:, _BACK:]]
+        places, last = places[:, _BACK:][inside[:, _BACK:]], last[inside[:, _BACK:]]
+        logits = (summed[:, :WIDTH] / summed[:, WIDTH:]) @ self.out
+        logits += self.bigram[last]
+        np.exp(logits, out=logits)
+        sums = logits @ self.sums
+        wanted = logits[np.arange(len(logits)), targets[places]]
+        return places, np.log(wanted / sums[:, 0]), np.log(sums[:, 1] / sums[:, 0])
+
+
 def log_probabilities(
-    model: Weights, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, begins: int, batch: int = 512
+    model: Weights, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, begins: int, batch: int = 256
 ) -> tuple[np.ndarray, np.ndarray]:
     """Natural logs for every place, each scored in one window: of the target's probability, and of
     the first ``begins`` classes' together.
     """
+    score = Scorer(model, begins)
     first, begin, end = windows(lengths)
     of_target = np.zeros(len(targets), dtype=np.float64)
     of_begin = np.zeros(len(targets), dtype=np.float64)
     for at in range(0, len(first), batch):
         part = slice(at, at + batch)
-        done = Pass(model, inputs, targets, first[part], begin[part], end[part])
-        places = (first[part][:, None] + np.arange(SCORED))[done.scored]
-        of_target[places] = done.log_probability[done.scored]
-        of_begin[places] = done.log_begin(begins)[done.scored]
+        places, target, beginning = score(inputs, targets, first[part], begin[part], end[part])
+        of_target[places] = target
+        of_begin[places] = beginning
     return of_target, of_begin
 
 
