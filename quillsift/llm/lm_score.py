@@ -24,6 +24,7 @@ model, untrained, counts. Columns other than id and text are not read.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -64,15 +65,15 @@ class Subwords(dict):
         self.model = tokenizer.model
         self.size = tokenizer.get_vocab_size()
         self.end = (self.size - 1).to_bytes(2, "little")
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         blank = self.letters[0x20]
         #: Whether an id begins a word; the end id does.
         self.begin = np.array([(tokenizer.id_to_token(i) or "").startswith(blank) for i in range(self.size)])
         self.begin[-1] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        spelled = "".join([self.letters[b] for b in b" " + word])
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u2").tobytes()
+        spelled = (b" " + word).decode("latin-1").translate(self.letters)
+        ids = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         if len(word) <= CACHE_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
