@@ -43,10 +43,14 @@ def byte_embedder(dim: int = params.VECTOR_DIM) -> Embedder:
 
 
 def quantize_half(col: Column) -> Column:
-    """Round every lane to half precision and back, as a stored vector would be."""
+    """Round every lane to half precision, ties to even, as a stored vector would be."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: np.asarray(v, np.float16).astype(np.float32))
+    def half(lane: Column) -> Column:
+        size = F.abs(lane.cast("double"))
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+        rounded = F.rint(size / step) * step
+        # From here on the next step up would leave the half-precision range.
+        rounded = F.when(size >= 65520, F.lit(float("inf"))).otherwise(rounded)
+        return F.when(F.isnan(lane), lane).otherwise(F.signum(lane) * rounded).cast("float")
 
-    return run(col)
+    return F.transform(col, half)

@@ -71,6 +71,16 @@ def decide(queries: DataFrame, selected: DataFrame, p: SearchParams = SearchPara
     )
 
 
+def refuse(qids: DataFrame) -> DataFrame:
+    """Decisions about invalid queries, which have no evidence: one row per ``qid``."""
+    return qids.select(
+        "qid",
+        F.lit(False).alias("gate_passed"),
+        F.lit("invalid_query").alias("answer_state"),
+        F.lit("invalid_query").alias("decision_reason"),
+    )
+
+
 def neighbor_window(selected: DataFrame, n_chunks: int) -> DataFrame:
     """Selected chunks in rank order, then the chunk before and after each.
 

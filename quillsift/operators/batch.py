@@ -29,12 +29,14 @@ class QueryBatch:
     ``rows`` holds the queries on the driver only when their number and bytes are
     within the bounds, and ``df`` then reads from them; it is None for a batch that
     must stay distributed. ``analyzer`` turns text into terms, for the queries and
-    for the chunks they are matched with.
+    for the chunks they are matched with. ``refused`` holds the qids of invalid
+    queries, which are answered by a decision alone.
     """
 
     df: DataFrame
     rows: tuple[Row, ...] | None
     analyzer: Analyzer = terms
+    refused: DataFrame | None = None
 
     @classmethod
     def measure(
@@ -46,13 +48,15 @@ class QueryBatch:
     ) -> QueryBatch:
         """Check the queries and fetch them only when they are few and short.
 
-        Invalid queries (empty or over the length limit) are left out, so one
-        more row than the bound is itself of bounded size.
+        Invalid queries (null, empty or over the length limit) go to ``refused``,
+        so one more row than the bound is itself of bounded size.
         """
+        valid = F.coalesce(query_ok(F.col("query")), F.lit(False))
+        refused = queries.where(~valid).select("qid")
         have = set(queries.columns)
         top_k = F.col("top_k") if "top_k" in have else F.lit(None).cast("int")
         budget = F.col("max_tokens") if "max_tokens" in have else F.lit(None).cast("int")
-        df = queries.where(query_ok(F.col("query"))).select(
+        df = queries.where(valid).select(
             "qid",
             "query",
             F.col("qvec").cast("array<double>").alias("qvec"),
@@ -67,11 +71,11 @@ class QueryBatch:
         size = sum(len(r["query"].encode()) + 8 * len(r["qvec"]) for r in fetched)
         small = len(fetched) <= max_queries and size <= max_bytes
         if not small:
-            return cls(df, None, analyzer)
+            return cls(df, None, analyzer, refused)
         arrow = to_arrow_schema(df.schema)
         columns = [pa.array([r[f.name] for r in fetched], f.type) for f in arrow]
         local = df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
-        return cls(local, tuple(fetched), analyzer)
+        return cls(local, tuple(fetched), analyzer, refused)
 
     @property
     def small(self) -> bool:

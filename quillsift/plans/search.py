@@ -157,7 +157,8 @@ def search(
     """Answer every query of the batch.
 
     ``rows`` has one row per returned chunk; a query labelled ``no_answer``
-    returns none, which ``decisions`` tells apart. The pool and the selection are
+    returns none, which ``decisions`` tells apart; an invalid one has the state
+    ``invalid_query`` there. The pool and the selection are
     small (a fixed number of rows per query) and each feeds several joins, so
     both cut their lineage.
     """
@@ -184,6 +185,8 @@ def search(
         .withColumn("tokens", count_tokens(F.col("text")))
         .join(batch.sized(labels), "qid")
     )
+    if batch.refused is not None:
+        decisions = decisions.unionByName(answer.refuse(batch.refused), allowMissingColumns=True)
     return SearchResult(answer.pack_to_budget(fetched), decisions, selected, pool)
 
 
@@ -204,6 +207,7 @@ def search_docsets(
     for docset in installed:
         batch = QueryBatch.measure(queries.where(F.col("docset") == docset))
         if batch.rows == ():
+            decisions.append(answer.refuse(batch.refused).withColumn("docset", F.lit(docset)))
             continue
         table = store.chunks(docset)
         found = search(batch, table, table.select("chunk_idx", "embedding", "span"), p, reranker)
@@ -211,7 +215,9 @@ def search_docsets(
         decisions.append(found.decisions.withColumn("docset", F.lit(docset)))
     if not rows:
         raise ValueError("no valid query")
-    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, decisions)
+    return reduce(DataFrame.unionByName, rows), reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), decisions
+    )
 
 
 def pool_cosines(ready: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quillsift import params, schemas
 from quillsift.functions.text import normalize_heading_path, replace_heading_line
 from quillsift.functions.validate import canonical_source_url
-from quillsift.functions.vectors import Embedder
+from quillsift.functions.vectors import Embedder, quantize_half
 from quillsift.operators.chunking import chunk_markdown, with_global_index
 from quillsift.operators.lexical import postings
 from quillsift.params import ChunkBudget
@@ -46,6 +46,8 @@ class _Files:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
+        self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
@@ -67,16 +69,19 @@ class _Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
+        """Write beside the target, then rename over it: readers find the old text or the new one."""
         side = f"{path}.tmp"
         stream = self._fs.create(self._path(side), True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        self.delete(path)
-        if not self._fs.rename(self._path(side), self._path(path)):
-            raise StoreError(f"cannot write {path}")
+        hadoop = self._jvm.org.apache.hadoop.fs
+        how = self._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        target = self._fs.makeQualified(self._path(path))
+        context = hadoop.FileContext.getFileContext(target.toUri(), self._conf)
+        context.rename(self._fs.makeQualified(self._path(side)), target, how)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
@@ -209,7 +214,7 @@ class DocsetStore:
         dim = manifest["embedder"]["vector_dim"]
         checked = chunks.withColumn(
             "embedding",
-            F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(
+            F.when(F.size("embedding") == dim, quantize_half(F.col("embedding"))).otherwise(
                 F.raise_error(F.lit(f"vector dimension is not {dim}"))
             ),
         )
@@ -257,7 +262,7 @@ class DocsetStore:
         dim = self.manifest(docset)["embedder"]["vector_dim"]
         schemas.ensure_schema(chunks).withColumn(
             "embedding",
-            F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(
+            F.when(F.size("embedding") == dim, quantize_half(F.col("embedding"))).otherwise(
                 F.raise_error(F.lit(f"vector dimension is not {dim}"))
             ),
         ).withColumn("span", schemas.span_of(F.col("chunk_idx"))).write.partitionBy("span").mode(
@@ -268,11 +273,13 @@ class DocsetStore:
         self, docset: str, folder: str, embed: Embedder, base_url: str | None = None,
         budget: ChunkBudget = ChunkBudget(), **meta: str,
     ) -> str:
-        """Chunk, embed and store a Markdown tree as the docset's new version."""
+        """Chunk, embed and store a Markdown tree as the docset's new version.
+
+        Files follow each other by path, compared component by component.
+        """
         pages = read_markdown(self.spark, folder).withColumnRenamed("rel", "doc_key")
-        indexed = with_global_index(
-            chunk_markdown(pages, budget=budget), "doc_key", ["block_no", "part_no"]
-        )
+        chunked = chunk_markdown(pages, budget=budget).withColumn("_path", F.split("doc_key", "/"))
+        indexed = with_global_index(chunked, "_path", ["block_no", "part_no"])
         rows = indexed.select(
             "chunk_idx",
             "heading_path",

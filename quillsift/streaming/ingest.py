@@ -16,11 +16,15 @@ from quillsift.operators.batch import QueryBatch
 from quillsift.operators.chunking import chunk_markdown
 from quillsift.params import ChunkBudget, SearchParams
 from quillsift.plans.search import search
-from quillsift.sources.files import stamp_source
+from quillsift.sources.files import relative_to, stamp_source
 
 
-def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New ``.md`` files as ``(doc_key, markdown)``."""
+def markdown_stream(spark: SparkSession, folder: str, drop_depth: int = 0) -> DataFrame:
+    """New ``.md`` files as ``(doc_key, markdown, version)``, keyed by their path below the folder.
+
+    The first ``drop_depth`` folders of that path name the delivery and are not part of the key,
+    so that a later delivery can replace a page. ``version`` orders deliveries of one page.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -29,8 +33,9 @@ def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
     )
     return files.select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("doc_key"),
+        F.regexp_replace(relative_to(folder), rf"^(?:[^/]+/){{{drop_depth}}}", "").alias("doc_key"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("markdown"),
+        F.struct("modificationTime", "path").alias("version"),
     )
 
 
@@ -42,16 +47,19 @@ def ingest_stream(
     embed: Embedder,
     base_url: str | None = None,
     budget: ChunkBudget = ChunkBudget(),
+    drop_depth: int = 0,
 ) -> StreamingQuery:
     """Chunk and embed arriving files; a page that arrives again replaces itself.
 
-    Pages are hashed into a fixed number of table partitions; each batch writes
-    its rows under its own batch number, so a replayed batch overwrites itself,
-    and readers take the latest batch per page.
+    Each batch writes its chunks, then its pages, under its own batch number, so
+    a replayed batch overwrites itself. Readers take the latest batch per page,
+    also of a page whose newest version has no chunks. Spark's file source does
+    not see files of zero bytes.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = chunk_markdown(batch, budget=budget).select(
+        newest = batch.groupBy("doc_key").agg(F.max_by("markdown", "version").alias("markdown"))
+        rows = chunk_markdown(newest, budget=budget).select(
             stamp_source(F.col("doc_key"), base_url).alias("source_url"),
             "block_no",
             "part_no",
@@ -60,10 +68,12 @@ def ingest_stream(
             "text",
             embed(F.col("text")).alias("embedding"),
         )
-        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{table}/chunks/batch={number}")
+        pages = newest.select(stamp_source(F.col("doc_key"), base_url).alias("source_url"))
+        pages.write.mode("overwrite").parquet(f"{table}/pages/batch={number}")
 
     return (
-        markdown_stream(spark, folder)
+        markdown_stream(spark, folder, drop_depth)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
@@ -73,9 +83,9 @@ def ingest_stream(
 
 def latest_pages(spark: SparkSession, table: str) -> DataFrame:
     """Chunks of the newest version of every page written by ``ingest_stream``."""
-    rows = spark.read.option("basePath", table).parquet(table)
-    newest = rows.groupBy("source_url").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["source_url", "batch"])
+    pages = spark.read.parquet(f"{table}/pages")
+    newest = pages.groupBy("source_url").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{table}/chunks").join(newest, ["source_url", "batch"])
 
 
 def search_stream(

@@ -137,6 +137,10 @@ def test_invalid_queries_are_left_out(spark, corpus):
     batch = QueryBatch.measure(queries)
     assert sorted(r["qid"] for r in batch.rows) == list(range(2, 12))
     assert QueryBatch.measure(queries.limit(0)).rows == ()
+    found = plan.search(batch, corpus[2], corpus[3])
+    states = {r["qid"]: r["answer_state"] for r in found.decisions.collect()}
+    assert sorted(states) == list(range(12))
+    assert [q for q, state in states.items() if state == "invalid_query"] == [0, 1]
 
 
 def test_fusion_keeps_missing_ranks(spark):

@@ -9,15 +9,16 @@ from quillsift.streaming.ingest import ingest_stream, latest_pages, search_strea
 
 def test_pages_replace_themselves(spark, tmp_path):
     docs, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "s")
-    docs.mkdir()
-    (docs / "a.md").write_text("# A\nold words")
-    (docs / "b.md").write_text("# B\nother")
-    ingest_stream(spark, str(docs), table, state, byte_embedder(8)).awaitTermination()
+    for name, text in {"a.md": "# A\nold words", "b.md": "# B\nother", "x/a.md": "# X\nmine", "c.md": "# C\ngone"}.items():
+        (docs / "v1" / name).parent.mkdir(parents=True, exist_ok=True)
+        (docs / "v1" / name).write_text(text)
+    ingest_stream(spark, str(docs), table, state, byte_embedder(8), drop_depth=1).awaitTermination()
     (docs / "v2").mkdir()
     (docs / "v2" / "a.md").write_text("# A\nnew words")
-    ingest_stream(spark, str(docs), table, state, byte_embedder(8)).awaitTermination()
+    (docs / "v2" / "c.md").write_text("\n")
+    ingest_stream(spark, str(docs), table, state, byte_embedder(8), drop_depth=1).awaitTermination()
     got = {r.source_url: r.text for r in latest_pages(spark, table).collect()}
-    assert got == {"a.md": "## A\n\nnew words", "b.md": "## B\n\nother"}
+    assert got == {"a.md": "## A\n\nnew words", "b.md": "## B\n\nother", "x/a.md": "## X\n\nmine"}
 
 
 def test_streamed_queries_are_answered(spark, tmp_path):

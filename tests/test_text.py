@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,16 @@ def test_vectors(spark):
     assert rows.select(quantize_half(F.array(F.lit(0.1).cast("float"))).alias("h")).first().h[0] == pytest.approx(0.09997559)
 
 
+def test_half_precision_rounds_like_numpy(spark):
+    rng = np.random.default_rng(3)
+    lanes = (rng.normal(size=4000) * 10.0 ** rng.integers(-9, 6, 4000)).astype(np.float32)
+    lanes[:7] = [0, 1, -2, 65519, 65520, -1e9, 2049]
+    rows = spark.createDataFrame([([float(x) for x in lanes],)], "v array<float>")
+    with np.errstate(over="ignore"):
+        expected = lanes.astype(np.float16).astype(np.float32)
+    assert np.array_equal(np.array(rows.select(quantize_half(F.col("v"))).first()[0], np.float32), expected)
+
+
 def test_long_texts_do_not_overflow_the_matcher(spark):
     prose = "<b>word</b> and {x} more `{y}`\n" * 40_000
     text = f"{prose}```js\n{'let a = {1}' + chr(10)}" + "code {k}\n" * 40_000 + "```\n<script>" + "s" * 200_000 + "</script>\n"
