@@ -15,6 +15,10 @@ from quillsift.llm import exact_dedup, language_id, ngram_join, packing, quality
 from quillsift.session import shared_folder
 
 
+#: A near copy shares five-word shingles to a Jaccard similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go: those without letters, and those unlike every profile."""
     return language_id.accepted(docs)
@@ -32,7 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

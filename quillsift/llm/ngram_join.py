@@ -470,13 +470,15 @@ def similar_groups(
     return linked.unionByName(alone)
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT
+) -> DataFrame:
     """The rows of ``docs``, all columns, of which each group of linked documents has one.
 
     The smallest id stays. Rows that repeat an id share their fate: they stay if one of them is its
     group's smallest. Rows with a null id stay.
     """
-    groups = similar_groups(docs, id_col, text_col)
+    groups = similar_groups(docs, id_col, text_col, size, percent)
     gone = groups.groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("stays"))
     gone = checkpointed(gone.where("id is not null and not stays").select("id"))
     return docs.join(broadcast_within(gone), docs[id_col].cast("long") == gone["id"], "left_anti")

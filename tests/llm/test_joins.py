@@ -123,3 +123,29 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert ids[3] == {int(c) for _, _, c in brute_components(list(texts.items()))}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == ids[3]
+
+
+def test_near_copies_of_the_pipeline_are_brute_force(spark):
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in near_copies(5) if i is not None]
+    text = [f"v{n}" for n in range(100)]
+    # Two inner words changed: 89 / 105 of the four-word shingles, 86 / 106 of the five-word ones.
+    rows += [(2000, " ".join(text)), (2001, " ".join("z" if n in (30, 60) else w for n, w in enumerate(text)))]
+    # Three: 83 / 109, below 0.8.
+    rows += [(2002, " ".join("y" if n in (20, 50, 80) else w for n, w in enumerate(text)))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and 100 * common >= 80 * len(sets[a] | sets[b]):
+                least, other = sorted((group[a], group[b]))
+                group = {i: least if g == other else g for i, g in group.items()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs_of_rows(spark, rows), "").collect()}
+    assert kept == set(group.values())
+    assert 2000 in kept and 2001 not in kept and 2002 in kept
+
+
+def docs_of_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
