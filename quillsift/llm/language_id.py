@@ -31,7 +31,12 @@ from quillsift.llm.arrow_text import id_and_text, remainder, slices
 DIMENSIONS = 1024
 SEED = 20177
 UNKNOWN = "und"
-LEAST_SCORE = 0.02
+#: Of the scores that held-out rows reach, the share left below and what is taken of the score there.
+LEAST_SHARE, LEAST_PART = 0.01, 0.5
+#: Unrelated bundles have cosines around 0 with deviation DIMENSIONS ** -0.5; so many of them are chance,
+#: and so many for texts of fewer than SHORT trigrams, whose own score is low as well.
+CHANCE, SHORT_CHANCE, SHORT = 4.5, 2.0, 32
+SCORE_STEPS = 1000
 MAX_LANGUAGES = 1000
 TABLE_ROWS = 16384
 _SHIFT = 21
@@ -166,7 +171,10 @@ class Profiles:
 
     def name(self, text: str, vectors: GramVectors) -> tuple[str, float]:
         """The language of a text and the cosine with its prototype."""
-        codes, counts = trigrams(text)
+        return self.of(*trigrams(text), vectors)
+
+    def of(self, codes: np.ndarray, counts: np.ndarray, vectors: GramVectors) -> tuple[str, float]:
+        """The same of a text's trigrams."""
         if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
         own = vectors.bundle(codes, counts)
@@ -248,26 +256,64 @@ def predict(
     return id_and_text(docs, id_col, text_col, held_out).mapInArrow(run, PREDICTED)
 
 
+def least_score(
+    docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> float:
+    """The score below which a text of ``SHORT`` trigrams or more is in no known language.
+
+    A part of what nearly all held-out rows reach that are named as labelled, and above chance. A
+    histogram of ``SCORE_STEPS`` + 1 rows at most reaches the driver.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, steps = GramVectors(), np.zeros(SCORE_STEPS + 1, dtype=np.int64)
+        for part in slices(batches):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                codes, counts = trigrams(text)
+                if counts.sum() >= SHORT:
+                    name, score = profiles.of(codes, counts, vectors)
+                    steps[int(score * SCORE_STEPS)] += name == lang
+        found = np.flatnonzero(steps)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(steps[found])], ["step", "n"])
+
+    held_out = docs.where(
+        (remainder(docs[id_col], 4) == HELD_OUT) & docs[lang_col].isNotNull() & docs[text_col].isNotNull()
+    )
+    labelled = held_out.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
+    rows = labelled.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    left = LEAST_SHARE * sum(r["n"] for r in rows)
+    chance = CHANCE * DIMENSIONS**-0.5
+    for r in sorted(rows, key=lambda r: r["step"]):
+        left -= r["n"]
+        if left < 0:
+            return max(chance, LEAST_PART * r["step"] / SCORE_STEPS)
+    return chance
+
+
 def accepted(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    least_score: float = LEAST_SCORE,
+    least: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a known language.
 
-    Texts that are ``und``, or farther from every profile than ``least_score``, go.
+    Texts that are ``und``, or farther from every profile than ``least`` (by default
+    ``least_score`` of the table; for very short texts, what two deviations of chance reach), go.
     """
     known = learn(docs, id_col, text_col, lang_col)
+    least = least_score(docs, known, id_col, text_col, lang_col) if least is None else least
+    short = min(least, SHORT_CHANCE * DIMENSIONS**-0.5)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = GramVectors()
         for batch in batches:
             kept = []
             for text in pc.fill_null(batch.column(text_col), "").to_pylist():
-                name, score = known.name(text, vectors)
-                kept.append(name != UNKNOWN and score >= least_score)
+                codes, counts = trigrams(text)
+                name, score = known.of(codes, counts, vectors)
+                kept.append(name != UNKNOWN and score >= (least if counts.sum() >= SHORT else short))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

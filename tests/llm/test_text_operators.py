@@ -229,3 +229,19 @@ def test_base_score_is_brute_force(spark):
     expected = sorted((str(i), len(ws), sum(w in counts for w in ws), round(sum(math.log10((counts[w] + 1) / total) for w in ws), 6)) for (i, _), ws in zip(rows, split, strict=True))
     assert sorted((str(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found) == expected
     assert all(r["score"] < 0 for r in found)
+
+
+def test_texts_of_unlearned_languages_go(spark):
+    rng = random.Random(4)
+
+    def text(letters, words):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(words))
+
+    syllables = {"en": ["th", "er", "ing", "and", "ou", "re", "st"], "de": ["sch", "ein", "ich", "ung", "au", "be"]}
+    rows = [(n, text(syllables[lang], 40), lang) for n, lang in enumerate(["en", "de"] * 60)]
+    short = [(200, "andre", None), (201, "einung", None), (202, "there", "en")]
+    scripts = [[chr(c) for c in range(*r)] for r in ((0x430, 0x450), (0x3B1, 0x3C9), (0x4E00, 0x5000), (0x627, 0x64A))]
+    foreign = [(1000 + n, text(scripts[n % 4], 20 + n), None) for n in range(160)]
+    docs = spark.createDataFrame(rows + short + foreign, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.accepted(docs).collect()}
+    assert kept == {i for i, _, _ in rows + short}
