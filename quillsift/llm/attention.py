@@ -101,7 +101,7 @@ class Pass:
         scores *= np.float32(WIDTH**-0.5)
         scores += np.where(_SEEN, model.distance[_DISTANCE], _TINY)
         scores += np.where(inside, np.float32(0), _TINY)[:, None, :]
-        # Scores and logits stay small, so no maximum needs to be taken out before exp.
+        scores -= scores.max(axis=2, keepdims=True)
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=2, keepdims=True)
         self.p = scores
@@ -109,6 +109,7 @@ class Pass:
         logits = self.c @ model.out
         logits += model.bigram[self.last.ravel()]
         logits += model.bias
+        logits -= logits.max(axis=1, keepdims=True)
         wanted = logits[np.arange(len(logits)), self.y.ravel()]
         np.exp(logits, out=logits)
         total = logits.sum(axis=1)
@@ -178,6 +179,7 @@ class Scorer:
         places, last = places[:, _BACK:][inside[:, _BACK:]], last[inside[:, _BACK:]]
         logits = (summed[:, :WIDTH] / summed[:, WIDTH:]) @ self.out
         logits += self.bigram[last]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         sums = logits @ self.sums
         wanted = logits[np.arange(len(logits)), targets[places]]
@@ -211,22 +213,29 @@ def shifted(contexts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return inputs
 
 
-def train(bigram: np.ndarray, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, steps: int = 1200, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Weights:
-    """Adam on random batches of windows."""
-    model = Weights.fresh(bigram)
-    if not len(targets):
-        return model
-    rng = np.random.default_rng(seed)
-    first, begin, end = windows(lengths)
-    mean = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
-    square = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
-    for step in range(1, steps + 1):
-        part = rng.integers(0, len(first), batch)
-        done = Pass(model, inputs, targets, first[part], begin[part], end[part])
-        now = rate * (1 - 0.9 * step / steps)
-        for name, gradient in done.gradients(model).items():
-            mean[name] = 0.9 * mean[name] + 0.1 * gradient
-            square[name] = 0.99 * square[name] + 0.01 * gradient * gradient
-            change = (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)
-            setattr(model, name, (getattr(model, name) - np.float32(now) * change).astype(np.float32))
-    return model
+class Trainer:
+    """Adam over batches of windows, from given weights on."""
+
+    def __init__(self, model: Weights, rate: float, seed: int | tuple[int, ...] = 11, batch: int = 128) -> None:
+        self.model, self.rate, self.batch = model, rate, batch
+        self.rng = np.random.default_rng(seed)
+        self.mean = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
+        self.square = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
+        self.steps = self.windows = 0
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, share: int = 0, shares: int = 1, passes: int = 1) -> None:
+        """Every window of the documents whose number modulo ``shares`` is ``share``, ``passes`` times, in random order."""
+        first, begin, end = windows(lengths)
+        chosen = self.rng.permutation(np.tile(np.arange(share, len(first), shares), passes))
+        for at in range(0, len(chosen), self.batch):
+            part = chosen[at : at + self.batch]
+            self._step(Pass(self.model, inputs, targets, first[part], begin[part], end[part]).gradients(self.model))
+        self.windows += len(chosen)
+
+    def _step(self, gradients: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for name, gradient in gradients.items():
+            mean = self.mean[name] = 0.9 * self.mean[name] + 0.1 * gradient
+            square = self.square[name] = 0.99 * self.square[name] + 0.01 * gradient * gradient
+            change = (mean / (1 - 0.9**self.steps)) / (np.sqrt(square / (1 - 0.99**self.steps)) + 1e-8)
+            setattr(self.model, name, (getattr(self.model, name) - np.float32(self.rate) * change).astype(np.float32))

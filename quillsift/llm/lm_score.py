@@ -9,9 +9,10 @@ with the word's share of the training words, weight ``MIX``: on words met often
 any subword model, on all others the attention model decides. The score sums the log10 of the
 mixture over the text's words and its end; each subword is scored in one window.
 
-Counted over all learnable rows: words, ids, and pairs of context and id. The classes and the attention
-weights are fitted on the ``SAMPLE_ROWS`` learnable rows of smallest id hash, a documented bound;
-scoring covers every whole text.
+Counted over all learnable rows: words, ids, and pairs of context and id. Classes and contexts rank ids
+by these counts. The attention weights are trained on every window of all learnable rows: in each of
+``ROUNDS`` rounds every task trains on its next share of its windows, and the weights of all tasks,
+averaged by windows, are where the next round starts. Scoring covers every whole text.
 
 Each word's count is needed. The ``FREQUENT`` most frequent words (a fixed number) travel to the
 tasks; all other words join their counts by a shuffle on the word.
@@ -42,9 +43,12 @@ from quillsift.llm.pretoken import CACHE_WORD_CHARS, CACHE_WORDS, byte_letters
 from quillsift.llm.word_hash import words_of
 from quillsift.session import checkpointed
 
-SAMPLE_ROWS = 600
+ROUNDS = 4
+RATE = 0.02
+#: Windows that make a fit: a task has as many at least, and a smaller table is passed over until they are reached.
+FIT_WINDOWS = 1200 * 128
 SHARED_CLASSES = 8
-#: Ids, the most frequent of the sample, whose share in their class is counted by context.
+#: Ids, the most frequent, whose share in their class is counted by context.
 DETAILED = 8192
 BACKED = 5.0
 MIX = 0.35
@@ -147,63 +151,53 @@ def _by_rank(rank: np.ndarray, shares: int) -> np.ndarray:
     return np.minimum(scale * shares, shares - 1).astype(np.int64)
 
 
-def sample_of(learnable: DataFrame) -> DataFrame:
-    """(rank, text) of the sample; the rows' ids travel, at most ``SAMPLE_ROWS``."""
-    chosen = learnable.select("id").distinct().select("id", F.xxhash64("id").alias("rank")).orderBy("rank", "id").limit(SAMPLE_ROWS)
-    return learnable.join(F.broadcast(chosen), "id").select("rank", "text")
-
-
-def _sample_ids(sample: DataFrame, path: str) -> DataFrame:
-    """(rank, ids) in one task; some megabytes at most but for texts of extreme length."""
+def packed_ids(learnable: DataFrame, path: str) -> DataFrame:
+    """(ids, lengths) of all texts, some texts to a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             ids, lengths = subwords(path).ids(part.column("text").to_pylist())
-            cut = np.split(ids, np.cumsum(lengths)[:-1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("rank"), pa.array([c.tobytes() for c in cut], pa.binary())], ["rank", "ids"]
+                [pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())], ["ids", "lengths"]
             )
 
-    return sample.mapInArrow(run, "rank long, ids binary")
+    return learnable.select("text").mapInArrow(run, "ids binary, lengths binary")
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for ids, lengths in zip(batch.column("ids"), batch.column("lengths"), strict=True):
+            yield np.frombuffer(ids.as_buffer(), dtype="<u2"), np.frombuffer(lengths.as_buffer(), dtype=np.int64)
 
 
-def sample_vocabulary(sampled: DataFrame, begin: np.ndarray) -> Vocabulary:
-    """``vocabulary_of`` the sample's ids."""
+def corpus_vocabulary(packed: DataFrame, begin: np.ndarray) -> tuple[Vocabulary, int]:
+    """``vocabulary_of`` all learnable rows' ids, and how many windows these rows have."""
     size = len(begin)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for packed in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(packed, dtype="<u2"), minlength=size)
+        total = np.zeros(size + 1, dtype=np.int64)  # the last place counts windows
+        for ids, lengths in _unpacked(batches):
+            total[:size] += np.bincount(ids, minlength=size)
+            total[size] += len(attention.windows(lengths)[0])
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    rows = sampled.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(size, dtype=np.int64)
+    rows = packed.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size + 1, dtype=np.int64)
     for row in rows:  # at most one row for each id of the vocabulary
         counts[row["id"]] = row["n"]
-    return vocabulary_of(counts, begin)
+    return vocabulary_of(counts[:size], begin), int(counts[size])
 
 
-def corpus_counts(learnable: DataFrame, path: str, vocabulary: Vocabulary) -> DataFrame:
+def corpus_counts(learnable: DataFrame, packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(kind, key, n): words, ids, and pairs of context and detailed id, of all learnable texts."""
     shared = learnable.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = subwords(path), shared.value
-        ids_total = np.zeros(own.size, dtype=np.int64)
-        pairs = np.zeros(CONTEXTS * DETAILED, dtype=np.int64)
+    def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         ends = size = 0
         for part in slices(batches):
-            ids, lengths = own.ids(part.column("text").to_pylist())
-            ids_total += np.bincount(ids, minlength=own.size)
-            before = attention.shifted(of.contexts[ids], lengths)
-            detail = of.detail[ids]
-            keys = before.astype(np.int64) * DETAILED + detail
-            pairs += np.bincount(keys[detail >= 0], minlength=CONTEXTS * DETAILED)
             words, n = np.unique(words_of(part.column("text")).hashes, return_counts=True)
             held.append(words)
             counts.append(n)
@@ -213,13 +207,26 @@ def corpus_counts(learnable: DataFrame, path: str, vocabulary: Vocabulary) -> Da
                 yield from _count_rows(WORD, *_merged(held, counts))
                 held, counts, size = [], [], 0
         if ends:
-            yield from _count_rows(WORD, *_merged(held, counts))
+            if held:
+                yield from _count_rows(WORD, *_merged(held, counts))
             yield from _count_rows(WORD, np.array([END_WORD], dtype=np.uint64), np.array([ends]))
-            for kind, total in ((ID, ids_total), (PAIR, pairs)):
-                found = np.flatnonzero(total)
-                yield from _count_rows(kind, found.astype(np.uint64), total[found])
 
-    rows = learnable.select("text").mapInArrow(run, "kind int, key long, n long")
+    def count_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        ids_total = np.zeros(len(of.classes), dtype=np.int64)
+        pairs = np.zeros(CONTEXTS * DETAILED, dtype=np.int64)
+        for ids, lengths in _unpacked(batches):
+            ids_total += np.bincount(ids, minlength=len(ids_total))
+            before = attention.shifted(of.contexts[ids], lengths)
+            detail = of.detail[ids]
+            keys = before.astype(np.int64) * DETAILED + detail
+            pairs += np.bincount(keys[detail >= 0], minlength=CONTEXTS * DETAILED)
+        for kind, total in ((ID, ids_total), (PAIR, pairs)):
+            found = np.flatnonzero(total)
+            yield from _count_rows(kind, found.astype(np.uint64), total[found])
+
+    schema = "kind int, key long, n long"
+    rows = learnable.select("text").mapInArrow(count_words, schema).unionByName(packed.mapInArrow(count_ids, schema))
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -238,21 +245,63 @@ def _count_rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.
         )
 
 
-def fit(sampled: DataFrame, vocabulary: Vocabulary, bigram: np.ndarray) -> attention.Weights:
-    """Attention weights trained on the sample, in one task."""
-    shared = sampled.sparkSession.sparkContext.broadcast((vocabulary, bigram))
+def fit(packed: DataFrame, vocabulary: Vocabulary, bigram: np.ndarray, windows: int) -> attention.Weights:
+    """Attention weights trained on every window, in rounds of partial fits that are averaged."""
+    context = packed.sparkSession.sparkContext
+    model = attention.Weights.fresh(bigram)
+    if not windows:
+        return model
+    passes = max(1, -(-FIT_WINDOWS // windows))
+    dealt = packed.coalesce(max(1, windows // FIT_WINDOWS))
+    shared = context.broadcast((vocabulary, bigram))
+    for number in range(ROUNDS):
+        rows = _averaged(_partial_fits(dealt, shared, model.pack(), number, passes)).collect()
+        total = sum(np.frombuffer(r["total"], dtype="<f8") for r in sorted(rows, key=lambda r: r["task"]))
+        mean = total / sum(r["n"] for r in rows)
+        model = attention.Weights.unpack(mean.astype("<f4").tobytes(), bigram)
+    return model
+
+
+def _partial_fits(packed: DataFrame, shared, start: bytes, number: int, passes: int) -> DataFrame:
+    """(task, total, n): of every task the weights after its share of round ``number``, times its windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, log_counts = shared.value
-        texts = [np.frombuffer(p, dtype="<u2") for batch in batches for p in batch.column("ids").to_pylist()]
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        ids = np.concatenate([*texts, np.zeros(0, dtype="<u2")])
-        inputs = attention.shifted(of.contexts[ids], lengths)
-        packed = attention.train(log_counts, inputs, of.classes[ids], lengths).pack()
-        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["weights"])
+        task = TaskContext.get().partitionId()
+        rate = RATE * (1 - 0.9 * number / ROUNDS)
+        trainer = attention.Trainer(attention.Weights.unpack(start, log_counts), rate, (11, number, task))
+        for ids, lengths in _unpacked(batches):
+            inputs = attention.shifted(of.contexts[ids], lengths)
+            trainer.learn(inputs, of.classes[ids], lengths, number, ROUNDS, passes)
+        if trainer.windows:
+            weights = np.frombuffer(trainer.model.pack(), dtype="<f4").astype("<f8") * trainer.windows
+            yield _fit_row(task, weights, trainer.windows)
+
+    return packed.mapInArrow(run, _FIT)
+
+
+_FIT = "task int, total binary, n long"
+
+
+def _fit_row(task: int, total: np.ndarray, n: int) -> pa.RecordBatch:
+    columns = [pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["task", "total", "n"])
+
+
+def _averaged(fits: DataFrame) -> DataFrame:
+    """Sums of the partial fits, a fixed number of rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total, n = None, 0.0, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                first = row["task"] if first is None else first
+                total = total + np.frombuffer(row["total"], dtype="<f8")
+                n += row["n"]
+        if first is not None:
+            yield _fit_row(first, total, n)
 
-    rows = sampled.repartition(1).sortWithinPartitions("rank", "ids").mapInArrow(run, "weights binary").collect()
-    return attention.Weights.unpack(rows[0]["weights"], bigram) if rows else attention.Weights.fresh(bigram)
+    return fits.repartition(16, "task").sortWithinPartitions("task").mapInArrow(run, _FIT)
 
 
 def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,11 +312,11 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     learnable = rows.where("not held_out and id is not null")
     own = subwords(path)
 
-    sampled = checkpointed(_sample_ids(sample_of(learnable), path))
-    vocabulary = sample_vocabulary(sampled, own.begin)
-    counts = checkpointed(corpus_counts(learnable, path, vocabulary))
+    packed = checkpointed(packed_ids(learnable, path))
+    vocabulary, windows = corpus_vocabulary(packed, own.begin)
+    counts = checkpointed(corpus_counts(learnable, packed, vocabulary))
     shares, bigram = Shares.of(counts, vocabulary)
-    weights = fit(sampled, vocabulary, bigram)
+    weights = fit(packed, vocabulary, bigram, windows)
 
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v")).first()

@@ -245,3 +245,25 @@ def test_texts_of_unlearned_languages_go(spark):
     docs = spark.createDataFrame(rows + short + foreign, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in language_id.accepted(docs).collect()}
     assert kept == {i for i, _, _ in rows + short}
+
+
+def test_lm_learns_from_every_row(spark):
+    """Ids are ranked and windows trained over all rows, however many."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = lm_score.subwords(path)
+    rows = [(n, "the of and") for n in range(700)] + [(700 + n, "zebra quartz " * 20) for n in range(60)]
+    packed = lm_score.packed_ids(docs_of(spark, rows).repartition(3), path)
+    vocabulary, windows = lm_score.corpus_vocabulary(packed, own.begin)
+    ids, lengths = own.ids([t for _, t in rows])
+    assert windows == len(attention.windows(lengths)[0])
+    counts = np.bincount(ids, minlength=own.size)
+    assert (vocabulary.detail == lm_score.vocabulary_of(counts, own.begin).detail).all()
+    fitted, seen = [], []
+    for number in range(lm_score.ROUNDS):
+        bigram = np.zeros((attention.CONTEXTS, attention.CLASSES), np.float32)
+        start = attention.Weights.fresh(bigram).pack()
+        shared = spark.sparkContext.broadcast((vocabulary, bigram))
+        found = lm_score._partial_fits(packed, shared, start, number, 1).collect()
+        fitted.append(len(found))
+        seen.append(sum(r["n"] for r in found))
+    assert sum(seen) == windows and max(fitted) == 3
