@@ -16,7 +16,7 @@ import numpy as np
 CONTEXTS = 256
 CLASSES = 64
 WIDTH = 16
-WINDOW = 24
+WINDOW = 32
 SCORED = 16
 END = 0
 _TINY = np.float32(-1e9)

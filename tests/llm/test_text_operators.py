@@ -267,3 +267,17 @@ def test_lm_learns_from_every_row(spark):
         fitted.append(len(found))
         seen.append(sum(r["n"] for r in found))
     assert sum(seen) == windows and max(fitted) == 3
+
+
+def test_first_scored_place_has_sixteen_of_context():
+    rng = np.random.default_rng(3)
+    lengths = np.array([80])
+    inputs = rng.integers(0, attention.CONTEXTS, 80).astype(np.uint8)
+    targets = rng.integers(0, attention.CLASSES, 80).astype(np.uint8)
+    model = attention.Weights.fresh(np.zeros((attention.CONTEXTS, attention.CLASSES)))
+    whole, _ = attention.log_probabilities(model, inputs, targets, lengths, 3)
+    for back, seen in ((16, True), (17, False)):
+        changed = inputs.copy()
+        changed[32 - back] ^= 1  # 32 is the first place of a window
+        other, _ = attention.log_probabilities(model, changed, targets, lengths, 3)
+        assert (whole[32] != other[32]) == seen
