@@ -4,8 +4,8 @@ A page becomes a sequence of tags and runs of words. Words in reading context sc
 tags negative; one linear scan finds the contiguous stretch of the largest sum. The weights are
 log-odds learned over all pages that mark their own main text by ``article`` or ``main``: those
 pages are the labels. Elements that never hold main text (menus, headers, footers, sidebars,
-forms, scripts and the like, by name, role or class) are taken out before the scan, so
-what lies within the stretch is text only.
+forms, scripts and the like, by name, and containers by role or class) are taken out before
+the scan, so what lies within the stretch is text only.
 
 The learned table has at most ``len(FEATURES)`` rows, whatever the input. Pages of any length
 take one pass. A null or empty page, and one without text, gives the empty string. Null and
@@ -39,6 +39,7 @@ DROPPED = RAW | frozenset(
     "select button input search datalist".split()
 )
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("article aside center div dl fieldset figure li ol section table ul".split())
 # Words in class, id or role that mark what is not main text.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
@@ -60,28 +61,36 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_MARKS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_dropped(name: str, attributes: str) -> bool:
+def _is_dropped(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is taken out; ``inside`` says that ``article`` or ``main`` is open around it.
+
+    By words go containers alone: inside by a whole token of class or role, elsewhere by a part
+    of one, or of the id of a container other than ``section``.
+    """
     if name in DROPPED:
         return True
-    if not attributes or name in ("html", "body", "main"):
+    if not attributes or name not in CONTAINERS:
         return False
     words = COMMENT_WORDS if name == "article" else DROPPED_WORDS
-    return any(
-        part.lower() in words
-        for m in _MARKS.finditer(attributes)
-        for part in _PARTS.findall(m[1] or m[2] or m[3] or "")
-    )
+    whole = inside or name == "article"
+    for m in _MARKS.finditer(attributes):
+        if m[1].lower() == "id" and (whole or name == "section"):
+            continue
+        value = m[2] or m[3] or m[4] or ""
+        if any(part.lower() in words for part in (value.split() if whole else _PARTS.findall(value))):
+            return True
+    return False
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
     """("text", words), ("open", name) and ("close", name) outside dropped elements."""
     out: list[tuple[str, str]] = []
     lower = page.lower()
-    at = 0
+    at = mains = 0
     while at < len(page):
         m = _MARKUP.search(page, at)
         if m is None:
@@ -96,13 +105,15 @@ def tokens(page: str) -> list[tuple[str, str]]:
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             out.append(("close", name))
+            mains = max(0, mains - (name in MAIN))
         elif name in VOID:
             out.append(("open", name))
-        elif _is_dropped(name, attributes):
+        elif _is_dropped(name, attributes, mains > 0):
             at = _after(page, lower, name, at)
             out.append(("open", "div"))
         else:
             out.append(("open", name))
+            mains += name in MAIN
     return out
 
 
@@ -137,27 +148,49 @@ def _after(page: str, lower: str, name: str, at: int) -> int:
 
 
 def parts(page: str) -> tuple[list[tuple[str, str, int]], bool]:
-    """(kind or context, content, words) in page order; whether the page marks its main text."""
-    found = tokens(page)
-    marked = any(kind == "open" and name in MAIN for kind, name in found)
+    """(kind or context, content, words) in page order; whether the page marks its main text.
+
+    Marks count only if they hold most of the words of the region found without them.
+    """
     depth: dict[str, int] = defaultdict(int)
-    out = []
-    for kind, content in found:
+    out, inside = [], []
+    for kind, content in tokens(page):
+        inside.append(depth["article"] > 0 or depth["main"] > 0)
         if kind == "text":
             text = html.unescape(content)
-            count = len(text.split())
-            if depth["article"] > 0 or depth["main"] > 0:
-                context = "marked"
-            elif marked:
-                context = "unmarked"
-            else:
-                context = "link" if depth["a"] > 0 else "item" if depth["li"] > 0 else "plain"
-            out.append((context, text, count))
+            context = "link" if depth["a"] > 0 else "item" if depth["li"] > 0 else "plain"
+            out.append((context, text, len(text.split())))
         else:
             out.append((kind, content, 0))
             if content not in VOID:
                 depth[content] = max(0, depth[content] + (1 if kind == "open" else -1))
-    return out, marked
+    if not _trusted(out, inside):
+        return out, False
+    return [
+        (kind if kind in ("open", "close") else "marked" if within else "unmarked", content, count)
+        for (kind, content, count), within in zip(out, inside, strict=True)
+    ], True
+
+
+def _trusted(rows: list[tuple[str, str, int]], inside: list[bool]) -> bool:
+    """Whether marks hold most of the words that score positive in the best region by prior weights."""
+    if not any(kind == "open" and content in MAIN for kind, content, _ in rows):
+        return False
+    begin, end = best_region(scores_of(rows, _PRIOR_WEIGHTS))
+    held = [0, 0]
+    for (kind, _, count), within in zip(rows[begin:end], inside[begin:end], strict=True):
+        if count and _PRIOR_WEIGHTS[kind] > 0:
+            held[within] += count
+    return held[1] >= held[0]
+
+
+def scores_of(rows: list[tuple[str, str, int]], weights: dict[str, float]) -> list[float]:
+    return [
+        weights[feature_of(content)] if kind in ("open", "close") and content not in MAIN
+        else 0.0 if kind in ("open", "close")
+        else weights[kind] * count
+        for kind, content, count in rows
+    ]
 
 
 def feature_of(name: str) -> str:
@@ -233,6 +266,9 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return weights
 
 
+_PRIOR_WEIGHTS = weights_of({})
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """First and end place of the contiguous run of the largest positive sum."""
     best, region, total, begin = 0.0, (0, 0), 0.0, 0
@@ -248,13 +284,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, one line each."""
     rows, marked = parts(page)
-    scores = [
-        weights[feature_of(content)] if kind in ("open", "close") and content not in MAIN
-        else 0.0 if kind in ("open", "close")
-        else weights[kind] * count
-        for kind, content, count in rows
-    ]
-    begin, end = best_region(scores)
+    begin, end = best_region(scores_of(rows, weights))
     blocks: list[str] = []
     open_block: list[str] = []
     for kind, content, _ in rows[begin:end]:

@@ -281,3 +281,24 @@ def test_first_scored_place_has_sixteen_of_context():
         changed[32 - back] ^= 1  # 32 is the first place of a window
         other, _ = attention.log_probabilities(model, changed, targets, lengths, 3)
         assert (whole[32] != other[32]) == seen
+
+
+LAYOUTS = {
+    "words in names": (
+        "<article class='post'><h2 id='related-work'>Related work</h2><p class='notice'>Seen here.</p>"
+        "<h2 id='search'>Search</h2><section id='form-of-government'><p>A <span class='hidden-gem'>gem</span> of law.</p></section>"
+        "<div class='share-holders'><p>They own it.</p></div><div class='big share'>tweet</div><section id='alert'><p>Last.</p></section></article>",
+        "Related work\nSeen here.\nSearch\nA gem of law.\nThey own it.\nLast.",
+    ),
+    "teaser cards": (
+        "<body><div class='story'><p>" + "The long text of the page goes on. " * 9 + "</p><h2 id='search'>Why search</h2><p>"
+        + "More of the long text. " * 9 + "</p></div><article><a href=1>Teaser one</a></article><article><a href=2>Teaser two</a></article></body>",
+        ("The long text of the page goes on. " * 9).strip() + "\nWhy search\n" + ("More of the long text. " * 9).strip(),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_other_layouts(name):
+    page, text = LAYOUTS[name]
+    assert html_extract.main_text(page, html_extract.weights_of({})) == text
