@@ -4,7 +4,8 @@ A document's ids, closed by an end id, are cut into full windows of the longest
 remains is routed to the shortest tier that holds it. Each tier is packed from the longest to
 the shortest: a piece opens a window of its tier and shorter pieces fill the gap, the largest
 that fits first; if none fits, the smallest is cut, so a window closes exactly at its tier's
-length. Windows of one tier form step groups of equal token count.
+length. Windows of one tier form step groups of ``STEP_TOKENS`` inside a task; the last group of each
+tier in each task may hold less, so groups are not balanced over tasks.
 
 Packing is local to a task and holds at most ``POOL_TOKENS`` waiting ids beside the current
 document. Pieces still waiting at the end of a task go, cut freely, into windows of falling
