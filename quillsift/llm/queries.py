@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import (
+    alignment,
     bpe,
     chat_format,
     exact_dedup,
@@ -17,6 +18,7 @@ from quillsift.llm import (
     ngram_join,
     packing,
     quality,
+    whitening,
 )
 
 
@@ -82,6 +84,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), first, second).withColumnRenamed("id", "doc_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +105,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
