@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ def loaded(kind: type, path: str) -> ByteLevel | Pieces:
 def nested(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
     np.cumsum([len(i) for i in ids], out=offsets[1:])
-    flat = np.fromiter((t for own in ids for t in own), dtype=np.int32, count=int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
