@@ -1,8 +1,10 @@
 """Hashes of all words of an Arrow batch at once, straight from its UTF-8 buffer.
 
-A word is a run of bytes other than the six white-space characters; A-Z count as a-z. Its hash is
-a polynomial of random per-byte values modulo 2**64, finished by a mixer, so equal words have
-equal hashes on every machine and different ones differ but for a chance of about 2**-64 a pair.
+A word is a run of bytes other than the six white-space characters; A-Z count as a-z. Its hash
+sums its bytes, each times a random 64-bit coefficient of its place in the word, modulo 2**64, and
+goes through a mixer. Coefficients of different places have nothing to do with each other, so
+two words collide with a chance of about 2**-56 whatever pattern they have; a sum of powers of one
+base has no such bound modulo 2**64.
 """
 
 from __future__ import annotations
@@ -15,32 +17,14 @@ import pyarrow as pa
 from quillsift.llm.arrow_text import string_bytes
 
 _SEED = 60413
-_RNG = np.random.default_rng(_SEED)
-_BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_MODULUS = 1 << 64
+_GOLDEN = 0x9E3779B97F4A7C15
+#: Coefficients kept; those of places further on are made when needed.
+_KEPT = 4096
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-_VALUE_OF = _BYTE_VALUES[LOWER]
-
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
-
-
-def _power_tables(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown when a longer text comes along."""
-    global _powers, _inverse
-    if len(_powers) < count:
-        size = 1 << (count - 1).bit_length()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, _MODULUS)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers, _inverse = tables
-    return _powers[:count], _inverse[:count]
+_VALUE_OF = LOWER.astype(np.uint64) + np.uint64(1)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -52,6 +36,14 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def coefficients(places: np.ndarray) -> np.ndarray:
+    """Random factors of places in a word, the same on every machine."""
+    return mix(places.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(_SEED))
+
+
+_COEFFICIENTS = coefficients(np.arange(_KEPT))
+
+
 @dataclass
 class Words:
     """Words of some texts: hash, first byte and end in ``data``; text n has words bounds[n]:bounds[n+1]."""
@@ -89,11 +81,17 @@ def words_of(texts: pa.Array) -> Words:
     stops[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(stops) + 1
-    powers, inverse = _power_tables(size)
+    lengths = ends - starts
+    at = np.arange(size, dtype=np.int64)
+    places = at - np.maximum.accumulate(np.where(begins, at, 0))
+    # Bytes between words have any place; no sum takes them.
+    if lengths.max(initial=0) <= _KEPT:
+        factors = _COEFFICIENTS[np.minimum(places, _KEPT - 1)]
+    else:
+        factors = coefficients(places)
     sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum(_VALUE_OF[data] * powers, out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + lengths)
+    np.cumsum(_VALUE_OF[data] * factors, out=sums[1:])
+    hashes = mix(sums[ends] - sums[starts] + lengths.astype(np.uint64) * np.uint64(_GOLDEN))
     return Words(data, hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
