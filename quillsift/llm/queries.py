@@ -14,6 +14,7 @@ from quillsift.llm import (
     html_extract,
     language_id,
     lm_score,
+    minhash,
     neighbours,
     ngram_join,
     packing,
@@ -84,6 +85,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), first, second).withColumnRenamed("id", "doc_id")
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
+    "op11_minhash": op11_minhash,
     "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }

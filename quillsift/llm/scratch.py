@@ -1,0 +1,30 @@
+"""Tables written into the shared folder for the length of one job, and deleted after it."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillsift.session import shared_folder
+
+
+class Scratch:
+    """A folder of its own below the shared one; leaving the context deletes it."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a Parquet table, read again."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
