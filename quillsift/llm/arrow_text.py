@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds the arrays made from them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

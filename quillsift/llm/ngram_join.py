@@ -190,14 +190,14 @@ def bloom_of(nodes: DataFrame) -> np.ndarray:
     """A filter of fixed size (8 MB) that holds all nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
+        bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
         empty = True
         for batch in batches:
             empty = empty and batch.num_rows == 0
             for places in bloom_places(batch.column("node").to_numpy(zero_copy_only=False)):
-                bits[places] = True
+                np.bitwise_or.at(bits, places >> 3, (128 >> (places & 7)).astype(np.uint8))
         if not empty:
-            packed = [zlib.compress(b.tobytes(), 1) for b in np.split(np.packbits(bits), COUNTER_BLOCKS)]
+            packed = [zlib.compress(b.tobytes(), 1) for b in np.split(bits, COUNTER_BLOCKS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"]
             )

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 #: Code points below this, without the ones excluded in PLAIN, take the short way.
 LATIN_END = 0x180
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 CACHE_WORD_CHARS = 48
 
 
