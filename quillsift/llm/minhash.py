@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.components import components
+from quillsift.llm.exact_dedup import broadcast_within
 from quillsift.llm.ngram_join import Recent, Tops
 from quillsift.llm.scratch import Scratch
 from quillsift.llm.shingles import set_digest, shingle_sets
@@ -157,9 +158,13 @@ def within_radius(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def sets_of(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, hashes) of the nodes asked for."""
+    """(node, hashes) of the nodes asked for.
+
+    Their keys are broadcast where counted to be few, so the sets of other nodes do not travel.
+    """
     rows = table.where("hashes is not null").select("node", "hashes")
-    return rows.join(asked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    asked = broadcast_within(asked.select("node").distinct())
+    return rows.join(asked, "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
