@@ -4,7 +4,8 @@ A signature holds ``VALUES`` minima of ``BITS`` bits over a document's set of wo
 of two signatures is the number of values in which they differ; documents are candidates up to a
 distance of ``RADIUS``.
 
-1. Documents with one set become one node. Sets and signatures are written once.
+1. Documents with one set become one node. Only nodes and signatures are written; sets are made
+   again, for one document of each node that a comparison asks for.
 2. A signature is split into chunks of ``CHUNK`` values. By the pigeonhole principle two signatures
    within the radius differ in at most ``ERRORS`` values of some chunk. So each node gets a key for
    every way to leave out ``ERRORS`` values of a chunk, and every pair within the radius shares a key.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +45,6 @@ from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.components import components
 from quillsift.llm.exact_dedup import broadcast_within
 from quillsift.llm.ngram_join import Recent, Tops
-from quillsift.llm.scratch import Scratch
 from quillsift.llm.shingles import set_digest, shingle_sets
 from quillsift.llm.word_hash import mix
 from quillsift.session import checkpointed
@@ -89,30 +90,39 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
 
 
-def set_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, node, signature, hashes) per document; a task gives a set it met before only its node."""
+def signed_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(id, n, node, signature) per document; a task gives a set it met before only its node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Recent()
         for part in slices(batches):
             sets = list(shingle_sets(part.column("text"), size))
             nodes = [set_digest(s) for s in sets]
-            new = [bool(len(s)) and seen.first(node) for s, node in zip(sets, nodes, strict=True)]
+            fresh = [n for n, (s, node) in enumerate(zip(sets, nodes, strict=True)) if len(s) and seen.first(node)]
             signed: list[bytes | None] = [None] * len(sets)
-            fresh = [n for n, first in enumerate(new) if first]
             if fresh:
                 for n, row in zip(fresh, signatures([sets[n] for n in fresh]), strict=True):
                     signed[n] = row.tobytes()
-            columns = [
-                part.column("id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(nodes, pa.int64()),
-                pa.array(signed, pa.binary()),
-                pa.array([s.tobytes() if first else None for s, first in zip(sets, new, strict=True)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "signature", "hashes"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            columns = [part.column("id"), sizes, pa.array(nodes, pa.int64()), pa.array(signed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "signature"])
+
+    return rows.mapInArrow(run, "id long, n long, node long, signature binary")
+
+
+def set_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of documents with words; a task gives each set once or seldom more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Recent()
+        for part in slices(batches):
+            sets = [(set_digest(s), s) for s in shingle_sets(part.column("text"), size) if len(s)]
+            sets = [(node, s.tobytes()) for node, s in sets if seen.first(node)]
+            if sets:
+                nodes, hashes = zip(*sets, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    return rows.mapInArrow(run, "id long, n long, node long, signature binary, hashes binary")
+    return rows.mapInArrow(run, "node long, hashes binary")
 
 
 def key_rows(nodes: DataFrame) -> DataFrame:
@@ -157,20 +167,33 @@ def within_radius(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _with_both(pairs, nodes, "signature").mapInArrow(run, "a long, b long")
 
 
-def sets_of(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, hashes) of the nodes asked for.
+@dataclass
+class Corpus:
+    """The texts (id, text), their ``signed_rows`` and the shingle size."""
 
-    Their keys are broadcast where counted to be few, so the sets of other nodes do not travel.
-    """
-    rows = table.where("hashes is not null").select("node", "hashes")
-    asked = broadcast_within(asked.select("node").distinct())
-    return rows.join(asked, "node", "left_semi").dropDuplicates(["node"])
+    rows: DataFrame
+    signed: DataFrame
+    size: int
+
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """(node, hashes) of the nodes asked for, from the texts of one document each.
+
+        Their ids are broadcast where counted to be few, so that other texts do not travel.
+        """
+        asked = checkpointed(asked.select("node").distinct())
+        first = self.signed.join(asked, "node").groupBy("node").agg(F.min("id").alias("id"))
+        ids = checkpointed(first.select("id"))
+        texts = self.rows.where("id is not null").join(broadcast_within(ids.where("id is not null")), "id", "left_semi")
+        if not ids.where("id is null").isEmpty():
+            texts = texts.unionByName(self.rows.where("id is null"))
+        found = set_rows(texts.select("text"), self.size)
+        return found.join(broadcast_within(asked), "node", "left_semi").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
     pairs = checkpointed(pairs)
-    sets = checkpointed(sets_of(table, pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    sets = checkpointed(corpus.sets(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +270,7 @@ def _cells(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
         yield key, rows
 
 
-def tied_groups(members: DataFrame, cell_nodes: int) -> DataFrame:
+def tied_groups(members: DataFrame, nodes: DataFrame, cell_nodes: int) -> DataFrame:
     """(block, node, label, signature) of the groups that pairs within the radius tie together.
 
     A cell's groups are disjoint, so it gives no more rows than it has nodes. A group is named by
@@ -277,15 +300,15 @@ def tied_groups(members: DataFrame, cell_nodes: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "node", "label", "signature"])
 
-    cells = dealt(members, F.lit(1), cell_nodes).repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    cells = dealt(members, F.lit(1), cell_nodes).join(nodes, "node").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
     found = cells.mapInArrow(run, "block long, node long, label long, signature binary")
     return found.dropDuplicates(["block", "node"])
 
 
-def group_links(groups: DataFrame, table: DataFrame, percent: int, cell_shingles: int) -> DataFrame:
+def group_links(groups: DataFrame, corpus: Corpus, percent: int, cell_shingles: int) -> DataFrame:
     """Links (a, b) that join the labels of each group as all its links would."""
     groups = checkpointed(groups)
-    sets = checkpointed(sets_of(table, groups))
+    sets = checkpointed(corpus.sets(groups))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _cells(batches, ("node", "label", "is_bulk", "signature", "hashes")):
@@ -322,31 +345,31 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept), one row per document."""
     if miss_chance(percent) > 1e-5:
         raise ValueError(f"a similarity of {percent} % is too low for a radius of {RADIUS} in {VALUES}")
-    with Scratch(docs.sparkSession, "minhash") as scratch:
-        table = scratch.written(set_rows(id_and_text(docs, id_col, text_col), size), "sets")
-        signed = table.where("signature is not null").select("node", "signature")
-        nodes = checkpointed(signed.dropDuplicates(["node"]))
-        blocks = blocks_of(nodes)
-        stars = blocks.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        links = checkpointed(confirmed(within_radius(stars, nodes), table, percent))
-        labels = components(links)
-
-        # The lead has been compared with all of its block.
-        members = blocks.where("node <> lead").select("block", "node").join(labels, "node", "left")
-        members = members.select("block", "node", F.coalesce("label", "node").alias("label"))
-        several = members.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        members = members.join(several.where("low <> high").select("block"), "block").join(nodes, "node")
-        members = checkpointed(members)
-        crossing = checkpointed(group_links(tied_groups(members, cell_nodes), table, percent, cell_shingles))
-        if not crossing.isEmpty():
-            labels = components(links.unionByName(crossing))
-
-        documents = table.select("id", "n", "node")
-        named = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left")
-        named = named.select("node", "least", F.coalesce("label", "node").alias("label"))
-        least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-        by_node = named.join(least, "label").select("node", "component_id")
-        linked = documents.where("n > 0").join(by_node, "node").select("id", "n", "component_id")
-        alone = documents.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-        found = linked.unionByName(alone).withColumnRenamed("n", "n_shingles")
-        return checkpointed(found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
+    rows = id_and_text(docs, id_col, text_col)
+    corpus = Corpus(rows, checkpointed(signed_rows(rows, size)), size)
+    signed = corpus.signed.where("signature is not null").select("node", "signature")
+    nodes = checkpointed(signed.dropDuplicates(["node"]))
+    blocks = blocks_of(nodes)
+    stars = blocks.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    links = checkpointed(confirmed(within_radius(stars, nodes), corpus, percent))
+    labels = components(links)
+
+    # The lead has been compared with all of its block.
+    members = blocks.where("node <> lead").select("block", "node").join(labels, "node", "left")
+    members = members.select("block", "node", F.coalesce("label", "node").alias("label"))
+    several = members.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    members = members.join(several.where("low <> high").select("block"), "block")
+    members = checkpointed(members)
+    crossing = checkpointed(group_links(tied_groups(members, nodes, cell_nodes), corpus, percent, cell_shingles))
+    if not crossing.isEmpty():
+        labels = components(links.unionByName(crossing))
+
+    documents = corpus.signed.select("id", "n", "node")
+    named = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left")
+    named = named.select("node", "least", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_node = named.join(least, "label").select("node", "component_id")
+    linked = documents.where("n > 0").join(by_node, "node").select("id", "n", "component_id")
+    alone = documents.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    found = linked.unionByName(alone).withColumnRenamed("n", "n_shingles")
+    return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
