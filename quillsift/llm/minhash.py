@@ -13,7 +13,8 @@ distance of ``RADIUS``.
    with others (altered copies lie around it): first by signatures, then by full sets.
 4. Blocks whose other nodes still lie in several components are dealt into cells and compared there
    by signatures, but for the nodes of the block's largest component among each other. Nodes tied by
-   pairs within the radius come together with their sets and are compared until they are joined.
+   pairs within the radius, over all blocks, come together once with their sets, in cells again,
+   and are compared until they are joined.
 5. Components of all links give the result.
 
 Every link is confirmed on full sets. A pair of similarity s is missed with the chance that more than
@@ -270,44 +271,29 @@ def _cells(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
         yield key, rows
 
 
-def tied_groups(members: DataFrame, nodes: DataFrame, cell_nodes: int) -> DataFrame:
-    """(block, node, label, signature) of the groups that pairs within the radius tie together.
+def ties(members: DataFrame, nodes: DataFrame, cell_nodes: int) -> DataFrame:
+    """(a, b) that connect whatever pairs within the radius and of different labels connect.
 
-    A cell's groups are disjoint, so it gives no more rows than it has nodes. A group is named by
-    the digest of its nodes: what many blocks find again is one group.
+    A cell gives fewer rows than it has nodes; all blocks together tie each node into one group.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _cells(batches, ("node", "label", "is_bulk", "signature")):
-            nodes, labels, bulk, packed = zip(*rows, strict=True)
-            ties, tied = Tops(), set()
+            names, labels, bulk, packed = zip(*rows, strict=True)
             signed = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(-1, VALUES)
+            tied, pairs = Tops(), []
             for i, found in near_pairs(signed, np.array(labels), np.array(bulk), key[1]):
-                tied.add(i)
-                for j in found.tolist():
-                    ties.join(i, j)
-                    tied.add(j)
-            groups: dict[int, list[int]] = {}
-            for i in sorted(tied):
-                groups.setdefault(ties.top(i), []).append(i)
-            for group in groups.values():
-                name = set_digest(np.array([nodes[i] for i in group], dtype=np.int64).view(np.uint64))
-                columns = [
-                    pa.array([name] * len(group), pa.int64()),
-                    pa.array([nodes[i] for i in group], pa.int64()),
-                    pa.array([labels[i] for i in group], pa.int64()),
-                    pa.array([packed[i] for i in group], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "node", "label", "signature"])
-
-    cells = dealt(members, F.lit(1), cell_nodes).join(nodes, "node").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
-    found = cells.mapInArrow(run, "block long, node long, label long, signature binary")
-    return found.dropDuplicates(["block", "node"])
+                pairs.extend((names[i], names[j]) for j in found.tolist() if tied.join(i, j))
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    cells = dealt(members, F.lit(1), cell_nodes).join(nodes, "node").repartition(*_CELL)
+    return cells.sortWithinPartitions(*_CELL, "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def group_links(groups: DataFrame, corpus: Corpus, percent: int, cell_shingles: int) -> DataFrame:
-    """Links (a, b) that join the labels of each group as all its links would."""
-    groups = checkpointed(groups)
+    """Links (a, b) that join the labels of each group (block, node, label, signature) as all its links would."""
     sets = checkpointed(corpus.sets(groups))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +314,7 @@ def group_links(groups: DataFrame, corpus: Corpus, percent: int, cell_shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     sized = groups.join(sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n")), "node")
-    cells = dealt(sized, F.col("n"), cell_shingles).drop("n").join(sets, "node")
+    cells = dealt(sized, F.greatest("n", F.lit(cell_shingles // CELL_NODES)), cell_shingles).drop("n").join(sets, "node")
     cells = cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -360,7 +346,9 @@ def near_duplicates(
     several = members.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     members = members.join(several.where("low <> high").select("block"), "block")
     members = checkpointed(members)
-    crossing = checkpointed(group_links(tied_groups(members, nodes, cell_nodes), corpus, percent, cell_shingles))
+    tied = components(ties(members, nodes, cell_nodes)).withColumnRenamed("label", "block")
+    groups = checkpointed(tied.join(members.select("node", "label").distinct(), "node").join(nodes, "node"))
+    crossing = checkpointed(group_links(groups, corpus, percent, cell_shingles))
     if not crossing.isEmpty():
         labels = components(links.unionByName(crossing))
 
