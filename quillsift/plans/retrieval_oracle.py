@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillsift.plans.stem_oracle import kept, stem_ctes
 from quillsift.plans.text_oracle import sanitize_chunk_sql, sanitize_metadata_sql, tokens_sql, utf8_cut_sql
 
 TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -199,9 +200,36 @@ _MMR_OUT = ("SELECT qid, mmr_rank, chunk_idx, source_url, round(rrf, 6) AS rrf,
 
 LAMBDAS = "(VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) l(mmr_lambda)"
 
+# As LEXICAL, over stems: raw terms of chunks and queries are stemmed once each.
+ENGLISH = f"""
+raw AS MATERIALIZED (SELECT chunk_idx, unnest({kept(TERMS.format('text'))}) AS term FROM chunks),
+rawq AS MATERIALIZED (SELECT DISTINCT qid, unnest({kept(TERMS.format('query'))}) AS term FROM q),
+every AS (SELECT term FROM raw UNION SELECT term FROM rawq),
+{stem_ctes('every')},
+tok AS (SELECT chunk_idx, stem AS term FROM raw JOIN stems USING (term)),
+tf AS{LEXICAL.split("tf AS", 1)[1]}""".replace(
+    f"SELECT DISTINCT qid, term FROM (SELECT qid, unnest({TERMS.format('query')}) AS term FROM q)",
+    "SELECT DISTINCT qid, stem AS term FROM rawq JOIN stems USING (term)",
+)
+_RANKED = "SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM lexical"
+
 ORACLES = {
     "dense_topk": f"WITH {STORE}, {DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
     "bm25_topk": f"WITH {STORE}, {LEXICAL} SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM lexical",
+    "bm25_indexed": f"WITH {STORE}, {LEXICAL} {_RANKED}",
+    "bm25_segments": f"WITH {STORE}, {LEXICAL} {_RANKED}",
+    "bm25_english": f"WITH {STORE}, {ENGLISH} {_RANKED}",
+    "term_analysis": f"""
+WITH raw AS MATERIALIZED (
+  SELECT doc_id AS chunk_idx, term, row_number() OVER () AS place FROM (
+    SELECT doc_id, unnest({kept(TERMS.format('text'))}) AS term FROM documents)),
+{stem_ctes('raw')},
+found AS (
+  SELECT chunk_idx, count(*) AS n_terms, count(DISTINCT stem) AS n_distinct, string_agg(stem, ' ' ORDER BY place) AS line
+  FROM raw JOIN stems USING (term) GROUP BY chunk_idx)
+SELECT doc_id AS chunk_idx, coalesce(n_terms, 0) AS n_terms, coalesce(n_distinct, 0) AS n_distinct,
+       sha256(coalesce(line, '')) AS stems_sha256
+FROM documents LEFT JOIN found ON doc_id = chunk_idx""",
     "rrf_fusion": f"WITH {POOL} SELECT qid, chunk_idx, dense_rank, lexical_rank, round(rrf, 6) AS rrf FROM fused",
     "hybrid_topk": f"WITH {POOL} SELECT qid, chunk_idx, dense_rank, lexical_rank, round(rrf, 6) AS rrf, fused_rank FROM pool",
     "cosine_pairs": (

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.functions.stem import ANALYZERS, stemmed_terms
 from quillsift.functions.text import estimate_tokens, sanitize_chunk, sanitize_metadata
 from quillsift.functions.vectors import cosine
 from quillsift.operators import answer, fusion, mmr, rerank
+from quillsift.operators.batch import QueryBatch
 from quillsift.operators.dense import dense_topk
 from quillsift.operators.lexical import bm25_topk
 from quillsift.params import SearchParams
 from quillsift.plans import bindings as b
 from quillsift.plans import search as s
-from quillsift.session import checkpointed
+from quillsift.session import checkpointed, shared_folder
+from quillsift.sources.hadoop_files import HadoopFiles
+from quillsift.sources.postings import PostingsIndex
 
 SWEEP_RRF_K = (5, 10, 20, 60)
 SWEEP_LAMBDA = (0.3, 0.5, 0.7, 0.9, 1.0)
@@ -40,6 +46,45 @@ def bm25(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(bm25_topk(batch, chunks, CHANNEL_DEPTH))
 
 
+def _indexed(spark: SparkSession, folder: str, analyzer: str, parts: int) -> DataFrame:
+    """Ranked chunks from an index of the documents, appended in so many parts."""
+    chunks = b.chunks(spark, folder)
+    batch = QueryBatch.measure(b.queries(spark, folder), analyzer=ANALYZERS[analyzer])
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = PostingsIndex.create(spark, root, analyzer)
+    for part in range(parts):
+        index.append(chunks.where(F.pmod("chunk_idx", F.lit(parts)) == part))
+    # The answer has a fixed number of rows per query; the index is not needed after it.
+    ranked = checkpointed(index.topk(batch, CHANNEL_DEPTH))
+    HadoopFiles(spark, root).delete(root)
+    return b.as_output(ranked)
+
+
+def bm25_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return _indexed(spark, folder, "plain", 1)
+
+
+def bm25_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``bm25_indexed``, over three appended segments."""
+    return _indexed(spark, folder, "plain", 3)
+
+
+def bm25_english(spark: SparkSession, folder: str) -> DataFrame:
+    """Stop words out, words stemmed, over two appended segments."""
+    return _indexed(spark, folder, "english", 2)
+
+
+def term_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """What the English analyzer makes of every document."""
+    stems = b.chunks(spark, folder).select("chunk_idx", stemmed_terms(F.col("text")).alias("stems"))
+    return stems.select(
+        "chunk_idx",
+        F.size("stems").cast("long").alias("n_terms"),
+        F.size(F.array_distinct("stems")).cast("long").alias("n_distinct"),
+        F.sha2(F.array_join("stems", " "), 256).alias("stems_sha256"),
+    )
+
+
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(fusion.fuse(*s.channels(*_inputs(spark, folder))))
 
@@ -191,6 +236,10 @@ def mmr_lambda_sweep(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "dense_topk": dense,
     "bm25_topk": bm25,
+    "bm25_indexed": bm25_indexed,
+    "bm25_segments": bm25_segments,
+    "bm25_english": bm25_english,
+    "term_analysis": term_analysis,
     "rrf_fusion": rrf_fusion,
     "hybrid_topk": hybrid_topk,
     "cosine_pairs": cosine_pairs,

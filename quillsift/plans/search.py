@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillsift import params
+from quillsift.functions.stem import ANALYZERS, stemmed_terms
 from quillsift.functions.text import estimate_tokens
 from quillsift.functions.vectors import cosine
 from quillsift.operators import answer, fusion, mmr, rerank
@@ -20,6 +21,7 @@ from quillsift.operators.lexical import bm25_topk
 from quillsift.params import SearchParams
 from quillsift.schemas import span_of
 from quillsift.session import checkpointed, spread
+from quillsift.sources.postings import PostingsIndex
 
 
 def pool_size(top_k: Column | int, p: SearchParams) -> Column:
@@ -37,12 +39,16 @@ def channel_depth(batch: QueryBatch, p: SearchParams) -> int:
 
 
 def channels(
-    batch: QueryBatch, chunks: DataFrame, vectors: DataFrame, p: SearchParams = SearchParams()
+    batch: QueryBatch, chunks: DataFrame, vectors: DataFrame, p: SearchParams = SearchParams(),
+    index: PostingsIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ranked dense and lexical candidates, each to the query's own pool depth."""
+    """Ranked dense and lexical candidates, each to the query's own pool depth.
+
+    With a stored ``index`` the lexical channel reads its blocks and no text.
+    """
     depth = channel_depth(batch, p)
     dense = dense_topk(batch, vectors, depth, p.metric)
-    lexical = bm25_topk(batch, chunks, depth, p)
+    lexical = index.topk(batch, depth, p) if index else bm25_topk(batch, chunks, depth, p)
     if batch.small and len({r["top_k"] for r in batch.rows}) <= 1:
         return dense, lexical
     limits = batch.sized(batch.df.select("qid", pool_size(F.col("top_k"), p).alias("_depth")))
@@ -59,12 +65,13 @@ def hybrid_pool(
     vectors: DataFrame,
     p: SearchParams = SearchParams(),
     ranked: tuple[DataFrame, DataFrame] | None = None,
+    index: PostingsIndex | None = None,
 ) -> DataFrame:
     """Fused candidates: ``(qid, chunk_idx, dense_rank, lexical_rank, rrf, fused_rank)``.
 
     ``ranked`` passes channels that were computed before.
     """
-    dense, lexical = ranked or channels(batch, chunks, vectors, p)
+    dense, lexical = ranked or channels(batch, chunks, vectors, p, index)
     ranked = fusion.rank_fused(fusion.fuse(dense, lexical, p.rrf_k))
     limits = batch.df.select("qid", pool_size(F.col("top_k"), p).alias("_depth"))
     return (
@@ -153,6 +160,7 @@ def search(
     reranker: rerank.Reranker | None = None,
     count_tokens: Callable[[Column], Column] = estimate_tokens,
     ranked: tuple[DataFrame, DataFrame] | None = None,
+    index: PostingsIndex | None = None,
 ) -> SearchResult:
     """Answer every query of the batch.
 
@@ -162,7 +170,7 @@ def search(
     small (a fixed number of rows per query) and each feeds several joins, so
     both cut their lineage.
     """
-    pool = checkpointed(hybrid_pool(batch, chunks, vectors, p, ranked))
+    pool = checkpointed(hybrid_pool(batch, chunks, vectors, p, ranked, index))
     ready = attach(batch, pool, chunks, vectors)
     picked = (
         with_rerank(batch, pool, ready, chunks, reranker, p)
@@ -196,8 +204,9 @@ def search_docsets(
     """Answer queries ``(qid, docset, query, qvec)``, each in its own docset of a store.
 
     Returns the rows and the decisions, both with their ``docset``. The docsets
-    are the store's catalog, one search per docset; a query for one that is not
-    installed is an error.
+    are the store's catalog, one search per docset, over its stored index where it has one; a
+    query for one that is not installed is an error. Texts are analyzed as English unless the
+    index says otherwise.
     """
     installed = store.docsets()
     unknown = queries.where(~F.col("docset").isin(*installed)).limit(1).collect()
@@ -205,12 +214,14 @@ def search_docsets(
         raise ValueError(f"docset not installed: {unknown[0]['docset']}")
     rows, decisions = [], []
     for docset in installed:
-        batch = QueryBatch.measure(queries.where(F.col("docset") == docset))
+        index = store.postings_index(docset)
+        analyzer = ANALYZERS[index.analyzer] if index else stemmed_terms
+        batch = QueryBatch.measure(queries.where(F.col("docset") == docset), analyzer=analyzer)
         if batch.rows == ():
             decisions.append(answer.refuse(batch.refused).withColumn("docset", F.lit(docset)))
             continue
         table = store.chunks(docset)
-        found = search(batch, table, table.select("chunk_idx", "embedding", "span"), p, reranker)
+        found = search(batch, table, table.select("chunk_idx", "embedding", "span"), p, reranker, index=index)
         rows.append(found.rows.withColumn("docset", F.lit(docset)))
         decisions.append(found.decisions.withColumn("docset", F.lit(docset)))
     if not rows:

@@ -22,7 +22,6 @@ from quillsift.functions.text import normalize_heading_path, replace_heading_lin
 from quillsift.functions.validate import canonical_source_url
 from quillsift.functions.vectors import Embedder, quantize_half
 from quillsift.operators.chunking import chunk_markdown, with_global_index
-from quillsift.operators.lexical import postings
 from quillsift.params import ChunkBudget
 from quillsift.sources.catalog import (
     chunk_contract_violations,
@@ -31,6 +30,8 @@ from quillsift.sources.catalog import (
     parse_manifests,
 )
 from quillsift.sources.files import license_text, read_chunk_rows, read_markdown, stamp_source
+from quillsift.sources.hadoop_files import HadoopFiles
+from quillsift.sources.postings import PostingsIndex, postings_of
 
 
 class StoreError(RuntimeError):
@@ -41,52 +42,6 @@ class DocsetNotInstalled(StoreError):
     """No live version of the docset."""
 
 
-class _Files:
-    """The few small-file operations, on whatever file system holds the root."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self._jvm = spark._jvm
-        self._gateway = spark.sparkContext._gateway
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
-
-    def exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
-
-    def names(self, path: str) -> list[str]:
-        if not self.exists(path):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
-
-    def read(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return bytes(stream.readAllBytes()).decode("utf-8")
-        finally:
-            stream.close()
-
-    def write(self, path: str, text: str) -> None:
-        """Write beside the target, then rename over it: readers find the old text or the new one."""
-        side = f"{path}.tmp"
-        stream = self._fs.create(self._path(side), True)
-        try:
-            stream.write(bytearray(text.encode("utf-8")))
-        finally:
-            stream.close()
-        hadoop = self._jvm.org.apache.hadoop.fs
-        how = self._gateway.new_array(hadoop.Options.Rename, 1)
-        how[0] = hadoop.Options.Rename.OVERWRITE
-        target = self._fs.makeQualified(self._path(path))
-        context = hadoop.FileContext.getFileContext(target.toUri(), self._conf)
-        context.rename(self._fs.makeQualified(self._path(side)), target, how)
-
-    def delete(self, path: str) -> None:
-        self._fs.delete(self._path(path), True)
-
-
 def build_manifest(docset: str, chunk_count: int, **meta: str) -> dict:
     """Manifest of a fresh ingest; ``meta`` gives URLs, license and attribution."""
     return {
@@ -143,7 +98,7 @@ class DocsetStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        self._files = _Files(spark, self.root)
+        self._files = HadoopFiles(spark, self.root)
 
     def _folder(self, docset: str) -> str:
         return f"{self.root}/{docset}"
@@ -239,26 +194,23 @@ class DocsetStore:
         self._files.write(f"{folder}/CURRENT", version)
         return target
 
-    def write_index(self, docset: str, files: int = 64) -> None:
-        """Store the live version's postings, clustered by term.
+    def write_index(self, docset: str, analyzer: str = "english") -> PostingsIndex:
+        """Index the live version's texts; ``append`` adds to the index from then on."""
+        index = PostingsIndex.create(self.spark, f"{self._version(docset)}/index", analyzer)
+        index.append(self.chunks(docset).select("chunk_idx", "text"))
+        return index
 
-        Common terms are spread over several files; within a file rows are sorted
-        by term, so a lookup of few terms skips most row groups.
-        """
-        spots = F.pmod(F.xxhash64("chunk_idx"), F.lit(8))
-        (
-            postings(self.chunks(docset).select("chunk_idx", "text"))
-            .repartition(files, "term", spots)
-            .sortWithinPartitions("term", "chunk_idx")
-            .write.mode("overwrite")
-            .parquet(f"{self._version(docset)}/postings")
-        )
+    def postings_index(self, docset: str) -> PostingsIndex | None:
+        """The live version's index, if it was written."""
+        index = PostingsIndex(self.spark, f"{self._version(docset)}/index")
+        return index if index.exists() else None
 
     def index(self, docset: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._version(docset)}/postings")
+        """Stored postings ``(term, chunk_idx, tf, length)``."""
+        return postings_of(self.postings_index(docset).blocks())
 
     def append(self, docset: str, chunks: DataFrame) -> None:
-        """Add rows to the live table; wrong dimensions fail the write."""
+        """Add rows to the live table and to its index, as a segment; wrong dimensions fail the write."""
         dim = self.manifest(docset)["embedder"]["vector_dim"]
         schemas.ensure_schema(chunks).withColumn(
             "embedding",
@@ -268,6 +220,9 @@ class DocsetStore:
         ).withColumn("span", schemas.span_of(F.col("chunk_idx"))).write.partitionBy("span").mode(
             "append"
         ).parquet(f"{self._version(docset)}/chunks")
+        index = self.postings_index(docset)
+        if index is not None:
+            index.append(chunks.select("chunk_idx", "text"))
 
     def ingest(
         self, docset: str, folder: str, embed: Embedder, base_url: str | None = None,
@@ -319,7 +274,7 @@ class DocsetStore:
     def share(self, docset: str, out: str) -> str:
         """Export manifest, chunk rows without vectors, license and notice."""
         target = f"{out.rstrip('/')}/{docset}"
-        files = _Files(self.spark, out)
+        files = HadoopFiles(self.spark, out)
         if files.names(target):
             raise StoreError(f"{target} is not empty")
         rows = self.chunks(docset).select(
@@ -339,7 +294,7 @@ class DocsetStore:
 
         Nothing of the live version is touched until the new one is complete.
         """
-        files = _Files(self.spark, bundle)
+        files = HadoopFiles(self.spark, bundle)
         raw = files.read(f"{bundle}/manifest.json")
         manifest = json.loads(raw)
         self._check_manifest(docset, manifest)

@@ -100,7 +100,7 @@ def test_store_life_cycle(spark, tree, tmp_path):
     assert catalog.matching_receipts(receipts, other.manifests()).count() == 1
     states = catalog.docset_states(other.manifests(), other.row_counts())
     assert [(r.docset, r.state) for r in states.collect()] == [("docs", "ok")]
-    other.write_index("docs", files=2)
+    other.write_index("docs")
     assert other.index("docs").where("term = 'intro'").count() == 1
     other.append("docs", other.chunks("docs").limit(1))
     states = catalog.docset_states(other.manifests(), other.row_counts())
