@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,11 @@ from quillsift.session import spread
 
 # Largest score block (chunks x queries) a task holds at once.
 BLOCK_CELLS = 4_000_000
-# Sizes of one cell of the grid used when the queries cannot be broadcast.
-GRID_QUERIES = 4096
-GRID_VECTORS = 50_000
+# Queries compared at once, and vectors a task holds, when the queries cannot be broadcast.
+TILE_QUERIES = 4096
+BLOCK_VECTORS = 50_000
+# Partial results of a query meet in so many places before they meet in one.
+MERGE_BUCKETS = 32
 
 
 def similarity(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -49,12 +50,14 @@ def _score_schema(batch: QueryBatch) -> StructType:
     )
 
 
-def dense_topk(batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def dense_topk(
+    batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2", block_vectors: int = BLOCK_VECTORS
+) -> DataFrame:
     """The k nearest chunks of every query: ``(qid, chunk_idx, score, dense_rank)``.
 
     ``vectors`` holds ``(chunk_idx, embedding)``. Every query is compared with
     every vector, as exact search demands, but only k rows per query and task
-    leave a task.
+    leave a task. Queries too many to be broadcast come in tiles to blocks of vectors.
     """
     stored = spread(
         vectors.select(F.col("chunk_idx").cast("long"), "embedding").where(
@@ -62,8 +65,10 @@ def dense_topk(batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2"
         ),
         "chunk_idx",
     )
-    scored = _scan(batch, stored, k, metric) if batch.small else _grid(batch, stored, k, metric)
-    return rank_scores(scored, k, "dense_rank")
+    if batch.small:
+        return rank_scores(_scan(batch, stored, k, metric), k, "dense_rank")
+    scored = _tiles(batch, stored, k, metric, block_vectors)
+    return rank_scores(scored, k, "dense_rank", MERGE_BUCKETS)
 
 
 def _scan(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFrame:
@@ -88,40 +93,61 @@ def _scan(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFra
     return vectors.mapInArrow(score, _score_schema(batch))
 
 
-def _grid(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    """Both sides cut into bounded cells; each cell pair is one small group."""
-    n_queries, n_vectors = batch.df.count(), vectors.count()
-    rows = max(1, math.ceil(n_queries / GRID_QUERIES))
-    columns = max(1, math.ceil(n_vectors / GRID_VECTORS))
-    left = batch.df.select(
-        "qid",
-        "qvec",
-        F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("row"),
-        F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"),
-    )
-    right = vectors.select(
+def _tiles(batch: QueryBatch, vectors: DataFrame, k: int, metric: str, block_vectors: int) -> DataFrame:
+    """Query tiles pass over blocks of vectors that stay where they are.
+
+    Each vector is dealt once into a block of about ``block_vectors``; each query visits every block.
+    A task holds its block, then streams the queries through it a tile at a time.
+    """
+    blocks = max(1, math.ceil(vectors.count() / block_vectors))
+    none = F.lit(None)
+    held = vectors.select(
+        F.pmod(F.xxhash64("chunk_idx"), F.lit(blocks)).cast("int").alias("block"),
+        F.lit(False).alias("asks"),
         "chunk_idx",
-        "embedding",
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"),
-        F.pmod(F.xxhash64("chunk_idx"), F.lit(columns)).cast("int").alias("column"),
+        none.cast(batch.qid_type).alias("qid"),
+        F.col("embedding").cast("array<double>").alias("lanes"),
     )
-
-    def cell(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        best = TaskTopK(len(queries), k)
-        if len(queries) and len(chunks):
-            matrix = np.stack(queries["qvec"].to_numpy()).astype(np.float64)
-            step = max(1, BLOCK_CELLS // len(queries))
-            for start in range(0, len(chunks), step):
-                part = chunks.iloc[start : start + step]
-                lanes = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                best.offer(part["chunk_idx"].to_numpy(), similarity(lanes, matrix, metric))
-        query, chunk, score = best.best()
-        return pd.DataFrame(
-            {"qid": queries["qid"].to_numpy()[query], "chunk_idx": chunk, "score": score}
-        )
-
-    return (
-        left.groupBy("row", "column")
-        .cogroup(right.groupBy("row", "column"))
-        .applyInPandas(cell, _score_schema(batch))
+    asked = batch.df.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.lit(True).alias("asks"),
+        none.cast("long").alias("chunk_idx"),
+        "qid",
+        F.col("qvec").alias("lanes"),
     )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, lanes = None, [], []
+        for arrow in batches:
+            for part in _runs(arrow):
+                if part.column("block")[0].as_py() != block:
+                    block, ids, lanes = part.column("block")[0].as_py(), [], []
+                if not part.column("asks")[0].as_py():
+                    ids.append(part.column("chunk_idx").to_numpy())
+                    lanes.append(_lanes(part.column("lanes")))
+                elif ids:
+                    ids, lanes = [np.concatenate(ids)], [np.concatenate(lanes)]
+                    for start in range(0, part.num_rows, TILE_QUERIES):
+                        tile = part.slice(start, TILE_QUERIES)
+                        yield compared(tile.column("qid"), _lanes(tile.column("lanes")), ids[0], lanes[0])
+
+    def compared(qids: pa.Array, queries: np.ndarray, ids: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
+        best = TaskTopK(len(qids), k)
+        step = max(1, BLOCK_CELLS // len(qids))
+        for start in range(0, len(ids), step):
+            part = slice(start, start + step)
+            best.offer(ids[part], similarity(lanes[part], queries, metric))
+        return best.to_batch(qids)
+
+    placed = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    return placed.mapInArrow(score, _score_schema(batch))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a sorted batch within which block and side stay the same."""
+    if batch.num_rows == 0:
+        return
+    key = batch.column("block").to_numpy() * 2 + batch.column("asks").to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(start, end - start)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -330,27 +332,31 @@ def suite_composition(suite: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(samples: DataFrame, group: str, value: str, buckets: int = 4096) -> DataFrame:
+def _ordered(values: pa.Array) -> pa.Array:
+    """Whole numbers in the order of the doubles: the sign decides whether the other bits count down."""
+    bits = (values.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
+
+
+def _unordered(keys: pa.Array) -> pa.Array:
+    bits = keys.to_numpy(zero_copy_only=False)
+    return pa.array((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64))
+
+
+def latency_summary(samples: DataFrame, group: str, value: str, buckets: int = 1 << 16) -> DataFrame:
     """Exact median and nearest-rank 95th percentile per group.
 
-    A histogram per group locates the bucket each wanted rank falls in; only the
-    values of those buckets are then counted and ordered. No task holds all the
-    samples of a group.
+    Radix selection: doubles become whole numbers of the same order, and each pass counts the next
+    digit, one of ``buckets`` (a power of two), among the values that share the digits found so
+    far. No pass holds more than ``buckets`` counts per group and wanted rank, however the values
+    lie; outliers and hot values change nothing.
     """
-    data = samples.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null")
-    spread = checkpointed(
-        data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    slot = F.coalesce(
-        F.floor(F.try_divide((F.col("v") - F.col("lo")) * buckets, F.col("hi") - F.col("lo"))), F.lit(0)
-    )
-    bounds = broadcast_if_small(spread.select("g", "lo", "hi"))
-    placed = data.join(bounds, "g").select("g", "v", slot.alias("slot"))
-    filled = placed.groupBy("g", "slot").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    filled = filled.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bits = buckets.bit_length() - 1
+    data = samples.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    keyed = data.select("g", F.arrow_udf(_ordered, "long")("v").alias("key"))
+    sizes = checkpointed(data.groupBy("g").agg(F.count("*").alias("n")))
     n = F.col("n")
-    wanted = spread.select(
+    wanted = sizes.select(
         "g",
         F.explode(
             F.array(
@@ -359,25 +365,31 @@ def latency_summary(samples: DataFrame, group: str, value: str, buckets: int = 4
                 F.struct(F.lit("p95").alias("what"), F.ceil(0.95 * n).cast("long").alias("r")),
             )
         ).alias("w"),
-    ).select("g", "w.what", "w.r")
-    located = checkpointed(wanted.join(filled, "g").where(
-        (F.col("r") > F.col("before")) & (F.col("r") <= F.col("before") + F.col("n"))
-    ).select("g", "slot", "what", (F.col("r") - F.col("before")).alias("r")))
-    slots = broadcast_if_small(located.select("g", "slot"))
-    values = (
-        placed.join(slots, ["g", "slot"], "left_semi")
-        .groupBy("g", "slot", "v")
-        .agg(F.count("*").alias("m"))
-    )
-    upto = Window.partitionBy("g", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("upto", F.sum("m").over(upto))
-    hit = located.join(values, ["g", "slot"]).where(
-        (F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("m"))
-    )
-    picked = hit.groupBy("g").agg(
+    ).select("g", "w.what", "w.r", F.lit(None).cast("long").alias("prefix"))
+    left = 64
+    while left:
+        step = min(bits, left)
+        left -= step
+        # The first digit keeps the sign, so digits and prefixes compare as the keys do.
+        digit = F.shiftright("key", left)
+        rows = keyed.select("g", digit.alias("found"), F.shiftright(digit, step).alias("prefix"))
+        if left + step < 64:
+            rows = rows.join(broadcast_if_small(wanted.select("g", "prefix").distinct()), ["g", "prefix"], "left_semi")
+        else:
+            rows = rows.withColumn("prefix", F.lit(0).cast("long"))
+            wanted = wanted.withColumn("prefix", F.lit(0).cast("long"))
+        counts = rows.groupBy("g", "prefix", "found").agg(F.count("*").alias("m"))
+        upto = Window.partitionBy("g", "prefix").orderBy("found").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.sum("m").over(upto))
+        hit = wanted.join(counts, ["g", "prefix"]).where("r <= upto and r > upto - m")
+        wanted = checkpointed(
+            hit.select("g", "what", (F.col("r") - F.col("upto") + F.col("m")).alias("r"), F.col("found").alias("prefix"))
+        )
+    picked = wanted.select("g", "what", F.arrow_udf(_unordered, "double")("prefix").alias("v"))
+    picked = picked.groupBy("g").agg(
         *[F.max(F.when(F.col("what") == w, F.col("v"))).alias(w) for w in ("lower", "upper", "p95")]
     )
-    return spread.join(picked, "g").select(
+    return sizes.join(picked, "g").select(
         F.col("g").alias(group),
         F.col("n").alias("n_samples"),
         ((F.col("lower") + F.col("upper")) / 2).alias("median"),

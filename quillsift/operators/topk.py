@@ -60,15 +60,19 @@ class TaskTopK:
         )
 
 
-def rank_scores(scored: DataFrame, k: int, rank_name: str) -> DataFrame:
+def rank_scores(scored: DataFrame, k: int, rank_name: str, buckets: int = 1) -> DataFrame:
     """Rank (qid, chunk_idx, score) per query and keep the first k.
 
     Ties go to the smaller chunk index. Each input task drops all but its own k
-    best rows before the shuffle (WindowGroupLimit), so no query floods a task.
+    best rows before the shuffle (WindowGroupLimit), so no query floods a task. With
+    ``buckets`` the rows of very many tasks meet in that many places first.
     """
-    best = Window.partitionBy("qid").orderBy(
-        F.round("score", SCORE_DIGITS).desc(), F.col("chunk_idx")
-    )
+    order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_idx")]
+    if buckets > 1:
+        place = F.row_number().over(Window.partitionBy("qid", "_bucket").orderBy(*order))
+        spread = scored.withColumn("_bucket", F.spark_partition_id() % buckets)
+        scored = spread.withColumn("_place", place).where(F.col("_place") <= k).drop("_bucket", "_place")
+    best = Window.partitionBy("qid").orderBy(*order)
     return (
         scored.withColumn(rank_name, F.row_number().over(best))
         .where(F.col(rank_name) <= k)

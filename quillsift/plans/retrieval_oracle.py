@@ -215,6 +215,7 @@ _RANKED = "SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM le
 
 ORACLES = {
     "dense_topk": f"WITH {STORE}, {DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
+    "search_blocks": f"WITH {STORE}, {DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
     "bm25_topk": f"WITH {STORE}, {LEXICAL} SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM lexical",
     "bm25_indexed": f"WITH {STORE}, {LEXICAL} {_RANKED}",
     "bm25_segments": f"WITH {STORE}, {LEXICAL} {_RANKED}",

@@ -24,6 +24,7 @@ from quillsift.sources.postings import PostingsIndex
 SWEEP_RRF_K = (5, 10, 20, 60)
 SWEEP_LAMBDA = (0.3, 0.5, 0.7, 0.9, 1.0)
 CHANNEL_DEPTH = 40
+BLOCK_ROWS = 128
 
 
 def _inputs(spark: SparkSession, folder: str):
@@ -41,6 +42,13 @@ def dense(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(dense_topk(batch, vectors, CHANNEL_DEPTH))
 
 
+def search_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``dense_topk``, with queries kept distributed and passed in tiles over blocks of vectors."""
+    batch = QueryBatch.measure(b.queries(spark, folder), max_queries=0)
+    found = dense_topk(batch, b.vectors(spark, folder), CHANNEL_DEPTH, block_vectors=BLOCK_ROWS)
+    return b.as_output(found)
+
+
 def bm25(spark: SparkSession, folder: str) -> DataFrame:
     batch, chunks, _ = _inputs(spark, folder)
     return b.as_output(bm25_topk(batch, chunks, CHANNEL_DEPTH))
@@ -235,6 +243,7 @@ def mmr_lambda_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "dense_topk": dense,
+    "search_blocks": search_blocks,
     "bm25_topk": bm25,
     "bm25_indexed": bm25_indexed,
     "bm25_segments": bm25_segments,

@@ -102,3 +102,24 @@ def test_latency_is_exact_even_for_one_hot_value(spark):
         assert row.n_samples == n
         assert row.median == (values[(n - 1) // 2] + values[n // 2]) / 2
         assert row.p95 == values[math.ceil(0.95 * n) - 1]
+
+
+def test_latency_beside_outliers(spark):
+    rng = random.Random(2)
+    values = [rng.gauss(0, 1) for _ in range(500)] + [1e300, -1e300, float("inf"), -0.0, 0.0, 5e-324]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", -2.5)], "kind string, ms double").repartition(4)
+    got = {r.kind: r for r in metrics.latency_summary(frame, "kind", "ms").collect()}
+    values.sort()
+    n = len(values)
+    assert got["a"].median == (values[(n - 1) // 2] + values[n // 2]) / 2
+    assert got["a"].p95 == values[math.ceil(0.95 * n) - 1]
+    assert (got["b"].median, got["b"].p95, got["b"].n_samples) == (-2.5, -2.5, 1)
+
+
+def test_ordered_bits_keep_the_order_of_doubles():
+    import pyarrow as pa
+
+    values = sorted([0.0, 1.5, -1.5, 1e300, -1e300, 5e-324, -5e-324, float("inf"), float("-inf"), 3.0, -3.0])
+    keys = metrics._ordered(pa.array(values))
+    assert keys.to_pylist() == sorted(keys.to_pylist())
+    assert metrics._unordered(keys).to_pylist() == values

@@ -58,16 +58,12 @@ def test_dense_paths_agree_with_brute_force(spark, corpus, metric):
     small = QueryBatch.measure(queries)
     large = QueryBatch.measure(queries, max_queries=3)
     assert small.small and not large.small
-    dense.GRID_VECTORS, keep = 25, dense.GRID_VECTORS
-    try:
-        results = [
-            by_query(
-                dense.dense_topk(b, stored, 10, metric).orderBy("qid", "dense_rank").collect(), "chunk_idx", "dense_rank"
-            )
-            for b in (small, large)
-        ]
-    finally:
-        dense.GRID_VECTORS = keep
+    results = [
+        by_query(
+            dense.dense_topk(b, stored, 10, metric, block_vectors=25).orderBy("qid", "dense_rank").collect(), "chunk_idx", "dense_rank"
+        )
+        for b in (small, large)
+    ]
     for row in queries.collect():
         q = np.array(row.qvec)
         if metric == "l2":
