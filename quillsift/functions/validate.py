@@ -93,14 +93,14 @@ SEMVER = (
 def version_key(version: Column) -> Column:
     """Struct that compares like semantic-version precedence; null if unparsable.
 
-    Numeric pre-release identifiers sort below textual ones and are zero-padded;
+    Numeric pre-release identifiers sort below textual ones, by their length, then digits;
     a release sorts above every pre-release of the same triple.
     """
     pre = F.regexp_extract(version, SEMVER, 4)
     ids = F.transform(
         F.split(pre, r"\."),
         lambda i: F.when(
-            i.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(i, 20, "0"))
+            i.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(F.length(i).cast("string"), 10, "0"), i)
         ).otherwise(F.concat(F.lit("1"), i)),
     )
     numbers = [F.regexp_extract(version, SEMVER, g).try_cast("decimal(20,0)") for g in (1, 2, 3)]

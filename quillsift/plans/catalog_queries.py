@@ -288,15 +288,6 @@ def update_throttle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def storage_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes and files per table, from a listing that never opens the files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-    area = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
-    return files.groupBy(area.alias("area")).agg(
-        F.sum("length").alias("bytes"), F.count("*").alias("n_files")
-    )
-
-
 QUERIES = {
     "docset_name_valid": docset_name_valid,
     "query_valid": query_valid,

@@ -206,10 +206,11 @@ def search_docsets(
     Returns the rows and the decisions, both with their ``docset``. The docsets
     are the store's catalog, one search per docset, over its stored index where it has one; a
     query for one that is not installed is an error. Texts are analyzed as English unless the
-    index says otherwise.
+    index says otherwise. Invalid queries get a decision, also where no query is valid.
     """
     installed = store.docsets()
-    unknown = queries.where(~F.col("docset").isin(*installed)).limit(1).collect()
+    known = F.coalesce(F.col("docset").isin(*installed), F.lit(False))
+    unknown = queries.where(~known).limit(1).collect()
     if unknown:
         raise ValueError(f"docset not installed: {unknown[0]['docset']}")
     rows, decisions = [], []
@@ -217,7 +218,7 @@ def search_docsets(
         index = store.postings_index(docset)
         analyzer = ANALYZERS[index.analyzer] if index else stemmed_terms
         batch = QueryBatch.measure(queries.where(F.col("docset") == docset), analyzer=analyzer)
-        if batch.rows == ():
+        if batch.rows == () and (rows or docset != installed[-1]):
             decisions.append(answer.refuse(batch.refused).withColumn("docset", F.lit(docset)))
             continue
         table = store.chunks(docset)
@@ -225,7 +226,7 @@ def search_docsets(
         rows.append(found.rows.withColumn("docset", F.lit(docset)))
         decisions.append(found.decisions.withColumn("docset", F.lit(docset)))
     if not rows:
-        raise ValueError("no valid query")
+        raise ValueError("no docset is installed")
     return reduce(DataFrame.unionByName, rows), reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), decisions
     )

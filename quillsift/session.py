@@ -55,10 +55,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the cluster.
 
-    Where it is unset, as in tests, a folder in the warehouse, which is shared as well.
+    Where it is unset, as in tests, a folder in the warehouse; on a cluster that one must not be a
+    machine's own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,14 +146,15 @@ class DocsetStore:
         ]
         return self.spark.createDataFrame(rows, "docset string, manifest string")
 
-    def _check_manifest(self, docset: str, manifest: dict) -> None:
+    def _check_manifest(self, docset: str, manifest: dict, waived: tuple[str, ...] = ()) -> None:
+        """Refuse a manifest with violations other than the waived ones."""
         one = self.spark.createDataFrame([(docset, json.dumps(manifest))], "docset string, manifest string")
         m = F.col("m")
         row = parse_manifests(one).select(
             m.isNotNull().alias("ok"),
             F.concat(manifest_violations(m), install_violations(m, F.col("docset"))).alias("bad"),
         ).first()
-        own_urls = [v for v in (row["bad"] or []) if v != "no_upstream_url"]
+        own_urls = [v for v in (row["bad"] or []) if v not in waived]
         if not row["ok"] or own_urls:
             raise StoreError(f"manifest of {docset} is not acceptable: {own_urls or 'unreadable'}")
 
@@ -184,7 +186,8 @@ class DocsetStore:
         n = self.spark.read.parquet(f"{target}/chunks").count()
         manifest = {**manifest, "source": {**manifest["source"], "chunk_count": n}}
         try:
-            self._check_manifest(docset, manifest)
+            # A docset of one's own may have no upstream; ``install`` asks for one.
+            self._check_manifest(docset, manifest, ("no_upstream_url",))
         except StoreError:
             self._files.delete(target)
             raise
@@ -292,8 +295,11 @@ class DocsetStore:
     def install(self, bundle: str, docset: str, embed: Embedder, package_sha256: str = "") -> str:
         """Check a shared bundle, normalize and embed its rows, make it live, write a receipt.
 
-        Nothing of the live version is touched until the new one is complete.
+        Nothing of the live version is touched until the new one is complete. ``package_sha256``
+        is empty or the digest of the package that the bundle came in.
         """
+        if package_sha256 and not re.fullmatch("[0-9a-f]{64}", package_sha256):
+            raise StoreError(f"package of {docset} has no SHA-256 digest: {package_sha256[:80]}")
         files = HadoopFiles(self.spark, bundle)
         raw = files.read(f"{bundle}/manifest.json")
         manifest = json.loads(raw)

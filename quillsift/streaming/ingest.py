@@ -95,11 +95,18 @@ def search_stream(
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     p: SearchParams = SearchParams(),
+    decisions: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Answer a stream of queries ``(qid, query, qvec)``, one search per micro-batch."""
+    """Answer a stream of queries ``(qid, query, qvec)``, one search per micro-batch.
+
+    ``sink`` takes the answer rows, ``decisions`` one label per query, invalid ones among them.
+    """
 
     def answer(batch: DataFrame, number: int) -> None:
-        sink(search(QueryBatch.measure(batch), chunks, vectors, p).rows, number)
+        found = search(QueryBatch.measure(batch), chunks, vectors, p)
+        sink(found.rows, number)
+        if decisions is not None:
+            decisions(found.decisions, number)
 
     return (
         queries.writeStream.option("checkpointLocation", checkpoint)

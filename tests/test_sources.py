@@ -214,3 +214,17 @@ def test_suite_over_a_store(spark, tree, tmp_path):
     assert rows.where("pos = 1 and qid = 'q2'").first().text == row.text
     with pytest.raises(ValueError, match="not installed"):
         search_docsets(asked.withColumn("docset", F.lit("none")), store)
+    with pytest.raises(ValueError, match="not installed"):
+        search_docsets(asked.withColumn("docset", F.lit(None).cast("string")), store)
+    # The stored index of one docset answers as its texts do.
+    one = asked.where("docset = 'one'")
+    plain, _ = search_docsets(one, store)
+    index = store.write_index("one")
+    assert index.analyzer == "english" and len(index.segments()) == 1
+    stored, _ = search_docsets(one, store)
+    key = ("qid", "pos", "chunk_idx")
+    assert sorted(map(tuple, stored.select(*key).collect())) == sorted(map(tuple, plain.select(*key).collect()))
+    rows, decisions = search_docsets(asked.withColumn("query", F.lit("")), store)
+    assert rows.count() == 0
+    assert {r["answer_state"] for r in decisions.collect()} == {"invalid_query"}
+    assert decisions.count() == asked.count()

@@ -96,6 +96,7 @@ def test_validation(spark):
         ("1.10.0", "1.9.9", True), ("v1.0.0", "1.0.0", False), ("1.0.0", "1.0.0-rc.1", True),
         ("1.0.0-rc.10", "1.0.0-rc.9", True), ("1.0.0-1", "1.0.0-alpha", False),
         ("1.0.0-alpha.1", "1.0.0-alpha", True), ("latest", "1.0.0", False), ("2.0.0", "x", False),
+        ("1.0.0-" + "9" * 25, "1.0.0-1" + "0" * 24, True), ("1.0.0-1" + "0" * 24, "1.0.0-" + "9" * 24, True),
         ("1.01.0", "1.0.0", False), ("1.0.0+b2", "1.0.0+b1", False),
     ],
 )
