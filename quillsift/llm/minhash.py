@@ -281,9 +281,17 @@ def ties(members: DataFrame, nodes: DataFrame, cell_nodes: int) -> DataFrame:
         for key, rows in _cells(batches, ("node", "label", "is_bulk", "signature")):
             names, labels, bulk, packed = zip(*rows, strict=True)
             signed = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(-1, VALUES)
-            tied, pairs = Tops(), []
+            tied, held = Tops(), set()
             for i, found in near_pairs(signed, np.array(labels), np.array(bulk), key[1]):
-                pairs.extend((names[i], names[j]) for j in found.tolist() if tied.join(i, j))
+                held.update((i, *found.tolist()))
+                for j in found.tolist():
+                    tied.join(i, j)
+            # Each group as a star around its smallest node, so that few rounds find the components.
+            least: dict[int, int] = {}
+            for i in held:
+                top = tied.top(i)
+                least[top] = min(names[i], least.get(top, names[i]))
+            pairs = [(least[tied.top(i)], names[i]) for i in held if names[i] != least[tied.top(i)]]
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -319,6 +327,19 @@ def group_links(groups: DataFrame, corpus: Corpus, percent: int, cell_shingles:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def relabelled(nodes: DataFrame, labels: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(node, label) of all nodes after links (a, b) between components; only components are joined."""
+    every = nodes.select("node").join(labels, "node", "left")
+    every = checkpointed(every.select("node", F.coalesce("label", "node").alias("label")))
+    links = crossing
+    for side in ("a", "b"):
+        of_side = every.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        links = links.join(of_side, side)
+    tops = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    tops = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return every.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -350,7 +371,7 @@ def near_duplicates(
     groups = checkpointed(tied.join(members.select("node", "label").distinct(), "node").join(nodes, "node"))
     crossing = checkpointed(group_links(groups, corpus, percent, cell_shingles))
     if not crossing.isEmpty():
-        labels = components(links.unionByName(crossing))
+        labels = relabelled(nodes, labels, crossing)
 
     documents = corpus.signed.select("id", "n", "node")
     named = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left")
