@@ -261,50 +261,89 @@ def suite_violations(suite: DataFrame, targets: DataFrame) -> DataFrame:
     """Contract breaches of a labelled suite as ``(violation, key)`` rows.
 
     ``suite``: ``(id, docset, query, intent_family, split, class)``; ``targets``:
-    ``(id, grade)``.
+    ``(id, grade)``. Rules on one row come from a list exploded in its scan. Rules on
+    several rows come from one grouped count: a suite row counts once under its id and
+    once under its family, a target under its id. A breach of a row is told once per row.
     """
-    rows = []
-    for field in ("id", "docset", "query", "intent_family"):
-        rows.append(
-            suite.where(F.col(field) == "").select(F.lit(f"empty_{field}").alias("violation"), F.col("id").alias("key"))
-        )
-    rows.append(
-        suite.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(
-            F.lit("duplicate_id").alias("violation"), F.col("id").alias("key")
-        )
+    id_, grade = F.col("id"), F.col("grade")
+    row_rules = F.array(
+        *[
+            F.when(F.col(field) == "", F.lit(f"empty_{field}"))
+            for field in ("id", "docset", "query", "intent_family")
+        ]
     )
-    rows.append(
-        suite.groupBy("docset", "intent_family")
-        .agg(F.min("split").alias("a"), F.max("split").alias("b"))
-        .where("a <> b")
-        .select(
-            F.lit("family_in_both_splits").alias("violation"),
-            F.concat_ws("/", "docset", "intent_family").alias("key"),
-        )
+    of_rows = suite.select(F.explode(F.array_compact(row_rules)).alias("violation"), id_.alias("key"))
+
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    positive = F.col("class") == "positive"
+    by_id = F.struct(
+        F.lit("id").alias("rule"),
+        id_.alias("a"),
+        F.lit("").alias("b"),
+        F.lit(None).cast("string").alias("split"),
+        one.alias("rows"),
+        F.when(positive, one).otherwise(none).alias("positives"),
+        F.when(~positive, one).otherwise(none).alias("negatives"),
+        none.alias("targets"),
+        none.alias("bad_grades"),
     )
-    counted = suite.select("id", "class").join(
-        targets.groupBy("id").agg(F.count("*").alias("n")), "id", "left"
+    by_family = F.struct(
+        F.lit("family").alias("rule"),
+        F.col("docset").alias("a"),
+        F.col("intent_family").alias("b"),
+        "split",
+        *[none.alias(n) for n in ("rows", "positives", "negatives", "targets", "bad_grades")],
     )
-    n = F.coalesce("n", F.lit(0))
-    rows.append(
-        counted.where((F.col("class") == "positive") & (n == 0)).select(
-            F.lit("positive_without_targets").alias("violation"), F.col("id").alias("key")
+    counted = (
+        suite.select(F.explode(F.array(by_id, by_family)).alias("f"))
+        .select("f.*")
+        .unionByName(
+            targets.select(
+                F.lit("id").alias("rule"),
+                id_.alias("a"),
+                F.lit("").alias("b"),
+                F.lit(None).cast("string").alias("split"),
+                *[none.alias(n) for n in ("rows", "positives", "negatives")],
+                one.alias("targets"),
+                F.when(~grade.between(1, 2), one).otherwise(none).alias("bad_grades"),
+            )
         )
-    )
-    rows.append(
-        counted.where((F.col("class") != "positive") & (n > 0)).select(
-            F.lit("negative_with_targets").alias("violation"), F.col("id").alias("key")
+        .groupBy("rule", "a", "b")
+        .agg(
+            F.min("split").alias("first_split"),
+            F.max("split").alias("last_split"),
+            *[F.sum(n).alias(n) for n in ("rows", "positives", "negatives", "targets", "bad_grades")],
         )
     )
-    rows.append(
-        targets.where(~F.col("grade").between(1, 2)).select(
-            F.lit("grade_out_of_range").alias("violation"), F.col("id").alias("key")
+    own = F.when(F.col("a").isNotNull(), F.col("targets")).otherwise(none)
+    per_id = F.col("rule") == "id"
+
+    def told(name: str, times: Column) -> Column:
+        return F.struct(F.lit(name).alias("violation"), times.cast("long").alias("times"))
+
+    group_rules = F.array(
+        told("duplicate_id", F.when(per_id & (F.col("rows") > 1), one)),
+        told(
+            "family_in_both_splits",
+            F.when(~per_id & (F.col("first_split") != F.col("last_split")), one),
+        ),
+        told("positive_without_targets", F.when(own == 0, F.col("positives"))),
+        told("negative_with_targets", F.when(own > 0, F.col("negatives"))),
+        told("grade_out_of_range", F.col("bad_grades")),
+    )
+    # Repeats are written out in two steps, so that no row holds a list as long as a hot key.
+    step = 4096
+    of_groups = (
+        counted.select(
+            F.when(per_id, F.col("a")).otherwise(F.concat_ws("/", "a", "b")).alias("key"),
+            F.explode(F.filter(group_rules, lambda r: r["times"] > 0)).alias("r"),
         )
+        .select("key", "r.*")
+        .withColumn("from", F.explode(F.sequence(none, F.col("times") - 1, F.lit(step).cast("long"))))
+        .withColumn("i", F.explode(F.sequence(none, F.least(F.col("times") - F.col("from"), F.lit(step)) - 1)))
+        .select("violation", "key")
     )
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    return of_rows.unionByName(of_groups)
 
 
 # The smallest numbers of families a balanced suite has.

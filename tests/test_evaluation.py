@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,22 @@ def test_suite_rules(spark):
     ]
 
 
+def test_suite_rules_read_their_tables_thrice_and_repeat_breaches(spark):
+    suite = spark.createDataFrame(
+        [(None, "d", "q", "f", "test", "positive")] * 2 + [("x", None, "q", None, "test", None)]
+        + [("y", "d", "q", "f", "test", "near_domain_negative")] * 5000,
+        "id string, docset string, query string, intent_family string, split string, class string",
+    )
+    targets = spark.createDataFrame([(None, 1), ("y", None), ("z", 0), ("z", 9)], "id string, grade int")
+    found = metrics.suite_violations(suite, targets)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 3, plan
+    assert Counter((r.violation, r.key) for r in found.collect()) == {
+        ("duplicate_id", None): 1, ("duplicate_id", "y"): 1, ("positive_without_targets", None): 2,
+        ("negative_with_targets", "y"): 5000, ("grade_out_of_range", "z"): 2,
+    }
+
+
 def test_latency_is_exact_even_for_one_hot_value(spark):
     rng = random.Random(1)
     data = [("even", float(rng.randint(0, 50))) for _ in range(400)] + [("hot", 7.0)] * 300
