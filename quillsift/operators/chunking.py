@@ -1,18 +1,21 @@
 """Markdown to chunks: segmentation, packing to a token budget, global order.
 
 Segmentation and packing only ever look at one document, so they are row-local
-expressions: one regular expression cuts a document into blocks, folds over
-arrays build heading paths and pack pieces, and nothing is shuffled. Only the
-global chunk order needs an exchange.
-
-Token counts are the word-based estimate, which lets the folds carry running
-word counts instead of re-reading the text they have packed so far. Under that
-estimate a single word never exceeds a budget, so prose never has to be cut
-inside a word.
+and nothing is shuffled: one regular expression cuts a document into blocks and
+column expressions cut blocks into units and count their words. Where groups of
+units end is found in one pass over the counts in Arrow batches, without the
+text, so the time is linear in the length of a document. Only the global chunk
+order needs an exchange.
+
+Token counts are the word-based estimate. Under that estimate a single word
+never exceeds a budget, so prose never has to be cut inside a word.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,44 +43,66 @@ BLOCKS = rf"(?U){CODE_BLOCK}|{HEADING}{LINE}|{PROSE_BLOCK}"
 CODE_STARTS = r"(?:fn |def |function |class )"
 SENTENCE = r"[^.!?]*+[.!?][ \t\n]*+|[^.!?]++"
 
-_BLOCK_TYPE = "array<struct<path:string,kind:string,body:string>>"
-_PACK_TYPE = "struct<buf:string,words:int,out:array<string>>"
+_CUTS = "array<struct<start:int,stop:int>>"
 
 
-def segment(markdown: Column) -> Column:
-    """Blocks of a document in order: raw heading path, ``Code``/``Info``, body.
+def _rows(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists in one array, and where each list starts in it."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _open_headings(levels: pa.Array) -> pa.Array:
+    """Per block the places of the headings above it by level, -1 for a skipped level."""
+    values, ends = _rows(levels)
+    values = values.to_pylist()
+    out = []
+    for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        stack: list[int] = []
+        mine = []
+        for i, level in enumerate(values[start:stop]):
+            if level:
+                stack = (stack + [-1] * 6)[: level - 1] + [i]
+            mine.append(stack)
+        out.append(mine)
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+
+def with_blocks(documents: DataFrame, markdown: str = "markdown", name: str = "blocks") -> DataFrame:
+    """Adds the blocks of a document in order: raw heading path, ``Code``/``Info``, body.
 
     Any fence line closes a fenced block; a ``#`` inside one is code. Headings
-    set the path, skipped levels stay empty, and blank prose is dropped.
+    set the path, skipped levels stay empty, and blank prose is dropped. Only the
+    heading levels leave the JVM; the time is linear in the number of blocks.
     """
     lead = rf"(?U)^{INDENT}(#{{1,6}}) "
 
-    def step(acc: Column, block: Column) -> Column:
-        level = F.char_length(F.regexp_extract(block, lead, 1))
-        title = strip_edges(F.regexp_replace(block, lead, ""))
-        padded = F.concat(acc["stack"], F.array_repeat(F.lit(""), 6))
+    def marked(block: Column) -> Column:
         code = block.rlike(rf"(?U)^{FENCE}")
         heading = ~code & block.rlike(rf"(?U)^{HEADING}")
-        entry = F.struct(
-            F.array_join(acc["stack"], " > ").alias("path"),
-            F.when(code, "Code").otherwise("Info").alias("kind"),
+        level = F.when(heading, F.char_length(F.regexp_extract(block, lead, 1))).otherwise(0)
+        return F.struct(
             block.alias("body"),
+            F.when(code, "Code").otherwise("Info").alias("kind"),
+            level.cast("int").alias("level"),
+            F.when(heading, strip_edges(F.regexp_replace(block, lead, ""))).alias("title"),
+            (~heading & (code | (strip_edges(block) != ""))).alias("keep"),
         )
-        keep = code | (strip_edges(block) != "")
-        return F.struct(
-            F.when(heading, F.concat(F.slice(padded, 1, level - 1), F.array(title)))
-            .otherwise(acc["stack"])
-            .alias("stack"),
-            F.when(~heading & keep, F.concat(acc["out"], F.array(entry)))
-            .otherwise(acc["out"])
-            .alias("out"),
+
+    def placed(block: Column, i: Column) -> Column:
+        titles = F.transform(
+            F.get("_open", i), lambda at: F.when(at < 0, "").otherwise(F.get("_marks", at)["title"])
         )
+        return F.struct(F.array_join(titles, " > ").alias("path"), block["kind"], block["body"], block["keep"])
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"), F.array().cast(_BLOCK_TYPE).alias("out")
+    cut = F.regexp_extract_all(F.col(markdown), F.lit(BLOCKS), F.lit(0))
+    levels = F.transform("_marks", lambda m: m["level"])
+    return (
+        documents.withColumn("_marks", F.transform(cut, marked))
+        .withColumn("_open", F.arrow_udf(_open_headings, "array<array<int>>")(levels))
+        .withColumn(name, F.filter(F.transform("_marks", placed), lambda b: b["keep"]))
+        .drop("_marks", "_open")
     )
-    blocks = F.regexp_extract_all(markdown, F.lit(BLOCKS), F.lit(0))
-    return F.aggregate(blocks, start, step, lambda acc: acc["out"])
 
 
 def heading_prefix(path: Column) -> Column:
@@ -86,20 +111,85 @@ def heading_prefix(path: Column) -> Column:
     return F.when(clean == "", F.lit("")).otherwise(F.concat(F.lit("## "), clean, F.lit("\n\n")))
 
 
-def _pack_state(buf: Column, words: Column, out: Column) -> Column:
-    return F.struct(buf.alias("buf"), words.cast("int").alias("words"), out.alias("out"))
+def _unit(
+    text: Column, words: Column, run: Column, limit: Column, alone: Column, blank: Column | None = None
+) -> Column:
+    """A piece of text that packing never cuts: it joins others of its ``run`` up to ``limit``."""
+    return F.struct(
+        text.alias("text"),
+        words.cast("int").alias("words"),
+        run.cast("int").alias("run"),
+        limit.cast("int").alias("limit"),
+        alone.alias("alone"),
+        (F.lit(False) if blank is None else blank).alias("blank"),
+    )
 
 
-def _empty_pack() -> Column:
-    return F.struct(
-        F.lit("").alias("buf"), F.lit(0).alias("words"), F.array().cast("array<string>").alias("out")
-    ).cast(_PACK_TYPE)
+def _cuts(units: pa.Array, apart: pa.Array) -> pa.Array:
+    """Per row the groups of units, one pass over their counts.
 
+    A group takes units of one run while its tokens stay within the limit. ``alone`` units are
+    groups of their own. Blank units never start a group. ``apart`` marks prose: the tokens of the
+    group and of the next unit are rounded one by one, and two sentences may share a word; ``glued``
+    tells by two bits whether a unit starts and ends inside one.
+    """
+    flags, ends = _rows(units)
+    columns = [
+        flags.field(of).to_pylist() for of in ("words", "run", "limit", "alone", "blank", "glued")
+    ]
+    flat: list[tuple[int, int]] = []
+    sizes = [0]
+    for row, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        split_rounding = apart[row].as_py()
+        start, total = -1, 0
+        for i in range(lo, hi):
+            n, run, limit, single, empty, edge = (c[i] for c in columns)
+            if start >= 0:
+                if split_rounding:
+                    tokens = total * 4 // 3 + n * 4 // 3
+                else:
+                    tokens = (total + n) * 4 // 3
+                if single or run != columns[1][i - 1] or tokens > limit:
+                    flat.append((start - lo, i - lo))
+                    start = -1
+            if single:
+                flat.append((i - lo, i - lo + 1))
+            elif start >= 0:
+                total += n - (1 if edge & 1 and columns[5][i - 1] & 2 else 0)
+            elif not empty:
+                start, total = i, n
+        if start >= 0:
+            flat.append((start - lo, hi - lo))
+        sizes.append(len(flat))
+    pairs = np.array(flat, np.int32).reshape(-1, 2)
+    values = pa.StructArray.from_arrays(
+        [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["start", "stop"]
+    )
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+
+
+def _with_cuts(rows: DataFrame, units: str, name: str, apart: Column) -> DataFrame:
+    """Adds the groups of ``units``; counts and flags alone leave the JVM, no text does."""
+
+    def flags(u: Column) -> Column:
+        starts = u["text"].rlike(rf"^[^{SPACE}]").cast("int")
+        ends = u["text"].rlike(rf"[^{SPACE}]\z").cast("int")
+        inside = F.when(apart & (u["run"] >= 0), starts + 2 * ends).otherwise(0)
+        return F.struct(
+            *[u[of].alias(of) for of in ("words", "run", "limit", "alone", "blank")],
+            inside.cast("int").alias("glued"),
+        )
+
+    return rows.withColumn(name, F.arrow_udf(_cuts, _CUTS)(F.transform(units, flags), apart))
 
-def _flushed(acc: Column) -> Column:
-    return F.when(acc["buf"] == "", acc["out"]).otherwise(
-        F.concat(acc["out"], F.array(acc["buf"]))
+
+def _joined(units: str, cut: Column, separator: Column | str) -> Column:
+    texts = F.transform(
+        F.slice(F.col(units), cut["start"] + 1, cut["stop"] - cut["start"]), lambda u: u["text"]
     )
+    if isinstance(separator, str):
+        return F.array_join(texts, separator)
+    return F.when(separator, F.array_join(texts, "\n\n")).otherwise(F.array_join(texts, ""))
 
 
 def _word_groups(text: Column, max_tokens: Column) -> Column:
@@ -113,63 +203,45 @@ def _word_groups(text: Column, max_tokens: Column) -> Column:
     )
 
 
-def _split_paragraph(text: Column, max_tokens: Column) -> Column:
-    """Sentences packed up to the limit; an over-long sentence becomes word groups."""
+def _counted(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.struct(x.alias("text"), word_count(x).alias("words")))
 
-    def step(acc: Column, sentence: Column) -> Column:
-        words = word_count(sentence)
-        tokens = tokens_for_words(words)
-        glued = acc["buf"].rlike(rf"[^{SPACE}]\z") & sentence.rlike(rf"^[^{SPACE}]")
-        full = (acc["buf"] != "") & (tokens_for_words(acc["words"]) + tokens > max_tokens)
-        return (
-            F.when(
-                tokens > max_tokens,
-                _pack_state(
-                    F.lit(""), F.lit(0), F.concat(_flushed(acc), _word_groups(sentence, max_tokens))
-                ),
-            )
-            .when(full, _pack_state(sentence, words, _flushed(acc)))
-            .otherwise(
-                _pack_state(
-                    F.concat(acc["buf"], sentence),
-                    acc["words"] + words - glued.cast("int"),
-                    acc["out"],
-                )
-            )
+
+def _prose_units(body: Column, target: Column, max_tokens: Column) -> Column:
+    """Paragraphs, which join up to ``target``; one over ``max_tokens`` becomes a run of its sentences."""
+
+    def sentences(paragraph: Column, run: Column) -> Column:
+        cut = F.filter(
+            F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)), lambda s: strip_edges(s) != ""
+        )
+        return F.transform(
+            _counted(cut),
+            lambda s: _unit(
+                s["text"], s["words"], run, max_tokens, tokens_for_words(s["words"]) > max_tokens
+            ),
         )
 
-    sentences = F.filter(
-        F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: strip_edges(s) != ""
+    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip_edges), lambda x: x != "")
+    return F.flatten(
+        F.transform(
+            _counted(paragraphs),
+            lambda p, i: F.when(
+                tokens_for_words(p["words"]) > max_tokens, sentences(p["text"], i)
+            ).otherwise(F.array(_unit(p["text"], p["words"], F.lit(-1), target, F.lit(False)))),
+        )
     )
-    return F.aggregate(sentences, _empty_pack(), step, _flushed)
 
 
-def prose_pieces(body: Column, target: Column, max_tokens: Column) -> Column:
-    """Paragraphs packed towards ``target``; one over ``max_tokens`` is split alone."""
+def _prose_pieces(units: str, cuts: str, max_tokens: Column) -> Column:
+    """The text of each group; an over-long sentence becomes word groups."""
 
-    def step(acc: Column, paragraph: Column) -> Column:
-        words = word_count(paragraph)
-        tokens = tokens_for_words(words)
-        full = tokens_for_words(acc["words"]) + tokens > target
-        return (
-            F.when(
-                tokens > max_tokens,
-                _pack_state(
-                    F.lit(""),
-                    F.lit(0),
-                    F.concat(_flushed(acc), _split_paragraph(paragraph, max_tokens)),
-                ),
-            )
-            .when((acc["buf"] == "") | full, _pack_state(paragraph, words, _flushed(acc)))
-            .otherwise(
-                _pack_state(
-                    F.concat(acc["buf"], F.lit("\n\n"), paragraph), acc["words"] + words, acc["out"]
-                )
-            )
+    def piece(cut: Column) -> Column:
+        first = F.get(units, cut["start"])
+        return F.when(first["alone"], _word_groups(first["text"], max_tokens)).otherwise(
+            F.array(_joined(units, cut, first["run"] < 0))
         )
 
-    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip_edges), lambda x: x != "")
-    return F.aggregate(paragraphs, _empty_pack(), step, _flushed)
+    return F.flatten(F.transform(cuts, piece))
 
 
 def _cut_line(line: Column, budget: Column) -> Column:
@@ -181,45 +253,56 @@ def _cut_line(line: Column, budget: Column) -> Column:
     return F.regexp_extract_all(line, pattern, F.lit(0))
 
 
-def _pack_joined(items: Column, budget: Column, cut_long: bool) -> Column:
-    """Items joined by newlines, greedily, while they fit the budget."""
+def _code_units(inner: Column, budget: Column) -> Column:
+    """Definitions, each a run of its own; one over the budget is a run of its lines."""
 
-    def step(acc: Column, item: Column) -> Column:
-        words = word_count(item)
-        joined = acc["words"] + words
-        fresh = acc["buf"] == ""
-        full = ~fresh & (tokens_for_words(joined) > budget)
-        grown = F.when(fresh, item).otherwise(F.concat(acc["buf"], F.lit("\n"), item))
-        kept = F.when(full, _pack_state(item, words, _flushed(acc))).otherwise(
-            _pack_state(grown, joined, acc["out"])
+    def lines(segment: Column, run: Column) -> Column:
+        return F.transform(
+            _counted(F.split(segment, "\n")),
+            lambda x: _unit(
+                x["text"], x["words"], run, budget,
+                tokens_for_words(x["words"]) > budget, x["text"] == "",
+            ),
         )
-        if not cut_long:
-            return kept
-        return F.when(
-            tokens_for_words(words) > budget,
-            _pack_state(F.lit(""), F.lit(0), F.concat(_flushed(acc), _cut_line(item, budget))),
-        ).otherwise(kept)
-
-    return F.aggregate(items, _empty_pack(), step, _flushed)
-
 
-def code_groups(inner: Column, budget: Column) -> Column:
-    """Code text without its fences, cut at definitions and packed to the budget."""
     segments = F.split(inner, rf"(?U)\n(?={INDENT}{CODE_STARTS})")
-    pieces = F.flatten(
+    return F.flatten(
         F.transform(
-            segments,
-            lambda s: F.when(tokens_for_words(word_count(s)) <= budget, F.array(s)).otherwise(
-                _pack_joined(F.split(s, "\n"), budget, cut_long=True)
+            _counted(segments),
+            lambda s, i: F.when(tokens_for_words(s["words"]) > budget, lines(s["text"], i)).otherwise(
+                F.array(_unit(s["text"], s["words"], i, budget, F.lit(False)))
             ),
         )
     )
-    return _pack_joined(pieces, budget, cut_long=False)
+
+
+def _code_parts(units: str, cuts: str, budget: Column) -> Column:
+    """The text of each group as units of the next pass, which joins definitions up to the budget."""
+
+    def part(cut: Column) -> Column:
+        first = F.get(units, cut["start"])
+        return F.when(first["alone"], _cut_line(first["text"], budget)).otherwise(
+            F.array(_joined(units, cut, "\n"))
+        )
+
+    return F.transform(
+        _counted(F.flatten(F.transform(cuts, part))),
+        lambda p: _unit(p["text"], p["words"], F.lit(-1), budget, F.lit(False), p["text"] == ""),
+    )
+
+
+def exploded(rows: DataFrame, values: str, at: str, name: str) -> DataFrame:
+    """One row per value with its place. From an inner explode the optimizer infers a filter on the
+    size of the list and evaluates the whole expression behind it once more; an outer one has none."""
+    return rows.select(
+        *[c for c in rows.columns if c != values], F.posexplode_outer(values).alias(at, name)
+    ).where(F.col(at).isNotNull())
 
 
 def blocks_of(documents: DataFrame, key: str = "doc_key") -> DataFrame:
     """Rows ``(key, block_no, path, kind, body)`` of ``(key, markdown)``."""
-    return spread(documents, key).select(key, F.posexplode(segment(F.col("markdown"))).alias("block_no", "b")).select(
+    blocks = with_blocks(spread(documents, key).select(key, "markdown"))
+    return exploded(blocks.select(key, "blocks"), "blocks", "block_no", "b").select(
         key, "block_no", "b.path", "b.kind", "b.body"
     )
 
@@ -233,13 +316,9 @@ def chunk_markdown(
     re-wrapped in its own fence per part and its heading says which part.
     """
     room_for_all = F.lit(budget.max_tokens) - F.col("overhead")
-    prose = prose_pieces(
-        F.col("body"),
-        F.least(
-            F.greatest(F.lit(budget.target_tokens) - F.col("overhead"), F.lit(0)),
-            F.greatest(room_for_all, F.lit(1)),
-        ),
-        F.greatest(room_for_all, F.lit(1)),
+    most = F.greatest(room_for_all, F.lit(1))
+    target = F.least(
+        F.greatest(F.lit(budget.target_tokens) - F.col("overhead"), F.lit(0)), most
     )
     split = (F.col("kind") == "Code") & (tokens_for_words(F.col("n_words")) > budget.max_tokens)
     body_lines = F.transform(
@@ -265,18 +344,32 @@ def chunk_markdown(
         .withColumn("open_line", F.element_at("lines", 1))
         .withColumn("fence", F.when(ticks == "", "```").otherwise(ticks))
     )
+    info = F.col("kind") == "Info"
+    units = F.when(info, _prose_units(F.col("body"), target, most)).when(
+        F.col("split"), _code_units(F.array_join(inner, "\n"), F.col("room"))
+    )
+    first = _with_cuts(
+        prepared.withColumn("room", room).withColumn("units", units), "units", "cuts", info
+    )
+    second = _with_cuts(
+        first.withColumn("parts", F.when(F.col("split"), _code_parts("units", "cuts", F.col("room")))),
+        "parts", "part_cuts", F.lit(False),
+    )
     pieces = (
-        F.when(F.col("kind") == "Info", prose)
-        .when(F.col("split"), code_groups(F.array_join(inner, "\n"), room))
+        F.when(info, _prose_pieces("units", "cuts", most))
+        .when(F.col("split"), F.transform("part_cuts", lambda c: _joined("parts", c, "\n")))
         .otherwise(F.array("body"))
     )
     part_path = F.concat(
         "path", F.lit(" (part "), (F.col("part_no") + 1).cast("string"), F.lit(")")
     )
     return (
-        prepared.select(
-            key, "block_no", "path", "kind", "prefix", "split", "open_line", "fence",
-            F.posexplode(pieces).alias("part_no", "piece"),
+        exploded(
+            second.select(
+                key, "block_no", "path", "kind", "prefix", "split", "open_line", "fence",
+                pieces.alias("pieces"),
+            ),
+            "pieces", "part_no", "piece",
         )
         .withColumn("own_path", F.when(F.col("split"), part_path).otherwise(F.col("path")))
         .select(
