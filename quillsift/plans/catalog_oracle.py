@@ -87,7 +87,33 @@ c AS (SELECT CASE WHEN doc_id % 101 = 7 THEN doc_id - 1 WHEN doc_id % 199 = 11 T
   CASE doc_id % 47 WHEN 3 THEN 'Other' WHEN 4 THEN NULL ELSE 'Info' END AS chunk_type FROM documents)
 """
 
+# Packages straight from the keys their faults are made of.
+_ARCHIVES = """
+turns AS (SELECT conv_id || '-' || (turn // 64) AS archive, conv_id * 7 + turn // 64 AS k, turn % 64 AS pos FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY pos) - 1 AS line_no FROM turns),
+packs AS (SELECT archive, k, k % 33 <> 10 AS filled FROM turns GROUP BY archive, k),
+held AS (SELECT *, filled AND (k % 31 <> 8 OR k % 16 = 3) AS has_manifest, filled AND k % 31 <> 8 AND k % 27 <> 9 AS reads, filled AND k % 37 <> 2 AS has_chunks FROM packs),
+lines AS (SELECT archive, k, line_no, pos, k % 23 = 4 AND pos = 1 AS torn FROM placed JOIN held USING (archive, k) WHERE has_chunks)
+"""
+
 ORACLES = {
+    "archive_validate": f"""
+WITH {_ARCHIVES}
+SELECT archive, 'missing_manifest' AS violation, NULL::VARCHAR AS name FROM held WHERE NOT has_manifest
+UNION ALL SELECT archive, 'missing_chunks', NULL FROM held WHERE NOT has_chunks
+UNION ALL SELECT archive, 'unsafe_path', '../LICENSE' FROM held WHERE filled AND k % 15 = 4
+UNION ALL SELECT archive, 'duplicate_entry', 'manifest.json' FROM held WHERE filled AND k % 31 <> 8 AND k % 16 = 3
+UNION ALL SELECT archive, CASE WHEN k % 14 = 5 THEN 'sha256_mismatch' ELSE 'sha256_shape' END, NULL FROM held WHERE k % 14 IN (5, 6)
+UNION ALL SELECT archive, 'invalid_manifest', NULL FROM held WHERE has_manifest AND NOT reads
+UNION ALL SELECT archive, 'manifest_rule', 'model_id' FROM held WHERE reads AND k % 13 = 5
+UNION ALL SELECT archive, 'manifest_rule', 'docset_name' FROM held WHERE reads AND k % 25 = 6
+UNION ALL SELECT archive, 'manifest_rule', 'no_upstream_url' FROM held WHERE reads AND k % 21 = 2
+UNION ALL SELECT archive, 'chunk_count', NULL FROM held WHERE reads AND has_chunks AND k % 11 = 1
+UNION ALL SELECT archive, 'malformed_line', line_no::VARCHAR FROM lines WHERE torn
+UNION ALL SELECT archive, 'idx_position', line_no::VARCHAR FROM lines WHERE NOT torn AND CASE WHEN k % 19 = 7 AND pos = 1 THEN 0 ELSE pos END <> line_no
+UNION ALL SELECT archive, 'empty_text', line_no::VARCHAR FROM lines WHERE NOT torn AND k % 17 = 6 AND pos = 0
+UNION ALL SELECT archive, 'chunk_type', line_no::VARCHAR FROM lines WHERE NOT torn AND k % 29 = 3 AND pos = 0""",
     "docset_name_valid": """
 WITH n AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN upper(source) WHEN 1 THEN source || '..x' WHEN 2 THEN source || '/' || lang
   WHEN 3 THEN repeat(source, 20) WHEN 4 THEN '' WHEN 5 THEN source || '_-.' || lang ELSE source END AS name FROM documents)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillsift import params
 from quillsift.functions import validate as v
 from quillsift.plans import bindings as b
-from quillsift.sources import catalog
+from quillsift.sources import archive, catalog
 from quillsift.sources.catalog import RegistryHosts
 
 HOSTS = RegistryHosts("code.example.org", "docs-registry", "mirror.example.org")
@@ -179,6 +179,96 @@ def manifest_validate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def archive_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One package per stretch of 64 turns of a conversation, with faults at fixed keys.
+
+    The stretch bounds a package, however long the conversation; every turn is in one of them.
+    """
+    stretch = F.floor(F.col("turn") / 64).cast("long")
+    k = F.col("k")
+    at = F.col("turn") % 64
+    line = F.when((k % 23 == 4) & (at == 1), "{not json").otherwise(
+        F.to_json(
+            F.struct(
+                F.when((k % 19 == 7) & (at == 1), 0).otherwise(at).alias("idx"),
+                F.col("role").alias("heading_path"),
+                F.lit("a.md").alias("source_url"),
+                F.when((k % 29 == 3) & (at == 0), "Other").otherwise("Info").alias("chunk_type"),
+                F.when((k % 17 == 6) & (at == 0), "<!-- none -->").otherwise(F.concat(F.lit("x"), "text")).alias("text"),
+            )
+        )
+    )
+    turns = (
+        b.table(spark, folder, "conversations")
+        .where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull())
+        .withColumn("k", F.col("conv_id") * 7 + stretch)
+        .withColumn("archive", F.concat_ws("-", "conv_id", stretch))
+        .select("archive", "k", "turn", line.alias("line"))
+    )
+    packages = turns.groupBy("archive", "k").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n"
+        ).alias("lines"),
+        F.count("*").alias("n"),
+    )
+    manifest = F.to_json(
+        F.struct(
+            F.when(k % 25 == 6, "other").otherwise(F.col("archive")).alias("docset"),
+            F.lit("1.0.0").alias("doc_version"),
+            F.lit(1).alias("schema_version"),
+            F.struct(
+                F.when(k % 13 == 5, "other/model").otherwise(params.MODEL_ID).alias("model_id"),
+                F.lit("2").alias("model_version"), F.lit("main").alias("model_revision"),
+                F.lit("00").alias("model_sha256"), F.lit(params.VECTOR_DIM).alias("vector_dim"),
+                F.lit(params.MODEL_ENGINE).alias("engine"), F.lit(params.MODEL_DTYPE).alias("dtype"),
+            ).alias("embedder"),
+            F.struct(
+                F.lit("default").alias("tokenizer"), F.lit(384).alias("chunk_size_tokens"),
+                F.lit(2048).alias("window_tokens"),
+            ).alias("retrieval"),
+            F.struct(
+                F.lit("").alias("entry_url"),
+                F.when(k % 21 == 2, "").otherwise("https://docs.example.org").alias("source_url"),
+                F.lit("2024-01-01").alias("scraped_at"),
+                (F.col("n") + (k % 11 == 1).cast("int")).alias("chunk_count"),
+            ).alias("source"),
+            F.struct(
+                F.lit("MIT").alias("license"), F.lit("holder").alias("copyright_holder"),
+                F.lit("Authors").alias("attribution"),
+            ).alias("legal"),
+            F.struct(F.lit("manual").alias("tier"), F.lit(0).alias("auto_days")).alias("refresh_strategy"),
+        )
+    )
+    digest = F.sha2("lines", 256)
+    archives = packages.select(
+        "archive",
+        F.col("archive").alias("docset"),
+        F.when(k % 14 == 5, F.sha2("archive", 256)).when(k % 14 == 6, "00")
+        .when(k % 14 == 7, F.upper(digest)).otherwise(digest).alias("sha256"),
+        digest.alias("digest"),
+    )
+
+    def entry(name: str, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), text.cast("binary").alias("content"))
+
+    files = F.array_compact(
+        F.array(
+            F.when(k % 31 != 8, entry("manifest.json", F.when(k % 27 == 9, F.substring(manifest, 1, 40)).otherwise(manifest))),
+            F.when(k % 37 != 2, entry("chunks.jsonl", F.col("lines"))),
+            F.when(k % 15 == 4, entry("../LICENSE", F.lit("text"))),
+            F.when(k % 16 == 3, entry("old/manifest.json", F.lit("{}"))),
+        )
+    )
+    entries = packages.where(k % 33 != 10).select("archive", F.posexplode(files).alias("position", "e")).select(
+        "archive", "position", "e.name", F.octet_length("e.content").cast("long").alias("size"), "e.content"
+    )
+    return archives, entries
+
+
+def archive_validate(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.validate_archives(*archive_tables(spark, folder))
+
+
 def docset_state(spark: SparkSession, folder: str) -> DataFrame:
     states = catalog.docset_states(manifests(spark, folder), store_rows(spark, folder))
     pure = catalog.docset_states(manifests(spark, folder), store_rows(spark, folder), False)
@@ -308,4 +398,5 @@ QUERIES = {
     "update_throttle": update_throttle,
     "manifest_validate": manifest_validate,
     "registry_validate": registry_validate,
+    "archive_validate": archive_validate,
 }

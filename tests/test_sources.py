@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import tarfile
@@ -16,7 +17,7 @@ from quillsift.operators.license_audit import scan_files
 from quillsift.plans.evaluation import evaluate_suite
 from quillsift.plans.search import search, search_docsets
 from quillsift.sources import archive, catalog, files
-from quillsift.sources.store import DocsetNotInstalled, DocsetStore, StoreError
+from quillsift.sources.store import DocsetNotInstalled, DocsetStore, StoreError, build_manifest
 
 
 @pytest.fixture
@@ -145,6 +146,46 @@ def test_archives(spark, tmp_path):
     assert ("good", "missing_store") in release and ("bad", "missing_store") not in release
 
 
+def test_archive_contents_and_digests(spark, tmp_path):
+    legal = {"license": "MIT", "copyright_holder": "h", "attribution": "a"}
+    base = build_manifest("d", 2, source_url="https://docs.example.org", doc_version="1.0.0", **legal)
+    line = lambda i, **over: json.dumps({"idx": i, "heading_path": "H", "source_url": "a.md", "text": "some text", **over})
+    good = "\r\n".join([line(0), "", line(1, chunk_type="Code"), ""]).encode()
+    manifest = json.dumps(base).encode()
+    files = {
+        "good": [("m/manifest.json", manifest), ("m/chunks.jsonl", good)],
+        "empty": [],
+        "utf8": [("manifest.json", b"\xff\xfe"), ("chunks.jsonl", b"\xff")],
+        "lines": [("manifest.json", manifest), ("chunks.jsonl", "\n".join(
+            [line(1), "{torn", line(2, text="<!-- x -->", chunk_type="Prose"), '{"idx": 3}']).encode())],
+        "other": [("manifest.json", json.dumps({**base, "docset": "e", "schema_version": 2}).encode()), ("chunks.jsonl", good)],
+        "second": [("manifest.json", manifest), ("chunks.jsonl", good), ("x-chunks.jsonl", b"{torn")],
+        "wrong": [("manifest.json", manifest), ("chunks.jsonl", good)],
+    }
+    digests = {}
+    for name, entries in files.items():
+        data = make_tar(entries)
+        digests[name] = hashlib.sha256(data).hexdigest()
+        (tmp_path / f"{name}.tar").write_bytes(data)
+    named = F.regexp_extract("archive", "([^/.]+)[.][^/]+$", 1)
+    expected = [(n, "d", {"wrong": "0" * 64, "good": d.upper(), "other": "abc"}.get(n, d)) for n, d in digests.items()]
+    archives = archive.archive_files(spark, str(tmp_path)).withColumn("archive", named).join(
+        spark.createDataFrame(expected, "archive string, docset string, sha256 string"), "archive"
+    )
+    entries = archive.read_archives(spark, str(tmp_path)).withColumn("archive", named)
+    got = sorted((r.archive, r.violation, r["name"] or "") for r in archive.validate_archives(archives, entries).collect())
+    assert got == sorted([
+        ("empty", "missing_chunks", ""), ("empty", "missing_manifest", ""),
+        ("utf8", "invalid_manifest", ""), ("utf8", "invalid_chunks", ""),
+        ("lines", "chunk_count", ""), ("lines", "idx_position", "0"), ("lines", "malformed_line", "1"),
+        ("lines", "empty_text", "2"), ("lines", "chunk_type", "2"), ("lines", "malformed_line", "3"),
+        ("other", "sha256_shape", ""), ("other", "manifest_rule", "schema_version"), ("other", "manifest_rule", "docset_name"),
+        ("wrong", "sha256_mismatch", ""),
+    ])
+    release = {(r.archive, r.violation) for r in archive.validate_archives(archives, entries, release=True).collect()}
+    assert ("good", "missing_store") in release and not any(v == "chunk_count" for _, v in release)
+
+
 def test_catalog_files(spark, tmp_path):
     package = {"docset": "d", "version": "1.0.0", "license": "MIT", "chunk_count": 3, "freshness": "now", "download_url": "u", "sha256": "s"}
     (tmp_path / "index.json").write_text(json.dumps({"schema_version": 1, "generated_at": "x", "packages": [package]}, indent=1))
