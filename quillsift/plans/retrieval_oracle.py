@@ -246,6 +246,17 @@ FROM documents LEFT JOIN found ON doc_id = chunk_idx""",
         f"other AS (SELECT *, cosine AS rel FROM ready WHERE qid NOT IN (SELECT qid FROM accepted)), {selected_ctes('other', 'loc')} "
         f"{_MMR_OUT} (SELECT * FROM sel UNION ALL SELECT * FROM loc)"
     ),
+    "rerank_fallback": (
+        f"WITH {DOCUMENTS}, stated AS MATERIALIZED (SELECT qid, CASE WHEN qid NOT IN (SELECT qid FROM document) THEN 'no_order' "
+        "WHEN length(query) % 5 = 1 THEN 'failed' WHEN length(query) % 5 = 2 THEN 'invalid_order' ELSE 'reranked' END AS status FROM q), "
+        "accepted AS MATERIALIZED (SELECT qid, chunk_idx, row_number() OVER w - 1 AS rerank_pos, "
+        "(count(*) OVER (PARTITION BY qid) - (row_number() OVER w - 1)) / (count(*) OVER (PARTITION BY qid))::DOUBLE AS relevance "
+        "FROM document JOIN stated USING (qid) WHERE status = 'reranked' WINDOW w AS (PARTITION BY qid ORDER BY length(document) DESC, position)), "
+        f"{READY}, cand AS (SELECT r.* EXCLUDE (position), a.rerank_pos AS position, a.relevance AS rel "
+        f"FROM ready r JOIN accepted a USING (qid, chunk_idx)), {selected_ctes('cand', 'sel', 'position')}, "
+        f"other AS (SELECT *, cosine AS rel FROM ready WHERE qid NOT IN (SELECT qid FROM accepted)), {selected_ctes('other', 'loc')} "
+        "SELECT qid, status, mmr_rank, chunk_idx, round(cosine, 6) AS cosine FROM (SELECT * FROM sel UNION ALL SELECT * FROM loc) JOIN stated USING (qid)"
+    ),
     "answer_gate": f"WITH {DECIDED} SELECT qid, round(top_cosine, 6) AS top_cosine, round(top_rrf, 6) AS top_rrf, NOT none AND NOT reject AS gate_passed FROM labelled",
     "answer_state": f"WITH {DECIDED} SELECT qid, answer_state, decision_reason, binary_state, binary_reason FROM stated",
     "trace_pool_cosines": (

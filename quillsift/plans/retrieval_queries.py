@@ -143,6 +143,25 @@ def mmr_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(s.with_rerank(batch, pool, ready, chunks, rerank.overlap_reranker))
 
 
+def longest_first(query: str, documents: list[str]) -> list[int]:
+    """Longest document first; fails, or forgets one, for queries of some lengths."""
+    if len(query) % 5 == 1:
+        raise ConnectionError("no answer for this query")
+    order = sorted(range(len(documents)), key=lambda i: (-len(documents[i]), i))
+    return order[1:] if len(query) % 5 == 2 else order
+
+
+def rerank_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Selection under a reranker that fails for some queries, which alone are selected by cosine."""
+    batch, chunks, pool, ready = _ready(spark, folder)
+    order = s.rerank_decisions(batch, pool, chunks, rerank.per_query(longest_first))
+    picked = s.select_by_order(ready, order)
+    status = order.select("qid", "status").distinct()
+    return b.as_output(
+        picked.join(batch.sized(status), "qid").select("qid", "status", "mmr_rank", "chunk_idx", "cosine")
+    )
+
+
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
     batch, _, _, ready = _ready(spark, folder)
     return answer.decide(batch.df, mmr.mmr_select(ready))
@@ -254,6 +273,7 @@ QUERIES = {
     "cosine_pairs": cosine_pairs,
     "mmr_select": mmr_selection,
     "mmr_ordinal": mmr_ordinal,
+    "rerank_fallback": rerank_fallback,
     "rerank_order": rerank_order,
     "rerank_documents": rerank_documents,
     "answer_gate": answer_gate,

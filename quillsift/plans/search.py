@@ -98,12 +98,12 @@ def attach(batch: QueryBatch, pool: DataFrame, chunks: DataFrame, vectors: DataF
     """Add page, vector and query columns to the pool, ready for selection.
 
     The pool has a bounded number of rows per query, so for a small batch it is
-    the broadcast side and the chunk tables are only scanned.
+    the broadcast side and the chunk tables are only scanned. Every candidate stays,
+    also one without a chunk row or a vector.
     """
-    pages = near(batch, chunks, pool).select("chunk_idx", "source_url").join(
-        batch.sized(pool), "chunk_idx"
-    )
     keys = batch.sized(pool.select("qid", "chunk_idx"))
+    found = near(batch, chunks, pool).select("chunk_idx", "source_url").join(keys, "chunk_idx")
+    pages = pool.join(found, ["qid", "chunk_idx"], "left")
     stored = near(batch, vectors, pool).select("chunk_idx", "embedding").join(keys, "chunk_idx")
     asked = batch.df.select("qid", "qvec", "top_k")
     return (
@@ -119,11 +119,22 @@ def with_rerank(
 ) -> DataFrame:
     """Selection that follows an accepted rerank order where there is one.
 
-    Queries whose documents do not qualify, or whose order is not a permutation
-    of the pool, are selected by cosine as if there were no reranker.
+    Queries whose documents do not qualify, whose order is not a permutation of the
+    pool, or whose call failed (``rerank.per_query``) are selected by cosine as if there
+    were no reranker. A reranker table that fails as a job fails the search.
     """
-    order = rerank.accepted_order(pool, reranker(documents_of(batch, pool, chunks)))
-    joined = ready.join(order, ["qid", "chunk_idx"], "left")
+    return select_by_order(ready, rerank_decisions(batch, pool, chunks, reranker), p)
+
+
+def rerank_decisions(
+    batch: QueryBatch, pool: DataFrame, chunks: DataFrame, reranker: rerank.Reranker
+) -> DataFrame:
+    """The reranker's order over the pool, fixed once, with a status per query."""
+    return rerank.decided_order(pool, reranker(documents_of(batch, pool, chunks)))
+
+
+def select_by_order(ready: DataFrame, order: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+    joined = ready.join(order.drop("status"), ["qid", "chunk_idx"], "left")
     reranked = joined.where(F.col("relevance").isNotNull()).withColumn("position", F.col("rerank_pos"))
     local = joined.where(F.col("relevance").isNull()).drop("relevance", "rerank_pos")
     return mmr.mmr_select(reranked.drop("rerank_pos"), p).unionByName(mmr.mmr_select(local, p))
@@ -150,6 +161,7 @@ class SearchResult:
     decisions: DataFrame
     selected: DataFrame
     pool: DataFrame
+    rerank_status: DataFrame | None = None
 
 
 def search(
@@ -166,17 +178,20 @@ def search(
 
     ``rows`` has one row per returned chunk; a query labelled ``no_answer``
     returns none, which ``decisions`` tells apart; an invalid one has the state
-    ``invalid_query`` there. The pool and the selection are
+    ``invalid_query`` there. With a reranker ``rerank_status`` says per query whether its
+    order was used. The pool and the selection are
     small (a fixed number of rows per query) and each feeds several joins, so
     both cut their lineage.
     """
     pool = checkpointed(hybrid_pool(batch, chunks, vectors, p, ranked, index))
     ready = attach(batch, pool, chunks, vectors)
-    picked = (
-        with_rerank(batch, pool, ready, chunks, reranker, p)
-        if reranker
-        else mmr.mmr_select(ready, p)
-    )
+    status = None
+    if reranker:
+        order = rerank_decisions(batch, pool, chunks, reranker)
+        status = order.select("qid", "status").distinct()
+        picked = select_by_order(ready, order, p)
+    else:
+        picked = mmr.mmr_select(ready, p)
     selected = checkpointed(picked)
     decisions = answer.decide(batch.df, selected, p)
     answered = selected.join(
@@ -195,7 +210,7 @@ def search(
     )
     if batch.refused is not None:
         decisions = decisions.unionByName(answer.refuse(batch.refused), allowMissingColumns=True)
-    return SearchResult(answer.pack_to_budget(fetched), decisions, selected, pool)
+    return SearchResult(answer.pack_to_budget(fetched), decisions, selected, pool, status)
 
 
 def search_docsets(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -273,3 +274,41 @@ def test_search_with_a_failing_reranker_equals_search_without(spark, corpus):
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, failed.collect()), key=str)
     good = plan.search(batch, chunks, stored, reranker=rerank.overlap_reranker).selected
     assert good.count() == plain.count()
+
+
+def test_a_failed_or_late_call_changes_only_its_query(spark, corpus):
+    _, _, chunks, stored, queries = corpus
+    batch = QueryBatch.measure(queries.withColumn("top_k", F.lit(5)))
+    by_qid = {r.qid: r.query for r in queries.collect()}
+    bad = {by_qid[0]: "failed", by_qid[1]: "late", by_qid[2]: "invalid_order"}
+
+    def ranker(query, documents):
+        kind = bad.get(query)
+        if kind == "failed":
+            raise OSError("gone")
+        if kind == "late":
+            time.sleep(20)
+        order = list(range(len(documents)))[::-1]
+        return order[:-1] + order[:1] if kind == "invalid_order" else order
+
+    def rows(result, key):
+        return sorted((tuple(r) for r in result.selected.collect() if key(r.qid)), key=str)
+
+    plain = plan.search(batch, chunks, stored)
+    mixed = plan.search(batch, chunks, stored, reranker=rerank.per_query(ranker, timeout=3.0))
+    good = plan.search(batch, chunks, stored, reranker=rerank.per_query(lambda q, d: list(range(len(d)))[::-1]))
+    hit = lambda qid: by_qid[qid] in bad
+    assert rows(mixed, hit) == rows(plain, hit)
+    assert rows(mixed, lambda q: not hit(q)) == rows(good, lambda q: not hit(q))
+    expected = {q: bad.get(t, "reranked") for q, t in by_qid.items()}
+    assert {r.qid: r.status for r in mixed.rerank_status.collect()} == expected
+
+
+def test_a_candidate_without_a_chunk_row_stays(spark, corpus):
+    _, _, chunks, stored, queries = corpus
+    batch = QueryBatch.measure(queries)
+    pool = plan.hybrid_pool(batch, chunks, stored)
+    gone = pool.first()["chunk_idx"]
+    ready = plan.attach(batch, pool, chunks.where(F.col("chunk_idx") != gone), stored)
+    assert ready.count() == pool.count()
+    assert {r.source_url for r in ready.where(F.col("chunk_idx") == gone).collect()} == {None}
