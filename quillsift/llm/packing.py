@@ -4,8 +4,9 @@ A document's ids, closed by an end id, are cut into full windows of the longest
 remains is routed to the shortest tier that holds it. Each tier is packed from the longest to
 the shortest: a piece opens a window of its tier and shorter pieces fill the gap, the largest
 that fits first; if none fits, the smallest is cut, so a window closes exactly at its tier's
-length. Windows of one tier form step groups of ``STEP_TOKENS`` inside a task; the last group of each
-tier in each task may hold less, so groups are not balanced over tasks.
+length. ``balanced_steps`` numbers the windows of each tier over all tasks (counts per task and
+tier, then offsets) and deals them into as few step groups of at most ``STEP_TOKENS`` as hold them,
+whose sizes differ by at most one window. Step groups count from 0, longer tiers first.
 
 Packing is local to a task and holds at most ``POOL_TOKENS`` waiting ids beside the current
 document. Pieces still waiting at the end of a task go, cut freely, into windows of falling
@@ -25,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from quillsift.llm.arrow_text import id_and_text, slices
 from quillsift.llm.pretoken import TextEncoder, WordSplitter
+from quillsift.session import broadcast_if_small, checkpointed
 
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
 BYTE_LEVEL_PATTERN = (
@@ -38,9 +42,11 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 POOL_TOKENS = 1 << 18
 END_ID = 1
+#: A window's number is its task's partition above these bits.
+TASK_SHIFT = 40
 COLUMNS = {
     "id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long",
-    "sequence_id": "long", "offset": "long", "context": "int", "step_group": "long",
+    "sequence_id": "long", "offset": "long", "context": "int", "tier_window": "long",
 }
 
 _encoders: dict[str, TextEncoder] = {}
@@ -62,20 +68,19 @@ def byte_level_encoder(path: str) -> TextEncoder:
 class TierPacker:
     """Packs the documents of one task; ``rows`` collects one tuple per placed piece."""
 
-    def __init__(self, first_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS,
-                 pool_tokens: int = POOL_TOKENS) -> None:
+    def __init__(
+        self, first_id: int, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS
+    ) -> None:
         self.tiers = tuple(sorted(tiers))
         self.longest = self.tiers[-1]
-        self.step_tokens = step_tokens
         self.pool_tokens = pool_tokens
         #: Waiting pieces of each tier, by length: (length, arrival, document, start).
         self.waiting: dict[int, list[tuple]] = {t: [] for t in self.tiers}
         self.waiting_tokens = 0
         self.arrivals = 0
         self.next_sequence = first_id
-        self.next_step = first_id
-        #: Of each tier: current step group and the tokens it holds.
-        self.steps: dict[int, list[int]] = {}
+        #: Of each tier: the windows closed so far.
+        self.closed = dict.fromkeys(self.tiers, 0)
         self.rows: list[tuple] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
@@ -154,16 +159,13 @@ class TierPacker:
             self._close(left, self.longest)
 
     def _close(self, pieces: list[tuple], tier: int) -> None:
-        step = self.steps.get(tier)
-        if step is None or step[1] >= self.step_tokens:
-            step = self.steps[tier] = [self.next_step, 0]
-            self.next_step += 1
-        step[1] += tier
+        window = self.closed[tier]
+        self.closed[tier] += 1
         offset = 0
         for length, _, (key, ids, tokens), start in pieces:
             crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
             self.rows.append(
-                (key, start, length, crc, tokens, self.next_sequence, offset, tier, step[0])
+                (key, start, length, crc, tokens, self.next_sequence, offset, tier, window)
             )
             offset += length
         self.next_sequence += 1
@@ -185,18 +187,18 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     tiers: tuple[int, ...] = TIERS,
-    step_tokens: int = STEP_TOKENS,
 ) -> DataFrame:
     """One row per piece: where it begins in its document and in which window it lies.
 
-    No exchange: each task packs its own documents. Window and step numbers carry the task's
-    partition, so a task run again gives the same numbers.
+    No exchange: each task packs its own documents. Window numbers carry the task's
+    partition, so a task run again gives the same numbers; ``tier_window`` counts the windows
+    of one tier in one task.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_level_encoder(path)
         end = END_ID.to_bytes(4, "little")
-        packer = TierPacker(TaskContext.get().partitionId() << 40, tiers, step_tokens)
+        packer = TierPacker(TaskContext.get().partitionId() << TASK_SHIFT, tiers)
         for part in slices(batches):
             for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 packer.add(key, encode(text) + end)
@@ -206,3 +208,31 @@ def pack_documents(
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in COLUMNS.items())
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def balanced_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """Pieces with their ``step_group``; of one tier all groups are equal to within one window.
+
+    The pieces, numbers alone, are fixed once by a checkpoint, so that counts and rows agree also
+    when a task runs again. Counts are one row per task and tier; texts are not read again.
+    """
+    fixed = checkpointed(pieces.withColumn("_task", F.shiftright("sequence_id", TASK_SHIFT)))
+    counts = fixed.groupBy("context", "_task").agg((F.max("tier_window") + 1).alias("_n"))
+    before = Window.partitionBy("context").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per_step = F.greatest(F.floor(F.lit(step_tokens) / F.col("context")), F.lit(1))
+    longer = Window.orderBy(F.col("context").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tiers = (
+        counts.groupBy("context")
+        .agg(F.sum("_n").alias("_windows"))
+        .withColumn("_groups", F.ceil(F.col("_windows") / per_step).cast("long"))
+        .withColumn("_first", F.coalesce(F.sum("_groups").over(longer), F.lit(0)))
+    )
+    placed = offsets.join(F.broadcast(tiers), "context").drop("_n")
+    # Whole-number division; the product of windows and groups stays far below 2**63.
+    group = F.expr("(_offset + tier_window) * _groups div _windows")
+    return (
+        fixed.join(broadcast_if_small(placed), ["context", "_task"])
+        .withColumn("step_group", F.col("_first") + group)
+        .select(*[c for c in pieces.columns if c != "tier_window"], "step_group")
+    )

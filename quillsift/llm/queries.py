@@ -72,7 +72,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), path)
+    return packing.balanced_steps(pieces).withColumnRenamed("id", "doc_id")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,30 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack_documents(docs_of(spark, []), path).count() == 0
 
 
+def test_step_groups_are_balanced_over_tasks(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    rows = [(n, " ".join(rng.choice(["the", "of", "word"]) for _ in range(rng.choice([40, 300, 5000])))) for n in range(90)]
+    docs = docs_of(spark, rows).repartition(3)
+    pieces = packing.pack_documents(docs, path)
+    found = packing.balanced_steps(pieces, step_tokens=4 * 2048).collect()
+    assert len(found) == pieces.count()
+    windows = {p["sequence_id"]: (p["context"], p["step_group"]) for p in found}
+    assert len({s >> packing.TASK_SHIFT for s in windows}) == 3
+    tiers = {}
+    for context, group in windows.values():
+        tiers.setdefault(context, []).append(group)
+    numbered = []
+    for context in sorted(tiers, reverse=True):
+        sizes = [tiers[context].count(g) for g in sorted(set(tiers[context]))]
+        most = 4 * 2048 // context
+        assert max(sizes) - min(sizes) <= 1 and max(sizes) <= most
+        assert len(sizes) == -(-len(tiers[context]) // most)
+        numbered += sorted(set(tiers[context]))
+    assert numbered == list(range(len(numbered)))
+    assert packing.balanced_steps(packing.pack_documents(docs_of(spark, []), path)).count() == 0
+
+
 @pytest.mark.parametrize("text", ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "plain", "", "<", "a<|b\\|"])
 def test_chat_escape_round_trip(text):
     piece, begin, end = chat_format.render("assistant", text)
