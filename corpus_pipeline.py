@@ -42,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the kept documents and their places in training sequences."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(docs, path).withColumnRenamed("id", "doc_id")
+    return packing.balanced_steps(packing.pack_documents(docs, path)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
