@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import license_rules, text as t
 from quillsift.functions.vectors import byte_embedder, dot
-from quillsift.operators import chunking, license_audit
+from quillsift.operators import chunking, license_audit, token_chunks
 from quillsift.plans import bindings as b
 from quillsift.plans import search as s
 from quillsift.params import TOP_K_DEFAULT
@@ -297,6 +297,14 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return _chunks_out(chunking.with_global_index(chunks, "doc_key", ["block_no", "part_no"]))
 
 
+def chunk_markdown_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``chunk_markdown`` but under the counts of a byte-level tokenizer, without the global order."""
+    import public_tokenizers
+
+    counter = token_chunks.LibraryCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    return b.as_output(token_chunks.chunk_markdown_by(mixed_markdown(spark, folder), counter))
+
+
 QUERIES = {
     "chunk_scan": chunk_scan,
     "chunk_lookup": chunk_lookup,
@@ -321,4 +329,5 @@ QUERIES = {
     "chunk_prose": chunk_prose,
     "chunk_code": chunk_code,
     "chunk_markdown": chunk_markdown,
+    "chunk_markdown_bpe": chunk_markdown_bpe,
 }
