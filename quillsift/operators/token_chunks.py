@@ -16,7 +16,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ Fits = Callable[[str], bool]
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PART_SLACK = 10
 
+BATCH_BYTES = 1 << 21
+
 _SENTENCES = re.compile(SENTENCE)
 _WORDS = re.compile(rf"[^{SPACE}]+")
 _EDGES = re.compile(rf"\A[{SPACE}]+|[{SPACE}]+\Z")
@@ -40,12 +44,19 @@ _PIECES = "array<struct<path:string,text:string,tokens:int>>"
 
 
 class LibraryCounter:
-    """Counts by a file of the tokenizers library, loaded once per worker; no special tokens."""
+    """Counts by a byte-level file of the tokenizers library, loaded once per worker.
+
+    The strings of special tokens count as plain text. ``longest`` is how many characters one token
+    covers at most, so a text longer than that times a limit is over it without being counted.
+    Texts go to the library ``SLICE`` characters at a time, as its results take many times a text's size.
+    """
+
+    SLICE = 1 << 18
 
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def __call__(self, texts: list[str]) -> list[int]:
+    def _load(self):
         if not hasattr(self, "_tokenizer"):
             from tokenizers import Tokenizer
 
@@ -53,12 +64,45 @@ class LibraryCounter:
             self._tokenizer.encode_special_tokens = True
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
-        return [len(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._longest = max(map(len, self._tokenizer.get_vocab(with_added_tokens=False)))
+        return self._tokenizer
+
+    @property
+    def longest(self) -> int:
+        self._load()
+        return self._longest
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        tokenizer, found = self._load(), []
+        for part in _slices(texts, self.SLICE):
+            found += [len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return found
 
     def __getstate__(self) -> dict:
         return {"path": self.path}
 
 
+def _slices(texts: list[str], size: int) -> Iterable[list[str]]:
+    """Runs of texts that pass ``size`` characters by one text at most."""
+    held, chars = [], 0
+    for text in texts:
+        held.append(text)
+        chars += len(text)
+        if chars >= size:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
+def _counts(texts: list[str], count: TokenCounter, limit: int) -> list[int]:
+    """Counts of texts; one that must be over ``limit`` by its length counts as just over it."""
+    most = limit * getattr(count, "longest", 0)
+    short = [not most or len(text) <= most for text in texts]
+    counted = iter(count([t for t, ok in zip(texts, short, strict=True) if ok]))
+    return [next(counted) if ok else limit + 1 for ok in short]
+
+
 def _longest(start: int, stop: int, fits: Callable[[int], bool]) -> int:
     """The largest end in ``start + 1 .. stop`` that fits; ``start + 1`` where none does."""
     good, step = start + 1, 1
@@ -147,7 +191,7 @@ def block_pieces(path: str, kind: str, body: str, whole: int, count: TokenCounte
     prefix = _prefix(path)
 
     def within(limit: int, before: str, after: str = "") -> Fits:
-        return lambda text: count([f"{before}{text}{after}"])[0] <= limit
+        return lambda text: _counts([f"{before}{text}{after}"], count, limit)[0] <= limit
 
     if kind == "Info":
         if whole <= budget.target_tokens:
@@ -172,22 +216,31 @@ def chunk_markdown_by(
 ) -> DataFrame:
     """Chunks ``(key, block_no, part_no, heading_path, chunk_type, text, tokens)`` under ``count``.
 
-    No exchange, and one batch of counts for all blocks of an Arrow batch; only blocks over their
-    limit are counted again.
+    No exchange, and blocks are counted in batches; only those over their limit are counted again.
     """
 
+    result = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("tokens", pa.int32())]))
+
     def pieces(paths: pa.Array, kinds: pa.Array, bodies: pa.Array) -> pa.Array:
-        rows = list(zip(paths.to_pylist(), kinds.to_pylist(), bodies.to_pylist(), strict=True))
-        uncut = [
-            _prefix(path) + ("\n\n".join(paragraphs_of(body)) if kind == "Info" else body)
-            for path, kind, body in rows
-        ]
-        found = [
-            [{"path": p, "text": t, "tokens": n} for p, t, n in block_pieces(*row, whole, count, budget)]
-            for row, whole in zip(rows, count(uncut) if uncut else [], strict=True)
-        ]
-        kind = pa.struct([("path", pa.string()), ("text", pa.string()), ("tokens", pa.int32())])
-        return pa.array(found, pa.list_(kind))
+        out, start = [pa.array([], result)], 0
+        # Python strings of a stretch of rows at a time, whatever the batch holds.
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(bodies), 0).to_numpy(zero_copy_only=False))
+        while start < len(bodies):
+            done = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
+            columns = (c.slice(start, stop - start).to_pylist() for c in (paths, kinds, bodies))
+            rows = list(zip(*columns, strict=True))
+            uncut = [
+                _prefix(path) + ("\n\n".join(paragraphs_of(body)) if kind == "Info" else body)
+                for path, kind, body in rows
+            ]
+            found = [
+                [{"path": p, "text": t, "tokens": n} for p, t, n in block_pieces(*row, whole, count, budget)]
+                for row, whole in zip(rows, _counts(uncut, count, budget.max_tokens), strict=True)
+            ]
+            out.append(pa.array(found, result))
+            start = stop
+        return pa.concat_arrays(out)
 
     cut = F.arrow_udf(pieces, _PIECES)(normalize_heading_path(F.col("path")), "kind", "body")
     blocks = blocks_of(documents, key).select(key, "block_no", "kind", cut.alias("pieces"))
