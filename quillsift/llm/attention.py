@@ -19,7 +19,7 @@ WIDTH = 16
 WINDOW = 32
 SCORED = 16
 END = 0
-_TINY = np.float32(-1e9)
+_LEAST = np.float32(1e-30)
 
 
 @dataclass
@@ -93,17 +93,20 @@ class Pass:
         places = first[:, None] + np.arange(-_BACK, SCORED)
         inside = (places >= begin[:, None]) & (places < end[:, None])
         self.x = inputs[np.clip(places, 0, len(inputs) - 1)]
+        # A place outside the document has a context of its own, which nothing attends to.
+        x = np.where(inside, self.x, np.int32(CONTEXTS))
         self.scored = inside[:, _BACK:]
         self.last = self.x[:, _BACK:]
         self.y = targets[np.clip(places[:, _BACK:], 0, len(targets) - 1)]
-        self.q, self.k, self.v = model.query[self.last], model.key[self.x], model.value[self.x]
-        scores = self.q @ self.k.transpose(0, 2, 1)
-        scores *= np.float32(WIDTH**-0.5)
-        scores += np.where(_SEEN, model.distance[_DISTANCE], _TINY)
-        scores += np.where(inside, np.float32(0), _TINY)[:, None, :]
-        scores -= scores.max(axis=2, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
+        # What two contexts score together is a table; every pair of places reads its entry.
+        table = model.query @ model.key.T * np.float32(WIDTH**-0.5)
+        weights = np.zeros((CONTEXTS, CONTEXTS + 1), np.float32)
+        np.exp(table - table.max(axis=1, keepdims=True), out=weights[:, :CONTEXTS])
+        self.pairs = self.last.astype(np.int32)[:, :, None] * np.int32(CONTEXTS + 1) + x[:, None, :]
+        self.v = model.value[self.x]
+        scores = weights.ravel().take(self.pairs)
+        scores *= np.where(_SEEN, np.exp(model.distance - model.distance.max())[_DISTANCE], np.float32(0))
+        scores /= np.maximum(scores.sum(axis=2, keepdims=True), _LEAST)
         self.p = scores
         self.c = (scores @ self.v).reshape(-1, WIDTH)
         logits = self.c @ model.out
@@ -121,16 +124,16 @@ class Pass:
         d_logits = self.exp / self.total[:, None]
         d_logits[np.arange(len(d_logits)), self.y.ravel()] -= 1
         d_logits *= (self.scored.ravel() / max(1, self.scored.sum()))[:, None].astype(np.float32)
-        d_c = (d_logits @ model.out.T).reshape(self.q.shape)
+        d_c = (d_logits @ model.out.T).reshape(*self.last.shape, WIDTH)
         d_p = d_c @ self.v.transpose(0, 2, 1)
         d_v = self.p.transpose(0, 2, 1) @ d_c
         d_a = self.p * (d_p - (d_p * self.p).sum(axis=2, keepdims=True))
-        scale = np.float32(WIDTH**-0.5)
-        d_q, d_k = d_a @ self.k * scale, d_a.transpose(0, 2, 1) @ self.q * scale
+        d_table = np.bincount(self.pairs.ravel(), d_a.ravel(), CONTEXTS * (CONTEXTS + 1)).astype(np.float32)
+        d_table = d_table.reshape(CONTEXTS, CONTEXTS + 1)[:, :CONTEXTS] * np.float32(WIDTH**-0.5)
         by_distance = np.bincount(_DISTANCE.ravel(), (d_a.sum(axis=0) * _SEEN).ravel(), WINDOW)
         return {
-            "query": _by_context(self.last, d_q),
-            "key": _by_context(self.x, d_k),
+            "query": d_table @ model.key,
+            "key": d_table.T @ model.query,
             "value": _by_context(self.x, d_v),
             "out": self.c.T @ d_logits,
             "bias": d_logits.sum(axis=0),
@@ -139,9 +142,13 @@ class Pass:
 
 
 def _by_context(contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    chosen = np.zeros((contexts.size, CONTEXTS), dtype=np.float32)
-    chosen[np.arange(contexts.size), contexts.ravel()] = 1
-    return chosen.T @ rows.reshape(-1, WIDTH)
+    """Sums of ``rows`` by context: rows sorted by it, one sum for each run."""
+    order = np.argsort(contexts, axis=None, kind="stable")
+    held = contexts.ravel()[order]
+    starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    out = np.zeros((CONTEXTS, WIDTH), dtype=np.float32)
+    out[held[starts]] = np.add.reduceat(rows.reshape(-1, WIDTH)[order], starts)
+    return out
 
 
 class Scorer:
