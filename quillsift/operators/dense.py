@@ -35,6 +35,12 @@ def similarity(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndar
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def half_precision(queries: np.ndarray) -> np.ndarray:
+    """Query lanes as half-precision numbers, which they are compared as with stored half vectors."""
+    with np.errstate(over="ignore"):
+        return queries.astype(np.float32).astype(np.float16).astype(np.float64)
+
+
 def _lanes(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -51,13 +57,15 @@ def _score_schema(batch: QueryBatch) -> StructType:
 
 
 def dense_topk(
-    batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2", block_vectors: int = BLOCK_VECTORS
+    batch: QueryBatch, vectors: DataFrame, k: int, metric: str = "l2", block_vectors: int = BLOCK_VECTORS,
+    half: bool = False,
 ) -> DataFrame:
     """The k nearest chunks of every query: ``(qid, chunk_idx, score, dense_rank)``.
 
     ``vectors`` holds ``(chunk_idx, embedding)``. Every query is compared with
     every vector, as exact search demands, but only k rows per query and task
     leave a task. Queries too many to be broadcast come in tiles to blocks of vectors.
+    ``half`` rounds the queries, and only here, to the half precision that a store keeps.
     """
     stored = spread(
         vectors.select(F.col("chunk_idx").cast("long"), "embedding").where(
@@ -66,16 +74,18 @@ def dense_topk(
         "chunk_idx",
     )
     if batch.small:
-        return rank_scores(_scan(batch, stored, k, metric), k, "dense_rank")
-    scored = _tiles(batch, stored, k, metric, block_vectors)
+        return rank_scores(_scan(batch, stored, k, metric, half), k, "dense_rank")
+    scored = _tiles(batch, stored, k, metric, block_vectors, half)
     return rank_scores(scored, k, "dense_rank", MERGE_BUCKETS)
 
 
-def _scan(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+def _scan(batch: QueryBatch, vectors: DataFrame, k: int, metric: str, half: bool) -> DataFrame:
     """Vectors stay where they are read; the measured query matrix travels."""
     if not batch.rows:
         return vectors.sparkSession.createDataFrame([], _score_schema(batch))
-    shared = vectors.sparkSession.sparkContext.broadcast((batch.qids, batch.matrix))
+    shared = vectors.sparkSession.sparkContext.broadcast(
+        (batch.qids, half_precision(batch.matrix) if half else batch.matrix)
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries = shared.value
@@ -93,7 +103,9 @@ def _scan(batch: QueryBatch, vectors: DataFrame, k: int, metric: str) -> DataFra
     return vectors.mapInArrow(score, _score_schema(batch))
 
 
-def _tiles(batch: QueryBatch, vectors: DataFrame, k: int, metric: str, block_vectors: int) -> DataFrame:
+def _tiles(
+    batch: QueryBatch, vectors: DataFrame, k: int, metric: str, block_vectors: int, half: bool
+) -> DataFrame:
     """Query tiles pass over blocks of vectors that stay where they are.
 
     Each vector is dealt once into a block of about ``block_vectors``; each query visits every block.
@@ -133,6 +145,7 @@ def _tiles(batch: QueryBatch, vectors: DataFrame, k: int, metric: str, block_vec
 
     def compared(qids: pa.Array, queries: np.ndarray, ids: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
         best = TaskTopK(len(qids), k)
+        queries = half_precision(queries) if half else queries
         step = max(1, BLOCK_CELLS // len(qids))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)

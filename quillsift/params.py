@@ -67,5 +67,7 @@ class SearchParams:
     dual_rank1_rrf: float = 0.0331
     confident_cosine: float = 0.845
     metric: str = "l2"
+    # Dense queries in half precision, as against a store's vectors.
+    half_query: bool = False
     bm25_k1: float = 1.2
     bm25_b: float = 0.75

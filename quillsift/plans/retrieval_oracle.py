@@ -30,6 +30,17 @@ dense AS MATERIALIZED (
   WHERE dense_rank <= 40)
 """
 
+# Query lanes rounded to ten bits behind the leading one, ties to even.
+_HALF = (
+    "sign(@) * round_even(abs(@) / power(2.0, greatest(floor(log2(abs(@))), -14) - 10), 0) "
+    "* power(2.0, greatest(floor(log2(abs(@))), -14) - 10)"
+)
+HALF_DENSE = (
+    "half AS MATERIALIZED (SELECT qid, list_transform(qvec, lambda y: "
+    f"CASE WHEN y = 0 THEN 0.0::DOUBLE ELSE {_HALF.replace('@', 'y::FLOAT::DOUBLE')} END) AS qvec FROM q),"
+    + DENSE.replace("FROM q, vec", "FROM half, vec")
+)
+
 LEXICAL = f"""
 tok AS (SELECT chunk_idx, unnest({TERMS.format('text')}) AS term FROM chunks),
 tf AS (SELECT chunk_idx, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -216,6 +227,7 @@ _RANKED = "SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM le
 ORACLES = {
     "dense_topk": f"WITH {STORE}, {DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
     "search_blocks": f"WITH {STORE}, {DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
+    "dense_half": f"WITH {STORE}, {HALF_DENSE} SELECT qid, chunk_idx, round(score, 6) AS score, dense_rank FROM dense",
     "bm25_topk": f"WITH {STORE}, {LEXICAL} SELECT qid, chunk_idx, round(score, 6) AS score, lexical_rank FROM lexical",
     "bm25_indexed": f"WITH {STORE}, {LEXICAL} {_RANKED}",
     "bm25_segments": f"WITH {STORE}, {LEXICAL} {_RANKED}",

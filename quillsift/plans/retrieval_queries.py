@@ -49,6 +49,12 @@ def search_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return b.as_output(found)
 
 
+def dense_half(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``dense_topk``, with the queries in the half precision of a store."""
+    batch, _, stored = _inputs(spark, folder)
+    return b.as_output(dense_topk(batch, stored, CHANNEL_DEPTH, half=True))
+
+
 def bm25(spark: SparkSession, folder: str) -> DataFrame:
     batch, chunks, _ = _inputs(spark, folder)
     return b.as_output(bm25_topk(batch, chunks, CHANNEL_DEPTH))
@@ -263,6 +269,7 @@ def mmr_lambda_sweep(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "dense_topk": dense,
     "search_blocks": search_blocks,
+    "dense_half": dense_half,
     "bm25_topk": bm25,
     "bm25_indexed": bm25_indexed,
     "bm25_segments": bm25_segments,

@@ -47,7 +47,7 @@ def channels(
     With a stored ``index`` the lexical channel reads its blocks and no text.
     """
     depth = channel_depth(batch, p)
-    dense = dense_topk(batch, vectors, depth, p.metric)
+    dense = dense_topk(batch, vectors, depth, p.metric, half=p.half_query)
     lexical = index.topk(batch, depth, p) if index else bm25_topk(batch, chunks, depth, p)
     if batch.small and len({r["top_k"] for r in batch.rows}) <= 1:
         return dense, lexical
@@ -214,7 +214,8 @@ def search(
 
 
 def search_docsets(
-    queries: DataFrame, store, p: SearchParams = SearchParams(), reranker: rerank.Reranker | None = None
+    queries: DataFrame, store, p: SearchParams = SearchParams(half_query=True),
+    reranker: rerank.Reranker | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer queries ``(qid, docset, query, qvec)``, each in its own docset of a store.
 

@@ -244,6 +244,17 @@ def test_budget_stops_at_first_overflow(spark):
     ]
 
 
+
+def test_half_precision_queries_agree_on_both_paths(spark, corpus):
+    _, _, _, stored, queries = corpus
+    ask = lambda limit: sorted(map(tuple, dense.dense_topk(QueryBatch.measure(queries, max_queries=limit), stored, 5, half=True).collect()))
+    assert [r[:2] for r in ask(100)] == [r[:2] for r in ask(3)]
+    vectors = {r.chunk_idx: np.array(r.embedding, np.float64) for r in stored.where("embedding is not null").collect()}
+    asked = {r.qid: np.array(r.qvec, np.float16).astype(np.float64) for r in queries.collect()}
+    for qid, chunk_idx, score, _ in ask(100):
+        assert score == pytest.approx(-((vectors[chunk_idx] - asked[qid]) ** 2).sum(), abs=1e-9)
+
+
 def test_search_is_the_same_on_both_paths(spark, corpus):
     _, _, chunks, stored, queries = corpus
     loose = SearchParams(min_answer_cosine=0.3)
