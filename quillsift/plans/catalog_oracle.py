@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillsift import params
-from quillsift.plans.catalog_queries import LICENSES, NOW, RUNNING, SEARCH_TEXT
+from quillsift.plans.catalog_queries import LICENSES, NOW, RUNNING, SEARCH_TEXT, STAGING_AGE
 from quillsift.plans.text_oracle import literal, sanitize_chunk_sql
 
 _LICENSE = f"[{', '.join(map(literal, LICENSES))}]"
@@ -141,6 +141,16 @@ SELECT 'docs' AS docset, violation, chunk_idx FROM r""",
 WITH u AS (SELECT page_id, page_id AS p, url FROM pages), b AS (SELECT page_id, url FROM u UNION ALL SELECT page_id, {_URL} FROM u)
 SELECT page_id, url, {_INDEX_OK} AS index_ok, {_PACKAGE_OK} AS package_ok FROM {_HOSTED.format('b')}""",
     "docset_state": f"WITH {MANIFESTS} SELECT docset, state, pure_state FROM full_state",
+    "store_status": f"""
+WITH {MANIFESTS}, c AS (SELECT max(CASE state WHEN 'ok' THEN 0 WHEN 'schema-mismatch' THEN 2 ELSE 1 END) AS worst FROM full_state WHERE n_rows IS NOT NULL)
+SELECT CASE worst WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status FROM c""",
+    "corpus_identity": f"""
+WITH {MANIFESTS} SELECT docset, repeat('0', 40) AS code_commit, 60 AS rrf_k, 'l2' AS metric, doc_version, chunk_count,
+  CASE WHEN bad_model THEN 'other/model' ELSE {literal(params.MODEL_ID)} END AS model_id, CASE WHEN bad_revision THEN ' ' ELSE 'main' END AS model_revision,
+  '00' AS model_sha256, 64 AS digest_length FROM judged WHERE parsed""",
+    "stale_staging": f"""
+WITH l AS (SELECT event_id, event_type || '-' || user_id || CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '-new' ELSE '-' || event_id END AS name, floor(epoch(ts))::BIGINT AS modified FROM events)
+SELECT * FROM l WHERE event_id % 5 > 1 AND {NOW} - modified >= {STAGING_AGE}""",
     "list_installed": f"""
 WITH {MANIFESTS}, s AS (SELECT *, CASE WHEN parsed = false THEN 'broken' ELSE state END AS status, coalesce(parsed, false) AS ok FROM full_state WHERE n_rows IS NOT NULL)
 SELECT docset AS name, CASE WHEN ok THEN doc_version ELSE '?' END AS version, CASE WHEN ok THEN chunk_count::VARCHAR ELSE '?' END AS chunks,

@@ -10,10 +10,13 @@ from quillsift.functions import validate as v
 from quillsift.plans import bindings as b
 from quillsift.sources import archive, catalog
 from quillsift.sources.catalog import RegistryHosts
+from quillsift.sources.files import stale_staging as stale
 
 HOSTS = RegistryHosts("code.example.org", "docs-registry", "mirror.example.org")
 LICENSES = ("MIT", "Apache-2.0", "CC-BY-4.0", "GPL-3.0")
 NOW = 1_704_500_000
+#: Staging folders this many seconds old are listed.
+STAGING_AGE = 48 * 3600
 RUNNING = "click"
 SEARCH_TEXT = "WiDGet"
 
@@ -277,6 +280,40 @@ def docset_state(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def store_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Worst finding over the install states of all docsets that lack no store."""
+    states = catalog.docset_states(manifests(spark, folder), store_rows(spark, folder))
+    found = F.col("state")
+    checks = states.where(F.col("n_rows").isNotNull()).select(
+        F.when(found == "ok", "ok").when(found == "schema-mismatch", "fail").otherwise("warn").alias("severity")
+    )
+    return catalog.worst_severity(checks)
+
+
+def corpus_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """What an evaluation over all readable docsets ran on."""
+    readable = catalog.parse_manifests(manifests(spark, folder)).where(F.col("m").isNotNull()).drop("m")
+    named = catalog.corpus_identity(readable, {"rrf_k": 60, "metric": "l2"}, "0" * 40)
+    return named.select(
+        "docset", "code_commit", "parameters.rrf_k", "parameters.metric", "doc_version", "chunk_count",
+        "model_id", "model_revision", "model_sha256", F.length("manifest_sha256").alias("digest_length"),
+    ).withColumn("rrf_k", F.col("rrf_k").cast("long")).withColumn("digest_length", F.col("digest_length").cast("long"))
+
+
+def stale_staging(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a folder, some not named like staging; old ones are listed."""
+    k = F.col("event_id")
+    name = (
+        F.when(k % 5 == 0, F.concat_ws("-", "event_type", "user_id"))
+        .when(k % 5 == 1, F.concat_ws("-", "event_type", "user_id", F.lit("new")))
+        .otherwise(F.concat_ws("-", "event_type", "user_id", "event_id"))
+    )
+    listing = b.table(spark, folder, "events").select(
+        "event_id", name.alias("name"), F.unix_timestamp("ts").alias("modified")
+    )
+    return stale(listing, STAGING_AGE, F.lit(NOW)).select("event_id", "name", "modified")
+
+
 def list_installed(spark: SparkSession, folder: str) -> DataFrame:
     states = catalog.docset_states(manifests(spark, folder), store_rows(spark, folder))
     return catalog.installed_list(states).orderBy("name")
@@ -399,4 +436,7 @@ QUERIES = {
     "manifest_validate": manifest_validate,
     "registry_validate": registry_validate,
     "archive_validate": archive_validate,
+    "store_status": store_status,
+    "corpus_identity": corpus_identity,
+    "stale_staging": stale_staging,
 }

@@ -12,6 +12,7 @@ from quillsift.plans import bindings as b
 from quillsift.plans import search as s
 from quillsift.params import TOP_K_DEFAULT
 from quillsift.session import spread
+from quillsift.sources import store
 
 # What the provided pages and documents lack, added to every row by its id.
 INJECTIONS = (
@@ -166,6 +167,27 @@ def chunk_text_normalize(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def release_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a row of a shared bundle, made ready for a release."""
+    d = F.col("doc_id")
+    kind = d % 3
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("## old name\n"), "text"))
+        .when(kind == 1, F.concat(F.lit("## only "), "source"))
+        .otherwise(F.col("text"))
+    )
+    rows = b.table(spark, folder, "documents").select(
+        d.alias("idx"),
+        F.when(d % 4 == 3, "").otherwise(F.concat("source", F.lit(" > "), "lang")).alias("heading_path"),
+        F.when(d % 5 == 2, F.concat(F.lit("https://other.example.org/"), d)).otherwise(F.concat(F.lit("/docs/"), d)).alias("source_url"),
+        F.when(d % 7 == 1, "").when(d % 7 == 2, "v2").alias("api_version"),
+        F.when(d % 6 != 1, "Code").alias("chunk_type"),
+        raw.alias("text"),
+    )
+    manifest = {"source": {"source_url": "https://docs.example.org/x"}}
+    return store.release_rows(rows, manifest, byte_embedder()).drop("embedding")
+
+
 def license_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every source is a repository; every tenth document is its license file."""
     is_license = F.col("doc_id") % 10 == 0
@@ -320,6 +342,7 @@ QUERIES = {
     "prep_filter": prep_filter,
     "prep_docs": prep_docs,
     "chunk_text_normalize": chunk_text_normalize,
+    "release_rows": release_rows,
     "license_findings": license_findings,
     "license_summary": license_summary,
     "license_verdict": license_verdict,

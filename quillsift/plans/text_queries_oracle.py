@@ -266,6 +266,12 @@ ORACLES = {
     "chunk_text_normalize": f"""
 WITH r AS (SELECT doc_id, {_RAW} AS t, CASE WHEN doc_id % 4 = 3 THEN '' ELSE source || ' > ' || lang END AS h FROM documents)
 SELECT doc_id, CASE WHEN h = '' OR NOT starts_with(t, '## ') THEN t
+  WHEN contains(t, {_N}) THEN '## ' || h || substring(t, strpos(t, {_N})) ELSE '## ' || h || {_N} END AS text FROM r""",
+    "release_rows": f"""
+WITH r AS (SELECT *, {_RAW} AS t, CASE WHEN doc_id % 4 = 3 THEN '' ELSE source || ' > ' || lang END AS h FROM documents)
+SELECT doc_id AS chunk_idx, h AS heading_path, CASE WHEN doc_id % 5 = 2 THEN 'https://other.example.org/' || doc_id ELSE 'https://docs.example.org/x/docs/' || doc_id END AS source_url,
+  CASE WHEN doc_id % 7 = 2 THEN 'v2' END AS api_version, CASE WHEN doc_id % 6 <> 1 THEN 'Code' ELSE 'Info' END AS chunk_type,
+  CASE WHEN h = '' OR NOT starts_with(t, '## ') THEN t
   WHEN contains(t, {_N}) THEN '## ' || h || substring(t, strpos(t, {_N})) ELSE '## ' || h || {_N} END AS text FROM r""",
     "license_findings": f"WITH {FINDINGS} SELECT repo, file, line_no, seq, kind, spdx, raw, snippet FROM findings",
     "license_summary": f"WITH {FINDINGS} SELECT repo, spdx, n_findings, seen_rank, first_file, first_line, dangerous FROM seen",
