@@ -15,9 +15,13 @@ CHEAP = (
 )
 
 
+# A tokenizer, which SQL cannot express: test_token_chunks compares brute force.
+WITHOUT_SQL = {"chunk_markdown_bpe"}
+
+
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.registry.QUERIES) == set(entry.registry.ORACLES)
+    assert set(entry.registry.QUERIES) - set(entry.registry.ORACLES) == WITHOUT_SQL
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="needs the provided tables")
