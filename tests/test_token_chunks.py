@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -116,3 +117,29 @@ def test_no_chunk_is_over_the_limit_and_long_texts_take_linear_time(spark):
 
     seconds(1)
     assert seconds(8) < 30 * seconds(1)
+
+
+def test_cutting_counts_a_text_a_few_times():
+    text = "Words of some lengths, among others these, follow one another here. " * 4000
+    seen = 0
+
+    def count(texts):
+        nonlocal seen
+        seen += sum(map(len, texts))
+        return [len(t) // 4 for t in texts]
+
+    for body, kind in ((text, "Info"), (text.replace(". ", " "), "Info"), (f"```\n{text.replace('. ', chr(10))}\n```\n", "Code")):
+        seen = 0
+        token_chunks.block_pieces("", kind, body, 10**9, count, ChunkBudget())
+        assert seen < 8 * len(body)
+
+
+def test_counter_by_words_equals_the_library():
+    count = token_chunks.LibraryCounter(PATH)
+    tokenizer = count._load()
+    assert count._known
+    rng = random.Random(3)
+    units = [" ", "  ", "\n", "\t ", " ", "　", "\x1c", "\x85", "​", "a", "word", "'s", "'", "9", "é", "²", "ª", "µ", "ſ", "÷", "\u0180", "日本", "?!", "<|endoftext|>", "x" * 60]
+    texts = ["".join(rng.choices(units, k=rng.randint(0, 30))) for _ in range(3000)]
+    assert count(texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert count(texts) == count(texts)
