@@ -102,3 +102,25 @@ def test_queries_of_another_analyzer_are_refused(spark, tmp_path):
     asked = spark.createDataFrame([(1, "a", [0.0])], "qid int, query string, qvec array<double>")
     with pytest.raises(ValueError, match="english"):
         index.topk(QueryBatch.measure(asked), 3)
+
+
+def test_an_append_shuffles_packed_blocks_once(spark, texts):
+    """Rows in any order and small Arrow batches give whole, ordered blocks from a single exchange."""
+    rows = chunks_of(spark, texts).fillna("").select(F.col("chunk_idx").cast("long"), "text")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        tokens = rows.orderBy(F.rand(5)).select("chunk_idx", terms(F.col("text")).alias("terms"))
+        tokens = spark.createDataFrame(tokens.collect(), tokens.schema)
+        blocks = postings.blocks_of(postings.parts_of(tokens))
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        found = blocks.collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert len({(r.term, r.range) for r in found}) == len(found)
+    assert all(list(r.at) == sorted(set(r.at)) and r.entries == len(r.at) for r in found)
+    assert all(r.max_tf == max(r.tf) and r.min_length == min(r.length) for r in found)
+    got = {(r.term, r.range * postings.RANGE + at, tf, n) for r in found for at, tf, n in zip(r.at, r.tf, r.length, strict=True)}
+    assert got == {(r.term, r.chunk_idx, r.tf, r.length) for r in lexical.postings(rows).collect()}
