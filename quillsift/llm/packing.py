@@ -49,6 +49,8 @@ COLUMNS = {
     "sequence_id": "long", "offset": "long", "context": "int", "tier_window": "long",
 }
 
+#: Words whose ids a worker keeps; packing holds little else.
+ENCODER_WORDS = 250_000
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -61,7 +63,9 @@ def byte_level_encoder(path: str) -> TextEncoder:
         def encode(word: str) -> bytes:
             return np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes()
 
-        _encoders[path] = TextEncoder(WordSplitter(tokenizer, BYTE_LEVEL_PATTERN, False), encode)
+        _encoders[path] = TextEncoder(
+            WordSplitter(tokenizer, BYTE_LEVEL_PATTERN, False), encode, ENCODER_WORDS
+        )
     return _encoders[path]
 
 

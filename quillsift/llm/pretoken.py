@@ -58,14 +58,14 @@ class WordSplitter:
 class WordCache(dict):
     """Word -> packed ids, encoded when first met; emptied when full, so memory is bounded."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.room = encode, room
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
         if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.room:
                 self.clear()
             self[word] = ids
         return ids
@@ -77,11 +77,11 @@ class TextEncoder:
     ``encode`` turns one word in byte letters into its packed ids.
     """
 
-    def __init__(self, splitter: WordSplitter, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, splitter: WordSplitter, encode: Callable[[str], bytes], room: int = CACHE_WORDS) -> None:
         spell = byte_letters()
         self.splitter = splitter
-        self.latin = WordCache(lambda w: encode("".join([spell[b] for b in w.encode()])))
-        self.other = WordCache(encode)
+        self.latin = WordCache(lambda w: encode("".join([spell[b] for b in w.encode()])), room)
+        self.other = WordCache(encode, room)
 
     def __call__(self, text: str) -> bytes:
         splitter = self.splitter
