@@ -212,9 +212,10 @@ def confirmed(pairs: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
 def dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """``members`` (block, node, label, ...) of blocks with several labels, dealt into cells.
 
-    The label of most weight is a block's bulk. Other nodes meet each other in cells of kind 0 and the
-    bulk in cells of kind 1; the bulk is never dealt with itself. A cell has parts of about
-    ``limit`` weight.
+    The label of most weight is a block's bulk. Parts ``low`` and ``high`` of the other nodes meet in a
+    cell of kind 0; part ``low`` of them meets part ``high`` of the bulk in a cell of kind 1, and itself
+    where ``high`` is 0. The bulk is never dealt with itself. A cell has parts of about ``limit`` weight,
+    so a block within the limit is one cell and each of its nodes one row.
     """
     by_label = members.groupBy("block", "label").agg(F.sum(weight).alias("weight"))
     shape = by_label.groupBy("block").agg(
@@ -237,20 +238,27 @@ def dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
 
     own = F.col("part")
-    among = F.transform(numbers("parts"), lambda p: cell(0, F.least(own, p), F.greatest(own, p)))
+    others = F.filter(numbers("parts"), lambda p: p != own)
+    among = F.transform(others, lambda p: cell(0, F.least(own, p), F.greatest(own, p)))
     with_bulk = F.transform(numbers("bulk_parts"), lambda p: cell(1, own, p))
     as_bulk = F.transform(numbers("parts"), lambda p: cell(1, p, own))
     cells = F.when(F.col("is_bulk"), as_bulk).otherwise(F.concat(among, with_bulk))
     rows = rows.withColumn("cell", F.explode(cells))
-    return rows.select("*", "cell.kind", "cell.low", "cell.high").drop("cell", "bulk", "parts", "bulk_parts", "part")
-
-
-def near_pairs(rows: np.ndarray, labels: np.ndarray, bulk: np.ndarray, kind: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, all j) within the radius and of different labels, each pair once; in a cell of kind 1 one is bulk."""
-    others = np.flatnonzero(~bulk)
-    against = np.flatnonzero(bulk) if kind else others
-    for at, i in enumerate(others.tolist()):
-        rest = against if kind else against[at + 1 :]
+    return rows.select("*", "cell.kind", "cell.low", "cell.high").drop("cell", "bulk", "parts", "bulk_parts")
+
+
+def near_pairs(
+    rows: np.ndarray, labels: np.ndarray, bulk: np.ndarray, parts: np.ndarray, cell: tuple
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) within the radius and of different labels, each pair of the cell's parts once."""
+    _, kind, low, high = cell
+    first = np.flatnonzero(~bulk & (parts == low))
+    against = np.flatnonzero(bulk if kind else parts == high)
+    among = kind == 1 and high == 0
+    if among:
+        against = np.concatenate([first, against])
+    for at, i in enumerate(first.tolist()):
+        rest = against[at + 1 :] if among else against
         rest = rest[labels[rest] != labels[i]]
         found = rest[(rows[rest] != rows[i]).sum(axis=1) <= RADIUS]
         if len(found):
@@ -278,11 +286,11 @@ def ties(members: DataFrame, nodes: DataFrame, cell_nodes: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _cells(batches, ("node", "label", "is_bulk", "signature")):
-            names, labels, bulk, packed = zip(*rows, strict=True)
+        for key, rows in _cells(batches, ("node", "label", "is_bulk", "part", "signature")):
+            names, labels, bulk, parts, packed = zip(*rows, strict=True)
             signed = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(-1, VALUES)
             tied, held = Tops(), set()
-            for i, found in near_pairs(signed, np.array(labels), np.array(bulk), key[1]):
+            for i, found in near_pairs(signed, np.array(labels), np.array(bulk), np.array(parts), key):
                 held.update((i, *found.tolist()))
                 for j in found.tolist():
                     tied.join(i, j)
@@ -305,12 +313,12 @@ def group_links(groups: DataFrame, corpus: Corpus, percent: int, cell_shingles:
     sets = checkpointed(corpus.sets(groups))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _cells(batches, ("node", "label", "is_bulk", "signature", "hashes")):
-            nodes, labels, bulk, packed, hashes = zip(*rows, strict=True)
+        for key, rows in _cells(batches, ("node", "label", "is_bulk", "part", "signature", "hashes")):
+            nodes, labels, bulk, parts, packed, hashes = zip(*rows, strict=True)
             sets = [np.frombuffer(h, dtype=np.uint64) for h in hashes]
             signed = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(-1, VALUES)
             joined, links = Tops(), []
-            for i, found in near_pairs(signed, np.array(labels), np.array(bulk), key[1]):
+            for i, found in near_pairs(signed, np.array(labels), np.array(bulk), np.array(parts), key):
                 for j in found.tolist():
                     if joined.top(labels[i]) != joined.top(labels[j]):
                         common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -367,7 +375,7 @@ def near_duplicates(
     several = members.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     members = members.join(several.where("low <> high").select("block"), "block")
     members = checkpointed(members)
-    tied = components(ties(members, nodes, cell_nodes)).withColumnRenamed("label", "block")
+    tied = components(checkpointed(ties(members, nodes, cell_nodes))).withColumnRenamed("label", "block")
     groups = checkpointed(tied.join(members.select("node", "label").distinct(), "node").join(nodes, "node"))
     crossing = checkpointed(group_links(groups, corpus, percent, cell_shingles))
     if not crossing.isEmpty():

@@ -65,6 +65,29 @@ def test_near_duplicates_are_brute_force(spark, seed, cell):
     assert sorted((str(r["id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in found) == brute(rows)
 
 
+@pytest.mark.parametrize("limit", [3, 7, 100])
+def test_dealt_pairs_meet_once(spark, limit):
+    """Every pair but two of the bulk meets in one cell; nodes of a block within the limit are one row each."""
+    rng = random.Random(limit)
+    rows = [(block, node, rng.choice((0, 0, 0, node))) for block, n in ((1, 9), (2, 23), (3, 4)) for node in range(n)]
+    rows += [(4, node, 5) for node in range(6)]
+    cells = {}
+    made = 0
+    for r in minhash.dealt(spark.createDataFrame(rows, "block long, node long, label long"), minhash.F.lit(1), limit).collect():
+        cells.setdefault((r["block"], r["kind"], r["low"], r["high"]), []).append((r["node"], r["label"], r["is_bulk"], r["part"]))
+        made += 1
+    met = []
+    for cell, members in cells.items():
+        nodes, labels, bulk, parts = map(np.array, zip(*members, strict=True))
+        signed = np.zeros((len(nodes), minhash.VALUES), dtype=np.uint32)
+        for i, found in minhash.near_pairs(signed, labels, bulk, parts, cell):
+            met += [(cell[0], *sorted((int(nodes[i]), int(nodes[j])))) for j in found]
+    expected = [(b, i, j) for b, i, x in rows for c, j, y in rows if b == c and i < j and x != y]
+    assert sorted(met) == sorted(expected)
+    if limit == 100:
+        assert made == len(rows) - 6  # the last block has one label
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     found = minhash.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
