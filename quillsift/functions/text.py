@@ -45,8 +45,13 @@ _SHIELD_CHARS = "".join(chr(0xE000 + i) for i in range(len(_MARKUP_CHARS)))
 
 
 def strip_edges(col: Column) -> Column:
-    """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim Unicode whitespace at both ends; looks at the edges only, not at every run inside."""
+    return F.regexp_extract(col, rf"(?s)^{SPACE}*+(.*[^{SPACE}])", 1)
+
+
+def has_word(col: Column) -> Column:
+    """Whether anything but Unicode whitespace is there."""
+    return col.rlike(rf"[^{SPACE}]")
 
 
 def collapse_whitespace(col: Column) -> Column:
@@ -80,8 +85,12 @@ def normalize_heading_path(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    """Number of whitespace-separated words."""
-    return F.regexp_count(col, F.lit(rf"[^{SPACE}]+"))
+    """Number of whitespace-separated words; each becomes one character, so no list of them is made.
+
+    A word put in front takes whatever space the text begins with.
+    """
+    marks = F.regexp_replace(F.concat(F.lit("x "), col), rf"[^{SPACE}]+{SPACE}*", "x")
+    return F.char_length(marks) - 1
 
 
 def tokens_for_words(words: Column) -> Column:

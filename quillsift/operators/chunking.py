@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from quillsift.functions.text import (
     SPACE,
+    has_word,
     normalize_heading_path,
     strip_edges,
     tokens_for_words,
@@ -86,7 +87,7 @@ def with_blocks(documents: DataFrame, markdown: str = "markdown", name: str = "b
             F.when(code, "Code").otherwise("Info").alias("kind"),
             level.cast("int").alias("level"),
             F.when(heading, strip_edges(F.regexp_replace(block, lead, ""))).alias("title"),
-            (~heading & (code | (strip_edges(block) != ""))).alias("keep"),
+            (~heading & (code | has_word(block))).alias("keep"),
         )
 
     def placed(block: Column, i: Column) -> Column:
@@ -211,9 +212,7 @@ def _prose_units(body: Column, target: Column, max_tokens: Column) -> Column:
     """Paragraphs, which join up to ``target``; one over ``max_tokens`` becomes a run of its sentences."""
 
     def sentences(paragraph: Column, run: Column) -> Column:
-        cut = F.filter(
-            F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)), lambda s: strip_edges(s) != ""
-        )
+        cut = F.filter(F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)), has_word)
         return F.transform(
             _counted(cut),
             lambda s: _unit(
@@ -320,7 +319,8 @@ def chunk_markdown(
     target = F.least(
         F.greatest(F.lit(budget.target_tokens) - F.col("overhead"), F.lit(0)), most
     )
-    split = (F.col("kind") == "Code") & (tokens_for_words(F.col("n_words")) > budget.max_tokens)
+    code = F.col("kind") == "Code"
+    split = code & (tokens_for_words(F.col("n_words")) > budget.max_tokens)
     body_lines = F.transform(
         F.split(F.regexp_replace("body", r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")
     )
@@ -338,7 +338,7 @@ def chunk_markdown(
         blocks_of(documents, key)
         .withColumn("prefix", heading_prefix(F.col("path")))
         .withColumn("overhead", tokens_for_words(word_count(F.col("prefix"))))
-        .withColumn("n_words", word_count(F.col("prefix")) + word_count(F.col("body")))
+        .withColumn("n_words", F.when(code, word_count(F.col("prefix")) + word_count(F.col("body"))))
         .withColumn("split", split)
         .withColumn("lines", F.when(F.col("split"), body_lines))
         .withColumn("open_line", F.element_at("lines", 1))

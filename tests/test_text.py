@@ -43,6 +43,19 @@ def test_token_estimate(spark):
     assert apply(spark, values, t.estimate_tokens) == [0, 2, 5, 4]
 
 
+def test_word_counts_make_no_list_of_words(spark):
+    """As Python's split, over all kinds of space at all edges; the plan extracts no words."""
+    space = ["", " ", "  ", "\n", "\r\n", "\t ", "\u00a0", "\u2003\u3000", "\x85", "\u1680"]
+    values = [a + b + c for a in space for b in ("", "x", "$1 \\ a", "\U0001f600b  c\u200bd") for c in space] + [None]
+    expected = [None if v is None else len(v.split()) for v in values]
+    assert apply(spark, values, t.word_count) == expected
+    rows = spark.createDataFrame([(v,) for v in values], "x string")
+    plan = rows.select(t.word_count(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    trimmed = [None if v is None else v.strip() for v in values]
+    assert apply(spark, values, t.strip_edges) == trimmed
+
+
 def test_heading_line_replacement(spark):
     rows = spark.createDataFrame(
         [("", "## a\nb"), ("H", "## a\nb\nc"), ("H", "## a"), ("H", "text")], "h string, x string"
