@@ -43,9 +43,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.arrow_text import id_and_text, slices
-from quillsift.llm.components import components
+from quillsift.llm.components import Tops, components
 from quillsift.llm.exact_dedup import broadcast_within
-from quillsift.llm.ngram_join import Recent, Tops
+from quillsift.llm.ngram_join import Recent
 from quillsift.llm.shingles import set_digest, shingle_sets
 from quillsift.llm.word_hash import mix
 from quillsift.session import checkpointed

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.arrow_text import id_and_text, slices
-from quillsift.llm.components import components
+from quillsift.llm.components import Tops, components
 from quillsift.llm.exact_dedup import broadcast_within
 from quillsift.llm.rtree import folded, least_overlap, overlap_bound, partners
 from quillsift.llm.shingles import group_counts, groups_for, pack_counts, set_digest, shingle_sets, unpack_counts
@@ -281,27 +281,6 @@ def cells(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     return others.withColumn("low", low).withColumn("high", high).drop("parts", "part", "other")
 
 
-class Tops:
-    """Disjoint sets of values that fall to one top each."""
-
-    def __init__(self) -> None:
-        self.above: dict[int, int] = {}
-
-    def top(self, value: int) -> int:
-        while value in self.above:
-            parent = self.above[value]
-            if parent in self.above:  # halve the way
-                self.above[value] = self.above[parent]
-            value = parent
-        return value
-
-    def join(self, first: int, second: int) -> bool:
-        first, second = self.top(first), self.top(second)
-        if first != second:
-            self.above[first] = second
-        return first != second
-
-
 def open_groups(members: DataFrame, percent: int, cell_nodes: int = CELL_NODES) -> DataFrame:
     """(block, node, n, label) of groups of nodes that the pairs of different components tie
     together which their count vectors allow.

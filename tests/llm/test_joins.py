@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quillsift.llm import components, neighbours, ngram_join, rtree
+from quillsift.session import checkpointed
 
 
 def shingles(text, size=4):
@@ -80,6 +81,26 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {r["node"]: r["label"] for r in found} == {**{n: 0 for n in range(21)}, **{n: 100 for n in range(100, 140)}}
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Each round costs the driver plans, threads and memory; tasks join what they hold beforehand."""
+    rounds = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    links = [(n, n + 1) for n in range(400)] + [(1000 + 7 * n % 300, 1000 + 7 * (n + 1) % 300) for n in range(299)]
+    random.Random(6).shuffle(links)
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert {r["node"]: r["label"] for r in found} == {**{n: 0 for n in range(401)}, **{n: 1000 for n in range(1000, 1300)}}
+    # A table of links, one of labels, and the rounds.
+    assert len(rounds) <= 2 + 3
+
+
+def test_forests_hold_few_nodes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(components, "FOREST_NODES", 10)
+    links = [(n, n + 1) for n in range(0, 200)] + [(500, n) for n in range(501, 560)]
+    random.Random(7).shuffle(links)
+    found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["label"] for r in found} == {**{n: 0 for n in range(201)}, **{n: 500 for n in range(500, 560)}}
+
+
 def test_neighbours_are_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8))
