@@ -20,6 +20,9 @@ WINDOW = 32
 SCORED = 16
 END = 0
 _LEAST = np.float32(1e-30)
+_ONES = np.ones(CLASSES, np.float32)
+#: Up to this spread of logits their exponents need no maximum of their own.
+_SAFE = 60
 
 
 @dataclass
@@ -46,6 +49,28 @@ class Weights:
             np.zeros(CLASSES, np.float32), np.zeros(WINDOW, np.float32), bigram.astype(np.float32),
         )
 
+    @property
+    def by_distance(self) -> np.ndarray:
+        """Factors of every scored place and window place; 0 where a place may not be seen."""
+        return np.where(_SEEN, np.exp(self.distance - self.distance.max())[_DISTANCE], np.float32(0))
+
+    @property
+    def _given(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and most that a context's value gives each class; what is attended is a mean of values."""
+        given = self.value @ self.out
+        return given.min(axis=0), given.max(axis=0)
+
+    @property
+    def spread(self) -> float:
+        """A place's largest logit by ``shifted_bigram`` is between minus this and 0."""
+        return float((self._given[1] - self._given[0]).max())
+
+    @property
+    def shifted_bigram(self) -> np.ndarray:
+        """Bigram and bias, less the most that a logit behind the context can be."""
+        logits = self.bigram + self.bias
+        return logits - (logits + self._given[1]).max(axis=1, keepdims=True)
+
     def pack(self) -> bytes:
         return b"".join(getattr(self, n).astype("<f4").tobytes() for n in self.TRAINED)
 
@@ -92,42 +117,50 @@ class Pass:
     def __init__(self, model: Weights, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         places = first[:, None] + np.arange(-_BACK, SCORED)
         inside = (places >= begin[:, None]) & (places < end[:, None])
-        self.x = inputs[np.clip(places, 0, len(inputs) - 1)]
+        self.x = inputs.take(places, mode="clip").astype(np.int64)
         # A place outside the document has a context of its own, which nothing attends to.
-        x = np.where(inside, self.x, np.int32(CONTEXTS))
+        x = np.where(inside, self.x, CONTEXTS)
         self.scored = inside[:, _BACK:]
         self.last = self.x[:, _BACK:]
-        self.y = targets[np.clip(places[:, _BACK:], 0, len(targets) - 1)]
+        self.y = targets.take(places[:, _BACK:], mode="clip")
         # What two contexts score together is a table; every pair of places reads its entry.
-        table = model.query @ model.key.T * np.float32(WIDTH**-0.5)
+        table = model.query @ model.key.T
+        table *= np.float32(WIDTH**-0.5)
+        table -= table.max(axis=1, keepdims=True)
         weights = np.zeros((CONTEXTS, CONTEXTS + 1), np.float32)
-        np.exp(table - table.max(axis=1, keepdims=True), out=weights[:, :CONTEXTS])
-        self.pairs = self.last.astype(np.int32)[:, :, None] * np.int32(CONTEXTS + 1) + x[:, None, :]
-        self.v = model.value[self.x]
-        scores = weights.ravel().take(self.pairs)
-        scores *= np.where(_SEEN, np.exp(model.distance - model.distance.max())[_DISTANCE], np.float32(0))
-        scores /= np.maximum(scores.sum(axis=2, keepdims=True), _LEAST)
-        self.p = scores
-        self.c = (scores @ self.v).reshape(-1, WIDTH)
+        np.exp(table, out=weights[:, :CONTEXTS])
+        self.pairs = (self.last * (CONTEXTS + 1))[:, :, None] + x[:, None, :]
+        self.v = model.value.take(self.x, axis=0)
+        self.weights = weights.ravel().take(self.pairs, mode="clip")
+        self.weights *= model.by_distance
+        # Sums of rows by products with ones, which take a fraction of the time of sums along short rows.
+        self.share = (1 / np.maximum(self.weights.reshape(-1, WINDOW) @ _ONES[:WINDOW], _LEAST))[:, None]
+        self.c = (self.weights @ self.v).reshape(-1, WIDTH) * self.share
         logits = self.c @ model.out
-        logits += model.bigram[self.last.ravel()]
-        logits += model.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        wanted = logits[np.arange(len(logits)), self.y.ravel()]
+        logits += model.shifted_bigram.take(self.last.ravel(), axis=0)
+        if model.spread > _SAFE:
+            logits -= logits.max(axis=1, keepdims=True)
+        self.at = self.y.ravel() + np.arange(0, logits.size, CLASSES)
+        wanted = logits.ravel()[self.at]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        self.exp, self.total = logits, total
-        self.log_probability = (wanted - np.log(total)).reshape(self.y.shape)
+        self.exp, self.total = logits, logits @ _ONES
+        self.log_probability = (wanted - np.log(self.total)).reshape(self.y.shape)
 
     def gradients(self, model: Weights) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the scored places."""
-        d_logits = self.exp / self.total[:, None]
-        d_logits[np.arange(len(d_logits)), self.y.ravel()] -= 1
-        d_logits *= (self.scored.ravel() / max(1, self.scored.sum()))[:, None].astype(np.float32)
-        d_c = (d_logits @ model.out.T).reshape(*self.last.shape, WIDTH)
-        d_p = d_c @ self.v.transpose(0, 2, 1)
-        d_v = self.p.transpose(0, 2, 1) @ d_c
-        d_a = self.p * (d_p - (d_p * self.p).sum(axis=2, keepdims=True))
+        of_place = self.scored.ravel() * np.float32(1 / max(1, self.scored.sum()))
+        d_logits = self.exp
+        d_logits *= (of_place / self.total)[:, None]
+        d_logits.ravel()[self.at] -= of_place
+        d_c = d_logits @ model.out.T
+        d_c *= self.share
+        # What a place's weights change together: their mean of d_c . v is d_c . c.
+        mean = (d_c * self.c) @ _ONES[:WIDTH]
+        d_c = d_c.reshape(*self.last.shape, WIDTH)
+        d_v = self.weights.transpose(0, 2, 1) @ d_c
+        d_a = d_c @ self.v.transpose(0, 2, 1)
+        d_a -= mean.reshape(*self.last.shape, 1)
+        d_a *= self.weights
         d_table = np.bincount(self.pairs.ravel(), d_a.ravel(), CONTEXTS * (CONTEXTS + 1)).astype(np.float32)
         d_table = d_table.reshape(CONTEXTS, CONTEXTS + 1)[:, :CONTEXTS] * np.float32(WIDTH**-0.5)
         by_distance = np.bincount(_DISTANCE.ravel(), (d_a.sum(axis=0) * _SEEN).ravel(), WINDOW)
@@ -136,18 +169,18 @@ class Pass:
             "key": d_table.T @ model.query,
             "value": _by_context(self.x, d_v),
             "out": self.c.T @ d_logits,
-            "bias": d_logits.sum(axis=0),
+            "bias": np.ones(len(d_logits), np.float32) @ d_logits,
             "distance": by_distance.astype(np.float32),
         }
 
 
 def _by_context(contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` by context: rows sorted by it, one sum for each run."""
-    order = np.argsort(contexts, axis=None, kind="stable")
+    order = np.argsort(contexts.astype(np.uint8), axis=None, kind="stable")
     held = contexts.ravel()[order]
     starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
     out = np.zeros((CONTEXTS, WIDTH), dtype=np.float32)
-    out[held[starts]] = np.add.reduceat(rows.reshape(-1, WIDTH)[order], starts)
+    out[held[starts]] = np.add.reduceat(rows.reshape(-1, WIDTH).take(order, axis=0), starts)
     return out
 
 
@@ -155,8 +188,7 @@ class Scorer:
     """The forward pass of ``Pass`` for scoring alone, from tables made once for a model.
 
     Attention of two contexts is a table; a window place that does not exist has a context of its own,
-    ``CONTEXTS``, with nothing to attend to. The last column of ``value`` is 1, so its weighted sum is
-    what the weights are divided by.
+    ``CONTEXTS``, with nothing to attend to.
     """
 
     def __init__(self, model: Weights, begins: int) -> None:
@@ -164,11 +196,13 @@ class Scorer:
         self.attention = np.ones((CONTEXTS, CONTEXTS + 1), np.float32)
         self.attention[:, :CONTEXTS] = attention
         self.distance = np.where(_SEEN, np.exp(model.distance[_DISTANCE]), np.float32(0))
-        self.value = np.zeros((CONTEXTS + 1, WIDTH + 1), np.float32)
-        self.value[:CONTEXTS, :WIDTH] = model.value
-        self.value[:CONTEXTS, WIDTH] = 1
+        # Nothing is to attend to a place that does not exist.
+        self.attention[:, CONTEXTS] = 0
+        self.value = np.zeros((CONTEXTS + 1, WIDTH), np.float32)
+        self.value[:CONTEXTS] = model.value
         self.out = model.out
-        self.bigram = model.bigram + model.bias
+        self.bigram = model.shifted_bigram
+        self.safe = model.spread <= _SAFE
         #: Sums of all classes, and of those that begin a word.
         self.sums = np.stack([np.ones(CLASSES), np.arange(CLASSES) < begins], axis=1).astype(np.float32)
 
@@ -178,18 +212,21 @@ class Scorer:
         """Places scored, and there the logs of the target's probability and the beginning classes'."""
         places = first[:, None] + np.arange(-_BACK, SCORED)
         inside = (places >= begin[:, None]) & (places < end[:, None])
-        x = np.where(inside, inputs[np.clip(places, 0, len(inputs) - 1)].astype(np.int32), np.int32(CONTEXTS))
+        x = np.where(inside, inputs.take(places, mode="clip"), np.int64(CONTEXTS))
         last = np.minimum(x[:, _BACK:], CONTEXTS - 1)
-        weights = self.attention.ravel().take((last * (CONTEXTS + 1))[:, :, None] + x[:, None, :])
+        weights = self.attention.ravel().take((last * (CONTEXTS + 1))[:, :, None] + x[:, None, :], mode="clip")
         weights *= self.distance
-        summed = (weights @ self.value[x])[inside[:, _BACK:]]
-        places, last = places[:, _BACK:][inside[:, _BACK:]], last[inside[:, _BACK:]]
-        logits = (summed[:, :WIDTH] / summed[:, WIDTH:]) @ self.out
-        logits += self.bigram[last]
-        logits -= logits.max(axis=1, keepdims=True)
+        summed = (weights @ self.value.take(x, axis=0)).reshape(-1, WIDTH)
+        summed /= np.maximum(weights.reshape(-1, WINDOW) @ _ONES[:WINDOW], _LEAST)[:, None]
+        scored = np.flatnonzero(inside[:, _BACK:])
+        places, last = places[:, _BACK:].ravel()[scored], last.ravel()[scored]
+        logits = summed.take(scored, axis=0) @ self.out
+        logits += self.bigram.take(last, axis=0)
+        if not self.safe:
+            logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         sums = logits @ self.sums
-        wanted = logits[np.arange(len(logits)), targets[places]]
+        wanted = logits.ravel()[targets[places] + np.arange(0, logits.size, CLASSES)]
         return places, np.log(wanted / sums[:, 0]), np.log(sums[:, 1] / sums[:, 0])
 
 

@@ -14,7 +14,8 @@ by these counts. The attention weights are trained on every window of all learna
 ``ROUNDS`` rounds every task trains on its next share of its windows, and the weights of all tasks,
 averaged by windows, are where the next round starts. Scoring covers every whole text.
 
-Each word's count is needed. The ``FREQUENT`` most frequent words (a fixed number) travel to the
+Texts are read and encoded once, into a table of ids kept for learning and scoring. A word has one list
+of ids, so words are told apart by a hash of these. Each word's count is needed. The ``FREQUENT`` most frequent words (a fixed number) travel to the
 tasks; all other words join their counts by a shuffle on the word.
 
 Null texts count as empty: one token, the end. Rows with a null id are scored and not learned
@@ -28,9 +29,11 @@ import math
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ from quillsift.llm import attention
 from quillsift.llm.arrow_text import id_and_text, remainder, slices
 from quillsift.llm.attention import CLASSES, CONTEXTS, END
 from quillsift.llm.pretoken import CACHE_WORD_CHARS, CACHE_WORDS, byte_letters
-from quillsift.llm.word_hash import words_of
+from quillsift.llm.word_hash import coefficients, mix
 from quillsift.session import checkpointed
 
 ROUNDS = 4
@@ -151,17 +154,35 @@ def _by_rank(rank: np.ndarray, shares: int) -> np.ndarray:
     return np.minimum(scale * shares, shares - 1).astype(np.int64)
 
 
-def packed_ids(learnable: DataFrame, path: str) -> DataFrame:
-    """(ids, lengths) of all texts, some texts to a row."""
+def packed_ids(docs: DataFrame, path: str) -> DataFrame:
+    """(ids, lengths) of all texts, some texts to a row; with their id and held_out where ``docs`` has these.
+
+    Then a row holds texts that are learned from, or only others, which ``learnable`` tells.
+    """
+    named = "learnable" in docs.columns
+
+    def packed(part: pa.RecordBatch) -> list[pa.Array]:
+        ids, lengths = subwords(path).ids(part.column("text").to_pylist())
+        return [pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())]
+
+    def listed(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids, lengths = subwords(path).ids(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())], ["ids", "lengths"]
-            )
+            if not named:
+                yield pa.RecordBatch.from_arrays(packed(part), ["ids", "lengths"])
+                continue
+            learnable = part.column("learnable")
+            for kind, chosen in ((True, learnable), (False, pc.invert(learnable))):
+                own = pa.RecordBatch.from_struct_array(part.to_struct_array().filter(chosen))
+                if own.num_rows:
+                    names = [listed(own.column("id")), listed(own.column("held_out")), pa.array([kind])]
+                    yield pa.RecordBatch.from_arrays([*packed(own), *names], ["ids", "lengths", "id", "held_out", "learnable"])
 
-    return learnable.select("text").mapInArrow(run, "ids binary, lengths binary")
+    columns = ["text", "id", "held_out", "learnable"] if named else ["text"]
+    names = ", id array<long>, held_out array<boolean>, learnable boolean" if named else ""
+    return docs.select(*columns).mapInArrow(run, "ids binary, lengths binary" + names)
 
 
 def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,6 +191,26 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield np.frombuffer(ids.as_buffer(), dtype="<u2"), np.frombuffer(lengths.as_buffer(), dtype=np.int64)
 
 
+@cache
+def _id_values(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_keys(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word and end begins in ``ids``, and its key: a hash of its ids, or END_WORD.
+
+    A word has one list of ids and these spell it, so equal keys are equal words but for collisions of 64 bits.
+    """
+    starts = np.flatnonzero(begin[ids])
+    lengths = np.diff(starts, append=len(ids))
+    places = np.arange(len(ids)) - np.repeat(starts, lengths)
+    most = int(lengths.max(initial=0))
+    values = _id_values(len(begin))[ids] * coefficients(np.arange(most))[places]
+    keys = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64)) if len(starts) else values
+    keys[ids[starts] == len(begin) - 1] = END_WORD
+    return starts, keys
+
+
 def corpus_vocabulary(packed: DataFrame, begin: np.ndarray) -> tuple[Vocabulary, int]:
     """``vocabulary_of`` all learnable rows' ids, and how many windows these rows have."""
     size = len(begin)
@@ -189,44 +230,37 @@ def corpus_vocabulary(packed: DataFrame, begin: np.ndarray) -> tuple[Vocabulary,
     return vocabulary_of(counts[:size], begin), int(counts[size])
 
 
-def corpus_counts(learnable: DataFrame, packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def corpus_counts(packed: DataFrame, vocabulary: Vocabulary, begin: np.ndarray) -> DataFrame:
     """(kind, key, n): words, ids, and pairs of context and detailed id, of all learnable texts."""
-    shared = learnable.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = packed.sparkSession.sparkContext.broadcast((vocabulary, begin))
 
-    def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, begins = shared.value
+        ids_total = np.zeros(len(of.classes), dtype=np.int64)
+        pairs = np.zeros(CONTEXTS * DETAILED, dtype=np.int64)
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        ends = size = 0
-        for part in slices(batches):
-            words, n = np.unique(words_of(part.column("text")).hashes, return_counts=True)
+        size = 0
+        for ids, lengths in _unpacked(batches):
+            words, n = np.unique(word_keys(ids, begins)[1], return_counts=True)
             held.append(words)
             counts.append(n)
-            ends += part.num_rows
             size += len(words)
             if size > 1_500_000:
                 yield from _count_rows(WORD, *_merged(held, counts))
                 held, counts, size = [], [], 0
-        if ends:
-            if held:
-                yield from _count_rows(WORD, *_merged(held, counts))
-            yield from _count_rows(WORD, np.array([END_WORD], dtype=np.uint64), np.array([ends]))
-
-    def count_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        ids_total = np.zeros(len(of.classes), dtype=np.int64)
-        pairs = np.zeros(CONTEXTS * DETAILED, dtype=np.int64)
-        for ids, lengths in _unpacked(batches):
             ids_total += np.bincount(ids, minlength=len(ids_total))
             before = attention.shifted(of.contexts[ids], lengths)
             detail = of.detail[ids]
             keys = before.astype(np.int64) * DETAILED + detail
             pairs += np.bincount(keys[detail >= 0], minlength=CONTEXTS * DETAILED)
+        if held:
+            yield from _count_rows(WORD, *_merged(held, counts))
         for kind, total in ((ID, ids_total), (PAIR, pairs)):
             found = np.flatnonzero(total)
             yield from _count_rows(kind, found.astype(np.uint64), total[found])
 
-    schema = "kind int, key long, n long"
-    rows = learnable.select("text").mapInArrow(count_words, schema).unionByName(packed.mapInArrow(count_ids, schema))
+    rows = packed.select("ids", "lengths").mapInArrow(run, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -309,20 +343,22 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     context = docs.sparkSession.sparkContext
     rest = remainder(docs[id_col], MODULUS)
     rows = id_and_text(docs, id_col, text_col, F.coalesce(rest == HELD_OUT, F.lit(False)).alias("held_out"))
-    learnable = rows.where("not held_out and id is not null")
+    rows = rows.withColumn("learnable", F.expr("not held_out and id is not null"))
     own = subwords(path)
 
-    packed = checkpointed(packed_ids(learnable, path))
-    vocabulary, windows = corpus_vocabulary(packed, own.begin)
-    counts = checkpointed(corpus_counts(learnable, packed, vocabulary))
+    # Texts are read and encoded once, for learning and for scoring.
+    packed = checkpointed(packed_ids(rows, path))
+    learnable = packed.where("learnable").select("ids", "lengths")
+    vocabulary, windows = corpus_vocabulary(learnable, own.begin)
+    counts = checkpointed(corpus_counts(learnable, vocabulary, own.begin))
     shares, bigram = Shares.of(counts, vocabulary)
-    weights = fit(packed, vocabulary, bigram, windows)
+    weights = fit(learnable, vocabulary, bigram, windows)
 
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v")).first()
     frequent = frequent_words(words).toPandas().sort_values("word")
-    lm = Model(vocabulary, shares, weights, frequent["word"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), totals["n"])
-    scored = checkpointed(_scored(rows, path, context.broadcast(lm)))
+    lm = Model(vocabulary, own.begin, shares, weights, frequent["word"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), totals["n"])
+    scored = checkpointed(_scored(packed, context.broadcast(lm)))
     share = F.col("c") * F.lit(MIX / max(1, totals["n"])) + F.lit(1 - MIX) * F.pow(F.lit(10.0), F.col("rare.log"))
     rare = (
         scored.select("row", F.explode("rare").alias("rare"))
@@ -408,6 +444,8 @@ class Model:
     """What scoring needs; every part has a fixed size."""
 
     vocabulary: Vocabulary
+    #: Whether an id begins a word.
+    begin: np.ndarray
     shares: Shares
     attention: attention.Weights
     frequent: np.ndarray
@@ -415,7 +453,7 @@ class Model:
     total: int
 
 
-def _scored(rows: DataFrame, path: str, shared) -> DataFrame:
+def _scored(packed: DataFrame, shared) -> DataFrame:
     """Scores as far as frequent words go, and the other words with their log10 probability as ``rare``.
 
     ``score`` counts the rare words by the attention model alone.
@@ -425,13 +463,13 @@ def _scored(rows: DataFrame, path: str, shared) -> DataFrame:
         lm: Model = shared.value
         logs = np.log10(lm.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for part in slices(batches):
-            texts = part.num_rows
-            found = words_of(part.column("text"))
-            words = np.insert(found.hashes.view(np.int64), found.bounds[1:], END_WORD)
-            lengths = found.counts() + 1
-            owners = np.repeat(np.arange(texts), lengths)
-            log = word_logs(part.column("text"), path, lm)
+        for ids, places, names, held_out in _named(batches):
+            texts = len(names)
+            starts, keys = word_keys(ids, lm.begin)
+            words = keys.view(np.int64)
+            owners = np.searchsorted(np.cumsum(places), starts, side="right")
+            lengths = np.bincount(owners, minlength=texts)
+            log = word_logs(ids, places, lm)
             if len(lm.frequent):
                 place = np.minimum(np.searchsorted(lm.frequent, words), len(lm.frequent) - 1)
                 known = lm.frequent[place] == words
@@ -446,8 +484,8 @@ def _scored(rows: DataFrame, path: str, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + texts)),
-                    part.column("id"),
-                    part.column("held_out"),
+                    names,
+                    held_out,
                     pa.array(lengths.astype(np.int64)),
                     pa.array(np.bincount(owners[known], minlength=texts).astype(np.int64)),
                     pa.array(np.bincount(owners[known], logs[place[known]], texts).astype(np.float64)),
@@ -458,25 +496,33 @@ def _scored(rows: DataFrame, path: str, shared) -> DataFrame:
             )
             row += texts
 
-    return rows.mapInArrow(
+    return packed.mapInArrow(
         run,
         "row long, id long, held_out boolean, n_tokens long, known long, log_known double, "
         "rare array<struct<word: long, log: double>>, score double",
     )
 
 
-def word_logs(texts: pa.Array, path: str, lm: Model) -> np.ndarray:
+def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """Of every row its ids, how many each text has, and the texts' ids and whether they are held out."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            one = batch.slice(n, 1)
+            ids, lengths = next(_unpacked([one]))
+            yield ids, lengths, one.column("id").flatten(), one.column("held_out").flatten()
+
+
+def word_logs(ids: np.ndarray, lengths: np.ndarray, lm: Model) -> np.ndarray:
     """log10 probability by the attention model of every word and end, in order.
 
     A word takes its ids, given that a word begins, and the chance that the next one begins
     after it.
     """
-    own, of = subwords(path), lm.vocabulary
-    ids, lengths = own.ids(texts.to_pylist())
+    of = lm.vocabulary
     inputs = attention.shifted(of.contexts[ids], lengths)
     of_class, of_begin = attention.log_probabilities(lm.attention, inputs, of.classes[ids], lengths, of.begins)
-    begins = np.flatnonzero(own.begin[ids])
+    begins = np.flatnonzero(lm.begin[ids])
     total = np.add.reduceat(of_class / _LOG10 + lm.shares(ids, inputs, of), begins) - of_begin[begins] / _LOG10
-    last = ids[begins] == own.size - 1
+    last = ids[begins] == len(lm.begin) - 1
     following = np.append(of_begin[begins[1:]], 0.0) / _LOG10
     return total + np.where(last, 0.0, following)

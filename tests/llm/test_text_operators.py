@@ -293,6 +293,38 @@ def test_lm_learns_from_every_row(spark):
     assert sum(seen) == windows and max(fitted) == 3
 
 
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """One table of ids serves learning and scoring, whoever is learned from."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tables = []
+    made = lm_score.packed_ids
+    monkeypatch.setattr(lm_score, "packed_ids", lambda *a: tables.append(made(*a)) or tables[-1])
+    rows = [(n, f"word{n % 7} and Others {n}") for n in range(60)] + [(60, None), (None, "no id")]
+    assert lm_score.score_documents(docs_of(spark, rows).repartition(3), path).count() == len(rows)
+    (table,) = tables
+    own, held = lm_score.subwords(path), []
+    for r in table.collect():
+        ids, lengths = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["lengths"], np.int64)
+        assert all((i is not None and not h) == r["learnable"] for i, h in zip(r["id"], r["held_out"], strict=True))
+        ends = np.cumsum(lengths)
+        held += [(str(i), ids[e - n : e].tolist()) for i, e, n in zip(r["id"], ends, lengths, strict=True)]
+    assert sorted(held) == sorted((str(i), own.ids([t or ""])[0].tolist()) for i, t in rows)
+
+
+def test_word_keys_tell_words_apart():
+    own = lm_score.subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the The THE thee", "", "a" * 900 + " zq zqx\tqz 日本語 <|endoftext|>", " \n"]
+    ids, lengths = own.ids(texts)
+    starts, keys = lm_score.word_keys(ids, own.begin)
+    words = [w for t in texts for w in [*t.lower().split(), None]]
+    assert len(keys) == len(words) == len(starts)
+    assert len(set(keys.tolist())) == len(set(words))
+    assert all((k == lm_score.END_WORD) == (w is None) for k, w in zip(keys.tolist(), words, strict=True))
+    assert len({(k, w) for k, w in zip(keys.tolist(), words, strict=True)}) == len(set(words))
+    none, empty = lm_score.word_keys(ids[:0], own.begin)
+    assert len(none) == len(empty) == 0
+
+
 def test_first_scored_place_has_sixteen_of_context():
     rng = np.random.default_rng(3)
     lengths = np.array([80])
