@@ -39,6 +39,8 @@ CHANCE, SHORT_CHANCE, SHORT = 4.5, 2.0, 32
 SCORE_STEPS = 1000
 MAX_LANGUAGES = 1000
 TABLE_ROWS = 16384
+#: Trigrams whose vectors are summed at once; bounds the copies of them.
+BUNDLED = 1024
 _SHIFT = 21
 _MASK = (1 << _SHIFT) - 1
 HELD_OUT = 2
@@ -48,7 +50,7 @@ PREDICTED = "id long, held_out boolean, lang_pred string, score double"
 @lru_cache(maxsize=1)
 def letter_of() -> np.ndarray:
     """For every code point the lower-case letter's code point, 0 for anything else."""
-    table = np.zeros(0x110000, dtype=np.int64)
+    table = np.zeros(0x110000, dtype=np.int32)
     for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
@@ -77,7 +79,8 @@ class GramVectors:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.zeros((TABLE_ROWS, dimensions), dtype=np.float32)
+        # +1 and -1 take a byte each; a worker holds the table beside whatever else it has.
+        self.table = np.zeros((TABLE_ROWS, dimensions), dtype=np.int8)
 
     def letter(self, point: int) -> np.ndarray:
         found = self.letters.get(point)
@@ -95,9 +98,8 @@ class GramVectors:
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, as often as each occurs."""
         total = np.zeros(self.dimensions, dtype=np.float64)
-        step = TABLE_ROWS // 2
-        for begin in range(0, len(codes), step):
-            part = codes[begin : begin + step].tolist()
+        for begin in range(0, len(codes), BUNDLED):
+            part = codes[begin : begin + BUNDLED].tolist()
             if len(self.rows) + len(part) > TABLE_ROWS:
                 self.rows.clear()
             places = []
@@ -107,8 +109,8 @@ class GramVectors:
                     row = self.rows[code] = len(self.rows)
                     self.table[row] = self.bound(code)
                 places.append(row)
-            weights = counts[begin : begin + step].astype(np.float32)
-            total += weights @ self.table[places]
+            weights = counts[begin : begin + BUNDLED].astype(np.float32)
+            total += weights @ self.table[places].astype(np.float32)
         return total
 
 
@@ -308,12 +310,12 @@ def accepted(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = GramVectors()
-        for batch in batches:
+        for part in slices(batches, text_col):
             kept = []
-            for text in pc.fill_null(batch.column(text_col), "").to_pylist():
+            for text in pc.fill_null(part.column(text_col), "").to_pylist():
                 codes, counts = trigrams(text)
                 name, score = known.of(codes, counts, vectors)
                 kept.append(name != UNKNOWN and score >= (least if counts.sum() >= SHORT else short))
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

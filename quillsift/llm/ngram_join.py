@@ -51,6 +51,8 @@ CELL_NODES = 2048
 CELL_SHINGLES = 1 << 20
 SEEN = 100_000
 OUT_ROWS = 10_000
+#: Text bytes whose shingles are made at once: some arrays of eight bytes for each of them.
+SLICE_BYTES = 1 << 18
 _CELL = ("block", "low", "high")
 
 
@@ -75,9 +77,9 @@ def sets_and_counters(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             sets = list(shingle_sets(part.column("text"), size))
-            total += np.bincount(counter_places(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(total, counter_places(np.concatenate(sets)), np.uint32(1))
             yield _sets_batch(part.column("id"), sets)
         if total.any():
             blocks = [zlib.compress(b.tobytes(), 1) for b in np.split(total, COUNTER_BLOCKS)]
@@ -155,7 +157,7 @@ def routing_shingles(rows: DataFrame, counters: np.ndarray, size: int, percent:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Recent()
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             found, nodes, sizes, lengths, ranks = [], [], [], [], []
             for hashes in shingle_sets(part.column("text"), size):
                 node = set_digest(hashes)
@@ -212,7 +214,7 @@ def node_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, Recent()
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             out: list[tuple] = []
             for hashes in shingle_sets(part.column("text"), size):
                 node = set_digest(hashes)

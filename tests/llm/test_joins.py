@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillsift.llm import components, neighbours, ngram_join, rtree
 from quillsift.session import checkpointed
@@ -170,3 +172,24 @@ def test_near_copies_of_the_pipeline_are_brute_force(spark):
 
 def docs_of_rows(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_stages_of_the_pipeline_hold_small_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = docs_of_rows(spark, [(n, f"{n} " + "word " * 40_000) for n in range(60)])
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    try:
+        for stage in ("language", "quality", "near_dedup", "packing"):
+            spark.conf.set(name, before)
+            dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0).withColumn("lang", F.lit("en")), str(tmp_path))
+            held = [r["n"] for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+            assert len(held) > 1 and max(held) < 5 << 20, stage
+    finally:
+        spark.conf.set(name, before)

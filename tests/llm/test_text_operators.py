@@ -358,3 +358,14 @@ LAYOUTS = {
 def test_main_text_of_other_layouts(name):
     page, text = LAYOUTS[name]
     assert html_extract.main_text(page, html_extract.weights_of({})) == text
+
+
+def test_language_vectors_take_a_byte_each():
+    vectors = language_id.GramVectors()
+    assert vectors.table.nbytes <= 16 << 20
+    rng = np.random.default_rng(3)
+    codes, counts = language_id.trigrams("".join(map(chr, rng.integers(0x61, 0x250, 6000))))
+    assert len(codes) > 2 * language_id.BUNDLED
+    other = language_id.GramVectors()
+    expected = sum(n * other.bound(c).astype(np.int64) for c, n in zip(codes.tolist(), counts.tolist(), strict=True))
+    assert np.array_equal(vectors.bundle(codes, counts), expected)
