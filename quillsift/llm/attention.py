@@ -60,10 +60,17 @@ class Weights:
         given = self.value @ self.out
         return given.min(axis=0), given.max(axis=0)
 
+    @property
+    def reach(self) -> float:
+        """No two contexts score more together than this, nor less than its negative."""
+        longest = [float(np.sqrt(np.square(m).sum(axis=1).max())) for m in (self.query, self.key)]
+        return longest[0] * longest[1] * WIDTH**-0.5
+
     @property
     def spread(self) -> float:
         """A place's largest logit by ``shifted_bigram`` is between minus this and 0."""
-        return float((self._given[1] - self._given[0]).max())
+        least, most = self._given
+        return float((most - least).max())
 
     @property
     def shifted_bigram(self) -> np.ndarray:
@@ -118,21 +125,20 @@ class Pass:
         places = first[:, None] + np.arange(-_BACK, SCORED)
         inside = (places >= begin[:, None]) & (places < end[:, None])
         self.x = inputs.take(places, mode="clip").astype(np.int64)
-        # A place outside the document has a context of its own, which nothing attends to.
-        x = np.where(inside, self.x, CONTEXTS)
         self.scored = inside[:, _BACK:]
         self.last = self.x[:, _BACK:]
         self.y = targets.take(places[:, _BACK:], mode="clip")
-        # What two contexts score together is a table; every pair of places reads its entry.
-        table = model.query @ model.key.T
-        table *= np.float32(WIDTH**-0.5)
-        table -= table.max(axis=1, keepdims=True)
-        weights = np.zeros((CONTEXTS, CONTEXTS + 1), np.float32)
-        np.exp(table, out=weights[:, :CONTEXTS])
-        self.pairs = (self.last * (CONTEXTS + 1))[:, :, None] + x[:, None, :]
+        self.q = (model.query * np.float32(WIDTH**-0.5)).take(self.last, axis=0)
+        self.k = model.key.take(self.x, axis=0)
         self.v = model.value.take(self.x, axis=0)
-        self.weights = weights.ravel().take(self.pairs, mode="clip")
+        self.weights = self.q @ self.k.transpose(0, 2, 1)
+        if model.reach > _SAFE:
+            self.weights -= self.weights.max(axis=2, keepdims=True)
+        np.exp(self.weights, out=self.weights)
         self.weights *= model.by_distance
+        # Nothing attends to a place outside the document.
+        outside = np.flatnonzero(~inside.all(axis=1))
+        self.weights[outside] *= inside[outside][:, None, :]
         # Sums of rows by products with ones, which take a fraction of the time of sums along short rows.
         self.share = (1 / np.maximum(self.weights.reshape(-1, WINDOW) @ _ONES[:WINDOW], _LEAST))[:, None]
         self.c = (self.weights @ self.v).reshape(-1, WIDTH) * self.share
@@ -161,14 +167,15 @@ class Pass:
         d_a = d_c @ self.v.transpose(0, 2, 1)
         d_a -= mean.reshape(*self.last.shape, 1)
         d_a *= self.weights
-        d_table = np.bincount(self.pairs.ravel(), d_a.ravel(), CONTEXTS * (CONTEXTS + 1)).astype(np.float32)
-        d_table = d_table.reshape(CONTEXTS, CONTEXTS + 1)[:, :CONTEXTS] * np.float32(WIDTH**-0.5)
+        d_q = (d_a @ self.k) * np.float32(WIDTH**-0.5)
+        d_kv = np.concatenate((d_a.transpose(0, 2, 1) @ self.q, d_v), axis=2)
+        d_kv = _by_context(self.x, d_kv)
         by_distance = np.bincount(_DISTANCE.ravel(), (d_a.sum(axis=0) * _SEEN).ravel(), WINDOW)
         return {
-            "query": d_table @ model.key,
-            "key": d_table.T @ model.query,
-            "value": _by_context(self.x, d_v),
-            "out": self.c.T @ d_logits,
+            "query": _by_context(self.last, d_q),
+            "key": d_kv[:, :WIDTH],
+            "value": d_kv[:, WIDTH:],
+            "out": (d_logits.T @ self.c).T,
             "bias": np.ones(len(d_logits), np.float32) @ d_logits,
             "distance": by_distance.astype(np.float32),
         }
@@ -179,8 +186,9 @@ def _by_context(contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     order = np.argsort(contexts.astype(np.uint8), axis=None, kind="stable")
     held = contexts.ravel()[order]
     starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    out = np.zeros((CONTEXTS, WIDTH), dtype=np.float32)
-    out[held[starts]] = np.add.reduceat(rows.reshape(-1, WIDTH).take(order, axis=0), starts)
+    width = rows.shape[-1]
+    out = np.zeros((CONTEXTS, width), dtype=np.float32)
+    out[held[starts]] = np.add.reduceat(rows.reshape(-1, width).take(order, axis=0), starts)
     return out
 
 
@@ -263,8 +271,14 @@ class Trainer:
     def __init__(self, model: Weights, rate: float, seed: int | tuple[int, ...] = 11, batch: int = 128) -> None:
         self.model, self.rate, self.batch = model, rate, batch
         self.rng = np.random.default_rng(seed)
-        self.mean = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
-        self.square = {n: np.zeros_like(getattr(model, n)) for n in Weights.TRAINED}
+        #: All trained weights in one row, which the model's arrays are parts of, and what Adam keeps of each.
+        self.flat = np.frombuffer(model.pack(), dtype="<f4").copy()
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        at = 0
+        for name in Weights.TRAINED:
+            own = getattr(model, name)
+            setattr(model, name, self.flat[at : at + own.size].reshape(own.shape))
+            at += own.size
         self.steps = self.windows = 0
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, share: int = 0, shares: int = 1, passes: int = 1) -> None:
@@ -278,8 +292,13 @@ class Trainer:
 
     def _step(self, gradients: dict[str, np.ndarray]) -> None:
         self.steps += 1
-        for name, gradient in gradients.items():
-            mean = self.mean[name] = 0.9 * self.mean[name] + 0.1 * gradient
-            square = self.square[name] = 0.99 * self.square[name] + 0.01 * gradient * gradient
-            change = (mean / (1 - 0.9**self.steps)) / (np.sqrt(square / (1 - 0.99**self.steps)) + 1e-8)
-            setattr(self.model, name, (getattr(self.model, name) - np.float32(self.rate) * change).astype(np.float32))
+        gradient = np.concatenate([gradients[n].ravel() for n in Weights.TRAINED])
+        self.mean *= np.float32(0.9)
+        self.mean += np.float32(0.1) * gradient
+        self.square *= np.float32(0.99)
+        gradient *= gradient
+        self.square += np.float32(0.01) * gradient
+        change = np.sqrt(self.square / np.float32(1 - 0.99**self.steps))
+        change += np.float32(1e-8)
+        np.divide(self.mean / np.float32(1 - 0.9**self.steps), change, out=change)
+        self.flat -= np.float32(self.rate) * change

@@ -25,6 +25,7 @@ model, untrained, counts. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import json
 import math
 from array import array
 from collections.abc import Iterable, Iterator
@@ -61,15 +62,78 @@ END_WORD = 0
 WORD, ID, PAIR = 0, 1, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOG10 = math.log(10)
+_NO_MERGE = np.iinfo(np.int32).max
+
+
+class Merges:
+    """Byte-pair merges of many words at once, as the tokenizer's model makes them one word at a time."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.single = np.array([vocab[letter] for letter in byte_letters()], dtype=np.int64)
+
+    def _rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``_NO_MERGE`` where two ids do not merge."""
+        wanted = first << 16 | second
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[place] == wanted, self.ranks[place], _NO_MERGE)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Packed 16-bit ids of words of one byte or more."""
+        if not words:
+            return []
+        ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        found = []
+        rank = np.full(len(ids), _NO_MERGE, dtype=np.int32)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(starts, append=len(ids))
+            going = np.repeat(least < _NO_MERGE, sizes)
+            found.append((owner[~going], ids[~going]))
+            at = np.flatnonzero(going & (rank == np.repeat(least, sizes)))
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))[: len(at)]]  # the first of each word
+            ids[at] = self.made[rank[at]]
+            going[at + 1] = False  # the second of a pair goes with the words that are done
+            place = np.cumsum(going)[at] - 1
+            ids, owner = ids[going], owner[going]
+            rank[at] = rank[at + 1]  # for the last of a word: no merge
+            rank = rank[going]
+            right = place[place + 1 < len(ids)]
+            right = right[owner[right + 1] == owner[right]]
+            rank[right] = self._rank(ids[right], ids[right + 1])
+            left = place[place > 0] - 1
+            left = left[owner[left + 1] == owner[left]]
+            rank[left] = self._rank(ids[left], ids[left + 1])
+        owner, ids = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.argsort(owner, kind="stable")
+        packed = ids[order].astype("<u2").tobytes()
+        ends = (2 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Subwords(dict):
-    """Word (bytes) -> packed 16-bit ids, encoded when first met."""
+    """Word (bytes) -> packed 16-bit ids, encoded when first met.
+
+    Of the words met before the last ``CACHE_WORDS`` new ones, ``before`` keeps as many again.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
+        self.merges = Merges(path)
+        self.before: dict[bytes, bytes] = {}
         self.size = tokenizer.get_vocab_size()
         self.end = (self.size - 1).to_bytes(2, "little")
         self.letters = dict(enumerate(byte_letters()))
@@ -80,18 +144,24 @@ class Subwords(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         spelled = (b" " + word).decode("latin-1").translate(self.letters)
-        ids = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Hold all words of up to ``CACHE_WORD_CHARS`` bytes; longer ones are encoded where they stand."""
+        if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        new = {w for words in texts for w in words if w not in self and len(w) <= CACHE_WORD_CHARS}
+        known = {w: self.before[w] for w in new if w in self.before}
+        self.update(known)
+        unknown = list(new - known.keys())
+        self.update(zip(unknown, self.merges([b" " + w for w in unknown]), strict=True))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and how many each has."""
-        packed = [
-            b"".join(map(self.__getitem__, t.encode().translate(_LOWER).split())) + self.end for t in texts
-        ]
+        words = [t.encode().translate(_LOWER).split() for t in texts]
+        self.learn(words)
+        packed = [b"".join(map(self.__getitem__, w)) + self.end for w in words]
         lengths = np.array([len(p) // 2 for p in packed], dtype=np.int64)
         return np.frombuffer(b"".join(packed), dtype="<u2"), lengths
 

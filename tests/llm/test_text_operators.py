@@ -369,3 +369,47 @@ def test_language_vectors_take_a_byte_each():
     other = language_id.GramVectors()
     expected = sum(n * other.bound(c).astype(np.int64) for c, n in zip(codes.tolist(), counts.tolist(), strict=True))
     assert np.array_equal(vectors.bundle(codes, counts), expected)
+
+
+def test_new_words_are_encoded_together_as_the_library_does(monkeypatch):
+    own = lm_score.Subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    words = sorted({w for t in [*ODD, *random_texts(300)] for w in t.encode().split() if len(w) <= 48} | {b"a" * 48, b"\xff"})
+    assert own.merges([b" " + w for w in words]) == [own.__missing__(w) for w in words]
+    assert own.merges([]) == []
+
+    made, merges = [], own.merges
+    own.merges = lambda new: made.append(new) or merges(new)
+    monkeypatch.setattr(lm_score, "CACHE_WORDS", 3)
+    for n in range(8):  # the words held are renewed all the time; those that come again stay
+        ids, lengths = own.ids([f"often again n{n} m{n}", "", "x" * 300])
+        plain = [b"".join(map(own.__missing__, t.encode().split())) + own.end for t in (f"often again n{n} m{n}", "", "x" * 300)]
+        assert ids.tobytes() == b"".join(plain) and lengths.tolist() == [len(p) // 2 for p in plain]
+    assert sum(words.count(b" often") for words in made) == 1
+
+
+def test_attention_gradients_are_differences():
+    rng = np.random.default_rng(4)
+    lengths = np.array([5, 70, 1, 33])
+    inputs, targets = rng.integers(0, 256, 109).astype(np.uint8), rng.integers(0, 64, 109).astype(np.uint8)
+    first, begin, end = attention.windows(lengths)
+    for size in (1, 400):  # 400: beyond the scores that go without a maximum
+        model = attention.Weights.fresh(rng.normal(0, 1, (256, 64)))
+        model.query, model.distance = model.query * np.float32(size), rng.normal(0, 1, 32).astype(np.float32)
+        assert (model.reach > attention._SAFE) == (size == 400)
+
+        def loss():
+            done = attention.Pass(model, inputs, targets, first, begin, end)
+            return -float(done.log_probability[done.scored].astype(np.float64).mean())
+
+        found = attention.Pass(model, inputs, targets, first, begin, end).gradients(model)
+        for name in attention.Weights.TRAINED:
+            along = found[name] / np.linalg.norm(found[name])
+            before, step = getattr(model, name), np.float32(0.02)
+            setattr(model, name, before + step * along)
+            more = loss()
+            setattr(model, name, before - step * along)
+            slope = (more - loss()) / (2 * float(step))
+            setattr(model, name, before)
+            if size == 1 or name not in ("query", "key"):  # such scores are too steep for a difference
+                assert slope == pytest.approx(float(np.linalg.norm(found[name])), rel=0.05, abs=2e-5), name
+            assert np.isfinite(found[name]).all()
